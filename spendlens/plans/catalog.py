@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.operators import analytics as A
-from spendlens.plans.context import tx_table
+from spendlens.plans.context import prepare, tx_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,3 +89,104 @@ QUERIES: dict[str, Query] = {
     "period_filter_empty": q_period_filter_empty,
     "user_history": q_user_history,
 }
+
+
+# --------------------------------------------------------------------------- cleaning, keys, dedup
+
+def q_clean_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.functions.clean import clean_transactions
+    from spendlens.sources.testdata import raw_orders_text
+
+    prepare(spark)
+    cleaned = clean_transactions(raw_orders_text(spark, sf_dir))
+    return present(cleaned.drop("posting_date"))
+
+
+def q_date_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.functions.dates import add_calendar_features
+    from spendlens.sources.testdata import read_table
+
+    prepare(spark)
+    ev = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("transaction_date"))
+    out = add_calendar_features(ev)
+    return out.select("event_id", F.to_date("transaction_date").alias("event_date"), "year", "month", "day",
+                      "month_name", "day_of_week")
+
+
+def q_dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.dedup import add_dedup_key
+
+    return add_dedup_key(tx_table(spark, sf_dir)).select("transaction_id", "dedup_key")
+
+
+def _upload(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(incoming cleaned upload, stored history) of the re-upload scenario."""
+    from spendlens.functions.clean import clean_transactions
+    from spendlens.sources.testdata import history_part, raw_upload, upload_part
+
+    tx = tx_table(spark, sf_dir)
+    incoming = clean_transactions(raw_upload(upload_part(tx)))
+    return incoming, history_part(tx)
+
+
+def q_dedup_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.dedup import new_rows
+    from spendlens.schema import INSERT_COLUMNS
+
+    incoming, history = _upload(spark, sf_dir)
+    return present(new_rows(incoming, history).select("user_id", *INSERT_COLUMNS))
+
+
+def q_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.dedup import dedup_report
+
+    incoming, history = _upload(spark, sf_dir)
+    return dedup_report(incoming, history)
+
+
+def q_append_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store the history, append the upload's new rows with fresh ids, read the table back."""
+    from spendlens.operators.dedup import rows_to_insert
+    from spendlens.schema import INSERT_COLUMNS
+    from spendlens.session import scratch_path
+    from spendlens.sources.tables import read_transactions, write_transactions
+
+    incoming, history = _upload(spark, sf_dir)
+    path = scratch_path(spark, "append")
+    write_transactions(history, path, mode="errorifexists")
+    stored = read_transactions(spark, path)
+    write_transactions(rows_to_insert(incoming, stored), path, mode="append", layout=False)
+    return present(read_transactions(spark, path).select("user_id", *INSERT_COLUMNS))
+
+
+def q_user_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert the logins after the history into the users known before; new ids left out."""
+    from spendlens.operators.users import upsert_users
+    from spendlens.sources.testdata import user_updates_from_tables, users_from_tables
+
+    prepare(spark)
+    snap = upsert_users(users_from_tables(spark, sf_dir), user_updates_from_tables(spark, sf_dir))
+    return snap.select(
+        F.when(~F.col("is_new"), F.col("user_id")).alias("user_id"), "email", "display_name", "picture_url", "is_new"
+    )
+
+
+def q_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.quality import constraint_violations
+    from spendlens.sources.testdata import users_from_tables
+
+    return constraint_violations(tx_table(spark, sf_dir), users_from_tables(spark, sf_dir))
+
+
+QUERIES.update(
+    {
+        "clean_types": q_clean_types,
+        "date_features": q_date_features,
+        "dedup_keys": q_dedup_keys,
+        "dedup_new_rows": q_dedup_new_rows,
+        "dedup_report": q_dedup_report,
+        "append_history": q_append_history,
+        "user_upsert": q_user_upsert,
+        "constraint_violations": q_constraint_violations,
+    }
+)

@@ -181,3 +181,141 @@ WHERE user_id IN (SELECT user_id FROM tx
                   WHERE transaction_date >= (SELECT max(transaction_date) FROM tx) - INTERVAL 30 DAY)
 """,
 }
+
+
+# --------------------------------------------------------------------------- cleaning, keys, dedup
+
+CLEAN_TYPES = """
+WITH src AS (
+  SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d,
+         CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS price, o_orderpriority
+  FROM orders
+), parsed AS (
+  SELECT k AS transaction_id,
+    CASE k % 5 WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN d
+               WHEN 3 THEN CASE WHEN day(d) <= 12 THEN make_date(year(d), day(d), month(d)) END
+    END AS transaction_date,
+    CASE k % 6 WHEN 0 THEN price WHEN 2 THEN price WHEN 4 THEN price WHEN 5 THEN -price END AS amount_spent,
+    (k % 7) IN (0, 1, 3, 4) AS is_subscription,
+    o_orderpriority AS activity_description
+  FROM src
+)
+SELECT transaction_id, transaction_date, amount_spent, is_subscription, activity_description,
+  CAST(month(transaction_date) AS INTEGER) AS month, CAST(day(transaction_date) AS INTEGER) AS day,
+  monthname(transaction_date) AS month_name, dayname(transaction_date) AS day_of_week,
+  CAST(year(transaction_date) AS INTEGER) AS year
+FROM parsed
+"""
+
+DATE_FEATURES = """
+SELECT event_id, CAST(ts AS DATE) AS event_date, CAST(year(ts) AS INTEGER) AS year,
+  CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day,
+  monthname(ts) AS month_name, dayname(ts) AS day_of_week
+FROM events
+"""
+
+DEDUP_KEYS = _with() + """
+SELECT transaction_id,
+  coalesce(strftime(transaction_date, '%Y-%m-%d'), 'no_date') || '-' ||
+  coalesce(lower(trim(activity_description)), 'no_desc') || '-' ||
+  coalesce(CAST(amount_spent AS VARCHAR), 'no_amount') AS dedup_key
+FROM tx
+"""
+
+UPLOAD = """hist AS (SELECT * FROM tx WHERE transaction_date < TIMESTAMP '1998-01-01'),
+inc AS (SELECT * FROM tx WHERE transaction_date >= TIMESTAMP '1997-01-01'),
+flagged AS (
+  SELECT i.*, EXISTS (
+    SELECT 1 FROM hist h
+    WHERE h.user_id = i.user_id
+      AND CAST(h.transaction_date AS DATE) IS NOT DISTINCT FROM CAST(i.transaction_date AS DATE)
+      AND lower(trim(h.activity_description)) IS NOT DISTINCT FROM lower(trim(i.activity_description))
+      AND h.amount_spent IS NOT DISTINCT FROM i.amount_spent
+  ) AS dup
+  FROM inc i
+)"""
+
+INSERT_PRESENTED = """
+  user_id, customer_id, f_name, l_name, address,
+  CAST(transaction_date AS DATE) AS transaction_date, CAST(posting_date AS DATE) AS posting_date,
+  {desc} AS activity_description, category, sub_category,
+  CAST(amount_spent AS DOUBLE) AS amount_spent, CAST(credit_limit AS DOUBLE) AS credit_limit,
+  CAST(available_credit AS DOUBLE) AS available_credit, is_subscription,
+  month, day, month_name, day_of_week, year
+"""
+
+DEDUP_NEW_ROWS = _with(UPLOAD) + f"""
+SELECT {INSERT_PRESENTED.format(desc='lower(activity_description)')} FROM flagged WHERE NOT dup
+"""
+
+DEDUP_REPORT = _with(UPLOAD) + """
+SELECT user_id, count(*) AS incoming, count(*) FILTER (WHERE NOT dup) AS inserted,
+       count(*) FILTER (WHERE dup) AS skipped
+FROM flagged GROUP BY user_id
+"""
+
+APPEND_HISTORY = _with(UPLOAD) + f"""
+SELECT {INSERT_PRESENTED.format(desc='activity_description')} FROM hist
+UNION ALL
+SELECT {INSERT_PRESENTED.format(desc='lower(activity_description)')} FROM flagged WHERE NOT dup
+"""
+
+USERS0 = """users0 AS (
+  SELECT c_custkey AS user_id, lower(replace(c_name, '#', '.')) || '@example.com' AS email,
+         c_name AS display_name, 'https://img.example.com/' || CAST(c_custkey AS VARCHAR) || '.png' AS picture_url
+  FROM customer
+  WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')
+)"""
+
+USER_UPSERT = "WITH " + USERS0 + """,
+upd AS (
+  SELECT lower(replace(c_name, '#', '.')) || '@example.com' AS email,
+         c_name || ' (' || o_orderpriority || ')' AS display_name,
+         CASE WHEN o_orderstatus = 'P' THEN NULL
+              ELSE 'https://img.example.com/' || CAST(c_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) || '.png'
+         END AS picture_url,
+         row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey DESC) AS rn
+  FROM orders JOIN customer ON o_custkey = c_custkey
+  WHERE o_orderdate >= TIMESTAMP '1998-01-01'
+),
+latest AS (SELECT email, display_name, picture_url FROM upd WHERE rn = 1)
+SELECT u.user_id, coalesce(u.email, n.email) AS email,
+       CASE WHEN n.email IS NOT NULL THEN n.display_name ELSE u.display_name END AS display_name,
+       CASE WHEN n.email IS NOT NULL THEN n.picture_url ELSE u.picture_url END AS picture_url,
+       u.user_id IS NULL AS is_new
+FROM users0 u FULL OUTER JOIN latest n ON u.email = n.email
+"""
+
+CONSTRAINTS = _with(USERS0) + """
+SELECT 'tx_null_user_id' AS check_name, count(*) FILTER (WHERE user_id IS NULL) AS violations FROM tx
+UNION ALL SELECT 'tx_customer_id_too_long', count(*) FILTER (WHERE length(customer_id) > 255) FROM tx
+UNION ALL SELECT 'tx_f_name_too_long', count(*) FILTER (WHERE length(f_name) > 100) FROM tx
+UNION ALL SELECT 'tx_l_name_too_long', count(*) FILTER (WHERE length(l_name) > 100) FROM tx
+UNION ALL SELECT 'tx_address_too_long', count(*) FILTER (WHERE length(address) > 500) FROM tx
+UNION ALL SELECT 'tx_category_too_long', count(*) FILTER (WHERE length(category) > 100) FROM tx
+UNION ALL SELECT 'tx_sub_category_too_long', count(*) FILTER (WHERE length(sub_category) > 100) FROM tx
+UNION ALL SELECT 'tx_month_name_too_long', count(*) FILTER (WHERE length(month_name) > 20) FROM tx
+UNION ALL SELECT 'tx_day_of_week_too_long', count(*) FILTER (WHERE length(day_of_week) > 20) FROM tx
+UNION ALL SELECT 'tx_duplicate_transaction_id', coalesce(sum(n), 0)
+  FROM (SELECT transaction_id, count(*) AS n FROM tx GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'tx_orphan_user_id', count(*) FROM tx WHERE user_id NOT IN (SELECT user_id FROM users0)
+UNION ALL SELECT 'users_null_email', count(*) FILTER (WHERE email IS NULL) FROM users0
+UNION ALL SELECT 'users_null_user_id', count(*) FILTER (WHERE user_id IS NULL) FROM users0
+UNION ALL SELECT 'users_duplicate_email', coalesce(sum(n), 0)
+  FROM (SELECT email, count(*) AS n FROM users0 WHERE email IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'users_duplicate_user_id', coalesce(sum(n), 0)
+  FROM (SELECT user_id, count(*) AS n FROM users0 GROUP BY 1 HAVING count(*) > 1)
+"""
+
+ORACLE.update(
+    {
+        "clean_types": CLEAN_TYPES,
+        "date_features": DATE_FEATURES,
+        "dedup_keys": DEDUP_KEYS,
+        "dedup_new_rows": DEDUP_NEW_ROWS,
+        "dedup_report": DEDUP_REPORT,
+        "append_history": APPEND_HISTORY,
+        "user_upsert": USER_UPSERT,
+        "constraint_violations": CONSTRAINTS,
+    }
+)

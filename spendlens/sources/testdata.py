@@ -90,3 +90,115 @@ tx AS (
   JOIN part p ON p.p_partkey = o.o_orderkey % (SELECT count(*) FROM part)
 )
 """
+
+
+# ---------------------------------------------------------------------------
+# Ingest scenarios over the same tables (whole tables, split by date)
+# ---------------------------------------------------------------------------
+
+# Stored history ends before HISTORY_END; the new upload starts at UPLOAD_START, so the
+# statements of the year in between are uploaded a second time.
+HISTORY_END = "1998-01-01"
+UPLOAD_START = "1997-01-01"
+
+
+def raw_upload(tx: DataFrame) -> DataFrame:
+    """Rows of ``tx`` as an extraction delivers them: all text, dates ``MM-dd-yyyy``,
+    descriptions lower-cased and padded (as a re-upload may spell them), plus the uploader id."""
+    def txt(c):
+        return F.col(c).cast("string")
+
+    return tx.select(
+        F.col("user_id"),
+        txt("customer_id").alias("customer_id"),
+        txt("f_name").alias("f_name"),
+        txt("l_name").alias("l_name"),
+        txt("address").alias("address"),
+        F.date_format("transaction_date", "MM-dd-yyyy").alias("transaction_date"),
+        F.date_format("posting_date", "MM-dd-yyyy").alias("posting_date"),
+        F.concat(F.lit(" "), F.lower("activity_description"), F.lit("\t")).alias("activity_description"),
+        txt("category").alias("category"),
+        txt("sub_category").alias("sub_category"),
+        txt("amount_spent").alias("amount_spent"),
+        txt("credit_limit").alias("credit_limit"),
+        txt("available_credit").alias("available_credit"),
+        txt("is_subscription").alias("is_subscription"),
+    )
+
+
+def history_part(tx: DataFrame) -> DataFrame:
+    return tx.filter(F.col("transaction_date") < F.lit(HISTORY_END).cast("timestamp_ntz"))
+
+
+def upload_part(tx: DataFrame) -> DataFrame:
+    return tx.filter(F.col("transaction_date") >= F.lit(UPLOAD_START).cast("timestamp_ntz"))
+
+
+def _email(name_col):
+    return F.concat(F.lower(F.regexp_replace(name_col, "#", ".")), F.lit("@example.com"))
+
+
+def users_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users known before HISTORY_END: every customer with an earlier order."""
+    orders = read_table(spark, sf_dir, "orders")
+    customer = read_table(spark, sf_dir, "customer")
+    early = orders.filter(F.col("o_orderdate") < F.lit(HISTORY_END).cast("timestamp_ntz")).select(
+        F.col("o_custkey").alias("c_custkey")
+    )
+    return customer.join(early, "c_custkey", "left_semi").select(
+        F.col("c_custkey").alias("user_id"),
+        _email(F.col("c_name")).alias("email"),
+        F.col("c_name").alias("display_name"),
+        F.concat(F.lit("https://img.example.com/"), F.col("c_custkey").cast("string"), F.lit(".png")).alias("picture_url"),
+    )
+
+
+def user_updates_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins from HISTORY_END on: one profile update per order (seq = order key); the
+    picture is missing on orders with status P."""
+    orders = read_table(spark, sf_dir, "orders")
+    customer = read_table(spark, sf_dir, "customer")
+    late = orders.filter(F.col("o_orderdate") >= F.lit(HISTORY_END).cast("timestamp_ntz"))
+    return late.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        _email(F.col("c_name")).alias("email"),
+        F.concat(F.col("c_name"), F.lit(" ("), F.col("o_orderpriority"), F.lit(")")).alias("display_name"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("https://img.example.com/"), F.col("c_custkey").cast("string"), F.lit("/"),
+                            F.col("o_orderkey").cast("string"), F.lit(".png")))
+        .alias("picture_url"),
+        F.col("o_orderkey").alias("seq"),
+    )
+
+
+def raw_orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders rendered as messy extraction text: several date layouts, signs, thousands
+    separators, currency marks, flag spellings and padded text."""
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    d = F.to_date("o_orderdate")
+    price = F.col("o_totalprice").cast(MONEY).cast("string")
+    date_txt = (
+        F.when(F.pmod(k, 5) == 0, F.date_format(d, "MM-dd-yyyy"))
+        .when(F.pmod(k, 5) == 1, F.concat(F.lit(" "), F.date_format(d, "M-d-yyyy")))
+        .when(F.pmod(k, 5) == 2, F.date_format(d, "yyyy-MM-dd"))
+        .when(F.pmod(k, 5) == 3, F.date_format(d, "dd-MM-yyyy"))
+        .otherwise(F.lit(""))
+    )
+    amount_txt = (
+        F.when(F.pmod(k, 6) == 0, price)
+        .when(F.pmod(k, 6) == 1, F.format_number(F.col("o_totalprice"), 2))
+        .when(F.pmod(k, 6) == 2, F.concat(F.lit("+"), price))
+        .when(F.pmod(k, 6) == 3, F.concat(F.lit("$"), price))
+        .when(F.pmod(k, 6) == 4, F.concat(price, F.lit("e0")))
+        .otherwise(F.concat(F.lit(" -"), price, F.lit(" ")))
+    )
+    flag_txt = F.element_at(
+        F.array(*[F.lit(x) for x in ["true", "TRUE", " true", "1", "yes", "no", "0"]]), (F.pmod(k, 7) + 1).cast("int")
+    )
+    return o.select(
+        k.alias("transaction_id"),
+        date_txt.alias("transaction_date"),
+        amount_txt.alias("amount_spent"),
+        flag_txt.alias("is_subscription"),
+        F.concat(F.lit(" \t"), F.col("o_orderpriority"), F.lit(" \n")).alias("activity_description"),
+    )
