@@ -190,3 +190,47 @@ QUERIES.update(
         "constraint_violations": q_constraint_violations,
     }
 )
+
+
+# --------------------------------------------------------------------------- JSON and statement text
+
+def q_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tx -> fenced JSON response documents -> parse -> clean: the round trip equals tx."""
+    from spendlens.functions.clean import clean_transactions
+    from spendlens.schema import INSERT_COLUMNS
+    from spendlens.sources.extraction import extraction_rows, json_documents
+
+    docs = json_documents(tx_table(spark, sf_dir))
+    rows = clean_transactions(extraction_rows(docs))
+    return present(rows.select("user_id", *INSERT_COLUMNS))
+
+
+def q_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.sources.extraction import json_records
+
+    return json_records(tx_table(spark, sf_dir), keep=["transaction_id", "user_id"])
+
+
+def q_statement_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tx -> statement pages -> documents -> line extraction: the round trip equals tx."""
+    from spendlens.operators.statement_lines import render_statements, statement_rows
+    from spendlens.sources.statements import assemble_documents
+
+    pages = render_statements(tx_table(spark, sf_dir))
+    docs = assemble_documents(pages, ["user_id", "statement_year", "statement_month"])
+    rows = statement_rows(docs)
+    return present(
+        rows.select(
+            "user_id", "transaction_date", "posting_date", F.col("raw_description").alias("activity_description"),
+            "amount_spent", "credit_limit", F.col("statement_available_credit").alias("available_credit"),
+        )
+    )
+
+
+QUERIES.update(
+    {
+        "json_extract": q_json_extract,
+        "json_export": q_json_export,
+        "statement_extract": q_statement_extract,
+    }
+)

@@ -319,3 +319,58 @@ ORACLE.update(
         "constraint_violations": CONSTRAINTS,
     }
 )
+
+
+# --------------------------------------------------------------------------- JSON and statement text
+
+TX_INSERT_PRESENTED = _with() + f"SELECT {INSERT_PRESENTED.format(desc='activity_description')} FROM tx"
+
+
+def _js(name: str, expr: str, quoted: bool) -> str:
+    q = "'\"'" if quoted else "''"
+    return f"'\"{name}\":' || {q} || {expr} || {q}"
+
+
+_TS = "strftime({c}, '%Y-%m-%dT%H:%M:%S.000')"
+_JSON_FIELDS = [
+    ("transaction_id", "CAST(transaction_id AS VARCHAR)", False),
+    ("user_id", "CAST(user_id AS VARCHAR)", False),
+    ("customer_id", "customer_id", True),
+    ("f_name", "f_name", True),
+    ("l_name", "l_name", True),
+    ("address", "address", True),
+    ("transaction_date", _TS.format(c="transaction_date"), True),
+    ("posting_date", _TS.format(c="posting_date"), True),
+    ("activity_description", "activity_description", True),
+    ("category", "category", True),
+    ("sub_category", "sub_category", True),
+    ("amount_spent", "CAST(amount_spent AS VARCHAR)", False),
+    ("credit_limit", "CAST(credit_limit AS VARCHAR)", False),
+    ("available_credit", "CAST(available_credit AS VARCHAR)", False),
+    ("is_subscription", "CASE WHEN is_subscription THEN 'true' ELSE 'false' END", False),
+    ("month", "CAST(month AS VARCHAR)", False),
+    ("day", "CAST(day AS VARCHAR)", False),
+    ("month_name", "month_name", True),
+    ("day_of_week", "day_of_week", True),
+    ("year", "CAST(year AS VARCHAR)", False),
+]
+JSON_EXPORT = _with() + (
+    "SELECT transaction_id, user_id, '{' || "
+    + " || ',' || ".join(_js(n, e, q) for n, e, q in _JSON_FIELDS)
+    + " || '}' AS record FROM tx"
+)
+
+STATEMENT_EXTRACT = _with() + """
+SELECT user_id, CAST(transaction_date AS DATE) AS transaction_date, CAST(posting_date AS DATE) AS posting_date,
+       activity_description, CAST(amount_spent AS DOUBLE) AS amount_spent,
+       CAST(credit_limit AS DOUBLE) AS credit_limit, CAST(available_credit AS DOUBLE) AS available_credit
+FROM tx
+"""
+
+ORACLE.update(
+    {
+        "json_extract": TX_INSERT_PRESENTED,
+        "json_export": JSON_EXPORT,
+        "statement_extract": STATEMENT_EXTRACT,
+    }
+)
