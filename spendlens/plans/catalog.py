@@ -234,3 +234,80 @@ QUERIES.update(
         "statement_extract": q_statement_extract,
     }
 )
+
+
+# --------------------------------------------------------------------------- enrichment rules
+
+def q_customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.enrich import customer_id
+    from spendlens.sources.testdata import read_table
+
+    prepare(spark)
+    c = read_table(spark, sf_dir, "customer").select(
+        "c_custkey", F.substring_index("c_name", "#", 1).alias("f_name"), F.substring_index("c_name", "#", -1).alias("l_name")
+    )
+    return c.withColumn("customer_id", customer_id(F.col("f_name"), F.col("l_name")))
+
+
+def merchant_descriptors(tx: DataFrame) -> DataFrame:
+    """Card descriptors as printed on statements: merchant name followed by '*', '#' or a
+    wide gap and location/reference text."""
+    k = F.pmod(F.col("transaction_id"), 3)
+    raw = (
+        F.when(k == 0, F.concat(F.col("activity_description"), F.lit("* "), F.col("address")))
+        .when(k == 1, F.concat(F.col("activity_description"), F.lit(" #"), F.col("transaction_id").cast("string")))
+        .otherwise(F.concat(F.col("activity_description"), F.lit("  "), F.col("sub_category")))
+    )
+    return tx.select("transaction_id", raw.alias("raw_description"))
+
+
+def q_merchant_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.enrich import normalise_merchant
+
+    d = merchant_descriptors(tx_table(spark, sf_dir))
+    return d.withColumn("merchant", normalise_merchant(F.col("raw_description")))
+
+
+def q_categorise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.enrich import categorise
+
+    tx = tx_table(spark, sf_dir).select("transaction_id", "activity_description")
+    return categorise(tx)
+
+
+def q_taxonomy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.enrich import taxonomy_violations
+
+    return taxonomy_violations(tx_table(spark, sf_dir))
+
+
+def q_running_available_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.running import running_available_credit
+
+    r = running_available_credit(tx_table(spark, sf_dir))
+    return r.select("transaction_id", "user_id", F.col("running_available_credit").cast("double"))
+
+
+def q_recurring_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.enrich import recurring_merchants
+
+    return recurring_merchants(tx_table(spark, sf_dir))
+
+
+def q_spending_habits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.enrich import spending_habits
+
+    return spending_habits(_tx(spark, sf_dir))
+
+
+QUERIES.update(
+    {
+        "customer_ids": q_customer_ids,
+        "merchant_normalise": q_merchant_normalise,
+        "categorise": q_categorise,
+        "taxonomy_violations": q_taxonomy_violations,
+        "running_available_credit": q_running_available_credit,
+        "recurring_merchants": q_recurring_merchants,
+        "spending_habits": q_spending_habits,
+    }
+)

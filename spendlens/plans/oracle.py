@@ -374,3 +374,96 @@ ORACLE.update(
         "statement_extract": STATEMENT_EXTRACT,
     }
 )
+
+
+# --------------------------------------------------------------------------- enrichment rules
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _categorise_sql() -> str:
+    from spendlens.operators.enrich import CATEGORY_RULES
+
+    whens_c = " ".join(
+        f"WHEN contains(upper(activity_description), {_sql_str(k)}) THEN {_sql_str(c)}" for k, c, _ in CATEGORY_RULES
+    )
+    whens_s = " ".join(
+        f"WHEN contains(upper(activity_description), {_sql_str(k)}) THEN {_sql_str(s)}" for k, _, s in CATEGORY_RULES
+    )
+    return _with() + f"""
+SELECT transaction_id, activity_description,
+       CASE {whens_c} ELSE 'Other' END AS category,
+       CASE {whens_s} ELSE 'Other' END AS sub_category
+FROM tx
+"""
+
+
+def _taxonomy_values() -> str:
+    from spendlens.schema import TAXONOMY
+
+    return ", ".join(f"({_sql_str(c)}, {_sql_str(s)})" for c, subs in TAXONOMY for s in subs)
+
+
+CUSTOMER_IDS = """
+SELECT c_custkey, split_part(c_name, '#', 1) AS f_name, split_part(c_name, '#', 2) AS l_name,
+       lower(split_part(c_name, '#', 1) || '_' || split_part(c_name, '#', 2)) AS customer_id
+FROM customer
+"""
+
+MERCHANT_NORMALISE = _with() + """
+SELECT transaction_id,
+  CASE transaction_id % 3
+    WHEN 0 THEN activity_description || '* ' || address
+    WHEN 1 THEN activity_description || ' #' || CAST(transaction_id AS VARCHAR)
+    ELSE activity_description || '  ' || sub_category
+  END AS raw_description,
+  activity_description AS merchant
+FROM tx
+"""
+
+RUNNING_CREDIT = _with() + """
+SELECT transaction_id, user_id,
+  CAST(first_value(available_credit) OVER w + sum(amount_spent) OVER w - first_value(amount_spent) OVER w AS DOUBLE)
+    AS running_available_credit
+FROM tx
+WINDOW w AS (PARTITION BY user_id ORDER BY transaction_date, transaction_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+
+RECURRING = _with() + """
+SELECT user_id, activity_description AS merchant,
+  count(DISTINCT date_trunc('month', transaction_date)) AS n_months, count(*) AS n_transactions,
+  CAST(min(amount_spent) AS DOUBLE) AS min_amount, CAST(max(amount_spent) AS DOUBLE) AS max_amount,
+  CAST(sum(amount_spent) AS DOUBLE) / count(*) AS avg_amount,
+  count(DISTINCT date_trunc('month', transaction_date)) >= 3
+    AND (max(amount_spent) - min(amount_spent)) * count(*) * 100 <= 5 * sum(amount_spent) AS is_recurring
+FROM tx WHERE amount_spent > 0 AND activity_description IS NOT NULL
+GROUP BY user_id, activity_description
+"""
+
+SPENDING_HABITS = _with(SEL, EXP) + """
+SELECT user_id, category, sub_category, n_transactions, CAST(s AS DOUBLE) AS total_spent,
+       CAST(s AS DOUBLE) / n_transactions AS avg_spent,
+       CAST(s AS DOUBLE) / CAST(sum(s) OVER (PARTITION BY user_id) AS DOUBLE) AS share
+FROM (SELECT user_id, category, sub_category, count(*) AS n_transactions, sum(amount_spent) AS s
+      FROM exp WHERE category IS NOT NULL AND sub_category IS NOT NULL
+      GROUP BY user_id, category, sub_category) g
+"""
+
+ORACLE.update(
+    {
+        "customer_ids": CUSTOMER_IDS,
+        "merchant_normalise": MERCHANT_NORMALISE,
+        "categorise": _categorise_sql(),
+        "taxonomy_violations": _with() + f"""
+SELECT category, sub_category, count(*) AS n_rows FROM tx
+WHERE (category, sub_category) NOT IN (SELECT * FROM (VALUES {_taxonomy_values()}) t(c, s))
+   OR category IS NULL OR sub_category IS NULL
+GROUP BY category, sub_category
+""",
+        "running_available_credit": RUNNING_CREDIT,
+        "recurring_merchants": RECURRING,
+        "spending_habits": SPENDING_HABITS,
+    }
+)
