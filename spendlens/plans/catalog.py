@@ -311,3 +311,26 @@ QUERIES.update(
         "spending_habits": q_spending_habits,
     }
 )
+
+
+# --------------------------------------------------------------------------- streaming ingest
+
+def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two uploads land one after the other; an availableNow stream ingests each arrival.
+    The overlapping days are skipped the second time; the table holds every event once."""
+    from spendlens.schema import INSERT_COLUMNS
+    from spendlens.session import scratch_path
+    from spendlens.sources.tables import read_transactions
+    from spendlens.sources.testdata import event_uploads
+    from spendlens.streaming.ingest import run_ingest_stream
+
+    prepare(spark)
+    root = scratch_path(spark, "ingest")
+    landing, tx_path, log_path, ckpt = f"{root}/landing", f"{root}/transactions", f"{root}/ingest_log", f"{root}/_ckpt"
+    for upload in event_uploads(spark, sf_dir):
+        upload.write.mode("append").json(landing)
+        run_ingest_stream(spark, landing, tx_path, log_path, ckpt)
+    return present(read_transactions(spark, tx_path).select("user_id", *INSERT_COLUMNS))
+
+
+QUERIES["incremental_ingest"] = q_incremental_ingest

@@ -467,3 +467,17 @@ GROUP BY category, sub_category
         "spending_habits": SPENDING_HABITS,
     }
 )
+
+INCREMENTAL_INGEST = """
+SELECT user_id, 'user_' || CAST(user_id AS VARCHAR) AS customer_id, 'user' AS f_name,
+  CAST(user_id AS VARCHAR) AS l_name, '' AS address,
+  CAST(ts AS DATE) AS transaction_date, CAST(ts AS DATE) AS posting_date,
+  upper(event_type) AS activity_description, 'Other' AS category, 'Other' AS sub_category,
+  CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS amount_spent,
+  CAST(NULL AS DOUBLE) AS credit_limit, CAST(NULL AS DOUBLE) AS available_credit,
+  event_type = 'purchase' AS is_subscription,
+  CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day,
+  monthname(ts) AS month_name, dayname(ts) AS day_of_week, CAST(year(ts) AS INTEGER) AS year
+FROM events
+"""
+ORACLE["incremental_ingest"] = INCREMENTAL_INGEST

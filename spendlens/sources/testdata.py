@@ -202,3 +202,59 @@ def raw_orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         flag_txt.alias("is_subscription"),
         F.concat(F.lit(" \t"), F.col("o_orderpriority"), F.lit(" \n")).alias("activity_description"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Event uploads for the incremental-ingest job
+# ---------------------------------------------------------------------------
+
+# The first upload covers events before FIRST_UPLOAD_END (one document per user and day);
+# the second covers events from SECOND_UPLOAD_START on (one document per user and week),
+# so the days in between arrive twice in differently cut documents.
+FIRST_UPLOAD_END = "2024-01-21"
+SECOND_UPLOAD_START = "2024-01-15"
+
+
+def event_records(events: DataFrame) -> DataFrame:
+    """Events as extraction records of the event's user (purchases are subscriptions)."""
+    return events.select(
+        "user_id",
+        "ts",
+        "event_id",
+        F.struct(
+            F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("customer_id"),
+            F.lit("user").alias("f_name"),
+            F.col("user_id").cast("string").alias("l_name"),
+            F.lit("").alias("address"),
+            F.date_format("ts", "MM-dd-yyyy").alias("transaction_date"),
+            F.date_format("ts", "MM-dd-yyyy").alias("posting_date"),
+            F.upper("event_type").alias("activity_description"),
+            F.lit("Other").alias("category"),
+            F.lit("Other").alias("sub_category"),
+            F.col("value").cast(MONEY).cast("string").alias("amount_spent"),
+            F.lit("").alias("credit_limit"),
+            F.lit("").alias("available_credit"),
+            (F.col("event_type") == "purchase").cast("string").alias("is_subscription"),
+        ).alias("_r"),
+    )
+
+
+def event_documents(events: DataFrame, period: str) -> DataFrame:
+    """Fenced JSON documents of events per (user, ``period``) with records in time order:
+    (doc_id, user_id, text). A user-period document is a statement: bounded by its period."""
+    recs = event_records(events).withColumn("_p", F.date_trunc(period, "ts"))
+    grouped = recs.groupBy("user_id", "_p").agg(
+        F.array_sort(F.collect_list(F.struct("ts", "event_id", "_r"))).alias("_items")
+    )
+    return grouped.select(
+        F.concat_ws("-", F.lit(period), F.col("user_id").cast("string"), F.date_format("_p", "yyyyMMdd")).alias("doc_id"),
+        "user_id",
+        F.concat(F.lit("```json\n"), F.to_json(F.transform("_items", lambda x: x["_r"])), F.lit("\n```")).alias("text"),
+    )
+
+
+def event_uploads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ev = read_table(spark, sf_dir, "events")
+    first = ev.filter(F.col("ts") < F.lit(FIRST_UPLOAD_END).cast("timestamp_ntz"))
+    second = ev.filter(F.col("ts") >= F.lit(SECOND_UPLOAD_START).cast("timestamp_ntz"))
+    return event_documents(first, "day"), event_documents(second, "week")
