@@ -54,26 +54,33 @@ def _key_cond(left: DataFrame, right: DataFrame) -> Column:
     return cond
 
 
-def _is_small(df: DataFrame, limit: int) -> bool:
-    """True if ``df`` has at most ``limit`` rows; reads at most limit + 1 rows' worth."""
-    return df.limit(limit + 1).count() <= limit
+def _profile(keys: DataFrame) -> tuple[int, list[int], bool]:
+    """One pass over the incoming keys: row count, distinct years (a handful) and whether
+    undated rows exist. Cache the incoming batch when it is costly to recompute."""
+    r = keys.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.collect_set(F.year("_k_date")).alias("years"),
+        F.max(F.col("_k_date").isNull().cast("int")).alias("undated"),
+    ).first()
+    return r["n"], sorted(r["years"]), bool(r["undated"])
 
 
 def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Distinct keys of ``history`` (prefixed ``_k_``) that may match ``incoming``."""
-    inc = with_keys(incoming).select(*KEY_COLUMNS).distinct()
+    """Keys of ``history`` (prefixed ``_k_``) that may match ``incoming``; not distinct."""
+    inc_rows = with_keys(incoming).select(*KEY_COLUMNS)
+    n, years, undated = _profile(inc_rows)
     hist = history
     if "year" in history.columns:
         # A row can only match rows of the same calendar year (or both undated): prune the
-        # year directories of a partitioned store. The year list is tiny (distinct years).
-        years = [r[0] for r in inc.select(F.year("_k_date").alias("y")).distinct().collect()]
-        known = [y for y in years if y is not None]
-        cond = F.col("year").isin(known) if known else F.lit(False)
-        if any(y is None for y in years):
+        # year directories of a partitioned store.
+        cond = F.col("year").isin(years) if years else F.lit(False)
+        if undated:
             cond = cond | F.col("year").isNull()
         hist = hist.filter(cond)
     hk = with_keys(hist).select(*KEY_COLUMNS)
-    if broadcast_limit and _is_small(inc, broadcast_limit):
+    if broadcast_limit and n <= broadcast_limit:
+        # n rows bound the distinct keys: the broadcast side is proven small.
+        inc = inc_rows.distinct()
         hk = hk.join(F.broadcast(inc), _key_cond(hk, inc), "left_semi")
     return hk
 

@@ -34,8 +34,12 @@ def extraction_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     document (the statement order) and the 13 raw text fields."""
     keep = [c for c in docs.columns if c != text_col]
     p = _parsed(docs, text_col)
-    return p.select(*keep, F.posexplode("_records").alias("position", "_r")).select(
-        *keep, "position", *[F.col(f"_r.{f}").alias(f) for f in RAW_FIELDS]
+    # posexplode_outer + null filter: a plain posexplode makes Catalyst add an inferred
+    # ``size(records) > 0`` filter below it, which would parse every document twice.
+    return (
+        p.select(*keep, F.posexplode_outer("_records").alias("position", "_r"))
+        .filter(F.col("position").isNotNull())
+        .select(*keep, "position", *[F.col(f"_r.{f}").alias(f) for f in RAW_FIELDS])
     )
 
 

@@ -1,8 +1,8 @@
 """Parquet-backed transactions and users tables.
 
 Layout of ``transactions``: directories by ``year`` (period filters prune them), rows
-range-partitioned and sorted by (user_id, transaction_id) inside each year, so a per-user
-scan skips row groups by their min/max statistics. Not partitioned by ``user_id``: one
+clustered by (year, user_id) and sorted by (user_id, transaction_id) inside each file, so a
+per-user scan skips row groups by their min/max statistics. Not partitioned by ``user_id``: one
 directory per user does not scale. Rows without a date live in the default partition and
 read back with a null year.
 
@@ -42,20 +42,18 @@ def drop_tables(spark: SparkSession, tx_name: str = "transactions", users_name:
 
 # --------------------------------------------------------------------------- transactions
 
-def write_transactions(df: DataFrame, path: str, mode: str = "append", layout: bool = True,
-                       num_partitions: int | None = None) -> None:
+def write_transactions(df: DataFrame, path: str, mode: str = "append", layout: bool = True) -> None:
     """Write rows in table column order.
 
-    ``layout=True`` range-partitions by (year, user_id, transaction_id) first: the third key
-    splits a hot user across tasks, and each output file covers a narrow user range. Small
-    incremental appends pass ``layout=False`` (no shuffle; the writer still sorts by year).
+    ``layout=True`` clusters rows by (year, user_id) with a REBALANCE shuffle: AQE sizes the
+    output partitions and splits a skewed one (a user holding a large share of a year) into
+    several tasks, with no sampling pass over the input as range partitioning would need.
+    Rows are then sorted by (user_id, transaction_id) within each file. Small incremental
+    appends pass ``layout=False`` (no shuffle; the writer still groups rows by year).
     """
     out = df.select(*TX_COLUMNS)
     if layout:
-        n = num_partitions or int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = out.repartitionByRange(n, "year", "user_id", "transaction_id").sortWithinPartitions(
-            "year", "user_id", "transaction_id"
-        )
+        out = out.hint("rebalance", "year", "user_id").sortWithinPartitions("year", "user_id", "transaction_id")
     out.write.mode(mode).partitionBy("year").parquet(path)
 
 

@@ -54,9 +54,11 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     # Documents whose exact bytes were ingested before are skipped (their rows are
     # stored already, so J1 would skip every one of them anyway).
     log = _read_or_empty(spark, log_path, LOG_SCHEMA).select("content_sha")
-    fresh = hashed.join(log, "content_sha", "left_anti").persist()
+    fresh = hashed.join(log, "content_sha", "left_anti")
+    # Parsed once, reused by the dedup sizing pass and the write (bounded by the batch size:
+    # maxFilesPerTrigger).
+    rows = clean_transactions(extraction_rows(fresh.drop("content_sha"))).drop("doc_id", "position").persist()
     try:
-        rows = clean_transactions(extraction_rows(fresh.drop("content_sha"))).drop("doc_id", "position")
         history = (read_transactions(spark, tx_path) if _path_exists(spark, tx_path)
                    else spark.createDataFrame([], TRANSACTIONS))
         write_transactions(rows_to_insert(rows, history), tx_path, mode="append", layout=False)
@@ -64,7 +66,7 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
             "append"
         ).parquet(log_path)
     finally:
-        fresh.unpersist()
+        rows.unpersist()
 
 
 def run_ingest_stream(spark: SparkSession, landing: str, tx_path: str, log_path: str, checkpoint: str,
