@@ -43,27 +43,30 @@ def running_sum(
     rows = df.withColumn("_rd", day).withColumn("_rb", F.floor(F.col(id_col) / chunk_rows).cast("long"))
     keys = [*by, "_rd", "_rb"]
 
-    first_struct = F.struct(*[F.col(c).alias(c) for c in first_of]) if first_of else F.lit(None)
+    # One scalar min_by per carried column (struct buffers would force a sort-based
+    # aggregate; scalar ones keep the hash aggregate with map-side partials).
     chunks = rows.groupBy(*keys).agg(
-        F.sum(value).alias("_cs"),
-        F.min_by(first_struct, F.col(id_col)).alias("_cf"),
+        F.sum(value).alias("_cs"), *[F.min_by(c, F.col(id_col)).alias(f"_cf_{c}") for c in first_of]
+    )
+    days = chunks.groupBy(*by, "_rd").agg(
+        F.sum("_cs").alias("_ds"), *[F.min_by(f"_cf_{c}", F.col("_rb")).alias(f"_df_{c}") for c in first_of]
     )
-    days = chunks.groupBy(*by, "_rd").agg(F.sum("_cs").alias("_ds"), F.min_by("_cf", F.col("_rb")).alias("_df"))
     w_day = Window.partitionBy(*by).orderBy("_rd")
+    whole = w_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     days = days.select(
         *by, "_rd",
         F.coalesce(F.sum("_ds").over(w_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_doff"),
-        F.first("_df").over(w_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_gf"),
+        *[F.first(f"_df_{c}").over(whole).alias(f"first_{c}") for c in first_of],
     )
     w_chunk = Window.partitionBy(*by, "_rd").orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select(*keys, F.coalesce(F.sum("_cs").over(w_chunk), F.lit(0)).alias("_coff"))
-    offsets = chunks.join(days, [*by, "_rd"]).select(*keys, (F.col("_doff") + F.col("_coff")).alias("_off"), "_gf")
+    offsets = chunks.join(days, [*by, "_rd"]).select(
+        *keys, (F.col("_doff") + F.col("_coff")).alias("_off"), *[f"first_{c}" for c in first_of]
+    )
 
     w_row = Window.partitionBy(*keys).orderBy(id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     res = rows.join(offsets, keys).withColumn(out, F.col("_off") + F.sum(value).over(w_row))
-    for c in first_of:
-        res = res.withColumn(f"first_{c}", F.col(f"_gf.{c}"))
-    return res.drop("_rd", "_rb", "_off", "_gf")
+    return res.drop("_rd", "_rb", "_off")
 
 
 def running_available_credit(tx: DataFrame, by: list[str] | None = None, chunk_rows: int = 4096) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.sources.tables import assign_ids
 
 
 def latest_updates(updates: DataFrame, seq: str = "seq") -> DataFrame:
@@ -26,20 +25,22 @@ def latest_updates(updates: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def upsert_users(users: DataFrame, updates: DataFrame, seq: str = "seq") -> DataFrame:
-    """The next users snapshot, with ``is_new`` marking the inserted emails."""
+    """The next users snapshot, with ``is_new`` marking the inserted emails.
+
+    One full outer join on email; new users get ``max(id) + 1 + monotonically_increasing_id()``
+    in the same pass (ids stay unique and above the old ones; gaps are allowed).
+    """
     upd = latest_updates(updates, seq).withColumn("_present", F.lit(True))
+    base = F.coalesce(users.select(F.max("user_id")).scalar(), F.lit(0).cast("long"))
     u, n = users.alias("u"), upd.alias("n")
-    merged = u.join(n, F.col("u.email") == F.col("n.email"), "full_outer").select(
-        F.col("u.user_id").alias("user_id"),
+    return u.join(n, F.col("u.email") == F.col("n.email"), "full_outer").select(
+        F.coalesce(F.col("u.user_id"), base + F.lit(1) + F.monotonically_increasing_id()).alias("user_id"),
         F.coalesce(F.col("u.email"), F.col("n.email")).alias("email"),
         # when/otherwise, not coalesce: a present update overwrites with its nulls too.
         F.when(F.col("n._present"), F.col("n.display_name")).otherwise(F.col("u.display_name")).alias("display_name"),
         F.when(F.col("n._present"), F.col("n.picture_url")).otherwise(F.col("u.picture_url")).alias("picture_url"),
         F.col("u.user_id").isNull().alias("is_new"),
     )
-    old = merged.filter(~F.col("is_new"))
-    new = assign_ids(merged.filter(F.col("is_new")).drop("user_id"), users, "user_id")
-    return old.unionByName(new)
 
 
 def user_ids(users: DataFrame, emails: DataFrame) -> DataFrame:
