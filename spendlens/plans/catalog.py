@@ -334,3 +334,32 @@ def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["incremental_ingest"] = q_incremental_ingest
+
+
+# --------------------------------------------------------------------------- more outputs
+
+def q_adviser_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-user JSON arrays for an external adviser, cut into documents of at most 1024 rows."""
+    from spendlens.sources.extraction import json_payloads
+
+    return json_payloads(_tx(spark, sf_dir), ["user_id"], max_rows=1024)
+
+
+def q_extraction_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's prose documents read as model responses: none is a JSON array, so every
+    one is quarantined with its reason instead of silently dropped."""
+    from spendlens.sources.extraction import extraction_quarantine
+    from spendlens.sources.testdata import read_table
+
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return extraction_quarantine(docs).select("doc_id", "reason")
+
+
+QUERIES.update(
+    {
+        "daily_spend_vs_payments_per_user": _on_tx(lambda d: A.daily_series(d, PER_USER)),
+        "adviser_payloads": q_adviser_payloads,
+        "extraction_quarantine": q_extraction_quarantine,
+    }
+)

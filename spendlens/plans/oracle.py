@@ -481,3 +481,32 @@ SELECT user_id, 'user_' || CAST(user_id AS VARCHAR) AS customer_id, 'user' AS f_
 FROM events
 """
 ORACLE["incremental_ingest"] = INCREMENTAL_INGEST
+
+_RECORD = "'{' || " + " || ',' || ".join(_js(n, e, q) for n, e, q in _JSON_FIELDS) + " || '}'"
+
+ORACLE.update(
+    {
+        "daily_spend_vs_payments_per_user": _with(SEL) + """
+SELECT user_id, CAST(transaction_date AS DATE) AS transaction_date,
+       CAST(sum(CASE WHEN amount_spent > 0 THEN amount_spent END) AS DOUBLE) AS daily_spending,
+       CAST(sum(CASE WHEN amount_spent < 0 THEN -amount_spent END) AS DOUBLE) AS daily_payments
+FROM sel WHERE transaction_date IS NOT NULL
+GROUP BY 1, 2
+HAVING daily_spending IS NOT NULL OR daily_payments IS NOT NULL
+""",
+        "adviser_payloads": _with(SEL) + f"""
+SELECT user_id, transaction_id // 1024 AS bucket,
+       '[' || string_agg({_RECORD}, ',' ORDER BY transaction_id) || ']' AS payload,
+       count(*) AS n_records
+FROM sel GROUP BY user_id, transaction_id // 1024
+""",
+        "extraction_quarantine": r"""
+SELECT doc_id,
+  CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty'
+       WHEN NOT regexp_matches(text, '^\s*[`json]*\s*\[') THEN 'not_an_array'
+       ELSE 'malformed' END AS reason
+FROM documents
+WHERE text IS NULL OR NOT regexp_matches(text, '^\s*[`json]*\s*\[') OR NOT json_valid(text)
+""",
+    }
+)
