@@ -7,10 +7,11 @@ both new, and both skipped when uploaded again.
 
 Plan at scale. The stored history is the large side and an upload is small. A left-anti
 join can only build its hash table on the right (history) side, so a plain anti-join would
-shuffle all of history for every upload. When the upload's distinct keys are proven small
-(counted up to ``broadcast_limit``) the history is first reduced with a broadcast
-left-semi join against those keys - a map-side scan of four columns with year-partition
-pruning, no history shuffle - and the anti-join then runs on two small inputs. Beyond the
+shuffle all of history for every upload. When the upload is proven small (its rows counted
+against ``broadcast_limit``) the history is first reduced with a broadcast left-semi join
+against the upload's keys - a map-side scan of four columns with year-partition pruning,
+no history shuffle - and the distinct matched keys, a subset of the upload's keys, are
+broadcast into the anti-join, so the upload is not shuffled either. Beyond the
 limit both sides are shuffled on the key (a sort-merge or shuffled-hash anti-join, which
 AQE may still demote to a broadcast).
 """
@@ -65,8 +66,10 @@ def _profile(keys: DataFrame) -> tuple[int, list[int], bool]:
     return r["n"], sorted(r["years"]), bool(r["undated"])
 
 
-def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Keys of ``history`` (prefixed ``_k_``) that may match ``incoming``; not distinct."""
+def stored_keys(incoming: DataFrame, history: DataFrame,
+                broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> tuple[DataFrame, bool]:
+    """Keys of ``history`` (prefixed ``_k_``) that may match ``incoming`` (not distinct),
+    and whether the upload was proven small (at most ``broadcast_limit`` rows)."""
     inc_rows = with_keys(incoming).select(*KEY_COLUMNS)
     n, years, undated = _profile(inc_rows)
     hist = history
@@ -78,24 +81,32 @@ def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int =
             cond = cond | F.col("year").isNull()
         hist = hist.filter(cond)
     hk = with_keys(hist).select(*KEY_COLUMNS)
-    if broadcast_limit and n <= broadcast_limit:
-        # n rows bound the distinct keys: the broadcast side is proven small.
-        inc = inc_rows.distinct()
-        hk = hk.join(F.broadcast(inc), _key_cond(hk, inc), "left_semi")
-    return hk
+    small = bool(broadcast_limit) and n <= broadcast_limit
+    if small:
+        # n rows bound the broadcast side (duplicates are harmless in a semi-join build).
+        hk = hk.join(F.broadcast(inc_rows), _key_cond(hk, inc_rows), "left_semi")
+    return hk, small
+
+
+def _matched(incoming: DataFrame, history: DataFrame, broadcast_limit: int) -> DataFrame:
+    """Distinct stored keys, broadcast when proven small: after the semi-join they are a
+    subset of the upload's keys, so the upload's row count bounds them too."""
+    hk, small = stored_keys(incoming, history, broadcast_limit)
+    hk = hk.distinct()
+    return F.broadcast(hk) if small else hk
 
 
 def new_rows(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """Incoming rows whose key is not stored for the same user."""
-    hk = stored_keys(incoming, history, broadcast_limit)
+    hk = _matched(incoming, history, broadcast_limit)
     inc = with_keys(incoming)
     return inc.join(hk, _key_cond(inc, hk), "left_anti").drop(*KEY_COLUMNS)
 
 
 def flag_duplicates(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Every incoming row with ``is_duplicate``; one left join on distinct stored keys."""
-    # Distinct, so the left join cannot multiply an incoming row.
-    hk = stored_keys(incoming, history, broadcast_limit).distinct().withColumn("_hit", F.lit(True))
+    """Every incoming row with ``is_duplicate``; one left join on distinct stored keys (so
+    the join cannot multiply an incoming row)."""
+    hk = _matched(incoming, history, broadcast_limit).withColumn("_hit", F.lit(True))
     inc = with_keys(incoming)
     joined = inc.join(hk, _key_cond(inc, hk), "left")
     return joined.select(*[inc[c] for c in incoming.columns], F.coalesce(F.col("_hit"), F.lit(False)).alias("is_duplicate"))
