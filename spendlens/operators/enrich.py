@@ -196,3 +196,15 @@ def spending_habits(tx: DataFrame, by: list[str] | None = None) -> DataFrame:
         (F.col("_s").cast("double") / F.col("n_transactions")).alias("avg_spent"),
         (F.col("_s").cast("double") / total.cast("double")).alias("share"),
     )
+
+
+def flag_recurring(tx: DataFrame, min_months: int = 3, tolerance_pct: int = 5) -> DataFrame:
+    """Rows of ``tx`` with ``is_recurring`` from ``recurring_merchants`` joined back on
+    (user, merchant); rows that are not expenses get false. A hot (user, merchant) pair is a
+    skewed join key that AQE's skew-join handling splits."""
+    rec = recurring_merchants(tx, min_months, tolerance_pct).select(
+        "user_id", F.col("merchant").alias("activity_description"), F.col("is_recurring").alias("_rec")
+    )
+    out = tx.join(rec, ["user_id", "activity_description"], "left")
+    flag = F.coalesce(F.col("_rec") & (F.col("amount_spent") > 0), F.lit(False))
+    return out.withColumn("is_recurring", flag).drop("_rec")

@@ -8,7 +8,7 @@ statement's credit limit and available credit come from its header lines; the ye
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.text import utrim
@@ -75,6 +75,45 @@ def fill_unknown_text(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns})
 
 
+HOLDER_RE = r"(?im)^card holder:?[ \t]*(.*?)[ \t]*$"
+
+
+def statement_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Statement lines as typed transaction rows with every table column: the holder from
+    the header, the merchant simplified (X4), category by rule (X5, X6), unknown text ''
+    (X11), available credit running from the statement value (X8, within the statement)."""
+    from spendlens.functions.dates import add_calendar_features
+    from spendlens.operators.enrich import categorise_expr, normalise_merchant
+
+    keys = [c for c in docs.columns if c != text_col]
+    # The holder is a document column, carried through the line explode (no join back).
+    with_holder = docs.withColumn("_holder", F.regexp_extract(F.col(text_col), HOLDER_RE, 1))
+    # The merchant is a column of its own, so the category rules reference it instead of
+    # repeating its expression once per rule.
+    rows = statement_rows(with_holder, text_col).withColumn("_merchant", normalise_merchant(F.col("raw_description")))
+    rows = rows.withColumn("_cat", categorise_expr(F.col("_merchant")))
+    cat = F.col("_cat")
+    stmt = Window.partitionBy(*keys).orderBy("position")  # one statement: a bounded group
+    out = rows.select(
+        *keys, "position",
+        F.nullif(F.col("_holder"), F.lit("")).alias("customer_id"),
+        F.lit(None).cast("string").alias("f_name"),
+        F.lit(None).cast("string").alias("l_name"),
+        F.lit(None).cast("string").alias("address"),
+        "transaction_date", "posting_date",
+        F.col("_merchant").alias("activity_description"),
+        cat["category"].alias("category"),
+        cat["sub_category"].alias("sub_category"),
+        "amount_spent", "credit_limit",
+        (F.col("statement_available_credit")
+         + F.sum("amount_spent").over(stmt.rowsBetween(Window.unboundedPreceding, 0))
+         - F.first("amount_spent").over(stmt.rowsBetween(Window.unboundedPreceding, 0))).alias("available_credit"),
+        F.lit(False).alias("is_subscription"),
+    )
+    out = fill_unknown_text(out, ["customer_id", "f_name", "l_name", "address"])
+    return add_calendar_features(out)
+
+
 def render_statements(tx: DataFrame, max_rows: int = 1024, lines_per_page: int = 25) -> DataFrame:
     """Pages of statement text for rows of ``tx``: documents per (user, year, month, id
     bucket); header with card holder, credit limit and available credit on page 0.

@@ -34,6 +34,12 @@ def create_tables(spark: SparkSession, root: str, tx_name: str = "transactions",
     spark.sql(f"CREATE TABLE IF NOT EXISTS {users_name} ({u_cols}) USING parquet LOCATION '{root}/users_current'")
 
 
+def truncate_tables(spark: SparkSession, tx_name: str = "transactions", users_name: str = "users") -> None:
+    """Empty both catalog tables, transactions first."""
+    spark.sql(f"TRUNCATE TABLE {tx_name}")
+    spark.sql(f"TRUNCATE TABLE {users_name}")
+
+
 def drop_tables(spark: SparkSession, tx_name: str = "transactions", users_name: str = "users") -> None:
     """Transactions go first: they reference users."""
     spark.sql(f"DROP TABLE IF EXISTS {tx_name}")

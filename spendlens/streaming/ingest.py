@@ -59,9 +59,10 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     # maxFilesPerTrigger).
     rows = clean_transactions(extraction_rows(fresh.drop("content_sha"))).drop("doc_id", "position").persist()
     try:
-        history = (read_transactions(spark, tx_path) if _path_exists(spark, tx_path)
-                   else spark.createDataFrame([], TRANSACTIONS))
-        write_transactions(rows_to_insert(rows, history), tx_path, mode="append", layout=False)
+        if not rows.isEmpty():  # P13: nothing to dedup or write for an empty batch
+            history = (read_transactions(spark, tx_path) if _path_exists(spark, tx_path)
+                       else spark.createDataFrame([], TRANSACTIONS))
+            write_transactions(rows_to_insert(rows, history), tx_path, mode="append", layout=False)
         fresh.select("doc_id", "content_sha", F.lit(batch_id).cast("long").alias("batch_id")).write.mode(
             "append"
         ).parquet(log_path)

@@ -63,3 +63,14 @@ def test_recurring(spark):
     df = spark.createDataFrame(rows, "user_id long, transaction_date timestamp_ntz, activity_description string, amount_spent decimal(18,2)")
     got = {r.merchant: (r.n_months, r.is_recurring) for r in recurring_merchants(df).collect()}
     assert got == {"NETFLIX": (3, True), "SHOP": (3, False)}
+
+
+def test_flag_recurring_joins_back(spark):
+    from spendlens.operators.enrich import flag_recurring
+
+    rows = [(i, 1, dt.datetime(2024, m, 3), "NETFLIX", Decimal("15.99")) for i, m in enumerate((1, 2, 3))] + \
+           [(9, 1, dt.datetime(2024, 1, 9), "NETFLIX", Decimal("-15.99")), (10, 2, dt.datetime(2024, 1, 9), "NETFLIX", Decimal("15.99"))]
+    df = spark.createDataFrame(rows, "transaction_id long, user_id long, transaction_date timestamp_ntz, "
+                                     "activity_description string, amount_spent decimal(18,2)")
+    got = {r.transaction_id: r.is_recurring for r in flag_recurring(df).collect()}
+    assert got == {0: True, 1: True, 2: True, 9: False, 10: False}

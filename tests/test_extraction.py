@@ -49,3 +49,20 @@ def test_pages_and_lines(spark):
     assert rows[0].transaction_date == dt.datetime(2023, 12, 30)  # December of a January statement
     assert rows[2].transaction_date == dt.datetime(2024, 1, 3)
     assert float(rows[0].credit_limit) == 5000.0 and float(rows[0].statement_available_credit) == 4200.10
+
+
+def test_statement_records_fill_every_column(spark):
+    from spendlens.operators.statement_lines import statement_records
+
+    docs = spark.createDataFrame(
+        [("d1", 2024, 1, "Card holder: Alex Juma\\nCredit Limit: $1,000.00\\nAvailable Credit: $100.00\\n"
+                        "Jan 02 Jan 03 UBER* TRIP TORONTO ON 10.00\\nJan 04 Jan 05 NETFLIX.COM 5.00\\n"
+                        "Jan 06 Jan 07 PAYMENT THANK YOU 3.00 CR\\n")],
+        "doc_id string, statement_year int, statement_month int, text string").selectExpr(
+        "doc_id", "statement_year", "statement_month", "replace(text, '\\\\n', '\\n') AS text")
+    rows = sorted(statement_records(docs).collect(), key=lambda r: r.position)
+    assert [r.activity_description for r in rows] == ["UBER", "NETFLIX", "PAYMENT THANK YOU"]
+    assert [(r.category, r.sub_category) for r in rows] == [
+        ("Living Expenses", "Transportation"), ("Subscriptions", "Streaming"), ("Financial", "Credit Card Payments")]
+    assert [float(r.available_credit) for r in rows] == [100.0, 105.0, 102.0]
+    assert rows[0].customer_id == "Alex Juma" and rows[0].address == "" and rows[0].month_name == "January"
