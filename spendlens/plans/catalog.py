@@ -363,3 +363,12 @@ QUERIES.update(
         "extraction_quarantine": q_extraction_quarantine,
     }
 )
+
+
+def q_recurring_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.operators.enrich import flag_recurring
+
+    return flag_recurring(tx_table(spark, sf_dir)).select("transaction_id", "user_id", "activity_description", "is_recurring")
+
+
+QUERIES["recurring_flags"] = q_recurring_flags

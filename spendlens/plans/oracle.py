@@ -510,3 +510,15 @@ WHERE text IS NULL OR NOT regexp_matches(text, '^\s*[`json]*\s*\[') OR NOT json_
 """,
     }
 )
+
+ORACLE["recurring_flags"] = _with("""rec AS (
+  SELECT user_id, activity_description,
+    count(DISTINCT date_trunc('month', transaction_date)) >= 3
+      AND (max(amount_spent) - min(amount_spent)) * count(*) * 100 <= 5 * sum(amount_spent) AS is_rec
+  FROM tx WHERE amount_spent > 0 AND activity_description IS NOT NULL
+  GROUP BY user_id, activity_description
+)""") + """
+SELECT t.transaction_id, t.user_id, t.activity_description,
+       coalesce(r.is_rec AND t.amount_spent > 0, false) AS is_recurring
+FROM tx t LEFT JOIN rec r ON t.user_id = r.user_id AND t.activity_description = r.activity_description
+"""
