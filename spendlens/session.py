@@ -18,6 +18,28 @@ SESSION_CONF = {
 }
 
 
+# Starting points for a large cluster (hundreds of executors, tens of TB per job): start
+# fine-grained and let AQE coalesce to ~256 MB partitions, split skewed join partitions, and
+# keep the broadcast threshold moderate (every broadcast is also bounded by a row count or a
+# fixed-size dimension in this library).
+CLUSTER_CONF = {
+    **SESSION_CONF,
+    "spark.sql.shuffle.partitions": "8192",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
+def apply_cluster_conf(spark: SparkSession) -> None:
+    """Apply CLUSTER_CONF's runtime SQL settings to a session."""
+    for k, v in CLUSTER_CONF.items():
+        spark.conf.set(k, v)
+
+
 def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "spendlens") -> SparkSession:
     builder = (
         SparkSession.builder.master(master)
