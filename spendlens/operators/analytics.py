@@ -84,23 +84,31 @@ def _share(value: str, by: Sequence[str]) -> Column:
 
 # --------------------------------------------------------------------------- overview
 
-def overview(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def overview(df: DataFrame, by: Sequence[str] = (), approx_days: bool = False) -> DataFrame:
     """Active days, total spending/payments, balance and average daily figures.
 
     Two-level aggregation instead of ``countDistinct``: first per (by, day) - the partial
     aggregate collapses each map task's rows to one per day, so a hot user is spread over
-    its days - then per ``by`` over the day rows.
+    its days - then per ``by`` over the day rows. ``approx_days=True`` counts days with
+    ``approx_count_distinct`` (HyperLogLog++) in a single aggregation instead.
     """
     by = list(by)
-    daily = df.groupBy(*by, F.to_date("transaction_date").alias("_day")).agg(
-        F.sum(F.when(_amt() > 0, _amt())).alias("_spend"),
-        F.sum(F.when(_amt() < 0, -_amt())).alias("_pay"),
-    )
-    agg = daily.groupBy(*by).agg(
-        F.count("_day").alias("active_days"),
-        F.coalesce(F.sum("_spend"), F.lit(0)).alias("_spend"),
-        F.coalesce(F.sum("_pay"), F.lit(0)).alias("_pay"),
-    )
+    if approx_days:
+        agg = df.groupBy(*by).agg(
+            F.approx_count_distinct(F.to_date("transaction_date")).alias("active_days"),
+            F.coalesce(F.sum(F.when(_amt() > 0, _amt())), F.lit(0)).alias("_spend"),
+            F.coalesce(F.sum(F.when(_amt() < 0, -_amt())), F.lit(0)).alias("_pay"),
+        )
+    else:
+        daily = df.groupBy(*by, F.to_date("transaction_date").alias("_day")).agg(
+            F.sum(F.when(_amt() > 0, _amt())).alias("_spend"),
+            F.sum(F.when(_amt() < 0, -_amt())).alias("_pay"),
+        )
+        agg = daily.groupBy(*by).agg(
+            F.count("_day").alias("active_days"),
+            F.coalesce(F.sum("_spend"), F.lit(0)).alias("_spend"),
+            F.coalesce(F.sum("_pay"), F.lit(0)).alias("_pay"),
+        )
     days = F.col("active_days")
     return agg.select(
         *by,

@@ -55,3 +55,20 @@ def constraint_violations(tx: DataFrame, users: DataFrame) -> DataFrame:
         )
     )
     return tx_rows.unionByName(dup_ids).unionByName(orphans).unionByName(user_rows).unionByName(dup_email).unionByName(dup_uid)
+
+
+def typing_failures(raw: DataFrame) -> DataFrame:
+    """Per typed column of a raw (all-text) extraction: values that were present (non-blank)
+    but did not parse (K2's try_cast check). One scan, one row per column."""
+    from spendlens.functions.clean import DATE_COLUMNS, MONEY_COLUMNS, parse_date, parse_money
+    from spendlens.functions.text import utrim
+
+    checks = []
+    for name in [*DATE_COLUMNS, *MONEY_COLUMNS]:
+        if name in raw.columns:
+            parsed = parse_date(F.col(name)) if name in DATE_COLUMNS else parse_money(F.col(name))
+            present = F.length(utrim(F.col(name).cast("string"))) > 0
+            checks.append(F.count(F.when(present & parsed.isNull(), 1)).alias(name))
+    return _unpivot(raw.agg(*checks)).withColumnRenamed("check_name", "column_name").withColumnRenamed(
+        "violations", "failures"
+    )

@@ -372,3 +372,15 @@ def q_recurring_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["recurring_flags"] = q_recurring_flags
+
+
+def q_typing_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values present in the messy order text that did not parse, per typed column."""
+    from spendlens.operators.quality import typing_failures
+    from spendlens.sources.testdata import raw_orders_text
+
+    prepare(spark)
+    return typing_failures(raw_orders_text(spark, sf_dir))
+
+
+QUERIES["typing_failures"] = q_typing_failures

@@ -522,3 +522,11 @@ SELECT t.transaction_id, t.user_id, t.activity_description,
        coalesce(r.is_rec AND t.amount_spent > 0, false) AS is_recurring
 FROM tx t LEFT JOIN rec r ON t.user_id = r.user_id AND t.activity_description = r.activity_description
 """
+
+ORACLE["typing_failures"] = """
+SELECT 'transaction_date' AS column_name,
+       count(*) FILTER (WHERE o_orderkey % 5 = 3 AND day(o_orderdate) > 12) AS failures
+FROM orders
+UNION ALL
+SELECT 'amount_spent', count(*) FILTER (WHERE o_orderkey % 6 IN (1, 3)) FROM orders
+"""

@@ -34,8 +34,14 @@ def empty_documents(pages: DataFrame) -> DataFrame:
     )
 
 
-def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """A folder or glob of uploaded text files, one document per file."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")
-    )
+def read_text_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """A folder (or glob) of uploaded text files, one document per file.
+
+    Read with the ``binaryFile`` source (path + bytes, optional glob filter) and decoded as
+    UTF-8. Zero-length files are skipped by Spark's file splitting: an empty upload yields no
+    document, as it would yield no transactions.
+    """
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(path).select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))

@@ -81,3 +81,10 @@ def test_top_k_ties_break_by_key(spark):
 def test_subcategory_share_is_of_top_k(spark, tx):
     rows = A.subcategory_top(tx, 1).collect()
     assert len(rows) == 1 and rows[0].share == 1.0
+
+
+def test_approx_days_close_to_exact(spark, tx):
+    exact = A.overview(A.period_filter(tx), ["user_id"]).orderBy("user_id").collect()
+    approx = A.overview(A.period_filter(tx), ["user_id"], approx_days=True).orderBy("user_id").collect()
+    assert [r.active_days for r in exact] == [r.active_days for r in approx]
+    assert [r.total_spending for r in exact] == [r.total_spending for r in approx]

@@ -36,3 +36,12 @@ def test_store_roundtrip_ddl_and_versions(spark):
     assert write_users_snapshot(spark, root, users) == 1
     assert write_users_snapshot(spark, root, read_users(spark, root).union(users.selectExpr("2L", "'b@x'", "'B'", "NULL"))) == 2
     assert read_users(spark, root).count() == 2
+
+
+def test_read_text_documents(spark, tmp_path):
+    from spendlens.sources.statements import read_text_documents
+
+    (tmp_path / "a.txt").write_text("Jan 01 Jan 02 UBER 1.00\nline two\n")
+    (tmp_path / "b.txt").write_text("")
+    docs = {r.doc_id.rsplit("/", 1)[-1]: r.text for r in read_text_documents(spark, str(tmp_path)).collect()}
+    assert docs == {"a.txt": "Jan 01 Jan 02 UBER 1.00\nline two\n"}  # empty files yield no document
