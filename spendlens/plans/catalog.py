@@ -13,8 +13,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendlens.functions.clean import clean_transactions
+from spendlens.functions.dates import add_calendar_features
 from spendlens.operators import analytics as A
+from spendlens.operators.dedup import add_dedup_key, dedup_report, new_rows, rows_to_insert
+from spendlens.operators.enrich import (
+    categorise,
+    customer_id,
+    flag_recurring,
+    normalise_merchant,
+    recurring_merchants,
+    spending_habits,
+    taxonomy_violations,
+)
+from spendlens.operators.quality import constraint_violations, typing_failures
+from spendlens.operators.running import running_available_credit
+from spendlens.operators.statement_lines import render_statements, statement_rows
+from spendlens.operators.users import upsert_users
 from spendlens.plans.context import prepare, tx_table
+from spendlens.schema import INSERT_COLUMNS
+from spendlens.session import scratch_path
+from spendlens.sources.extraction import (
+    extraction_quarantine,
+    extraction_rows,
+    json_documents,
+    json_payloads,
+    json_records,
+)
+from spendlens.sources.statements import assemble_documents
+from spendlens.sources.tables import read_transactions, users_history, write_transactions
+from spendlens.sources.testdata import (
+    event_uploads,
+    history_part,
+    raw_orders_text,
+    raw_upload,
+    read_table,
+    upload_part,
+    user_updates_from_tables,
+    users_from_tables,
+)
+from spendlens.streaming.ingest import run_ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,8 +94,6 @@ def q_period_filter_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History of every user active in the last 30 days of the data (batch form of S5)."""
-    from spendlens.sources.tables import users_history
-
     tx = tx_table(spark, sf_dir)
     last = tx.select(F.max("transaction_date")).scalar()
     active = tx.filter(F.col("transaction_date") >= last - F.expr("INTERVAL 30 DAYS")).select("user_id")
@@ -94,18 +130,12 @@ QUERIES: dict[str, Query] = {
 # --------------------------------------------------------------------------- cleaning, keys, dedup
 
 def q_clean_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.functions.clean import clean_transactions
-    from spendlens.sources.testdata import raw_orders_text
-
     prepare(spark)
     cleaned = clean_transactions(raw_orders_text(spark, sf_dir))
     return present(cleaned.drop("posting_date"))
 
 
 def q_date_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.functions.dates import add_calendar_features
-    from spendlens.sources.testdata import read_table
-
     prepare(spark)
     ev = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("transaction_date"))
     out = add_calendar_features(ev)
@@ -114,43 +144,28 @@ def q_date_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.dedup import add_dedup_key
-
     return add_dedup_key(tx_table(spark, sf_dir)).select("transaction_id", "dedup_key")
 
 
 def _upload(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(incoming cleaned upload, stored history) of the re-upload scenario."""
-    from spendlens.functions.clean import clean_transactions
-    from spendlens.sources.testdata import history_part, raw_upload, upload_part
-
     tx = tx_table(spark, sf_dir)
     incoming = clean_transactions(raw_upload(upload_part(tx)))
     return incoming, history_part(tx)
 
 
 def q_dedup_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.dedup import new_rows
-    from spendlens.schema import INSERT_COLUMNS
-
     incoming, history = _upload(spark, sf_dir)
     return present(new_rows(incoming, history).select("user_id", *INSERT_COLUMNS))
 
 
 def q_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.dedup import dedup_report
-
     incoming, history = _upload(spark, sf_dir)
     return dedup_report(incoming, history)
 
 
 def q_append_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store the history, append the upload's new rows with fresh ids, read the table back."""
-    from spendlens.operators.dedup import rows_to_insert
-    from spendlens.schema import INSERT_COLUMNS
-    from spendlens.session import scratch_path
-    from spendlens.sources.tables import read_transactions, write_transactions
-
     incoming, history = _upload(spark, sf_dir)
     path = scratch_path(spark, "append")
     write_transactions(history, path, mode="errorifexists")
@@ -161,9 +176,6 @@ def q_append_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_user_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upsert the logins after the history into the users known before; new ids left out."""
-    from spendlens.operators.users import upsert_users
-    from spendlens.sources.testdata import user_updates_from_tables, users_from_tables
-
     prepare(spark)
     snap = upsert_users(users_from_tables(spark, sf_dir), user_updates_from_tables(spark, sf_dir))
     return snap.select(
@@ -172,9 +184,6 @@ def q_user_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.quality import constraint_violations
-    from spendlens.sources.testdata import users_from_tables
-
     return constraint_violations(tx_table(spark, sf_dir), users_from_tables(spark, sf_dir))
 
 
@@ -196,26 +205,17 @@ QUERIES.update(
 
 def q_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx -> fenced JSON response documents -> parse -> clean: the round trip equals tx."""
-    from spendlens.functions.clean import clean_transactions
-    from spendlens.schema import INSERT_COLUMNS
-    from spendlens.sources.extraction import extraction_rows, json_documents
-
     docs = json_documents(tx_table(spark, sf_dir))
     rows = clean_transactions(extraction_rows(docs))
     return present(rows.select("user_id", *INSERT_COLUMNS))
 
 
 def q_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.sources.extraction import json_records
-
     return json_records(tx_table(spark, sf_dir), keep=["transaction_id", "user_id"])
 
 
 def q_statement_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx -> statement pages -> documents -> line extraction: the round trip equals tx."""
-    from spendlens.operators.statement_lines import render_statements, statement_rows
-    from spendlens.sources.statements import assemble_documents
-
     pages = render_statements(tx_table(spark, sf_dir))
     docs = assemble_documents(pages, ["user_id", "statement_year", "statement_month"])
     rows = statement_rows(docs)
@@ -239,9 +239,6 @@ QUERIES.update(
 # --------------------------------------------------------------------------- enrichment rules
 
 def q_customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.enrich import customer_id
-    from spendlens.sources.testdata import read_table
-
     prepare(spark)
     c = read_table(spark, sf_dir, "customer").select(
         "c_custkey", F.substring_index("c_name", "#", 1).alias("f_name"), F.substring_index("c_name", "#", -1).alias("l_name")
@@ -262,41 +259,29 @@ def merchant_descriptors(tx: DataFrame) -> DataFrame:
 
 
 def q_merchant_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.enrich import normalise_merchant
-
     d = merchant_descriptors(tx_table(spark, sf_dir))
     return d.withColumn("merchant", normalise_merchant(F.col("raw_description")))
 
 
 def q_categorise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.enrich import categorise
-
     tx = tx_table(spark, sf_dir).select("transaction_id", "activity_description")
     return categorise(tx)
 
 
 def q_taxonomy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.enrich import taxonomy_violations
-
     return taxonomy_violations(tx_table(spark, sf_dir))
 
 
 def q_running_available_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.running import running_available_credit
-
     r = running_available_credit(tx_table(spark, sf_dir))
     return r.select("transaction_id", "user_id", F.col("running_available_credit").cast("double"))
 
 
 def q_recurring_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.enrich import recurring_merchants
-
     return recurring_merchants(tx_table(spark, sf_dir))
 
 
 def q_spending_habits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.enrich import spending_habits
-
     return spending_habits(_tx(spark, sf_dir))
 
 
@@ -318,11 +303,6 @@ QUERIES.update(
 def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two uploads land one after the other; an availableNow stream ingests each arrival.
     The overlapping days are skipped the second time; the table holds every event once."""
-    from spendlens.schema import INSERT_COLUMNS
-    from spendlens.session import scratch_path
-    from spendlens.sources.tables import read_transactions
-    from spendlens.sources.testdata import event_uploads
-    from spendlens.streaming.ingest import run_ingest_stream
 
     prepare(spark)
     root = scratch_path(spark, "ingest")
@@ -340,16 +320,12 @@ QUERIES["incremental_ingest"] = q_incremental_ingest
 
 def q_adviser_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-user JSON arrays for an external adviser, cut into documents of at most 1024 rows."""
-    from spendlens.sources.extraction import json_payloads
-
     return json_payloads(_tx(spark, sf_dir), ["user_id"], max_rows=1024)
 
 
 def q_extraction_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's prose documents read as model responses: none is a JSON array, so every
     one is quarantined with its reason instead of silently dropped."""
-    from spendlens.sources.extraction import extraction_quarantine
-    from spendlens.sources.testdata import read_table
 
     prepare(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -366,8 +342,6 @@ QUERIES.update(
 
 
 def q_recurring_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendlens.operators.enrich import flag_recurring
-
     return flag_recurring(tx_table(spark, sf_dir)).select("transaction_id", "user_id", "activity_description", "is_recurring")
 
 
@@ -376,9 +350,6 @@ QUERIES["recurring_flags"] = q_recurring_flags
 
 def q_typing_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values present in the messy order text that did not parse, per typed column."""
-    from spendlens.operators.quality import typing_failures
-    from spendlens.sources.testdata import raw_orders_text
-
     prepare(spark)
     return typing_failures(raw_orders_text(spark, sf_dir))
 
