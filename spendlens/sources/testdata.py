@@ -239,15 +239,19 @@ def event_records(events: DataFrame) -> DataFrame:
     )
 
 
-def event_documents(events: DataFrame, period: str) -> DataFrame:
-    """Fenced JSON documents of events per (user, ``period``) with records in time order:
-    (doc_id, user_id, text). A user-period document is a statement: bounded by its period."""
-    recs = event_records(events).withColumn("_p", F.date_trunc(period, "ts"))
-    grouped = recs.groupBy("user_id", "_p").agg(
+def event_documents(events: DataFrame, period: str, max_rows: int = 1024) -> DataFrame:
+    """Fenced JSON documents of events per (user, ``period``, ``event_id div max_rows``) with
+    records in time order: (doc_id, user_id, text). The id bucket bounds every document, however
+    many events one user has in a period."""
+    recs = event_records(events).withColumn("_p", F.date_trunc(period, "ts")).withColumn(
+        "_b", F.floor(F.col("event_id") / max_rows).cast("long")
+    )
+    grouped = recs.groupBy("user_id", "_p", "_b").agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "_r"))).alias("_items")
     )
     return grouped.select(
-        F.concat_ws("-", F.lit(period), F.col("user_id").cast("string"), F.date_format("_p", "yyyyMMdd")).alias("doc_id"),
+        F.concat_ws("-", F.lit(period), F.col("user_id").cast("string"), F.date_format("_p", "yyyyMMdd"),
+                    F.col("_b").cast("string")).alias("doc_id"),
         "user_id",
         F.concat(F.lit("```json\n"), F.to_json(F.transform("_items", lambda x: x["_r"])), F.lit("\n```")).alias("text"),
     )
