@@ -22,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.keys import dedup_key, norm_desc
-from spendlens.schema import INSERT_COLUMNS
-from spendlens.sources.tables import assign_ids
+from spendlens.sources.tables import assign_ids, insert_projection
 
 KEY_COLUMNS = ["_k_user", "_k_date", "_k_desc", "_k_amt"]
 DEFAULT_BROADCAST_LIMIT = 2_000_000  # distinct upload keys (about 100 bytes each)
@@ -126,5 +125,5 @@ def dedup_report(incoming: DataFrame, history: DataFrame, by: list[str] | None =
 
 def rows_to_insert(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """New rows in table order with fresh transaction ids above the stored ones (J1 + K1 + P1)."""
-    fresh = new_rows(incoming, history, broadcast_limit).select("user_id", *INSERT_COLUMNS)
+    fresh = insert_projection(new_rows(incoming, history, broadcast_limit))
     return assign_ids(fresh, history, "transaction_id")

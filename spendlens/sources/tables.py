@@ -13,8 +13,6 @@ highest version.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +125,3 @@ def write_users_snapshot(spark: SparkSession, root: str, users: DataFrame) -> in
     v = latest_users_version(spark, root) + 1
     users.select(*[f.name for f in USERS.fields]).write.mode("errorifexists").parquet(users_version_path(root, v))
     return v
-
-
-def new_table_root(base: str) -> str:
-    return f"{base}/store-{uuid.uuid4().hex[:12]}"
