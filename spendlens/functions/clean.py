@@ -19,8 +19,12 @@ DATE_COLUMNS = ("transaction_date", "posting_date")
 MONEY_COLUMNS = ("amount_spent", "credit_limit", "available_credit")
 BOOL_COLUMNS = ("is_subscription",)
 
-# Accepted text layouts of a date, tried in order; anything else becomes null.
-DATE_FORMATS = ("M-d-yyyy", "yyyy-M-d")
+# Accepted text layouts of a date, tried in order, each with the shape a value must have to
+# be tried at all (a failed parse is costly; a shape test is not). Anything else is null.
+DATE_FORMATS = (
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+)
 
 
 def parse_date(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -33,7 +37,7 @@ def parse_date(c: Column, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return c.cast("timestamp_ntz")
     s = utrim(c.cast("string"))
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
+    parsed = F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for fmt, shape in DATE_FORMATS])
     return parsed.cast("timestamp_ntz")
 
 
