@@ -137,10 +137,15 @@ def render_statements(tx: DataFrame, max_rows: int = 1024, lines_per_page: int =
         "customer_id", "credit_limit", "available_credit",
         (F.row_number().over(w) - 1).alias("_n"), line.alias("_line"),
     ).withColumn("page_no", (F.floor(F.col("_n") / lines_per_page) + 1).cast("int"))
+    # Header fields ride in the collected (sorted) lines and are read from the first one:
+    # collect_list keeps this an object-hash aggregate (a min_by over a struct would sort).
     pages = numbered.groupBy("doc_id", "user_id", "statement_year", "statement_month", "page_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]),
-                     "\n").alias("_body"),
-        F.min_by(F.struct("customer_id", "credit_limit", "available_credit"), F.col("_n")).alias("_h"),
+        F.array_sort(F.collect_list(F.struct("_n", "_line", "customer_id", "credit_limit", "available_credit")))
+        .alias("_items")
+    ).select(
+        "doc_id", "user_id", "statement_year", "statement_month", "page_no",
+        F.array_join(F.transform("_items", lambda x: x["_line"]), "\n").alias("_body"),
+        F.element_at("_items", 1).alias("_h"),
     )
     first = pages.filter(F.col("page_no") == 1).select(
         "doc_id", "user_id", "statement_year", "statement_month", F.lit(0).alias("page_no"),
