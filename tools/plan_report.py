@@ -35,7 +35,7 @@ def summarise(plan: str) -> tuple[Counter, list[str], list[str]]:
             if body.startswith(op + " ") or body.startswith(op + "(") or body == op:
                 counts[op] += 1
         for jt in ("LeftSemi", "LeftAnti", "LeftOuter", "FullOuter", "Inner"):
-            if ("Join" in body.split(" ")[0]) and f", {jt}," in body:
+            if ("Join" in body.split(" ")[0]) and re.search(rf", {jt}(,|$)", body):
                 counts[f"join:{jt}"] += 1
     pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]]+)\]", plan)))
     parts = sorted(set(re.findall(r"PartitionFilters: \[([^\]]+)\]", plan)))
