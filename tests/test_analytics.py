@@ -88,3 +88,15 @@ def test_approx_days_close_to_exact(spark, tx):
     approx = A.overview(A.period_filter(tx), ["user_id"], approx_days=True).orderBy("user_id").collect()
     assert [r.active_days for r in exact] == [r.active_days for r in approx]
     assert [r.total_spending for r in exact] == [r.total_spending for r in approx]
+
+
+def test_dashboard_shares_one_selection(spark, tx):
+    from spendlens.plans.dashboard import Dashboard
+
+    with Dashboard(tx, years=[2024], months=["January", "March"], by=["user_id"]) as d:
+        outs = {k: sorted(map(tuple, v.collect())) for k, v in d.all().items()}
+        assert d.selection.is_cached
+    sel = A.period_filter(tx, [2024], ["January", "March"])
+    assert outs["overview"] == sorted(map(tuple, A.overview(sel, ["user_id"]).collect()))
+    assert outs["categories"] == sorted(map(tuple, A.category_totals(sel, ["user_id"]).collect()))
+    assert not d.selection.is_cached
