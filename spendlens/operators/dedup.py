@@ -65,10 +65,11 @@ def _profile(keys: DataFrame) -> tuple[int, list[int], bool]:
     return r["n"], sorted(r["years"]), bool(r["undated"])
 
 
-def stored_keys(incoming: DataFrame, history: DataFrame,
-                broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> tuple[DataFrame, bool]:
-    """Keys of ``history`` (prefixed ``_k_``) that may match ``incoming`` (not distinct),
-    and whether the upload was proven small (at most ``broadcast_limit`` rows)."""
+def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
+                extra: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """Keys of ``history`` (prefixed ``_k_``, plus ``extra`` history columns) that may match
+    ``incoming`` (not distinct), and whether the upload was proven small (at most
+    ``broadcast_limit`` rows)."""
     inc_rows = with_keys(incoming).select(*KEY_COLUMNS)
     n, years, undated = _profile(inc_rows)
     hist = history
@@ -79,7 +80,7 @@ def stored_keys(incoming: DataFrame, history: DataFrame,
         if undated:
             cond = cond | F.col("year").isNull()
         hist = hist.filter(cond)
-    hk = with_keys(hist).select(*KEY_COLUMNS)
+    hk = with_keys(hist).select(*KEY_COLUMNS, *(extra or []))
     small = bool(broadcast_limit) and n <= broadcast_limit
     if small:
         # n rows bound the broadcast side (duplicates are harmless in a semi-join build).
@@ -111,6 +112,29 @@ def flag_duplicates(incoming: DataFrame, history: DataFrame, broadcast_limit: in
     return joined.select(*[inc[c] for c in incoming.columns], F.coalesce(F.col("_hit"), F.lit(False)).alias("is_duplicate"))
 
 
+def new_rows_by_upload(incoming: DataFrame, history: DataFrame, upload_col: str = "upload_id",
+                       broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+    """J1 with uploads as the unit, for inputs that may mix or split uploads.
+
+    A row is a duplicate when its key's earliest upload - over the stored rows and the
+    incoming rows - is earlier than its own upload. Equal rows of one upload are all kept,
+    even when that upload arrives in several batches; a later upload's copy is skipped, even
+    within the same batch. Stored rows without an upload id count as earliest.
+    """
+    hk, small = stored_keys(incoming, history, broadcast_limit, extra=[upload_col])
+    inc = with_keys(incoming)
+    first = (
+        hk.select(*KEY_COLUMNS, F.coalesce(F.col(upload_col), F.lit(-1)).cast("long").alias("_k_up"))
+        .unionByName(inc.select(*KEY_COLUMNS, F.col(upload_col).cast("long").alias("_k_up")))
+        .groupBy(*KEY_COLUMNS)
+        .agg(F.min("_k_up").alias("_k_first"))
+    )
+    # After the semi-join the keys are a subset of the upload's keys: bounded by its row count.
+    ref = F.broadcast(first) if small else first
+    cond = _key_cond(inc, ref) & (ref["_k_first"] < inc[upload_col])
+    return inc.join(ref, cond, "left_anti").drop(*KEY_COLUMNS)
+
+
 def dedup_report(incoming: DataFrame, history: DataFrame, by: list[str] | None = None,
                  broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """Incoming, inserted and skipped counts per ``by`` group (J2): inserted + skipped = incoming."""

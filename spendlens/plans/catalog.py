@@ -307,8 +307,8 @@ def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     root = scratch_path(spark, "ingest")
     landing, tx_path, log_path, ckpt = f"{root}/landing", f"{root}/transactions", f"{root}/ingest_log", f"{root}/_ckpt"
-    for upload in event_uploads(spark, sf_dir):
-        upload.write.mode("append").json(landing)
+    for n, upload in enumerate(event_uploads(spark, sf_dir), start=1):
+        upload.write.json(f"{landing}/upload_id={n}")
         run_ingest_stream(spark, landing, tx_path, log_path, ckpt)
     return present(read_transactions(spark, tx_path).select("user_id", *INSERT_COLUMNS))
 

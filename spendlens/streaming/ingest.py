@@ -5,9 +5,18 @@ picks up only files it has not seen (its checkpoint replaces the dashboard's ses
 state) and hands every micro-batch to ``ingest_batch``, the same batch functions a one-off
 upload uses: parse -> clean -> skip stored rows (J1) -> append with fresh ids.
 
-Exactly-once effect without transactions: a micro-batch replayed after a failure finds
-its rows already stored and its documents already logged, so it inserts nothing twice.
-The transactions are written before the ingest log for that reason.
+Uploads are the unit of deduplication. Files landed under ``upload_id=<n>`` folders carry
+their upload number (uploads are numbered in arrival order); stored rows keep it. A row is
+skipped when its key first appeared in an earlier upload - stored or in the same batch - so
+equal rows of one upload are all kept even when the upload spans several micro-batches.
+Files outside such folders make each micro-batch one upload (numbered by its start time);
+use one convention per landing folder.
+
+Exactly-once effect without transactions: every micro-batch writes its own
+``ingest_batch=<run>-<batch>`` partitions of the table and of the ingest log with dynamic
+partition overwrite and reads history without them, so a replay after a failure replaces
+its earlier attempt. The run id comes from the checkpoint path: a stream restarted with a
+fresh checkpoint adds partitions instead of replacing another run's. Single writer per table.
 
 No watermark or ``dropDuplicatesWithinWatermark``: equal rows inside one upload are
 legitimate, and duplicates are defined against the stored history, not a time window.
@@ -15,24 +24,33 @@ legitimate, and duplicates are defined against the stored history, not a time wi
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions.clean import clean_transactions
-from spendlens.operators.dedup import rows_to_insert
-from spendlens.schema import TRANSACTIONS
+from spendlens.operators.dedup import new_rows_by_upload
+from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS
 from spendlens.sources.extraction import extraction_rows
-from spendlens.sources.tables import read_transactions, write_transactions
+from spendlens.sources.tables import assign_ids
 
 DOC_SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.StringType()),
         T.StructField("user_id", T.LongType()),
         T.StructField("text", T.StringType()),
+        # From landing folders named upload_id=<n> (partition discovery); optional.
+        T.StructField("upload_id", T.LongType()),
     ]
 )
-LOG_SCHEMA = "doc_id string, content_sha string, batch_id long"
+STORED = T.StructType(
+    TRANSACTIONS.fields + [T.StructField("upload_id", T.LongType()), T.StructField("ingest_batch", T.StringType())]
+)
+LOG_SCHEMA = "doc_id string, content_sha string, upload_id long, ingest_batch string"
+LOG_BROADCAST_LIMIT = 1_000_000  # documents per batch
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -47,39 +65,82 @@ def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0) -> None:
-    """Ingest one batch of documents ``(doc_id, user_id, text)`` into the table at ``tx_path``."""
+def _overwrite_partitions(df: DataFrame, path: str, *cols: str) -> None:
+    """Replace only the partitions present in ``df``: a replayed batch rewrites its own."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(path)
+
+
+def _unseen_documents(docs: DataFrame, log: DataFrame) -> DataFrame:
+    """Documents still to ingest (I2). Skipped: the same bytes in an earlier upload (memoised
+    extraction: its rows are stored, so every one would be skipped anyway) and the same
+    document of the same upload (already ingested). Identical documents inside one upload
+    both count, as two uploaded copies would.
+
+    The log grows with every document ever ingested; when the batch's documents are proven
+    few they are broadcast into a semi-join that streams the log (no log shuffle), and the
+    few matching entries are broadcast back into the anti-join.
+    """
+    keys = docs.select("doc_id", "content_sha", F.col("upload_id").alias("_up"))
+    small = keys.limit(LOG_BROADCAST_LIMIT + 1).count() <= LOG_BROADCAST_LIMIT
+    seen = log.join(F.broadcast(keys), "content_sha", "left_semi") if small else log
+    seen = seen.select(F.col("doc_id").alias("_ld"), F.col("content_sha").alias("_ls"), F.col("upload_id").alias("_lu"))
+    seen = F.broadcast(seen) if small else seen
+    earlier = (docs["content_sha"] == seen["_ls"]) & (
+        (seen["_lu"] < docs["upload_id"]) | ((seen["_lu"] == docs["upload_id"]) & (seen["_ld"] == docs["doc_id"]))
+    )
+    return docs.join(seen, earlier, "left_anti")
+
+
+def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0, run_id: str = "run") -> None:
+    """Ingest one batch of documents ``(doc_id, user_id, text[, upload_id])`` into ``tx_path``.
+
+    Each batch writes its own ``ingest_batch=<run>-<batch>`` partitions (of the table and the
+    log) with dynamic overwrite, and reads history without them: a batch replayed after a
+    failure recomputes the same result and replaces its earlier attempt.
+    """
     spark = docs.sparkSession
-    hashed = docs.withColumn("content_sha", F.sha2(F.col("text"), 256))
-    # Documents whose exact bytes were ingested before are skipped (their rows are
-    # stored already, so J1 would skip every one of them anyway).
-    log = _read_or_empty(spark, log_path, LOG_SCHEMA).select("content_sha")
-    fresh = hashed.join(log, "content_sha", "left_anti")
+    part = f"{run_id}-{batch_id:012d}"
+    # Files outside upload_id=<n> folders: the batch is one upload, ordered by arrival time.
+    batch_upload = F.lit(int(time.time() * 1000)).cast("long")
+    upload = F.coalesce(F.col("upload_id"), batch_upload) if "upload_id" in docs.columns else batch_upload
+    hashed = docs.withColumn("upload_id", upload).withColumn("content_sha", F.sha2(F.col("text"), 256)).persist()
+    fresh = _unseen_documents(hashed, _read_or_empty(spark, log_path, LOG_SCHEMA).filter(F.col("ingest_batch") != part))
     # Parsed once, reused by the dedup sizing pass and the write (bounded by the batch size:
     # maxFilesPerTrigger).
     rows = clean_transactions(extraction_rows(fresh.drop("content_sha"))).drop("doc_id", "position").persist()
     try:
         if not rows.isEmpty():  # P13: nothing to dedup or write for an empty batch
-            history = (read_transactions(spark, tx_path) if _path_exists(spark, tx_path)
-                       else spark.createDataFrame([], TRANSACTIONS))
-            write_transactions(rows_to_insert(rows, history), tx_path, mode="append", layout=False)
-        fresh.select("doc_id", "content_sha", F.lit(batch_id).cast("long").alias("batch_id")).write.mode(
-            "append"
-        ).parquet(log_path)
+            history = _read_or_empty(spark, tx_path, STORED).filter(F.col("ingest_batch") != part)
+            new = new_rows_by_upload(rows, history)
+            out = assign_ids(new.select("user_id", *INSERT_COLUMNS, "upload_id"), history, "transaction_id")
+            _overwrite_partitions(
+                out.select(*TX_COLUMNS, "upload_id").withColumn("ingest_batch", F.lit(part)), tx_path,
+                "ingest_batch", "year",
+            )
+        _overwrite_partitions(
+            fresh.select("doc_id", "content_sha", "upload_id", F.lit(part).alias("ingest_batch")), log_path,
+            "ingest_batch",
+        )
     finally:
         rows.unpersist()
+        hashed.unpersist()
 
 
 def run_ingest_stream(spark: SparkSession, landing: str, tx_path: str, log_path: str, checkpoint: str,
                       max_files_per_trigger: int = 64) -> None:
-    """Process every landed file not yet processed, then stop (one availableNow run)."""
+    """Process every landed file not yet processed, then stop (one availableNow run).
+
+    The run id names this checkpoint's batches in the table, so a stream restarted with a
+    fresh checkpoint never overwrites another run's partitions.
+    """
+    run_id = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
     stream = (
         spark.readStream.schema(DOC_SCHEMA)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(landing)
     )
     query = (
-        stream.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, tx_path, log_path, bid))
+        stream.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, tx_path, log_path, bid, run_id))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

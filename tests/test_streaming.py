@@ -2,22 +2,45 @@ import uuid
 
 from spendlens.session import checkpoint_root
 from spendlens.sources.tables import read_transactions
-from spendlens.streaming.ingest import run_ingest_stream
+from spendlens.streaming.ingest import ingest_batch, run_ingest_stream
 
 REC = ('{"activity_description": "%s", "amount_spent": "%s", "transaction_date": "01-1%d-2024", '
        '"is_subscription": "false"}')
 
 
+def _doc(doc_id, user, *recs):
+    return (doc_id, user, "```json\n[" + ",".join(REC % r for r in recs) + "]\n```")
+
+
 def test_stream_ingest_and_replay(spark):
     root = f"{checkpoint_root(spark)}/test-ingest-{uuid.uuid4().hex[:8]}"
     docs = spark.createDataFrame(
-        [("d1", 1, "```json\n[" + REC % ("COFFEE", "3.50", 1) + "," + REC % ("COFFEE", "3.50", 1) + "]\n```"),
-         ("d2", 2, "[" + REC % ("BOOK", "20", 2) + "]")],
+        [_doc("d1", 1, ("COFFEE", "3.50", 1), ("COFFEE", "3.50", 1)), _doc("d2", 2, ("BOOK", "20", 2))],
         "doc_id string, user_id long, text string")
     docs.write.json(f"{root}/landing")
     run_ingest_stream(spark, f"{root}/landing", f"{root}/tx", f"{root}/log", f"{root}/ckpt")
     assert read_transactions(spark, f"{root}/tx").count() == 3  # equal rows in one upload are both kept
-    # Same files again with a fresh checkpoint: every row is already stored.
+    # Same files again with a fresh checkpoint: the documents are known, nothing is added.
     run_ingest_stream(spark, f"{root}/landing", f"{root}/tx", f"{root}/log", f"{root}/ckpt2")
     tx = read_transactions(spark, f"{root}/tx")
     assert tx.count() == 3 and tx.select("transaction_id").distinct().count() == 3
+
+
+def test_uploads_split_over_batches_and_replayed(spark):
+    root = f"{checkpoint_root(spark)}/test-upload-{uuid.uuid4().hex[:8]}"
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    # Upload 1 arrives in two batches, each holding one of two equal rows: both are kept.
+    b0 = spark.createDataFrame([_doc("a", 1, ("TEA", "2.00", 1)) + (1,)], schema)
+    b1 = spark.createDataFrame([_doc("b", 1, ("TEA", "2.00", 1)) + (1,),
+                                # Upload 2 in the same batch re-sends the row: skipped.
+                                _doc("c", 1, ("TEA", "2.00", 1), ("NEW", "1.00", 1)) + (2,)], schema)
+    tx_path, log_path = f"{root}/tx", f"{root}/log"
+    ingest_batch(b0, tx_path, log_path, 0)
+    ingest_batch(b1, tx_path, log_path, 1)
+    got = sorted((r.activity_description, float(r.amount_spent)) for r in read_transactions(spark, tx_path).collect())
+    assert got == [("NEW", 1.0), ("TEA", 2.0), ("TEA", 2.0)]
+    # Replaying batch 1 (a failure after its write) changes nothing.
+    ingest_batch(b1, tx_path, log_path, 1)
+    again = read_transactions(spark, tx_path)
+    assert sorted((r.activity_description, float(r.amount_spent)) for r in again.collect()) == got
+    assert again.select("transaction_id").distinct().count() == 3
