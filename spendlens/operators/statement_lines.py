@@ -142,20 +142,24 @@ def render_statements(tx: DataFrame, max_rows: int = 1024, lines_per_page: int =
     pages = numbered.groupBy("doc_id", "user_id", "statement_year", "statement_month", "page_no").agg(
         F.array_sort(F.collect_list(F.struct("_n", "_line", "customer_id", "credit_limit", "available_credit")))
         .alias("_items")
-    ).select(
-        "doc_id", "user_id", "statement_year", "statement_month", "page_no",
-        F.array_join(F.transform("_items", lambda x: x["_line"]), "\n").alias("_body"),
-        F.element_at("_items", 1).alias("_h"),
     )
-    first = pages.filter(F.col("page_no") == 1).select(
-        "doc_id", "user_id", "statement_year", "statement_month", F.lit(0).alias("page_no"),
+    h = F.element_at("_items", 1)
+    header = F.struct(
+        F.lit(0).alias("page_no"),
         F.concat(
-            F.lit("Card holder: "), F.col("_h.customer_id"), F.lit("\nCredit Limit: $"),
-            F.format_number(F.col("_h.credit_limit").cast("double"), 2),
-            F.lit("\nAvailable Credit: $"), F.format_number(F.col("_h.available_credit").cast("double"), 2),
+            F.lit("Card holder: "), h["customer_id"], F.lit("\nCredit Limit: $"),
+            F.format_number(h["credit_limit"].cast("double"), 2),
+            F.lit("\nAvailable Credit: $"), F.format_number(h["available_credit"].cast("double"), 2),
             F.lit("\n"),
         ).alias("text"),
     )
-    body = pages.select("doc_id", "user_id", "statement_year", "statement_month", "page_no",
-                        F.concat(F.col("_body"), F.lit("\n")).alias("text"))
-    return first.unionByName(body)
+    body = F.struct(
+        F.col("page_no"),
+        F.concat(F.array_join(F.transform("_items", lambda x: x["_line"]), "\n"), F.lit("\n")).alias("text"),
+    )
+    # Page 1 also emits the header page 0: one pass over the page groups (no union of two
+    # branches that would recompute the window and the aggregate).
+    emitted = F.when(F.col("page_no") == 1, F.array(header, body)).otherwise(F.array(body))
+    return pages.select("doc_id", "user_id", "statement_year", "statement_month", F.explode(emitted).alias("_p")).select(
+        "doc_id", "user_id", "statement_year", "statement_month", "_p.page_no", "_p.text"
+    )
