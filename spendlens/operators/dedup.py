@@ -9,11 +9,11 @@ Plan at scale. The stored history is the large side and an upload is small. A le
 join can only build its hash table on the right (history) side, so a plain anti-join would
 shuffle all of history for every upload. When the upload is proven small (its rows counted
 against ``broadcast_limit``) the history is first reduced with a broadcast left-semi join
-against the upload's keys - a map-side scan of four columns with year-partition pruning,
-no history shuffle - and the distinct matched keys, a subset of the upload's keys, are
-broadcast into the anti-join, so the upload is not shuffled either. Beyond the
-limit both sides are shuffled on the key (a sort-merge or shuffled-hash anti-join, which
-AQE may still demote to a broadcast).
+against the upload's keys - a map-side scan of four columns with year-partition pruning
+and the upload's user-id range pushed into the Parquet scan, no history shuffle - and the
+distinct matched keys, a subset of the upload's keys, are broadcast into the anti-join, so
+the upload is not shuffled either. Beyond the limit both sides are shuffled on the key (a
+sort-merge or shuffled-hash anti-join, which AQE may still demote to a broadcast).
 """
 
 from __future__ import annotations
@@ -54,15 +54,18 @@ def _key_cond(left: DataFrame, right: DataFrame) -> Column:
     return cond
 
 
-def _profile(keys: DataFrame) -> tuple[int, list[int], bool]:
-    """One pass over the incoming keys: row count, distinct years (a handful) and whether
-    undated rows exist. Cache the incoming batch when it is costly to recompute."""
+def _profile(keys: DataFrame) -> tuple[int, list[int], bool, tuple[int | None, int | None]]:
+    """One pass over the incoming keys: row count, distinct years (a handful), whether
+    undated rows exist, and the range of user ids. Cache the incoming batch when it is
+    costly to recompute."""
     r = keys.agg(
         F.count(F.lit(1)).alias("n"),
         F.collect_set(F.year("_k_date")).alias("years"),
         F.max(F.col("_k_date").isNull().cast("int")).alias("undated"),
+        F.min("_k_user").alias("lo"),
+        F.max("_k_user").alias("hi"),
     ).first()
-    return r["n"], sorted(r["years"]), bool(r["undated"])
+    return r["n"], sorted(r["years"]), bool(r["undated"]), (r["lo"], r["hi"])
 
 
 def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
@@ -71,8 +74,13 @@ def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int =
     ``incoming`` (not distinct), and whether the upload was proven small (at most
     ``broadcast_limit`` rows)."""
     inc_rows = with_keys(incoming).select(*KEY_COLUMNS)
-    n, years, undated = _profile(inc_rows)
+    n, years, undated, (lo, hi) = _profile(inc_rows)
     hist = history
+    if lo is not None and "user_id" in history.columns:
+        # Only the batch's users can match. The range is pushed into the Parquet scan, where
+        # files sorted by user_id skip the row groups of other users (an upload of one user's
+        # statements reads that user's row groups only).
+        hist = hist.filter(F.col("user_id").between(lo, hi))
     if "year" in history.columns:
         # A row can only match rows of the same calendar year (or both undated): prune the
         # year directories of a partitioned store.

@@ -75,14 +75,19 @@ def users_history(tx: DataFrame, users: DataFrame) -> DataFrame:
     return tx.join(users.select("user_id").distinct(), "user_id", "left_semi")
 
 
-def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str) -> DataFrame:
+def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str, base: int | None = None) -> DataFrame:
     """Surrogate keys (K1): above every existing id, unique, ascending across inserts.
 
     ``max(existing) + 1 + monotonically_increasing_id()``: distributed and gap-tolerant (no
-    single-partition global row_number). The max is an uncorrelated scalar subquery.
+    single-partition global row_number). The max is an uncorrelated scalar subquery; a
+    writer that keeps its own high-water mark passes it as ``base`` instead, so no scan of
+    the stored ids is needed.
     """
-    base = F.coalesce(existing.select(F.max(id_col)).scalar(), F.lit(0).cast("long"))
-    return new_rows.withColumn(id_col, base + F.lit(1) + F.monotonically_increasing_id())
+    if base is None:
+        start = F.coalesce(existing.select(F.max(id_col)).scalar(), F.lit(0).cast("long"))
+    else:
+        start = F.lit(base).cast("long")
+    return new_rows.withColumn(id_col, start + F.lit(1) + F.monotonically_increasing_id())
 
 
 def insert_projection(df: DataFrame, user_id: int | Column | None = None) -> DataFrame:

@@ -49,7 +49,8 @@ DOC_SCHEMA = T.StructType(
 STORED = T.StructType(
     TRANSACTIONS.fields + [T.StructField("upload_id", T.LongType()), T.StructField("ingest_batch", T.StringType())]
 )
-LOG_SCHEMA = "doc_id string, content_sha string, upload_id long, ingest_batch string"
+# max_id: the highest transaction id the batch wrote (the stream's id high-water mark).
+LOG_SCHEMA = "doc_id string, content_sha string, upload_id long, max_id long, ingest_batch string"
 LOG_BROADCAST_LIMIT = 1_000_000  # documents per batch
 
 
@@ -91,12 +92,23 @@ def _unseen_documents(docs: DataFrame, log: DataFrame) -> DataFrame:
     return docs.join(seen, earlier, "left_anti")
 
 
+def _id_base(log: DataFrame, history: DataFrame) -> int:
+    """The highest stored transaction id. Batches record theirs in the log, so this reads one
+    small column of the log instead of every stored id; only before any batch recorded one
+    (a new stream over a seeded table) the table's ids are scanned once."""
+    mark = log.select(F.max("max_id")).first()[0]
+    if mark is None:
+        mark = history.select(F.max("transaction_id")).first()[0]
+    return int(mark or 0)
+
+
 def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0, run_id: str = "run") -> None:
     """Ingest one batch of documents ``(doc_id, user_id, text[, upload_id])`` into ``tx_path``.
 
     Each batch writes its own ``ingest_batch=<run>-<batch>`` partitions (of the table and the
-    log) with dynamic overwrite, and reads history without them: a batch replayed after a
-    failure recomputes the same result and replaces its earlier attempt.
+    log) with dynamic overwrite, and reads history and the log without them: a batch replayed
+    after a failure recomputes the same result (the same id base included) and replaces its
+    earlier attempt.
     """
     spark = docs.sparkSession
     part = f"{run_id}-{batch_id:012d}"
@@ -104,22 +116,28 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     batch_upload = F.lit(int(time.time() * 1000)).cast("long")
     upload = F.coalesce(F.col("upload_id"), batch_upload) if "upload_id" in docs.columns else batch_upload
     hashed = docs.withColumn("upload_id", upload).withColumn("content_sha", F.sha2(F.col("text"), 256)).persist()
-    fresh = _unseen_documents(hashed, _read_or_empty(spark, log_path, LOG_SCHEMA).filter(F.col("ingest_batch") != part))
+    log = _read_or_empty(spark, log_path, LOG_SCHEMA).filter(F.col("ingest_batch") != part)
+    fresh = _unseen_documents(hashed, log)
     # Parsed once, reused by the dedup sizing pass and the write (bounded by the batch size:
     # maxFilesPerTrigger).
     rows = clean_transactions(extraction_rows(fresh.drop("content_sha"))).drop("doc_id", "position").persist()
+    max_id = None
     try:
         if not rows.isEmpty():  # P13: nothing to dedup or write for an empty batch
             history = _read_or_empty(spark, tx_path, STORED).filter(F.col("ingest_batch") != part)
             new = new_rows_by_upload(rows, history)
-            out = assign_ids(new.select("user_id", *INSERT_COLUMNS, "upload_id"), history, "transaction_id")
-            _overwrite_partitions(
-                out.select(*TX_COLUMNS, "upload_id").withColumn("ingest_batch", F.lit(part)), tx_path,
-                "ingest_batch", "year",
-            )
+            out = assign_ids(new.select("user_id", *INSERT_COLUMNS, "upload_id"), history, "transaction_id",
+                             base=_id_base(log, history))
+            # Sorted by user inside each file: later per-user scans skip other users' row groups.
+            out = out.select(*TX_COLUMNS, "upload_id").withColumn("ingest_batch", F.lit(part))
+            _overwrite_partitions(out.sortWithinPartitions("ingest_batch", "year", "user_id", "transaction_id"),
+                                  tx_path, "ingest_batch", "year")
+            written = spark.read.schema(STORED).parquet(tx_path).filter(F.col("ingest_batch") == part)
+            max_id = written.select(F.max("transaction_id")).first()[0]
         _overwrite_partitions(
-            fresh.select("doc_id", "content_sha", "upload_id", F.lit(part).alias("ingest_batch")), log_path,
-            "ingest_batch",
+            fresh.select("doc_id", "content_sha", "upload_id", F.lit(max_id).cast("long").alias("max_id"),
+                         F.lit(part).alias("ingest_batch")),
+            log_path, "ingest_batch",
         )
     finally:
         rows.unpersist()

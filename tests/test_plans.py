@@ -59,3 +59,11 @@ def test_upsert_merges_once(spark):
     upd = spark.createDataFrame([("a@x", "B", None, 1)], "email string, display_name string, picture_url string, seq long")
     plan = _plan(upsert_users(users, upd))
     assert plan.count("FullOuter") == 1 and "Union" not in plan
+
+
+def test_dedup_pushes_the_upload_user_range_into_the_history_scan(tx):
+    """History read from Parquet: only the upload's user range is scanned (row groups of
+    other users are skipped by their statistics)."""
+    upload = tx.filter("user_id between 100 and 120")
+    scan = _plan(new_rows(upload, tx))
+    assert "GreaterThanOrEqual(user_id,100)" in scan and "LessThanOrEqual(user_id,120)" in scan

@@ -44,3 +44,24 @@ def test_uploads_split_over_batches_and_replayed(spark):
     again = read_transactions(spark, tx_path)
     assert sorted((r.activity_description, float(r.amount_spent)) for r in again.collect()) == got
     assert again.select("transaction_id").distinct().count() == 3
+
+
+def test_ids_ascend_across_batches_from_the_log_mark(spark):
+    """Each batch records its highest id in the ingest log; the next batch starts above it
+    without scanning the stored ids, and a replay reuses the same base."""
+    from pyspark.sql import functions as F
+
+    root = f"{checkpoint_root(spark)}/test-ids-{uuid.uuid4().hex[:8]}"
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    b0 = spark.createDataFrame([_doc("a", 1, ("TEA", "2.00", 1), ("BUN", "1.00", 1)) + (1,)], schema)
+    b1 = spark.createDataFrame([_doc("b", 2, ("MILK", "3.00", 2)) + (2,)], schema)
+    tx_path, log_path = f"{root}/tx", f"{root}/log"
+    ingest_batch(b0, tx_path, log_path, 0)
+    ingest_batch(b1, tx_path, log_path, 1)
+    ingest_batch(b1, tx_path, log_path, 1)  # replay
+    tx = read_transactions(spark, tx_path)
+    ids = {r.activity_description: r.transaction_id for r in tx.collect()}
+    assert len(ids) == 3 and tx.count() == 3
+    assert ids["MILK"] > max(ids["TEA"], ids["BUN"])
+    marks = spark.read.parquet(log_path).groupBy("ingest_batch").agg(F.max("max_id").alias("m")).collect()
+    assert sorted(r.m for r in marks) == sorted([max(ids["TEA"], ids["BUN"]), ids["MILK"]])
