@@ -1,10 +1,10 @@
 """Parquet-backed transactions and users tables.
 
-Layout of ``transactions``: directories by ``year`` (period filters prune them), rows
-clustered by (year, user_id) and sorted by (user_id, transaction_id) inside each file, so a
-per-user scan skips row groups by their min/max statistics. Not partitioned by ``user_id``: one
-directory per user does not scale. Rows without a date live in the default partition and
-read back with a null year.
+Layout of ``transactions``: directories by ``year`` (period filters prune them), files of
+about the advisory partition size, rows sorted by (user_id, transaction_id) inside each
+file, so a per-user scan skips row groups by their min/max statistics. Not partitioned by
+``user_id``: one directory per user does not scale. Rows without a date live in the default
+partition and read back with a null year.
 
 Parquet paths cannot be merged in place and a query may not overwrite a path it reads, so
 the users table is versioned: an upsert writes ``users/v=<n+1>`` and readers take the
@@ -49,15 +49,18 @@ def drop_tables(spark: SparkSession, tx_name: str = "transactions", users_name:
 def write_transactions(df: DataFrame, path: str, mode: str = "append", layout: bool = True) -> None:
     """Write rows in table column order.
 
-    ``layout=True`` clusters rows by (year, user_id) with a REBALANCE shuffle: AQE sizes the
-    output partitions and splits a skewed one (a user holding a large share of a year) into
-    several tasks, with no sampling pass over the input as range partitioning would need.
-    Rows are then sorted by (user_id, transaction_id) within each file. Small incremental
-    appends pass ``layout=False`` (no shuffle; the writer still groups rows by year).
+    ``layout=True`` rebalances rows on ``year`` (the directory key): AQE sizes the write
+    tasks to the advisory partition size and splits a large year over several tasks, so each
+    task writes one file of about that size. (Hashing on (year, user_id) instead would leave
+    every task a slice of every year, i.e. one small file per year per task.) No sampling
+    pass over the input, as range partitioning would need. Rows are then sorted by
+    (user_id, transaction_id) within each file, so a per-user scan reads one row group or
+    so per file. Small incremental appends pass ``layout=False`` (no shuffle; the writer
+    still groups rows by year).
     """
     out = df.select(*TX_COLUMNS)
     if layout:
-        out = out.hint("rebalance", "year", "user_id").sortWithinPartitions("year", "user_id", "transaction_id")
+        out = out.hint("rebalance", "year").sortWithinPartitions("year", "user_id", "transaction_id")
     out.write.mode(mode).partitionBy("year").parquet(path)
 
 
