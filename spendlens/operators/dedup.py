@@ -155,7 +155,9 @@ def dedup_report(incoming: DataFrame, history: DataFrame, by: list[str] | None =
     )
 
 
-def rows_to_insert(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """New rows in table order with fresh transaction ids above the stored ones (J1 + K1 + P1)."""
+def rows_to_insert(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
+                   base: int | None = None) -> DataFrame:
+    """New rows in table order with fresh transaction ids above the stored ones (J1 + K1 + P1).
+    ``base``: the highest stored id when known (``tables.stored_max``), else a scan finds it."""
     fresh = insert_projection(new_rows(incoming, history, broadcast_limit))
-    return assign_ids(fresh, history, "transaction_id")
+    return assign_ids(fresh, history, "transaction_id", base=base)

@@ -41,7 +41,7 @@ from spendlens.sources.extraction import (
     json_records,
 )
 from spendlens.sources.statements import assemble_documents
-from spendlens.sources.tables import read_transactions, users_history, write_transactions
+from spendlens.sources.tables import read_transactions, stored_max, users_history, write_transactions
 from spendlens.sources.testdata import (
     event_uploads,
     history_part,
@@ -170,7 +170,8 @@ def q_append_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "append")
     write_transactions(history, path, mode="errorifexists")
     stored = read_transactions(spark, path)
-    write_transactions(rows_to_insert(incoming, stored), path, mode="append", layout=False)
+    base = stored_max(spark, path, "transaction_id")  # from file footers, not a scan of the ids
+    write_transactions(rows_to_insert(incoming, stored, base=base), path, mode="append", layout=False)
     return present(read_transactions(spark, path).select("user_id", *INSERT_COLUMNS))
 
 

@@ -93,6 +93,33 @@ def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str, base: int
     return new_rows.withColumn(id_col, start + F.lit(1) + F.monotonically_increasing_id())
 
 
+def stored_max(spark: SparkSession, path: str, column: str, where: Column | None = None):
+    """``max(column)`` of a stored Parquet table from its file footers (row-group statistics):
+    the cost grows with the number of files, not rows. ``where`` may only reference partition
+    columns.
+
+    Parquet's V2 reader answers MIN/MAX from footers when aggregate pushdown is on; it runs in
+    a session of its own (same context, caller's runtime settings copied) so the caller's
+    reader settings stay as they are. A file without statistics falls back to a column scan.
+    """
+    s = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if s.conf.isModifiable(k) and s.conf.get(k, None) != v:
+            s.conf.set(k, v)
+    s.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    s.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    try:
+        return _max_of(s.read.parquet(path), column, where)
+    except Exception:  # noqa: BLE001 - missing statistics: read the column instead
+        return _max_of(spark.read.parquet(path), column, where)
+
+
+def _max_of(df: DataFrame, column: str, where: Column | None) -> object:
+    if where is not None:
+        df = df.filter(where)
+    return df.select(F.max(column)).first()[0]
+
+
 def insert_projection(df: DataFrame, user_id: int | Column | None = None) -> DataFrame:
     """The fixed 18 table columns, with the user id stamped in front."""
     uid = F.col("user_id") if user_id is None else (user_id if isinstance(user_id, Column) else F.lit(user_id))

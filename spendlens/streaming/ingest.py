@@ -35,7 +35,7 @@ from spendlens.functions.clean import clean_transactions
 from spendlens.operators.dedup import new_rows_by_upload
 from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS
 from spendlens.sources.extraction import extraction_rows
-from spendlens.sources.tables import assign_ids
+from spendlens.sources.tables import assign_ids, stored_max
 
 DOC_SCHEMA = T.StructType(
     [
@@ -92,13 +92,13 @@ def _unseen_documents(docs: DataFrame, log: DataFrame) -> DataFrame:
     return docs.join(seen, earlier, "left_anti")
 
 
-def _id_base(log: DataFrame, history: DataFrame) -> int:
+def _id_base(spark: SparkSession, log: DataFrame, tx_path: str, part: str) -> int:
     """The highest stored transaction id. Batches record theirs in the log, so this reads one
-    small column of the log instead of every stored id; only before any batch recorded one
-    (a new stream over a seeded table) the table's ids are scanned once."""
+    small column of the log; only before any batch recorded one (a new stream over a seeded
+    table) the table's file footers are read (``stored_max``), without this batch's files."""
     mark = log.select(F.max("max_id")).first()[0]
-    if mark is None:
-        mark = history.select(F.max("transaction_id")).first()[0]
+    if mark is None and _path_exists(spark, tx_path):
+        mark = stored_max(spark, tx_path, "transaction_id", F.col("ingest_batch") != part)
     return int(mark or 0)
 
 
@@ -127,7 +127,7 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
             history = _read_or_empty(spark, tx_path, STORED).filter(F.col("ingest_batch") != part)
             new = new_rows_by_upload(rows, history)
             out = assign_ids(new.select("user_id", *INSERT_COLUMNS, "upload_id"), history, "transaction_id",
-                             base=_id_base(log, history))
+                             base=_id_base(spark, log, tx_path, part))
             # Sorted by user inside each file: later per-user scans skip other users' row groups.
             out = out.select(*TX_COLUMNS, "upload_id").withColumn("ingest_batch", F.lit(part))
             _overwrite_partitions(out.sortWithinPartitions("ingest_batch", "year", "user_id", "transaction_id"),

@@ -45,3 +45,21 @@ def test_read_text_documents(spark, tmp_path):
     (tmp_path / "b.txt").write_text("")
     docs = {r.doc_id.rsplit("/", 1)[-1]: r.text for r in read_text_documents(spark, str(tmp_path)).collect()}
     assert docs == {"a.txt": "Jan 01 Jan 02 UBER 1.00\nline two\n"}  # empty files yield no document
+
+
+def test_stored_max_from_footers(spark, sf_small):
+    from pyspark.sql import functions as F
+
+    from spendlens.session import scratch_path
+    from spendlens.sources.tables import stored_max, write_transactions
+    from spendlens.sources.testdata import tx_from_tables
+
+    path = scratch_path(spark, "maxid")
+    write_transactions(tx_from_tables(spark, sf_small), path, mode="errorifexists")
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    stored = spark.read.parquet(path)
+    assert stored_max(spark, path, "transaction_id") == stored.select(F.max("transaction_id")).first()[0]
+    in_1996 = stored.filter("year = 1996").select(F.max("transaction_id")).first()[0]
+    assert stored_max(spark, path, "transaction_id", F.col("year") == 1996) == in_1996
+    assert stored_max(spark, path, "transaction_id", F.col("year") == 1800) is None
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
