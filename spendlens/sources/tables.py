@@ -93,6 +93,9 @@ def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str, base: int
     return new_rows.withColumn(id_col, start + F.lit(1) + F.monotonically_increasing_id())
 
 
+_FOOTER_SESSIONS: dict[str, SparkSession] = {}
+
+
 def stored_max(spark: SparkSession, path: str, column: str, where: Column | None = None):
     """``max(column)`` of a stored Parquet table from its file footers (row-group statistics):
     the cost grows with the number of files, not rows. ``where`` may only reference partition
@@ -102,7 +105,10 @@ def stored_max(spark: SparkSession, path: str, column: str, where: Column | None
     a session of its own (same context, caller's runtime settings copied) so the caller's
     reader settings stay as they are. A file without statistics falls back to a column scan.
     """
-    s = spark.newSession()
+    app = spark.sparkContext.applicationId
+    s = _FOOTER_SESSIONS.get(app)
+    if s is None:
+        s = _FOOTER_SESSIONS[app] = spark.newSession()
     for k, v in spark.conf.getAll.items():
         if s.conf.isModifiable(k) and s.conf.get(k, None) != v:
             s.conf.set(k, v)
