@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.text import utrim
+from spendlens.operators.skew import MAX_HOT_KEYS, PIECE_ROWS, join_back
 from spendlens.schema import taxonomy_df
 
 # ---------------------------------------------------------------------------
@@ -198,13 +199,18 @@ def spending_habits(tx: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def flag_recurring(tx: DataFrame, min_months: int = 3, tolerance_pct: int = 5) -> DataFrame:
+def flag_recurring(tx: DataFrame, min_months: int = 3, tolerance_pct: int = 5,
+                   max_hot_keys: int = MAX_HOT_KEYS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Rows of ``tx`` with ``is_recurring`` from ``recurring_merchants`` joined back on
-    (user, merchant); rows that are not expenses get false. A hot (user, merchant) pair is a
-    skewed join key that AQE's skew-join handling splits."""
+    (user, merchant); rows that are not expenses get false. The join back splits a hot
+    (user, merchant) pair over several tasks (``skew.join_back``)."""
     rec = recurring_merchants(tx, min_months, tolerance_pct).select(
-        "user_id", F.col("merchant").alias("activity_description"), F.col("is_recurring").alias("_rec")
+        "user_id", F.col("merchant").alias("activity_description"), F.col("is_recurring").alias("_rec"),
+        F.col("n_transactions").alias("_n"),
     )
-    out = tx.join(rec, ["user_id", "activity_description"], "left")
+    # The rows recurring_merchants counted: only these can match.
+    eligible = (F.col("amount_spent") > 0) & F.col("activity_description").isNotNull()
+    out = join_back(tx, rec, ["user_id", "activity_description"], "_n", "transaction_id", eligible,
+                    max_hot_keys, piece_rows)
     flag = F.coalesce(F.col("_rec") & (F.col("amount_spent") > 0), F.lit(False))
-    return out.withColumn("is_recurring", flag).drop("_rec")
+    return out.withColumn("is_recurring", flag).drop("_rec", "_n")

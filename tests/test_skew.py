@@ -137,3 +137,29 @@ def test_payloads_bounded_and_whole_under_skew(hot_tx, hot_pd):
     assert len(hot_docs) > 1
     ids = sorted(int(i) for r in hot_docs for i in pd.read_json(io.StringIO(r.payload))["transaction_id"])
     assert ids == sorted(hot_pd.loc[hot_pd["user_id"] == HOT, "transaction_id"].tolist())
+
+
+def test_recurring_flags_split_a_hot_merchant(spark, hot_tx):
+    """One (user, merchant) pair with a third of the rows: the join back salts it over several
+    pieces (small piece size stands in for a large table) and the flags equal the plain join."""
+    from spendlens.operators.enrich import flag_recurring, recurring_merchants
+
+    is_hot = F.col("user_id") == HOT
+    hot = hot_tx.withColumns({
+        "activity_description": F.when(is_hot, F.lit("NETFLIX")).otherwise(F.col("activity_description")),
+        # One price: the hot pair is recurring.
+        "amount_spent": F.when(is_hot & (F.col("amount_spent") > 0), F.lit(15.99).cast("decimal(18,2)"))
+        .otherwise(F.col("amount_spent")),
+    })
+    rec = recurring_merchants(hot).select("user_id", F.col("merchant").alias("activity_description"), "is_recurring")
+    plain = hot.join(rec.withColumnRenamed("is_recurring", "_r"), ["user_id", "activity_description"], "left")
+    want = {r.transaction_id: bool(r._r) and r.amount_spent > 0 for r in plain.collect()}
+    with conf(spark, **{"spark.sql.adaptive.coalescePartitions.enabled": "false",
+                        "spark.sql.autoBroadcastJoinThreshold": "-1",
+                        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        flagged = flag_recurring(hot, max_hot_keys=4, piece_rows=20)
+        got = {r.transaction_id: r.is_recurring for r in flagged.collect()}
+        parts = flagged.filter(F.col("user_id") == HOT).select(F.spark_partition_id()).distinct().count()
+    assert got == want and len(got) == hot.count()
+    assert any(want.values())
+    assert parts > 1
