@@ -96,12 +96,16 @@ def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int =
     return hk, small
 
 
-def _matched(incoming: DataFrame, history: DataFrame, broadcast_limit: int) -> DataFrame:
-    """Distinct stored keys, broadcast when proven small: after the semi-join they are a
-    subset of the upload's keys, so the upload's row count bounds them too."""
+def _matched(incoming: DataFrame, history: DataFrame, broadcast_limit: int, unique: bool = False) -> DataFrame:
+    """Stored keys that may match the upload. Proven small: distinct and broadcast (after the
+    semi-join they are a subset of the upload's keys, so its row count bounds them). Otherwise
+    left as plain rows for a shuffled join, so AQE can split a hot key (a distinct would come
+    out of its aggregate already partitioned by the key, which its skew-join rule cannot split);
+    ``unique=True`` de-duplicates anyway, for joins that must not multiply rows."""
     hk, small = stored_keys(incoming, history, broadcast_limit)
-    hk = hk.distinct()
-    return F.broadcast(hk) if small else hk
+    if small:
+        return F.broadcast(hk.distinct())
+    return hk.distinct() if unique else hk
 
 
 def new_rows(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
@@ -114,7 +118,7 @@ def new_rows(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEF
 def flag_duplicates(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """Every incoming row with ``is_duplicate``; one left join on distinct stored keys (so
     the join cannot multiply an incoming row)."""
-    hk = _matched(incoming, history, broadcast_limit).withColumn("_hit", F.lit(True))
+    hk = _matched(incoming, history, broadcast_limit, unique=True).withColumn("_hit", F.lit(True))
     inc = with_keys(incoming)
     joined = inc.join(hk, _key_cond(inc, hk), "left")
     return joined.select(*[inc[c] for c in incoming.columns], F.coalesce(F.col("_hit"), F.lit(False)).alias("is_duplicate"))

@@ -74,8 +74,14 @@ def user_history(tx: DataFrame, user_id: int | Column) -> DataFrame:
 
 
 def users_history(tx: DataFrame, users: DataFrame) -> DataFrame:
-    """Batch form of S5: the history of every user in ``users`` (a semi-join, no duplicates)."""
-    return tx.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    """Batch form of S5: the history of every user in ``users`` (a semi-join, no duplicates).
+
+    The user ids are not de-duplicated first: a semi-join does not need it, and a distinct
+    would come out of its aggregate already partitioned by user_id, which keeps AQE from
+    splitting a hot user's rows (its skew-join rule needs two plain shuffles). Small id sets
+    are still broadcast by Spark's size threshold.
+    """
+    return tx.join(users.select("user_id"), "user_id", "left_semi")
 
 
 def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str, base: int | None = None) -> DataFrame:

@@ -163,3 +163,45 @@ def test_recurring_flags_split_a_hot_merchant(spark, hot_tx):
     assert got == want and len(got) == hot.count()
     assert any(want.values())
     assert parts > 1
+
+
+def test_semi_and_anti_joins_split_a_hot_user(spark, hot_tx, hot_pd):
+    """The batch history lookup (semi-join) and the dedup anti-join beyond the broadcast limit
+    hand AQE two plain shuffles, so it splits the hot user's partition (small thresholds
+    stand in for a large table)."""
+    from spendlens.operators.dedup import new_rows
+    from spendlens.sources.tables import users_history
+
+    from spendlens.session import scratch_path
+
+    path = scratch_path(spark, "hot")
+    hot_tx.repartition(8).write.parquet(path)
+    rows = spark.read.parquet(path)  # several files: several map tasks, as a large scan has
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    with conf(spark, **settings):
+        hist = users_history(rows, hot_tx.filter(F.col("year") == 1998))
+        assert hist.count() == len(hot_pd[hot_pd["user_id"].isin(hot_pd.loc[hot_pd["year"] == 1998, "user_id"])])
+        hist.collect()
+        assert "skew=true" in hist._jdf.queryExecution().executedPlan().toString()
+
+        # A hot dedup key: the hot user's upload repeats one transaction (a third of the rows).
+        same = F.col("user_id") == HOT
+        incoming = rows.withColumns({
+            "transaction_date": F.when(same, F.lit("1998-03-02").cast("timestamp_ntz")).otherwise(F.col("transaction_date")),
+            "activity_description": F.when(same, F.lit("COFFEE")).otherwise(F.col("activity_description")),
+            "amount_spent": F.when(same, F.lit(3.5).cast("decimal(18,2)")).otherwise(F.col("amount_spent")),
+        })
+        stored = incoming.filter(F.col("transaction_date") < F.lit("1997-01-01").cast("timestamp_ntz"))
+        shuffled = new_rows(incoming, stored, broadcast_limit=1)  # beyond the limit: shuffled anti-join
+        got = sorted(r.transaction_id for r in shuffled.collect())
+        assert "skew=true" in shuffled._jdf.queryExecution().executedPlan().toString()
+    broadcast = sorted(r.transaction_id for r in new_rows(incoming, stored).collect())
+    assert got == broadcast
+    assert len(got) == int((hot_pd["transaction_date"] >= "1997-01-01").sum()) + int((hot_pd["user_id"] == HOT).sum()) \
+        - int(((hot_pd["user_id"] == HOT) & (hot_pd["transaction_date"] >= "1997-01-01")).sum())
