@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,10 +130,12 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
                              base=_id_base(spark, log, tx_path, part))
             # Sorted by user inside each file: later per-user scans skip other users' row groups.
             out = out.select(*TX_COLUMNS, "upload_id").withColumn("ingest_batch", F.lit(part))
+            # The batch's highest id is observed while the rows are written (no extra job).
+            ids = Observation(f"ids-{part}")
+            out = out.observe(ids, F.max("transaction_id").alias("max_id"))
             _overwrite_partitions(out.sortWithinPartitions("ingest_batch", "year", "user_id", "transaction_id"),
                                   tx_path, "ingest_batch", "year")
-            written = spark.read.schema(STORED).parquet(tx_path).filter(F.col("ingest_batch") == part)
-            max_id = written.select(F.max("transaction_id")).first()[0]
+            max_id = ids.get["max_id"]
         _overwrite_partitions(
             fresh.select("doc_id", "content_sha", "upload_id", F.lit(max_id).cast("long").alias("max_id"),
                          F.lit(part).alias("ingest_batch")),
