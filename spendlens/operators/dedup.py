@@ -117,7 +117,8 @@ def new_rows(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEF
 
 def flag_duplicates(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """Every incoming row with ``is_duplicate``; one left join on distinct stored keys (so
-    the join cannot multiply an incoming row)."""
+    the join cannot multiply an incoming row). For counts use ``dedup_report``, which
+    aggregates per key first and cannot be held up by a hot key."""
     hk = _matched(incoming, history, broadcast_limit, unique=True).withColumn("_hit", F.lit(True))
     inc = with_keys(incoming)
     joined = inc.join(hk, _key_cond(inc, hk), "left")
@@ -149,13 +150,23 @@ def new_rows_by_upload(incoming: DataFrame, history: DataFrame, upload_col: str
 
 def dedup_report(incoming: DataFrame, history: DataFrame, by: list[str] | None = None,
                  broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Incoming, inserted and skipped counts per ``by`` group (J2): inserted + skipped = incoming."""
+    """Incoming, inserted and skipped counts per ``by`` group (J2): inserted + skipped = incoming.
+
+    Counts are taken per (key, group) first - a partial aggregate, so even one transaction
+    repeated in a third of the upload becomes one row per map task - and the key counts are
+    then joined with the distinct stored keys: both sides are unique per key, so no join task
+    can be held up by a hot key (AQE, which measures compressed bytes, would not see one made
+    of identical rows).
+    """
     by = ["user_id"] if by is None else by
-    flagged = flag_duplicates(incoming, history, broadcast_limit)
-    return flagged.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("incoming"),
-        F.count(F.when(~F.col("is_duplicate"), 1)).alias("inserted"),
-        F.count(F.when(F.col("is_duplicate"), 1)).alias("skipped"),
+    hk = _matched(incoming, history, broadcast_limit, unique=True).withColumn("_hit", F.lit(True))
+    counts = with_keys(incoming).groupBy(*KEY_COLUMNS, *by).agg(F.count(F.lit(1)).alias("_c"))
+    joined = counts.join(hk, _key_cond(counts, hk), "left")
+    c, hit = F.col("_c"), F.col("_hit")
+    return joined.groupBy(*[counts[b] for b in by]).agg(
+        F.sum(c).alias("incoming"),
+        F.coalesce(F.sum(F.when(hit.isNull(), c)), F.lit(0).cast("long")).alias("inserted"),
+        F.coalesce(F.sum(F.when(hit, c)), F.lit(0).cast("long")).alias("skipped"),
     )
 
 

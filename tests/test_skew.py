@@ -169,7 +169,7 @@ def test_semi_and_anti_joins_split_a_hot_user(spark, hot_tx, hot_pd):
     """The batch history lookup (semi-join) and the dedup anti-join beyond the broadcast limit
     hand AQE two plain shuffles, so it splits the hot user's partition (small thresholds
     stand in for a large table)."""
-    from spendlens.operators.dedup import new_rows
+    from spendlens.operators.dedup import dedup_report, new_rows
     from spendlens.sources.tables import users_history
 
     from spendlens.session import scratch_path
@@ -201,6 +201,11 @@ def test_semi_and_anti_joins_split_a_hot_user(spark, hot_tx, hot_pd):
         shuffled = new_rows(incoming, stored, broadcast_limit=1)  # beyond the limit: shuffled anti-join
         got = sorted(r.transaction_id for r in shuffled.collect())
         assert "skew=true" in shuffled._jdf.queryExecution().executedPlan().toString()
+        # The report pre-aggregates per key, so its joins see unique keys on both sides.
+        rep = sorted(tuple(r) for r in dedup_report(incoming, stored, broadcast_limit=1).collect())
+    assert rep == sorted(tuple(r) for r in dedup_report(incoming, stored).collect())
+    hot_rep = [r for r in rep if r[0] == HOT]
+    assert hot_rep == [(HOT, int((hot_pd["user_id"] == HOT).sum()), int((hot_pd["user_id"] == HOT).sum()), 0)]
     broadcast = sorted(r.transaction_id for r in new_rows(incoming, stored).collect())
     assert got == broadcast
     assert len(got) == int((hot_pd["transaction_date"] >= "1997-01-01").sum()) + int((hot_pd["user_id"] == HOT).sum()) \
