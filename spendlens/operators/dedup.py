@@ -109,10 +109,29 @@ def _matched(incoming: DataFrame, history: DataFrame, broadcast_limit: int, uniq
 
 
 def new_rows(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Incoming rows whose key is not stored for the same user."""
-    hk = _matched(incoming, history, broadcast_limit)
-    inc = with_keys(incoming)
-    return inc.join(hk, _key_cond(inc, hk), "left_anti").drop(*KEY_COLUMNS)
+    """Incoming rows whose key is not stored for the same user.
+
+    Beyond the broadcast limit the anti-join is shuffled. Equal incoming rows are first
+    collapsed to one row per input split with their number of copies (a partial aggregate),
+    and expanded again after the join (each expansion at most one split's rows): a transaction
+    repeated many times reaches the join as a few rows. Whatever is still skewed is made of
+    distinct rows, whose size AQE sees and splits (it measures compressed bytes, which
+    identical rows would hide).
+    """
+    hk, small = stored_keys(incoming, history, broadcast_limit)
+    if small:
+        hk = F.broadcast(hk.distinct())
+        inc = with_keys(incoming)
+        return inc.join(hk, _key_cond(inc, hk), "left_anti").drop(*KEY_COLUMNS)
+    cols = incoming.columns
+    collapsed = incoming.groupBy(*cols, F.spark_partition_id().alias("_split")).agg(
+        F.count(F.lit(1)).alias("_copies")
+    )
+    inc = with_keys(collapsed)
+    kept = inc.join(hk, _key_cond(inc, hk), "left_anti")
+    return kept.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop(
+        "_copy"
+    )
 
 
 def flag_duplicates(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:

@@ -183,6 +183,8 @@ def test_semi_and_anti_joins_split_a_hot_user(spark, hot_tx, hot_pd):
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        # Many map tasks feed each join at scale; here coalescing would leave one.
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
     }
     with conf(spark, **settings):
         hist = users_history(rows, hot_tx.filter(F.col("year") == 1998))
@@ -210,3 +212,22 @@ def test_semi_and_anti_joins_split_a_hot_user(spark, hot_tx, hot_pd):
     assert got == broadcast
     assert len(got) == int((hot_pd["transaction_date"] >= "1997-01-01").sum()) + int((hot_pd["user_id"] == HOT).sum()) \
         - int(((hot_pd["user_id"] == HOT) & (hot_pd["transaction_date"] >= "1997-01-01")).sum())
+
+
+def test_identical_hot_rows_survive_the_shuffled_dedup(spark, hot_tx):
+    """One transaction repeated byte-for-byte: beyond the broadcast limit the copies are
+    collapsed per input split before the anti-join and expanded after it; every copy is kept."""
+    from collections import Counter
+
+    from spendlens.operators.dedup import new_rows
+
+    same = F.col("user_id") == HOT
+    one = hot_tx.filter(same).orderBy("transaction_id").limit(1)
+    copies = one.select("*", F.explode(F.sequence(F.lit(1), F.lit(400))).alias("_n")).drop("_n")
+    incoming = hot_tx.filter(~same).unionByName(copies).repartition(8)
+    stored = hot_tx.filter(~same & (F.col("transaction_date") < F.lit("1997-01-01").cast("timestamp_ntz")))
+    shuffled = Counter(r.transaction_id for r in new_rows(incoming, stored, broadcast_limit=1).collect())
+    broadcast = Counter(r.transaction_id for r in new_rows(incoming, stored).collect())
+    assert shuffled == broadcast
+    hot_id = one.first().transaction_id
+    assert shuffled[hot_id] == 400
