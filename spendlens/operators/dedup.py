@@ -108,40 +108,57 @@ def _matched(incoming: DataFrame, history: DataFrame, broadcast_limit: int, uniq
     return hk.distinct() if unique else hk
 
 
+def _collapse(incoming: DataFrame) -> DataFrame:
+    """Equal rows collapsed to one row per input split with their number of ``_copies`` (a
+    partial aggregate): a transaction repeated many times reaches a shuffled join as a few
+    rows. AQE sizes join partitions by compressed bytes, which identical rows would hide."""
+    return incoming.groupBy(*incoming.columns, F.spark_partition_id().alias("_split")).agg(
+        F.count(F.lit(1)).alias("_copies")
+    )
+
+
+def _expand(collapsed: DataFrame, columns: list[str]) -> DataFrame:
+    """The collapsed rows again, each as often as it came (at most one split's rows each)."""
+    return collapsed.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop(
+        "_copy"
+    )
+
+
 def new_rows(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """Incoming rows whose key is not stored for the same user.
 
-    Beyond the broadcast limit the anti-join is shuffled. Equal incoming rows are first
-    collapsed to one row per input split with their number of copies (a partial aggregate),
-    and expanded again after the join (each expansion at most one split's rows): a transaction
-    repeated many times reaches the join as a few rows. Whatever is still skewed is made of
-    distinct rows, whose size AQE sees and splits (it measures compressed bytes, which
-    identical rows would hide).
+    Beyond the broadcast limit the anti-join is shuffled; equal incoming rows are collapsed
+    before it and expanded after it (``_collapse``), so whatever is still skewed is made of
+    distinct rows, whose size AQE sees and splits.
     """
     hk, small = stored_keys(incoming, history, broadcast_limit)
     if small:
         hk = F.broadcast(hk.distinct())
         inc = with_keys(incoming)
         return inc.join(hk, _key_cond(inc, hk), "left_anti").drop(*KEY_COLUMNS)
-    cols = incoming.columns
-    collapsed = incoming.groupBy(*cols, F.spark_partition_id().alias("_split")).agg(
-        F.count(F.lit(1)).alias("_copies")
-    )
-    inc = with_keys(collapsed)
-    kept = inc.join(hk, _key_cond(inc, hk), "left_anti")
-    return kept.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop(
-        "_copy"
-    )
+    inc = with_keys(_collapse(incoming))
+    return _expand(inc.join(hk, _key_cond(inc, hk), "left_anti"), incoming.columns)
 
 
 def flag_duplicates(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Every incoming row with ``is_duplicate``; one left join on distinct stored keys (so
-    the join cannot multiply an incoming row). For counts use ``dedup_report``, which
-    aggregates per key first and cannot be held up by a hot key."""
-    hk = _matched(incoming, history, broadcast_limit, unique=True).withColumn("_hit", F.lit(True))
-    inc = with_keys(incoming)
-    joined = inc.join(hk, _key_cond(inc, hk), "left")
-    return joined.select(*[inc[c] for c in incoming.columns], F.coalesce(F.col("_hit"), F.lit(False)).alias("is_duplicate"))
+    """Every incoming row with ``is_duplicate``.
+
+    Proven small: one left join on the distinct stored keys, broadcast (so the join cannot
+    multiply an incoming row). Beyond the limit: equal rows collapsed (``_collapse``), then a
+    semi-join (duplicates) and an anti-join (new rows) with the plain stored key rows - two
+    joins AQE can split, where a left join with distinct keys could not be - and expanded.
+    """
+    hk, small = stored_keys(incoming, history, broadcast_limit)
+    if small:
+        hk = F.broadcast(hk.distinct()).withColumn("_hit", F.lit(True))
+        inc = with_keys(incoming)
+        joined = inc.join(hk, _key_cond(inc, hk), "left")
+        return joined.select(*[inc[c] for c in incoming.columns],
+                             F.coalesce(F.col("_hit"), F.lit(False)).alias("is_duplicate"))
+    inc = with_keys(_collapse(incoming))
+    dup = inc.join(hk, _key_cond(inc, hk), "left_semi").withColumn("is_duplicate", F.lit(True))
+    new = inc.join(hk, _key_cond(inc, hk), "left_anti").withColumn("is_duplicate", F.lit(False))
+    return _expand(dup.unionByName(new), [*incoming.columns, "is_duplicate"])
 
 
 def new_rows_by_upload(incoming: DataFrame, history: DataFrame, upload_col: str = "upload_id",

@@ -216,7 +216,8 @@ def test_semi_and_anti_joins_split_a_hot_user(spark, hot_tx, hot_pd):
 
 def test_identical_hot_rows_survive_the_shuffled_dedup(spark, hot_tx):
     """One transaction repeated byte-for-byte: beyond the broadcast limit the copies are
-    collapsed per input split before the anti-join and expanded after it; every copy is kept."""
+    collapsed per input split before the joins and expanded after them; every copy is kept
+    (new rows) and flagged (duplicate flags)."""
     from collections import Counter
 
     from spendlens.operators.dedup import new_rows
@@ -231,3 +232,11 @@ def test_identical_hot_rows_survive_the_shuffled_dedup(spark, hot_tx):
     assert shuffled == broadcast
     hot_id = one.first().transaction_id
     assert shuffled[hot_id] == 400
+
+    from spendlens.operators.dedup import flag_duplicates
+
+    def flags(limit):
+        return Counter((r.transaction_id, r.is_duplicate) for r in flag_duplicates(incoming, stored, limit).collect())
+
+    assert flags(1) == flags(2_000_000)
+    assert flags(1)[(hot_id, False)] == 400
