@@ -171,7 +171,8 @@ def new_rows_by_upload(incoming: DataFrame, history: DataFrame, upload_col: str
     within the same batch. Stored rows without an upload id count as earliest.
     """
     hk, small = stored_keys(incoming, history, broadcast_limit, extra=[upload_col])
-    inc = with_keys(incoming)
+    # Beyond the limit the join is shuffled: equal rows are collapsed first (see ``_collapse``).
+    inc = with_keys(incoming if small else _collapse(incoming))
     first = (
         hk.select(*KEY_COLUMNS, F.coalesce(F.col(upload_col), F.lit(-1)).cast("long").alias("_k_up"))
         .unionByName(inc.select(*KEY_COLUMNS, F.col(upload_col).cast("long").alias("_k_up")))
@@ -181,7 +182,8 @@ def new_rows_by_upload(incoming: DataFrame, history: DataFrame, upload_col: str
     # After the semi-join the keys are a subset of the upload's keys: bounded by its row count.
     ref = F.broadcast(first) if small else first
     cond = _key_cond(inc, ref) & (ref["_k_first"] < inc[upload_col])
-    return inc.join(ref, cond, "left_anti").drop(*KEY_COLUMNS)
+    kept = inc.join(ref, cond, "left_anti")
+    return kept.drop(*KEY_COLUMNS) if small else _expand(kept, incoming.columns)
 
 
 def dedup_report(incoming: DataFrame, history: DataFrame, by: list[str] | None = None,

@@ -240,3 +240,28 @@ def test_identical_hot_rows_survive_the_shuffled_dedup(spark, hot_tx):
 
     assert flags(1) == flags(2_000_000)
     assert flags(1)[(hot_id, False)] == 400
+
+
+def test_upload_dedup_same_on_shuffled_and_broadcast_paths(spark, hot_tx):
+    """Uploads as the dedup unit, with one transaction repeated 300 times in upload 1 and again
+    in upload 2: both paths keep upload 1's copies, skip upload 2's, and agree row for row."""
+    from collections import Counter
+
+    from spendlens.operators.dedup import new_rows_by_upload
+
+    same = F.col("user_id") == HOT
+    one = hot_tx.filter(same).orderBy("transaction_id").limit(1)
+    rep = one.select("*", F.explode(F.sequence(F.lit(1), F.lit(300))).alias("_n")).drop("_n")
+    incoming = (
+        hot_tx.filter(~same).withColumn("upload_id", F.pmod("transaction_id", 2) + 1)
+        .unionByName(rep.withColumn("upload_id", F.lit(1).cast("long")))
+        .unionByName(rep.withColumn("upload_id", F.lit(2).cast("long")))
+        .repartition(8)
+    )
+    stored = hot_tx.filter(~same & (F.col("transaction_date") < F.lit("1996-01-01").cast("timestamp_ntz"))) \
+        .withColumn("upload_id", F.lit(None).cast("long"))
+    shuffled = Counter((r.transaction_id, r.upload_id) for r in new_rows_by_upload(incoming, stored, broadcast_limit=1).collect())
+    broadcast = Counter((r.transaction_id, r.upload_id) for r in new_rows_by_upload(incoming, stored).collect())
+    assert shuffled == broadcast
+    hot_id = one.first().transaction_id
+    assert shuffled[(hot_id, 1)] == 300 and shuffled[(hot_id, 2)] == 0
