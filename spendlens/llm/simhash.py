@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import ASCII_LOWER, map_slices, shuffle_parts, space_words, written
+from .common import ASCII_LOWER, map_slices, shuffle_parts, small, space_words, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -214,8 +214,6 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
         .where(F.col("count") > GROUP_ROWS)
         .select("key", F.least(F.lit(1024), F.pow(2, F.ceil(F.log2(F.col("count") / GROUP_ROWS)))).cast("int").alias("split"))
     )
-    from .common import small
-
     dealt = (
         rows.join(small(full), "key", "left")
         .withColumn("split", F.coalesce("split", F.lit(1)))
