@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, lines, packing, pii, quality, simhash
+from . import decontam, html_extract, langid, licenses, lines, packing, pii, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(_documents(spark, sf_dir)).select(
         "doc_id",
@@ -79,5 +83,6 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_host_quality": op10_host_quality,
 }
