@@ -59,6 +59,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     def flush():
         nonlocal linked
+        if not texts:
+            return
         text = " ".join(html.unescape("".join(texts)).split())
         if text and not any(e.hidden for e in stack):
             names = frozenset().union(*(e.names for e in stack))

@@ -11,7 +11,7 @@ read.
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from .crf import Crf, train
 from .html_blocks import Block, leaf_blocks
 from .labelled_pages import MARK, page
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 400
 
 # Words of class, id and role names by what they tell of the part they name.
 NAMES = {
@@ -41,32 +41,47 @@ _GROUP = {w: g for g, words in NAMES.items() for w in words.split()}
 _TAGS = frozenset(
     "article aside button details dialog dl fieldset figure footer form header label main menu nav select table ul ol".split()
 )
+# Wording of notices, forms and comments, looked for in blocks of under 50 words.
 _CUES = {
-    "copyright": re.compile(r"©|\(c\) |copyright|all rights reserved|tous droits|alle rechte|derechos reservados", re.I),
-    "cookie": re.compile(r"\bcookies?\b|privacy policy|terms of (?:use|service)", re.I),
-    "call": re.compile(r"\b(?:subscribe|sign up|log ?in|newsletter|share|tweet|follow|reply|advertisement|sponsored|read more)\b", re.I),
-    "said": re.compile(r"\b(?:says|wrote|posted by|commented)\b", re.I),
-}
+    "copyright": ("©", "(c) ", "copyright", "all rights reserved", "tous droits", "alle rechte", "derechos reservados"),
+    "cookie": ("cookie", "privacy policy", "terms of use", "terms of service"),
+    "call": ("subscribe", "sign up", "log in", "login", "newsletter", "share on", "tweet", "follow", "reply",
+             "advertisement", "sponsored", "read more"),
+    "said": (" says", " wrote", "posted by", "commented"),
+}
 _STEPS = (2, 5, 10, 20, 50)
 
 
+def _place_features(b: Block) -> frozenset[str]:
+    """What the tags and names above a block tell, whatever its text."""
+    groups = {g for w in b.names if (g := _GROUP.get(w))}
+    above = _TAGS.intersection(b.path)
+    found = {"bias", f"own={b.path[-1] if b.path else 'none'}", f"depth={min(8, len(b.path))}"}
+    found.update(f"name={g}" for g in groups)
+    found.update(f"above={t}" for t in above)
+    if not groups and not above & {"nav", "aside", "footer", "header", "form", "menu", "dialog"}:
+        found.add("plain")
+    return frozenset(found)
+
+
 def block_features(blocks: list[Block]) -> list[set[str]]:
-    out = []
+    out, places = [], {}
     for i, b in enumerate(blocks):
+        key = (b.path, b.names)
+        if key not in places:
+            places[key] = _place_features(b)
+        found = set(places[key])
         words = b.text.count(" ") + 1
         size = sum(words >= s for s in _STEPS)
-        link = 0 if b.links == 0 else 1 if b.links < 0.3 else 2 if b.links < 0.8 else 3
-        own = b.path[-1] if b.path else "none"
-        groups = {g for w in b.names if (g := _GROUP.get(w))}
-        above = _TAGS.intersection(b.path)
-        found = {"bias", f"own={own}", f"size={size}", f"link={link}", f"own={own} size={size}", f"depth={min(8, len(b.path))}"}
-        found.update(f"name={g}" for g in groups)
-        found.update(f"above={t}" for t in above)
-        if not groups and not above & {"nav", "aside", "footer", "header", "form", "menu", "dialog"}:
-            found.add("plain")
+        found.add(f"size={size}")
+        found.add(f"own={b.path[-1] if b.path else 'none'} size={size}")
+        if "plain" in found:
             found.add(f"plain size={size}")
+        found.add("link=" + ("0" if b.links == 0 else "1" if b.links < 0.3 else "2" if b.links < 0.8 else "3"))
         found.add("stop" if b.text[-1] in ".!?…:;\"”)" else "no stop")
-        found.update(f"cue={c}" for c, p in _CUES.items() if p.search(b.text))
+        if size < 5:
+            low = b.text.lower()
+            found.update(f"cue={c}" for c, cues in _CUES.items() if any(cue in low for cue in cues))
         found.add(f"place={min(3, 4 * i // len(blocks))}")
         if i == 0 or i == len(blocks) - 1:
             found.add("first" if i == 0 else "last")
@@ -85,6 +100,7 @@ def labelled_sequence(text: str) -> tuple[list[set[str]], list[int]]:
     return block_features([b for b, _ in kept]), labels
 
 
+@lru_cache(maxsize=1)
 def fit(pages: int = TRAINING_PAGES) -> Crf:
     return train([s for seed in range(pages) if (s := labelled_sequence(page(seed)))[0]])
 

@@ -64,6 +64,8 @@ class Words:
         return phrase
 
     def paragraph(self) -> str:
+        if self.rng.random() < 0.15:  # prose without sentences: rows, lists, fragments
+            return self.rng.choice((" ", ", ", " | ")).join(self.word() for _ in range(self.rng.randint(2, 40)))
         return " ".join(self.sentence() for _ in range(self.rng.choice((1, 1, 2, 3, 5, 8))))
 
 
@@ -94,10 +96,11 @@ def _article(w: Words) -> str:
     rng = w.rng
     out = []
     if rng.random() < 0.8:
-        out.append(f"<h1>{MARK}{w.sentence(10)}</h1>")
+        title = w.sentence(10)
+        out.append(f"<h1>{MARK}{title if rng.random() < 0.5 else title[:-1]}</h1>")
     if rng.random() < 0.3:
         out.append(f'<p class="byline">{MARK}{w.word().capitalize()} {w.word()}</p>')
-    for _ in range(rng.randint(1, 9)):
+    for _ in range(rng.choice((1, 1, 2, 3, 4, 6, 9))):
         kind = rng.random()
         text = f"{MARK}{w.paragraph()}"
         if kind < 0.6:
