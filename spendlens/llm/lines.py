@@ -61,7 +61,8 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int, par
     def make():
         def rows(ids, hashes, texts):
             for doc, h, text in zip(ids, hashes, texts, strict=True):
-                for n, (a, b) in enumerate(units(text or "", paragraphs)):
+                text = text or ""
+                for n, (a, b) in enumerate(units(text, paragraphs)):
                     words = normalise(text[a:b])
                     if len(words) >= min_words:
                         d = hashlib.blake2b(b" ".join(words), digest_size=16).digest()

@@ -1,3 +1,118 @@
-"""DuckDB SQL with the rows of those queries that SQL can express."""
+"""DuckDB SQL with the rows of those queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+The others have no SQL form: fuzzy matching (op1), trained models (op2, op9), XXH64 fingerprints
+(op3), disguised identifiers (op5) and token ids (op6); tests/llm holds them against brute force,
+held-out data or exact round trips.
+"""
+
+from __future__ import annotations
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_ITEM_WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_SPACE_WORD = r"[^\x20\x09-\x0D]+"
+
+OP4 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM p) WHERE n > 1),
+m AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+      FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM r)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM m GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (SELECT c.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head,
+                max(b) AS tail, sum(b - a) AS removed, count(*) AS spans
+         FROM cuts c JOIN d ON c.doc_id = d.doc_id GROUP BY c.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+s AS (SELECT item_id, w, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS k
+            FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM s)),
+sizes AS (SELECT DISTINCT size FROM windows),
+spots AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes),
+hits AS (SELECT doc_id, i, a.size, item_id
+         FROM (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS k FROM spots) a
+         JOIN windows v ON a.k = v.k AND a.size = v.size),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+OP8 = f"""
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS unit, unnest(ls) AS line, len(ls) AS units
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')),
+n AS (SELECT doc_id, unit, line, units, regexp_extract_all(translate(line, {_LOWER}), '{_SPACE_WORD}') AS w,
+             coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+      FROM l),
+k AS (SELECT *, len(w) >= 10 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit) > 1 AS gone FROM n),
+t AS (SELECT doc_id, max(units) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+             coalesce(sum(length(line)) FILTER (WHERE gone), 0) AS n_chars_removed,
+             coalesce(string_agg(a::BIGINT || ':' || (a + length(line))::BIGINT, ',' ORDER BY unit) FILTER (WHERE gone), '') AS spans,
+             coalesce(string_agg(line || CASE WHEN unit < units - 1 THEN chr(10) ELSE '' END, '' ORDER BY unit) FILTER (WHERE NOT gone), '') AS kept
+      FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_chars_removed, 0)::BIGINT AS n_chars_removed, coalesce(spans, '') AS spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+# The failure counts of each rule, as (name, condition); the prior's formulas follow quality.prior.
+_RULES = {
+    "few_words": "n_words < 10",
+    "repetition": "n_repeat_words * 100 > n_words * 20",
+    "symbols": "n_symbols * 10 > n_words",
+    "word_length": "word_chars < n_words * 2 OR word_chars > n_words * 12",
+    "dup_lines": "n_dup_lines * 100 > n_lines * 30",
+}
+
+
+def _per_rule(template: str) -> str:
+    return ",\n       ".join(template.replace("@", r) for r in _RULES)
+
+
+_FAILURES = ", ".join(f"sum(({c})::INT) AS f_{r}" for r, c in _RULES.items())
+_FURTHER = " + ".join(f"({_RULES[r]})::INT" for r in ("symbols", "word_length", "dup_lines"))
+_WORST = ", ".join(f"(f_{r} + mean_{r} * m_{r}) / (h.n + m_{r})" for r in _RULES)
+
+OP10 = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE_WORD}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
+c AS (SELECT d.doc_id, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+             len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACE_WORD}'))) AS n_lines,
+             len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACE_WORD}')))
+             - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACE_WORD}')))) AS n_dup_lines,
+             coalesce(rep.n, 0) AS n_repeat_words
+      FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
+h AS (SELECT source, count(*) AS n, {_FAILURES} FROM c WHERE source IS NOT NULL GROUP BY source),
+s AS (SELECT count(*) AS hosts, sum(n) AS n, sum(n::DOUBLE * n) AS nn,
+       {_per_rule("sum(f_@)::DOUBLE / sum(n) AS mean_@")},
+       {_per_rule("sum(f_@::DOUBLE * f_@ / n) - sum(f_@)::DOUBLE * sum(f_@) / sum(n) AS within_@")} FROM h),
+v AS (SELECT *, {_per_rule("CASE WHEN n - nn / n > 0 THEN (within_@ - (hosts - 1) * mean_@ * (1 - mean_@)) / (n - nn / n) ELSE 0 END AS between_@")} FROM s),
+p AS (SELECT *, {_per_rule("CASE WHEN between_@ <= 0 OR mean_@ * (1 - mean_@) <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, mean_@ * (1 - mean_@) / between_@ - 1)) END AS m_@")} FROM v),
+bad AS (SELECT source FROM h, p WHERE greatest({_WORST}) > 0.5)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words,
+       ({_RULES["few_words"]} OR {_RULES["repetition"]}) AS base_failed,
+       NOT ({_RULES["few_words"]} OR {_RULES["repetition"]})
+         AND {_FURTHER} <= CASE WHEN bad.source IS NULL THEN 1 ELSE 0 END AS kept,
+       bad.source IS NOT NULL AS host_rejected
+FROM c LEFT JOIN bad ON c.source = bad.source
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_substring_dedup": OP4,
+    "op7_decontamination": OP7,
+    "op8_line_dedup": OP8,
+    "op10_host_quality": OP10,
+}
