@@ -1,17 +1,57 @@
-"""The corpus pipeline: quality rules, near-dedup, decontamination, masking, packing."""
+"""The corpus pipeline: quality rules, near-dedup, decontamination, masking, packing.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), works on all rows
+its predecessor kept and returns a DataFrame, which is written as Parquet and read again for the
+next. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
 
-# The SimHash components and the tokenizer's ids have no SQL form.
-ORACLE_SQL = None
+from spendlens.llm import decontam, packing, pii, quality, simhash
+from spendlens.llm.common import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the host-level rules keep."""
+    return quality.filter_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def run(spark, sf_dir):
-    from spendlens.llm.common import written
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.mask_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("PII", mask_pii),
+    ("packing", pack),
+]
+
+# Fingerprints of XXH64 shingles, the masks of disguised identifiers and token ids have no SQL.
+ORACLE_SQL = None
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.lower().replace(' ', '-')}")
     return docs
