@@ -43,7 +43,7 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(
-    pages: list[tuple[list[set[str]], list[int]]], labels: int = 2, steps: int = 80, rate: float = 0.15, l2: float = 1.0
+    pages: list[tuple[list[set[str]], list[int]]], labels: int = 2, steps: int = 80, rate: float = 0.15, l2: float = 2.0
 ) -> Crf:
     """Fit to (feature sets, labels) per sequence; features seen fewer than three times are left out."""
     counts: dict[str, int] = {}

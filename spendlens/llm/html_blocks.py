@@ -23,9 +23,11 @@ ENDS_OWN = {
 ENDS_P = BLOCKS - {"button", "label", "option", "optgroup", "legend", "caption"}
 SCOPES = frozenset("table td th div section article main aside nav ul ol body".split())
 
+# Possessive and never past the next "<": each character is looked at a bounded number of times.
+_ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=hidden)\b[^>]*(?:>|\Z)|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{HIDDEN})\b{_ATTRS}>.*?(?:</(?P=hidden)\b[^>]*(?:>|\Z)|\Z)"
+    rf"|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>{_ATTRS})>"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )

@@ -56,7 +56,7 @@ def _place_features(b: Block) -> frozenset[str]:
     """What the tags and names above a block tell, whatever its text."""
     groups = {g for w in b.names if (g := _GROUP.get(w))}
     above = _TAGS.intersection(b.path)
-    found = {"bias", f"own={b.path[-1] if b.path else 'none'}", f"depth={min(8, len(b.path))}"}
+    found = {"bias", f"own={b.path[-1] if b.path else 'none'}"}
     found.update(f"name={g}" for g in groups)
     found.update(f"above={t}" for t in above)
     if not groups and not above & {"nav", "aside", "footer", "header", "form", "menu", "dialog"}:

@@ -134,6 +134,8 @@ def page(seed: int) -> str:
         if rng.random() < odds:
             parts.append(_surrounding(kind, w))
     opening = rng.choice(CONTENT)
+    if rng.random() < 0.25:
+        opening = rng.choice(("<div>", '<div class="row">', "<section>")) + opening
     parts.append(opening + _article(w) + _closing(opening))
     for kind, odds in (
         ("share", 0.3), ("ad", 0.3), ("comments", 0.5), ("side", 0.5), ("form", 0.3), ("nav", 0.2), ("notice", 0.2), ("footer", 0.9),
@@ -141,6 +143,7 @@ def page(seed: int) -> str:
         if rng.random() < odds:
             parts.append(_surrounding(kind, w))
     body = "".join(parts)
-    if rng.random() < 0.3:
-        body = f'<div class="wrapper">{body}</div>'
+    for _ in range(rng.choice((0, 0, 1, 2))):
+        opening = rng.choice(("<div>", '<div class="wrapper">', '<div id="page">', "<center>", '<div class="container">'))
+        body = opening + body + _closing(opening)
     return f"<!DOCTYPE html><html><head><title>{w.sentence(6)}</title></head><body>{body}</body></html>"
