@@ -1,12 +1,15 @@
 """Deterministic stand-ins for the row rules a model applies to statement lines.
 
 Rule tables are small data, compiled into one native expression (evaluated map-side, no
-join); a large rule table is matched by an equi-join on description tokens instead.
+join); a large rule table is matched by an equi-join on the phrases of each different
+description instead, with the same rows as result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.text import utrim
@@ -28,26 +31,32 @@ MERCHANT_ALIASES = [
     ("PAYPAL", "PAYPAL"),
 ]
 
-# Category keywords: (keyword in the upper-cased merchant, category, sub-category), in
-# priority order (first match wins). Amazon comes first: its sub-category is Amazon too.
+# Category phrases: (phrase of whole words in the upper-cased merchant, category, sub-category),
+# in priority order (first match wins). Amazon comes first: its sub-category is Amazon too.
 CATEGORY_RULES = [
     ("AMAZON", "Amazon", "Amazon"),
     ("RENT", "Living Expenses", "Rent"),
     ("HYDRO", "Living Expenses", "Utilities"),
-    ("GROCER", "Living Expenses", "Groceries"),
-    ("MARKET", "Living Expenses", "Groceries"),
+    ("ELECTRIC", "Living Expenses", "Utilities"),
+    ("GROCERY", "Living Expenses", "Groceries"),
+    ("GROCERIES", "Living Expenses", "Groceries"),
+    ("SUPERMARKET", "Living Expenses", "Groceries"),
+    ("UBER EATS", "Living Expenses", "Dining Out"),
     ("RESTAURANT", "Living Expenses", "Dining Out"),
-    ("PLATE", "Living Expenses", "Dining Out"),
+    ("COFFEE", "Living Expenses", "Dining Out"),
+    ("PIZZA", "Living Expenses", "Dining Out"),
     ("UBER", "Living Expenses", "Transportation"),
     ("TRANSIT", "Living Expenses", "Transportation"),
+    ("GAS STATION", "Living Expenses", "Transportation"),
     ("APPAREL", "Personal & Lifestyle", "Clothing"),
-    ("RING", "Personal & Lifestyle", "Clothing"),
+    ("SHOES", "Personal & Lifestyle", "Clothing"),
     ("SALON", "Personal & Lifestyle", "Personal Care"),
     ("CINEMA", "Personal & Lifestyle", "Entertainment"),
     ("GYM", "Personal & Lifestyle", "Fitness"),
-    ("GEAR", "Personal & Lifestyle", "Fitness"),
-    ("AIRLINE", "Personal & Lifestyle", "Travel"),
+    ("AIRLINES", "Personal & Lifestyle", "Travel"),
+    ("HOTEL", "Personal & Lifestyle", "Travel"),
     ("LOAN", "Financial", "Loan Payments"),
+    ("CREDIT CARD PAYMENT", "Financial", "Credit Card Payments"),
     ("PAYMENT", "Financial", "Credit Card Payments"),
     ("SAVINGS", "Financial", "Savings"),
     ("INSURANCE", "Financial", "Insurance"),
@@ -89,51 +98,68 @@ def normalise_merchant(desc: Column, aliases: list[tuple[str, str]] | None = Non
 
 # --------------------------------------------------------------------------- X5, X6
 
-def _rules_df(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(
-        [(kw, c, s, i) for i, (kw, c, s) in enumerate(rules)], "keyword string, category string, sub_category string, priority int"
-    )
+# Characters between the words of a description or a rule phrase.
+WORD_SPLIT_RE = r"[^A-Z0-9&.]+"
+
+
+def _words(text: Column) -> Column:
+    """The upper-cased words of a text, joined by single spaces."""
+    return F.array_join(F.array_remove(F.split(F.upper(text), WORD_SPLIT_RE), ""), " ")
+
+
+def _phrase(keyword: str) -> str:
+    return " ".join(w for w in re.split(WORD_SPLIT_RE, keyword.upper()) if w)
 
 
 def categorise_expr(desc: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
-    """struct(category, sub_category) of the first keyword rule contained in ``desc``;
-    (Other, Other) when none matches (X5, X6)."""
-    up = F.upper(desc)
+    """struct(category, sub_category) of the first rule whose phrase stands in ``desc`` as whole
+    consecutive words; (Other, Other) when none does (X5, X6)."""
+    padded = F.concat(F.lit(" "), _words(desc), F.lit(" "))
     expr = F.struct(F.lit(OTHER[0]).alias("category"), F.lit(OTHER[1]).alias("sub_category"))
     for kw, cat, sub in reversed(rules if rules is not None else CATEGORY_RULES):
-        expr = F.when(up.contains(kw), F.struct(F.lit(cat).alias("category"), F.lit(sub).alias("sub_category"))).otherwise(expr)
+        hit = padded.contains(f" {_phrase(kw)} ")
+        expr = F.when(hit, F.struct(F.lit(cat).alias("category"), F.lit(sub).alias("sub_category"))).otherwise(expr)
     return expr
 
 
 def categorise(df: DataFrame, desc_col: str = "activity_description", rules: list[tuple[str, str, str]] | None = None,
                id_col: str = "transaction_id", max_inline_rules: int = 200) -> DataFrame:
-    """Set ``category``/``sub_category`` from the merchant text.
+    """Set ``category``/``sub_category`` from the merchant text, by ``categorise_expr``'s rule.
 
-    Up to ``max_inline_rules`` rules: one CASE expression, evaluated in the scan stage.
-    Larger rule tables: rules must be single tokens; descriptions are split into tokens,
-    equi-joined with the rules (broadcast only when the rule table is under Spark's size
-    threshold) and the lowest priority per row wins, then joined back on ``id_col``.
+    Up to ``max_inline_rules`` rules: one CASE expression, evaluated in the scan stage. More:
+    each different description is cut into its phrases of up to the longest rule's words, these
+    are equi-joined with the rules, the first rule per description wins and is joined back with
+    hot descriptions split over several tasks. Both ways give the same rows.
     """
     rules = rules if rules is not None else CATEGORY_RULES
     if len(rules) <= max_inline_rules:
-        c = categorise_expr(F.col(desc_col), rules)
-        return df.withColumn("_cat", c).withColumns(
+        # the words are a column of their own, so that they are not made once per rule
+        words = df.withColumn("_words", _words(F.col(desc_col)))
+        c = categorise_expr(F.col("_words"), rules)
+        return words.withColumn("_cat", c).withColumns(
             {"category": F.col("_cat.category"), "sub_category": F.col("_cat.sub_category")}
-        ).drop("_cat")
-    rules_df = _rules_df(df.sparkSession, rules)
-    tokens = df.select(id_col, F.explode(F.split(F.upper(F.col(desc_col)), r"[^A-Z0-9&.]+")).alias("keyword"))
-    best = (
-        tokens.join(rules_df, "keyword")
-        .groupBy(id_col)
-        .agg(F.min_by(F.struct("category", "sub_category"), F.col("priority")).alias("_cat"))
+        ).drop("_cat", "_words")
+    phrases = [(_phrase(kw), c, s, i) for i, (kw, c, s) in enumerate(rules)]
+    rules_df = df.sparkSession.createDataFrame(phrases, "phrase string, category string, sub_category string, priority int")
+    longest = max(p.count(" ") + 1 for p, *_ in phrases)
+    eligible = F.col(desc_col).isNotNull()
+    per_text = df.filter(eligible).groupBy(desc_col).agg(F.count(F.lit(1)).alias("_n"))
+    words = F.filter(F.split(_words(F.col(desc_col)), " "), lambda w: w != "")
+    grams = per_text.select(desc_col, words.alias("_w")).select(
+        desc_col,
+        F.explode(F.flatten(F.transform(
+            F.sequence(F.lit(1), F.lit(longest)),
+            lambda n: F.transform(F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>")),
+                                  lambda i: F.array_join(F.slice("_w", i, n), " ")),
+        ))).alias("phrase"),
     )
-    out = df.drop("category", "sub_category").join(best, id_col, "left")
+    best = grams.join(rules_df, "phrase").groupBy(desc_col).agg(F.min("priority").alias("priority"))
+    named = rules_df.drop("phrase").withColumnsRenamed({"category": "_c", "sub_category": "_s"})
+    per_text = per_text.join(best.join(named, "priority").drop("priority"), desc_col, "left")
+    out = join_back(df.drop("category", "sub_category"), per_text, [desc_col], "_n", id_col, eligible)
     return out.withColumns(
-        {
-            "category": F.coalesce(F.col("_cat.category"), F.lit(OTHER[0])),
-            "sub_category": F.coalesce(F.col("_cat.sub_category"), F.lit(OTHER[1])),
-        }
-    ).drop("_cat")
+        {"category": F.coalesce("_c", F.lit(OTHER[0])), "sub_category": F.coalesce("_s", F.lit(OTHER[1]))}
+    ).drop("_c", "_s", "_n")
 
 
 # --------------------------------------------------------------------------- X12

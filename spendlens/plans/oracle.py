@@ -378,31 +378,52 @@ ORACLE.update(
 
 # --------------------------------------------------------------------------- enrichment rules
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _categorise_sql() -> str:
-    from spendlens.operators.enrich import CATEGORY_RULES
-
-    whens_c = " ".join(
-        f"WHEN contains(upper(activity_description), {_sql_str(k)}) THEN {_sql_str(c)}" for k, c, _ in CATEGORY_RULES
-    )
-    whens_s = " ".join(
-        f"WHEN contains(upper(activity_description), {_sql_str(k)}) THEN {_sql_str(s)}" for k, _, s in CATEGORY_RULES
-    )
-    return _with() + f"""
-SELECT transaction_id, activity_description,
-       CASE {whens_c} ELSE 'Other' END AS category,
-       CASE {whens_s} ELSE 'Other' END AS sub_category
-FROM tx
+# Expected values, written out: the merchant word behind each part name (by transaction_id mod 13)
+# and the pair it must give. No part name holds a rule's word itself.
+SHOPS = """shops AS (
+  SELECT * FROM (VALUES
+    (0, 'Grocery', 'Living Expenses', 'Groceries'),
+    (1, '*COFFEE* 12', 'Living Expenses', 'Dining Out'),
+    (2, 'uber eats', 'Living Expenses', 'Dining Out'),
+    (3, 'Uber trip', 'Living Expenses', 'Transportation'),
+    (4, 'gas  station', 'Living Expenses', 'Transportation'),
+    (5, 'PARENT hub', 'Other', 'Other'),
+    (6, 'SPRING', 'Other', 'Other'),
+    (7, 'amazon coffee', 'Amazon', 'Amazon'),
+    (8, '', 'Other', 'Other'),
+    (9, 'monthly fee', 'Financial', 'Bank Fees'),
+    (10, 'COFFEEHOUSE', 'Other', 'Other'),
+    (11, 'Netflix', 'Subscriptions', 'Streaming'),
+    (12, 'credit card payment', 'Financial', 'Credit Card Payments')
+  ) v(k, word, c, s)
+)"""
+CATEGORISE = _with(SHOPS) + """
+SELECT transaction_id, activity_description || ' ' || word AS activity_description, c AS category, s AS sub_category
+FROM tx JOIN shops ON transaction_id % 13 = k
 """
 
-
-def _taxonomy_values() -> str:
-    from spendlens.schema import TAXONOMY
-
-    return ", ".join(f"({_sql_str(c)}, {_sql_str(s)})" for c, subs in TAXONOMY for s in subs)
+# The category guide, written out in full.
+GUIDE = """guide AS (
+  SELECT * FROM (VALUES
+    ('Living Expenses', 'Rent'), ('Living Expenses', 'Utilities'), ('Living Expenses', 'Groceries'),
+    ('Living Expenses', 'Dining Out'), ('Living Expenses', 'Transportation'),
+    ('Personal & Lifestyle', 'Clothing'), ('Personal & Lifestyle', 'Personal Care'),
+    ('Personal & Lifestyle', 'Entertainment'), ('Personal & Lifestyle', 'Fitness'), ('Personal & Lifestyle', 'Travel'),
+    ('Financial', 'Loan Payments'), ('Financial', 'Credit Card Payments'), ('Financial', 'Savings'),
+    ('Financial', 'Insurance'), ('Financial', 'Bank Fees'),
+    ('Healthcare', 'Doctor Visits'), ('Healthcare', 'Pharmacy'), ('Healthcare', 'Dental'), ('Healthcare', 'Vision'),
+    ('Subscriptions', 'Streaming'), ('Subscriptions', 'Software'), ('Subscriptions', 'Memberships'),
+    ('Amazon', 'Amazon'), ('Other', 'Other')
+  ) v(c, s)
+)"""
+TAXONOMY_VIOLATIONS = _with(SHOPS, GUIDE) + """
+SELECT category, sub_category, count(*) AS n_rows
+FROM (SELECT CASE WHEN transaction_id % 3 = 0 THEN category ELSE c END AS category,
+             CASE WHEN transaction_id % 3 = 0 THEN sub_category ELSE s END AS sub_category
+      FROM tx JOIN shops ON transaction_id % 13 = k) m
+WHERE NOT EXISTS (SELECT 1 FROM guide WHERE guide.c = m.category AND guide.s = m.sub_category)
+GROUP BY category, sub_category
+"""
 
 
 CUSTOMER_IDS = """
@@ -413,12 +434,14 @@ FROM customer
 
 MERCHANT_NORMALISE = _with() + """
 SELECT transaction_id,
-  CASE transaction_id % 3
+  CASE transaction_id % 5
     WHEN 0 THEN activity_description || '* ' || address
     WHEN 1 THEN activity_description || ' #' || CAST(transaction_id AS VARCHAR)
+    WHEN 2 THEN 'Amzn Mktp ' || activity_description
+    WHEN 3 THEN activity_description || '*paypal'
     ELSE activity_description || '  ' || sub_category
   END AS raw_description,
-  activity_description AS merchant
+  CASE transaction_id % 5 WHEN 2 THEN 'AMAZON' WHEN 3 THEN 'PAYPAL' ELSE activity_description END AS merchant
 FROM tx
 """
 
@@ -455,13 +478,9 @@ ORACLE.update(
     {
         "customer_ids": CUSTOMER_IDS,
         "merchant_normalise": MERCHANT_NORMALISE,
-        "categorise": _categorise_sql(),
-        "taxonomy_violations": _with() + f"""
-SELECT category, sub_category, count(*) AS n_rows FROM tx
-WHERE (category, sub_category) NOT IN (SELECT * FROM (VALUES {_taxonomy_values()}) t(c, s))
-   OR category IS NULL OR sub_category IS NULL
-GROUP BY category, sub_category
-""",
+        "categorise": CATEGORISE,
+        "categorise_many_rules": CATEGORISE,
+        "taxonomy_violations": TAXONOMY_VIOLATIONS,
         "running_available_credit": RUNNING_CREDIT,
         "recurring_merchants": RECURRING,
         "spending_habits": SPENDING_HABITS,
