@@ -62,20 +62,44 @@ def apply_conf(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """One JVM for driver and executors: local, local[n], not local-cluster."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set (a shared filesystem or object store). Only when it is
-    unset, as in local tests, a private folder is created and registered.
+    On a cluster it must be set to a folder that all executors share: without it this raises,
+    as a private folder would be another one on each machine. Only in a local session, as in
+    tests, a private folder is created and registered.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spendlens-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+_CLEANED: set[str] = set()
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below the shared one; it is removed when the driver ends."""
+    root = f"{checkpoint_root(spark)}/spendlens/{spark.sparkContext.applicationId}"
+    if root not in _CLEANED:
+        _CLEANED.add(root)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return root
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/spendlens/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path for intermediate tables, gone when the driver ends."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -17,31 +17,50 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS, USERS
+from spendlens.session import checkpoint_root
 
 
 # --------------------------------------------------------------------------- DDL
 
 def create_tables(spark: SparkSession, root: str, tx_name: str = "transactions", users_name: str = "users") -> None:
-    """Register both tables over their folders if absent."""
+    """Register both tables over the folders of the store if absent (S9), with what is stored."""
+    for folder in (f"{root}/transactions", users_version_path(root, 0)):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
     tx_cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TRANSACTIONS.fields)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {tx_name} ({tx_cols}) USING parquet "
         f"PARTITIONED BY (year) LOCATION '{root}/transactions'"
     )
     u_cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in USERS.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {users_name} ({u_cols}) USING parquet LOCATION '{root}/users_current'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {users_name} ({u_cols}) USING parquet LOCATION '{users_version_path(root, 0)}'")
+    refresh_tables(spark, root, tx_name, users_name)
 
 
-def truncate_tables(spark: SparkSession, tx_name: str = "transactions", users_name: str = "users") -> None:
-    """Empty both catalog tables, transactions first."""
-    spark.sql(f"TRUNCATE TABLE {tx_name}")
-    spark.sql(f"TRUNCATE TABLE {users_name}")
+def refresh_tables(spark: SparkSession, root: str, tx_name: str = "transactions", users_name: str = "users") -> None:
+    """Make the catalog show what is stored now: the folders of all years, the latest users."""
+    spark.catalog.recoverPartitions(tx_name)
+    spark.sql(f"ALTER TABLE {users_name} SET LOCATION '{users_version_path(root, latest_users_version(spark, root))}'")
+    spark.catalog.refreshTable(tx_name)
+    spark.catalog.refreshTable(users_name)
 
 
-def drop_tables(spark: SparkSession, tx_name: str = "transactions", users_name: str = "users") -> None:
-    """Transactions go first: they reference users."""
-    spark.sql(f"DROP TABLE IF EXISTS {tx_name}")
-    spark.sql(f"DROP TABLE IF EXISTS {users_name}")
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def truncate_tables(spark: SparkSession, root: str, tx_name: str = "transactions", users_name: str = "users") -> None:
+    """Empty both tables, transactions first (S10): their files are removed, the tables stay."""
+    drop_tables(spark, root, tx_name, users_name)
+    create_tables(spark, root, tx_name, users_name)
+
+
+def drop_tables(spark: SparkSession, root: str, tx_name: str = "transactions", users_name: str = "users") -> None:
+    """Drop both tables with their rows. Transactions go first: they reference users."""
+    for name, folder in ((tx_name, "transactions"), (users_name, "users")):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _remove(spark, f"{root}/{folder}")
 
 
 # --------------------------------------------------------------------------- transactions
@@ -84,19 +103,31 @@ def users_history(tx: DataFrame, users: DataFrame) -> DataFrame:
     return tx.join(users.select("user_id"), "user_id", "left_semi")
 
 
-def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str, base: int | None = None) -> DataFrame:
-    """Surrogate keys (K1): above every existing id, unique, ascending across inserts.
+def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str, base: int | None = None,
+               order: list[str] | None = None) -> DataFrame:
+    """Surrogate keys (K1): dense above every existing id, in ``order`` when it is given.
 
-    ``max(existing) + 1 + monotonically_increasing_id()``: distributed and gap-tolerant (no
-    single-partition global row_number). The max is an uncorrelated scalar subquery; a
-    writer that keeps its own high-water mark passes it as ``base`` instead, so no scan of
-    the stored ids is needed.
+    The rows are range-partitioned and sorted by ``order`` and checkpointed, which fixes them to
+    their partitions; a row's id is the highest existing id, plus the rows of the partitions
+    before its own (one count per partition), plus its place in its partition. No global window,
+    and no part of the id space is spent on gaps. The highest id is a scan of the ids, unless a
+    writer that keeps its own high-water mark passes it as ``base``.
     """
+    spark = new_rows.sparkSession
     if base is None:
-        start = F.coalesce(existing.select(F.max(id_col)).scalar(), F.lit(0).cast("long"))
-    else:
-        start = F.lit(base).cast("long")
-    return new_rows.withColumn(id_col, start + F.lit(1) + F.monotonically_increasing_id())
+        base = existing.select(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]
+    checkpoint_root(spark)
+    rows = new_rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else new_rows
+    rows = rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).checkpoint()
+    counts = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}  # one per partition
+    starts, total = [], int(base)
+    for part in range(max(counts, default=0) + 1):
+        starts.append(total)
+        total += counts.get(part, 0)
+    start = F.element_at(F.lit(starts), F.col("_part") + 1)
+    # the low 33 bits of monotonically_increasing_id count the rows of a partition from 0
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn(id_col, start + place + F.lit(1)).drop("_part", "_at")
 
 
 _FOOTER_SESSIONS: dict[str, SparkSession] = {}

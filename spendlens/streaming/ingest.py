@@ -9,8 +9,14 @@ Uploads are the unit of deduplication. Files landed under ``upload_id=<n>`` fold
 their upload number (uploads are numbered in arrival order); stored rows keep it. A row is
 skipped when its key first appeared in an earlier upload - stored or in the same batch - so
 equal rows of one upload are all kept even when the upload spans several micro-batches.
-Files outside such folders make each micro-batch one upload (numbered by its start time);
-use one convention per landing folder.
+Files outside such folders are one upload per run, numbered by the run's start time whatever
+the number of files a micro-batch takes; a run that failed is continued under its number. Use
+one convention per landing folder.
+
+Nothing is lost silently: documents without a usable answer and broken landing lines go to
+``<log>_quarantine`` with a reason, and are not logged as done, so a corrected upload of the
+same bytes is looked at again. Uploads are skipped per user: the same bytes from another user
+are that user's rows.
 
 Exactly-once effect without transactions: every micro-batch writes its own
 ``ingest_batch=<run>-<batch>`` partitions of the table and of the ingest log with dynamic
@@ -34,7 +40,7 @@ from pyspark.sql import types as T
 from spendlens.functions.clean import clean_transactions
 from spendlens.operators.dedup import new_rows_by_upload
 from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS
-from spendlens.sources.extraction import extraction_rows
+from spendlens.sources.extraction import extraction_reasons, extraction_rows
 from spendlens.sources.tables import assign_ids, stored_max
 
 DOC_SCHEMA = T.StructType(
@@ -46,12 +52,18 @@ DOC_SCHEMA = T.StructType(
         T.StructField("upload_id", T.LongType()),
     ]
 )
+# Landing lines that are no such record arrive whole in this column.
+CORRUPT = "_corrupt_record"
+LANDING_SCHEMA = T.StructType([*DOC_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
 STORED = T.StructType(
     TRANSACTIONS.fields + [T.StructField("upload_id", T.LongType()), T.StructField("ingest_batch", T.StringType())]
 )
 # max_id: the highest transaction id the batch wrote (the stream's id high-water mark).
-LOG_SCHEMA = "doc_id string, content_sha string, upload_id long, max_id long, ingest_batch string"
-LOG_BROADCAST_LIMIT = 1_000_000  # documents per batch
+LOG_SCHEMA = "doc_id string, user_id long, content_sha string, upload_id long, max_id long, ingest_batch string"
+QUARANTINE_SCHEMA = "doc_id string, user_id long, text string, reason string, upload_id long, ingest_batch string"
+# Documents of a batch up to which their keys (user, digest, ids: about 150 bytes each) and the
+# log entries reduced to them are broadcast.
+LOG_BROADCAST_LIMIT = 100_000
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -72,24 +84,30 @@ def _overwrite_partitions(df: DataFrame, path: str, *cols: str) -> None:
 
 
 def _unseen_documents(docs: DataFrame, log: DataFrame) -> DataFrame:
-    """Documents still to ingest (I2). Skipped: the same bytes in an earlier upload (memoised
-    extraction: its rows are stored, so every one would be skipped anyway) and the same
-    document of the same upload (already ingested). Identical documents inside one upload
-    both count, as two uploaded copies would.
-
-    The log grows with every document ever ingested; when the batch's documents are proven
-    few they are broadcast into a semi-join that streams the log (no log shuffle), and the
-    few matching entries are broadcast back into the anti-join.
+    """Documents still to ingest (I2). Skipped: the same bytes of the same user in an earlier
+    upload (memoised extraction: its rows are stored, so every one would be skipped anyway) and
+    the same document of the same upload (already ingested). Identical documents inside one
+    upload both count, as two uploaded copies would.
+
+    The log grows with every document ever ingested. It is first reduced to the batch's own keys:
+    per (user, digest) one row with the first upload, and the batch's documents found in it.
+    Both are aggregated map-side, so a digest with very many entries stays one row per task, and
+    neither is larger than the batch; when that is counted to be small they are broadcast.
     """
-    keys = docs.select("doc_id", "content_sha", F.col("upload_id").alias("_up"))
-    small = keys.limit(LOG_BROADCAST_LIMIT + 1).count() <= LOG_BROADCAST_LIMIT
-    seen = log.join(F.broadcast(keys), "content_sha", "left_semi") if small else log
-    seen = seen.select(F.col("doc_id").alias("_ld"), F.col("content_sha").alias("_ls"), F.col("upload_id").alias("_lu"))
-    seen = F.broadcast(seen) if small else seen
-    earlier = (docs["content_sha"] == seen["_ls"]) & (
-        (seen["_lu"] < docs["upload_id"]) | ((seen["_lu"] == docs["upload_id"]) & (seen["_ld"] == docs["doc_id"]))
+    ident = ["user_id", "content_sha"]
+    keys = docs.select(*ident, "upload_id", "doc_id").distinct()
+    few = keys.limit(LOG_BROADCAST_LIMIT + 1).count() <= LOG_BROADCAST_LIMIT
+    sized = F.broadcast if few else (lambda df: df)
+    first = (
+        log.join(sized(keys.select(*ident).distinct()), ident, "left_semi")
+        .groupBy(*ident)
+        .agg(F.min("upload_id").alias("_first"))
     )
-    return docs.join(seen, earlier, "left_anti")
+    same = log.join(sized(keys), [*ident, "upload_id", "doc_id"], "left_semi")
+    same = same.select(*ident, "upload_id", "doc_id").distinct()
+    unseen = docs.join(sized(same), [*ident, "upload_id", "doc_id"], "left_anti")
+    out = unseen.join(sized(first), ident, "left")
+    return out.filter(F.col("_first").isNull() | (F.col("_first") >= F.col("upload_id"))).drop("_first")
 
 
 def _id_base(spark: SparkSession, log: DataFrame, tx_path: str, part: str) -> int:
@@ -102,8 +120,11 @@ def _id_base(spark: SparkSession, log: DataFrame, tx_path: str, part: str) -> in
     return int(mark or 0)
 
 
-def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0, run_id: str = "run") -> None:
-    """Ingest one batch of documents ``(doc_id, user_id, text[, upload_id])`` into ``tx_path``.
+def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0, run_id: str = "run",
+                 run_upload: int | None = None) -> None:
+    """Ingest one batch of documents ``(doc_id, user_id, text[, upload_id])`` into ``tx_path``;
+    what holds no usable answer goes to ``<log_path>_quarantine``. ``run_upload`` numbers the
+    documents without an upload id (default: the time now).
 
     Each batch writes its own ``ingest_batch=<run>-<batch>`` partitions (of the table and the
     log) with dynamic overwrite, and reads history and the log without them: a batch replayed
@@ -112,22 +133,29 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     """
     spark = docs.sparkSession
     part = f"{run_id}-{batch_id:012d}"
-    # Files outside upload_id=<n> folders: the batch is one upload, ordered by arrival time.
-    batch_upload = F.lit(int(time.time() * 1000)).cast("long")
-    upload = F.coalesce(F.col("upload_id"), batch_upload) if "upload_id" in docs.columns else batch_upload
-    hashed = docs.withColumn("upload_id", upload).withColumn("content_sha", F.sha2(F.col("text"), 256)).persist()
+    own_upload = F.lit(run_upload if run_upload is not None else int(time.time() * 1000)).cast("long")
+    upload = F.coalesce(F.col("upload_id"), own_upload) if "upload_id" in docs.columns else own_upload
+    hashed = docs.withColumn("upload_id", upload)
+    if CORRUPT not in hashed.columns:
+        hashed = hashed.withColumn(CORRUPT, F.lit(None).cast("string"))
+    hashed = hashed.withColumn("content_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).persist()
     log = _read_or_empty(spark, log_path, LOG_SCHEMA).filter(F.col("ingest_batch") != part)
-    fresh = _unseen_documents(hashed, log)
+    broken = hashed.filter(F.col(CORRUPT).isNotNull())
+    fresh = _unseen_documents(hashed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), log)
+    checked = extraction_reasons(fresh).persist()
+    done, failed = checked.filter(F.col("reason").isNull()), checked.filter(F.col("reason").isNotNull())
     # Parsed once, reused by the dedup sizing pass and the write (bounded by the batch size:
     # maxFilesPerTrigger).
-    rows = clean_transactions(extraction_rows(fresh.drop("content_sha"))).drop("doc_id", "position").persist()
+    rows = clean_transactions(extraction_rows(done.drop("content_sha", "reason"))).persist()
     max_id = None
     try:
         if not rows.isEmpty():  # P13: nothing to dedup or write for an empty batch
             history = _read_or_empty(spark, tx_path, STORED).filter(F.col("ingest_batch") != part)
             new = new_rows_by_upload(rows, history)
-            out = assign_ids(new.select("user_id", *INSERT_COLUMNS, "upload_id"), history, "transaction_id",
-                             base=_id_base(spark, log, tx_path, part))
+            # Ids follow the statement order (K1, X8, L1): upload, document, position in it.
+            out = assign_ids(new.select("user_id", *INSERT_COLUMNS, "upload_id", "doc_id", "position"), history,
+                             "transaction_id", base=_id_base(spark, log, tx_path, part),
+                             order=["upload_id", "doc_id", "position"])
             # Sorted by user inside each file: later per-user scans skip other users' row groups.
             out = out.select(*TX_COLUMNS, "upload_id").withColumn("ingest_batch", F.lit(part))
             # The batch's highest id is observed while the rows are written (no extra job).
@@ -136,16 +164,46 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
             _overwrite_partitions(out.sortWithinPartitions("ingest_batch", "year", "user_id", "transaction_id"),
                                   tx_path, "ingest_batch", "year")
             max_id = ids.get["max_id"]
+        bad = failed.select("doc_id", "user_id", "text", "reason", "upload_id").unionByName(
+            broken.select("doc_id", "user_id", F.col(CORRUPT).alias("text"), F.lit("broken_line").alias("reason"), "upload_id")
+        )
+        _overwrite_partitions(bad.withColumn("ingest_batch", F.lit(part)), f"{log_path}_quarantine", "ingest_batch")
         _overwrite_partitions(
-            fresh.select("doc_id", "content_sha", "upload_id", F.lit(max_id).cast("long").alias("max_id"),
-                         F.lit(part).alias("ingest_batch")),
+            done.select("doc_id", "user_id", "content_sha", "upload_id", F.lit(max_id).cast("long").alias("max_id"),
+                        F.lit(part).alias("ingest_batch")),
             log_path, "ingest_batch",
         )
     finally:
         rows.unpersist()
+        checked.unpersist()
         hashed.unpersist()
 
 
+def read_quarantine(spark: SparkSession, log_path: str) -> DataFrame:
+    """What the ingest could not use: doc_id, user_id, text, reason, upload_id, ingest_batch."""
+    return _read_or_empty(spark, f"{log_path}_quarantine", QUARANTINE_SCHEMA)
+
+
+def _open_upload(spark: SparkSession, mark: str) -> int:
+    """The upload number of this run: that of an earlier run that did not end, else the time now,
+    kept as the name of an empty file until ``_close_upload``."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(mark)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        if names:
+            return min(int(n) for n in names)
+    number = int(time.time() * 1000)
+    fs.create(jvm.org.apache.hadoop.fs.Path(f"{mark}/{number}")).close()
+    return number
+
+
+def _close_upload(spark: SparkSession, mark: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(mark)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run_ingest_stream(spark: SparkSession, landing: str, tx_path: str, log_path: str, checkpoint: str,
                       max_files_per_trigger: int = 64) -> None:
     """Process every landed file not yet processed, then stop (one availableNow run).
@@ -154,13 +212,16 @@ def run_ingest_stream(spark: SparkSession, landing: str, tx_path: str, log_path:
     fresh checkpoint never overwrites another run's partitions.
     """
     run_id = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+    mark = f"{checkpoint.rstrip('/')}-open-upload"
+    number = _open_upload(spark, mark)
     stream = (
-        spark.readStream.schema(DOC_SCHEMA)
+        spark.readStream.schema(LANDING_SCHEMA)
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(landing)
     )
     query = (
-        stream.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, tx_path, log_path, bid, run_id))
+        stream.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, tx_path, log_path, bid, run_id, number))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -168,3 +229,4 @@ def run_ingest_stream(spark: SparkSession, landing: str, tx_path: str, log_path:
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
+    _close_upload(spark, mark)

@@ -65,3 +65,49 @@ def test_ids_ascend_across_batches_from_the_log_mark(spark):
     assert ids["MILK"] > max(ids["TEA"], ids["BUN"])
     marks = spark.read.parquet(log_path).groupBy("ingest_batch").agg(F.max("max_id").alias("m")).collect()
     assert sorted(r.m for r in marks) == sorted([max(ids["TEA"], ids["BUN"]), ids["MILK"]])
+
+
+def test_same_bytes_of_two_users_and_quarantine(spark):
+    """Bytes are skipped per user; what is no answer is kept aside and looked at again."""
+    from spendlens.streaming.ingest import read_quarantine
+
+    root = f"{checkpoint_root(spark)}/test-users-{uuid.uuid4().hex[:8]}"
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    tx_path, log_path = f"{root}/tx", f"{root}/log"
+    text = _doc("a", 1, ("TEA", "2.00", 1))[2]
+    bad = [("x", 1, "not json", 1), ("y", 1, text + " thanks", 1), ("z", None, "[null]", 1), ("e", 1, "[]", 1), ("n", 2, None, 1)]
+    ingest_batch(spark.createDataFrame([("a", 1, text, 1), *bad], schema), tx_path, log_path, 0)
+    ingest_batch(spark.createDataFrame([("b", 2, text, 2), ("c", 1, text, 2)], schema), tx_path, log_path, 1)
+    assert sorted(r.user_id for r in read_transactions(spark, tx_path).collect()) == [1, 2]
+    kept = sorted((r.doc_id, r.reason) for r in read_quarantine(spark, log_path).collect())
+    assert kept == [("n", "empty"), ("x", "not_an_array"), ("y", "malformed"), ("z", "null_record")]
+    log = {r.doc_id for r in spark.read.parquet(log_path).collect()}
+    assert log == {"a", "b", "e"}
+    # A repeated failure is reported again, not taken for done.
+    ingest_batch(spark.createDataFrame([("x2", 1, "not json", 3)], schema), tx_path, log_path, 2)
+    assert read_quarantine(spark, log_path).filter("doc_id = 'x2'").count() == 1
+
+
+def test_unnumbered_files_are_one_upload_whatever_the_trigger(spark):
+    got = []
+    for limit in (1, 64):
+        root = f"{checkpoint_root(spark)}/test-trigger-{uuid.uuid4().hex[:8]}"
+        docs = spark.createDataFrame([_doc("d1", 1, ("COFFEE", "3.50", 1)), _doc("d2", 1, ("COFFEE", "3.50", 1), ("BOOK", "9", 2))],
+                                     "doc_id string, user_id long, text string")
+        docs.repartition(2, "doc_id").write.json(f"{root}/landing")
+        with open(f"{root.removeprefix('file:')}/landing/part-broken.json", "w") as f:
+            f.write('{"doc_id": "d3", "user_id": 1, "text": "[]"\n')
+        run_ingest_stream(spark, f"{root}/landing", f"{root}/tx", f"{root}/log", f"{root}/ckpt", max_files_per_trigger=limit)
+        got.append(sorted(r.activity_description for r in read_transactions(spark, f"{root}/tx").collect()))
+        from spendlens.streaming.ingest import read_quarantine
+        assert [r.reason for r in read_quarantine(spark, f"{root}/log").collect()] == ["broken_line"]
+    assert got[0] == got[1] == ["BOOK", "COFFEE", "COFFEE"]
+
+
+def test_ids_follow_the_statement_order(spark):
+    from spendlens.sources.tables import assign_ids
+
+    rows = spark.range(0, 500).selectExpr("(id * 7919) % 500 AS k").repartition(7)
+    out = assign_ids(rows, rows, "tid", base=40, order=["k"]).collect()
+    assert sorted((r.k, r.tid) for r in out) == [(k, 41 + k) for k in range(500)]
+    assert assign_ids(rows.limit(0), rows, "tid", base=0, order=["k"]).count() == 0

@@ -1,11 +1,17 @@
 import datetime as dt
+import os
+import subprocess
+import sys
 import uuid
 from decimal import Decimal
 
+import pytest
+
 from spendlens.schema import TRANSACTIONS
 from spendlens.session import checkpoint_root
 from spendlens.sources.tables import (create_tables, drop_tables, latest_users_version, read_transactions,
-                                      read_users, user_history, write_transactions, write_users_snapshot)
+                                      read_users, refresh_tables, truncate_tables, user_history, write_transactions,
+                                      write_users_snapshot)
 
 
 def _row(i, user, d):
@@ -26,16 +32,62 @@ def test_store_roundtrip_ddl_and_versions(spark):
     name = f"tx_{uuid.uuid4().hex[:6]}"
     create_tables(spark, root, tx_name=name, users_name=f"u_{name}")
     create_tables(spark, root, tx_name=name, users_name=f"u_{name}")  # IF NOT EXISTS
-    spark.catalog.recoverPartitions(name)
-    assert spark.table(name).count() == 3
-    drop_tables(spark, tx_name=name, users_name=f"u_{name}")
-    assert not spark.catalog.tableExists(name)
+    assert spark.table(name).count() == 3 and spark.table(f"u_{name}").count() == 0
 
     assert latest_users_version(spark, root) == 0 and read_users(spark, root).count() == 0
     users = spark.createDataFrame([(1, "a@x", "A", None)], "user_id long, email string, display_name string, picture_url string")
     assert write_users_snapshot(spark, root, users) == 1
     assert write_users_snapshot(spark, root, read_users(spark, root).union(users.selectExpr("2L", "'b@x'", "'B'", "NULL"))) == 2
     assert read_users(spark, root).count() == 2
+    refresh_tables(spark, root, tx_name=name, users_name=f"u_{name}")
+    assert spark.table(f"u_{name}").count() == 2
+
+    truncate_tables(spark, root, tx_name=name, users_name=f"u_{name}")
+    assert spark.table(name).count() == 0 and spark.table(f"u_{name}").count() == 0
+    assert read_users(spark, root).count() == 0
+    write_transactions(spark.createDataFrame(rows[:2], TRANSACTIONS), f"{root}/transactions")
+    refresh_tables(spark, root, tx_name=name, users_name=f"u_{name}")
+    assert spark.table(name).count() == 2
+    drop_tables(spark, root, tx_name=name, users_name=f"u_{name}")
+    assert not spark.catalog.tableExists(name)
+    assert not os.path.exists(f"{root.removeprefix('file:')}/transactions")
+
+
+def test_scratch_is_shared_or_refused(spark, monkeypatch):
+    from spendlens import session
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Session())
+    Cluster.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        session.checkpoint_root(Session())
+    path = session.scratch_path(spark, "x")
+    assert spark.sparkContext.applicationId in path and path != session.scratch_path(spark, "x")
+
+
+def test_scratch_goes_with_the_driver(tmp_path):
+    code = (
+        "from spendlens.session import get_session, scratch_path\n"
+        "s = get_session('local[1]')\n"
+        f"s.sparkContext.setCheckpointDir('{tmp_path}')\n"
+        "p = scratch_path(s, 'x'); s.range(3).write.parquet(p); print(s.read.parquet(p).count()); s.stop()\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120,
+                         cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert out.stdout.strip() == "3", out.stderr[-500:]
+    assert [f for _, _, files in os.walk(tmp_path) for f in files if f.endswith(".parquet")] == []
 
 
 def test_read_text_documents(spark, tmp_path):
