@@ -24,13 +24,18 @@ BOOL_COLUMNS = ("is_subscription",)
 DATE_FORMATS = (
     ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
     ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("MMM d, yyyy", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"),
 )
+# ISO date and time, as the JSON export writes it; read by a cast.
+DATE_TIME_RE = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?$"
 
 
 def parse_date(c: Column, dtype: T.DataType | None = None) -> Column:
     """Text -> timestamp without time zone; bad or missing values -> null.
 
-    Each row is parsed on its own (month-first, then ISO); timestamps and dates pass through.
+    Each row is parsed on its own by its shape (month first, ISO, ISO with a time, named month);
+    timestamps and dates pass through.
     """
     if isinstance(dtype, (T.TimestampNTZType,)):
         return c
@@ -38,7 +43,8 @@ def parse_date(c: Column, dtype: T.DataType | None = None) -> Column:
         return c.cast("timestamp_ntz")
     s = utrim(c.cast("string"))
     parsed = F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for fmt, shape in DATE_FORMATS])
-    return parsed.cast("timestamp_ntz")
+    timed = F.when(s.rlike(DATE_TIME_RE), s.try_cast("timestamp_ntz"))
+    return F.coalesce(parsed.cast("timestamp_ntz"), timed)
 
 
 def parse_money(c: Column, dtype: T.DataType | None = None) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.format import balance_caption, currency, transaction_label
+from spendlens.sources.tables import assign_ids
 
 EXPENSES, PAYMENTS = "Expenses", "Payments"
 
@@ -233,7 +234,10 @@ def weekday_totals(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def subscription_costs(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Subscription spending per merchant over the whole selection, largest first."""
+    """Subscription spending per merchant over the whole selection, with ``rank`` (1 = largest).
+
+    Per group a window numbers its merchants. Without groups all merchants are one list: they are
+    numbered over a range-partitioned sort, not in one task."""
     by = list(by)
     sums = (
         expenses(df)
@@ -241,12 +245,19 @@ def subscription_costs(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .groupBy(*by, "activity_description")
         .agg(F.sum(_amt()).alias("_total"))
     )
-    out = sums.select(*by, "activity_description", _money(F.col("_total")).alias("amount_spent"))
-    return out.orderBy(*by, F.col("amount_spent").desc(), F.col("activity_description").asc())
+    order = [F.col("_total").desc(), F.col("activity_description").asc()]
+    if by:
+        ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    else:
+        ranked = assign_ids(sums, sums, "rank", base=0, order=order)
+    return ranked.select(*by, "rank", "activity_description", _money(F.col("_total")).alias("amount_spent"))
 
 
 def available_years(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return df.select(*by, "year").filter(F.col("year").isNotNull()).distinct().orderBy(*by, "year")
+    """The years with rows, with ``rank`` in ascending order; a list of years is short."""
+    years = df.select(*by, "year").filter(F.col("year").isNotNull()).distinct()
+    w = Window.partitionBy(*by).orderBy("year")
+    return years.select(*by, F.row_number().over(w).alias("rank"), "year")
 
 
 def available_months(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -254,5 +265,4 @@ def available_months(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         df.select(*by, F.col("month").alias("month_no"), "month_name")
         .filter(F.col("month_no").isNotNull() & F.col("month_name").isNotNull())
         .distinct()
-        .orderBy(*by, "month_no")
     )

@@ -7,10 +7,12 @@ user before the anti-join, so a user with a third of all rows sends one row per
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.schema import TEXT_LIMITS
+from spendlens.schema import TEXT_LIMITS, USER_TEXT_LIMITS
 
 
 def _unpivot(one_row: DataFrame) -> DataFrame:
@@ -21,14 +23,14 @@ def _unpivot(one_row: DataFrame) -> DataFrame:
 
 
 def constraint_violations(tx: DataFrame, users: DataFrame) -> DataFrame:
-    row_checks = [F.count(F.when(F.col("user_id").isNull(), 1)).alias("tx_null_user_id")]
+    row_checks = [F.count(F.when(F.col(c).isNull(), 1)).alias(f"tx_null_{c}") for c in ("user_id", "transaction_id")]
     row_checks += [
         F.count(F.when(F.length(c) > n, 1)).alias(f"tx_{c}_too_long") for c, n in TEXT_LIMITS.items() if c in tx.columns
     ]
     tx_rows = _unpivot(tx.agg(*row_checks))
 
     dup_ids = _unpivot(
-        tx.groupBy("transaction_id").count().filter(F.col("count") > 1).agg(
+        tx.filter(F.col("transaction_id").isNotNull()).groupBy("transaction_id").count().filter(F.col("count") > 1).agg(
             F.coalesce(F.sum("count"), F.lit(0)).alias("tx_duplicate_transaction_id")
         )
     )
@@ -38,23 +40,23 @@ def constraint_violations(tx: DataFrame, users: DataFrame) -> DataFrame:
             F.coalesce(F.sum("n"), F.lit(0)).alias("tx_orphan_user_id")
         )
     )
-    user_rows = _unpivot(
-        users.agg(
-            F.count(F.when(F.col("email").isNull(), 1)).alias("users_null_email"),
-            F.count(F.when(F.col("user_id").isNull(), 1)).alias("users_null_user_id"),
-        )
-    )
-    dup_email = _unpivot(
-        users.filter(F.col("email").isNotNull()).groupBy("email").count().filter(F.col("count") > 1).agg(
-            F.coalesce(F.sum("count"), F.lit(0)).alias("users_duplicate_email")
-        )
-    )
-    dup_uid = _unpivot(
-        users.groupBy("user_id").count().filter(F.col("count") > 1).agg(
-            F.coalesce(F.sum("count"), F.lit(0)).alias("users_duplicate_user_id")
-        )
-    )
-    return tx_rows.unionByName(dup_ids).unionByName(orphans).unionByName(user_rows).unionByName(dup_email).unionByName(dup_uid)
+    # One pass over the users for their row checks and both keys: ids and emails are counted as
+    # (key kind, value) pairs, so that the table is read once and not once per check.
+    user_checks = [F.count(F.when(F.col(c).isNull(), 1)).alias(f"users_null_{c}") for c in ("email", "user_id")]
+    user_checks += [
+        F.count(F.when(F.length(c) > n, 1)).alias(f"users_{c}_too_long") for c, n in USER_TEXT_LIMITS.items() if c in users.columns
+    ]
+    user_rows = _unpivot(users.agg(*user_checks))
+    keys = users.select(F.explode(F.array(
+        F.struct(F.lit("email").alias("kind"), F.col("email").alias("value")),
+        F.struct(F.lit("user_id").alias("kind"), F.col("user_id").cast("string").alias("value")),
+    )).alias("_k")).select("_k.kind", "_k.value")
+    repeated = keys.filter(F.col("value").isNotNull()).groupBy("kind", "value").count().filter(F.col("count") > 1)
+    dup_users = _unpivot(repeated.agg(
+        *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("count"))), F.lit(0)).alias(f"users_duplicate_{k}")
+          for k in ("email", "user_id")]
+    ))
+    return reduce(DataFrame.unionByName, [tx_rows, dup_ids, orphans, user_rows, dup_users])
 
 
 def typing_failures(raw: DataFrame) -> DataFrame:

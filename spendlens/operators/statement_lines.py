@@ -15,14 +15,16 @@ from spendlens.functions.text import utrim
 from spendlens.schema import MONEY
 
 # Fixed patterns of the statement layout.
-LINE_RE = r"(?m)^[A-Z][a-z]{2} \d{1,2} [A-Z][a-z]{2} \d{1,2} .+ -?[\d,]+\.\d{2}(?: CR)?[ \t]*$"
-FIELDS_RE = r"^([A-Z][a-z]{2} \d{1,2}) ([A-Z][a-z]{2} \d{1,2}) (.+) (-?[\d,]+\.\d{2})( CR)?[ \t]*$"
+DATED_RE = r"(?m)^[A-Z][a-z]{2} \d{1,2} [A-Z][a-z]{2} \d{1,2}\b.*$"
+FIELDS_RE = r"^([A-Z][a-z]{2} \d{1,2}) ([A-Z][a-z]{2} \d{1,2}) (.+) (-?\$?-?[\d,]+\.\d{2})( CR)?[ \t]*$"
+# What joins a line's fields after one match; it stands in no statement text.
+FIELD_SEPARATOR = "\x1f"
 CREDIT_LIMIT_RE = r"(?i)credit limit:?\s*\$?\s*([\d,]+\.\d{2})"
 AVAILABLE_RE = r"(?i)available credit:?\s*\$?\s*(-?[\d,]+\.\d{2})"
 
 
 def _amount(text: Column) -> Column:
-    return F.regexp_replace(text, ",", "").try_cast(MONEY)
+    return F.regexp_replace(text, "[$,]", "").try_cast(MONEY)
 
 
 def complete_date(month_day: Column, statement_year: Column, statement_month: Column | None) -> Column:
@@ -38,32 +40,45 @@ def complete_date(month_day: Column, statement_year: Column, statement_month: Co
     return F.add_months(d, shift).cast("timestamp_ntz")
 
 
+def _dated_lines(docs: DataFrame, text_col: str, extra: dict[str, Column] | None = None) -> DataFrame:
+    """One row per line that begins with two dates: the documents' other columns, ``position`` in
+    the document, the ``line`` and ``_f``, its five fields (null when it does not parse), matched
+    once."""
+    keep = [c for c in docs.columns if c != text_col]
+    lines = docs.withColumns(extra or {}).select(
+        *keep, *(extra or {}), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(DATED_RE), 0)).alias("position", "line")
+    )
+    joined = F.regexp_replace("line", FIELDS_RE, FIELD_SEPARATOR.join(["$1", "$2", "$3", "$4", "$5"]))
+    fields = F.split(joined, FIELD_SEPARATOR)
+    return lines.withColumn("_fields", fields).withColumn("_f", F.when(F.size("_fields") == 5, F.col("_fields"))).drop("_fields")
+
+
+def unparsed_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Lines that begin like a transaction but are none: the documents' columns, position, line."""
+    return _dated_lines(docs, text_col).filter(F.col("_f").isNull()).drop("_f")
+
+
 def statement_rows(docs: DataFrame, text_col: str = "text", year_col: str = "statement_year",
                    month_col: str | None = "statement_month") -> DataFrame:
     """One row per transaction line, in statement order (``position``), with the raw
-    line, typed dates, description, signed amount and the statement's credit figures."""
+    line, typed dates, description, signed amount and the statement's credit figures.
+    Lines that look like transactions but do not parse are given by ``unparsed_lines``."""
     keep = [c for c in docs.columns if c != text_col]
     text = F.col(text_col)
-    with_header = docs.withColumns(
-        {
-            "credit_limit": _amount(F.regexp_extract(text, CREDIT_LIMIT_RE, 1)),
-            "statement_available_credit": _amount(F.regexp_extract(text, AVAILABLE_RE, 1)),
-        }
-    )
-    lines = with_header.select(
-        *keep, "credit_limit", "statement_available_credit",
-        F.posexplode(F.regexp_extract_all(text, F.lit(LINE_RE), 0)).alias("position", "line"),
-    )
-    line = F.col("line")
-    amount = _amount(F.regexp_extract(line, FIELDS_RE, 4))
-    is_credit = (F.regexp_extract(line, FIELDS_RE, 5) != "") | amount.cast("double").__lt__(0)
+    lines = _dated_lines(docs, text_col, {
+        "credit_limit": _amount(F.regexp_extract(text, CREDIT_LIMIT_RE, 1)),
+        "statement_available_credit": _amount(F.regexp_extract(text, AVAILABLE_RE, 1)),
+    }).filter(F.col("_f").isNotNull())
+    f = F.col("_f")
+    amount = _amount(f[3])
+    is_credit = (f[4] != "") | (amount < 0)
     month = F.col(month_col) if month_col and month_col in docs.columns else None
     year = F.col(year_col)
     return lines.select(
         *keep, "position", "line",
-        complete_date(F.regexp_extract(line, FIELDS_RE, 1), year, month).alias("transaction_date"),
-        complete_date(F.regexp_extract(line, FIELDS_RE, 2), year, month).alias("posting_date"),
-        utrim(F.regexp_extract(line, FIELDS_RE, 3)).alias("raw_description"),
+        complete_date(f[0], year, month).alias("transaction_date"),
+        complete_date(f[1], year, month).alias("posting_date"),
+        utrim(f[2]).alias("raw_description"),
         # Debits positive, credits/returns negative.
         F.when(is_credit, -F.abs(amount)).otherwise(F.abs(amount)).alias("amount_spent"),
         "credit_limit", "statement_available_credit",
@@ -76,54 +91,75 @@ def fill_unknown_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 HOLDER_RE = r"(?im)^card holder:?[ \t]*(.*?)[ \t]*$"
+# First name, and whatever follows it.
+HOLDER_NAMES_RE = r"^(\S+)(?:\s+(.*))?$"
 
 
 def statement_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Statement lines as typed transaction rows with every table column: the holder from
-    the header, the merchant simplified (X4), category by rule (X5, X6), unknown text ''
-    (X11), available credit running from the statement value (X8, within the statement)."""
+    the header, split into names, and the customer id from them (X3), the merchant simplified
+    (X4), category by rule (X5, X6), unknown text '' (X11), available credit running from the
+    statement value (X8, within the statement). ``is_subscription`` is false here: it needs the
+    user's history, see ``statement_ingest``."""
     from spendlens.functions.dates import add_calendar_features
-    from spendlens.operators.enrich import categorise_expr, normalise_merchant
+    from spendlens.operators.enrich import categorise_expr, customer_id, normalise_merchant
 
     keys = [c for c in docs.columns if c != text_col]
     # The holder is a document column, carried through the line explode (no join back).
-    with_holder = docs.withColumn("_holder", F.regexp_extract(F.col(text_col), HOLDER_RE, 1))
+    with_holder = docs.withColumn("_holder", utrim(F.regexp_extract(F.col(text_col), HOLDER_RE, 1)))
     # The merchant is a column of its own, so the category rules reference it instead of
     # repeating its expression once per rule.
     rows = statement_rows(with_holder, text_col).withColumn("_merchant", normalise_merchant(F.col("raw_description")))
     rows = rows.withColumn("_cat", categorise_expr(F.col("_merchant")))
     cat = F.col("_cat")
+    first, last = F.regexp_extract("_holder", HOLDER_NAMES_RE, 1), F.regexp_extract("_holder", HOLDER_NAMES_RE, 2)
+    rows = rows.withColumns({"f_name": F.when(first != "", first), "l_name": F.when(last != "", last)})
     stmt = Window.partitionBy(*keys).orderBy("position")  # one statement: a bounded group
+    upto = stmt.rowsBetween(Window.unboundedPreceding, 0)
+    amount = F.coalesce("amount_spent", F.lit(0))
     out = rows.select(
         *keys, "position",
-        F.nullif(F.col("_holder"), F.lit("")).alias("customer_id"),
-        F.lit(None).cast("string").alias("f_name"),
-        F.lit(None).cast("string").alias("l_name"),
+        F.when(F.col("_holder") != "", customer_id(F.col("f_name"), F.col("l_name"))).alias("customer_id"),
+        "f_name", "l_name",
         F.lit(None).cast("string").alias("address"),
         "transaction_date", "posting_date",
         F.col("_merchant").alias("activity_description"),
         cat["category"].alias("category"),
         cat["sub_category"].alias("sub_category"),
         "amount_spent", "credit_limit",
-        (F.col("statement_available_credit")
-         + F.sum("amount_spent").over(stmt.rowsBetween(Window.unboundedPreceding, 0))
-         - F.first("amount_spent").over(stmt.rowsBetween(Window.unboundedPreceding, 0))).alias("available_credit"),
+        (F.col("statement_available_credit") + F.sum(amount).over(upto) - F.first(amount).over(upto)).alias("available_credit"),
         F.lit(False).alias("is_subscription"),
     )
     out = fill_unknown_text(out, ["customer_id", "f_name", "l_name", "address"])
     return add_calendar_features(out)
 
 
-def render_statements(tx: DataFrame, max_rows: int = 1024, lines_per_page: int = 25) -> DataFrame:
-    """Pages of statement text for rows of ``tx``: documents per (user, year, month, id
-    bucket); header with card holder, credit limit and available credit on page 0.
-    Returns (doc_id, user_id, statement_year, statement_month, page_no, text)."""
-    from pyspark.sql import Window
-
-    from spendlens.sources.extraction import bounded_documents
-
-    docs = bounded_documents(tx, ["user_id", "year", "month"], max_rows)
-    w = Window.partitionBy("doc_id").orderBy("transaction_date", "transaction_id")
+def statement_ingest(docs: DataFrame, history: DataFrame, text_col: str = "text") -> DataFrame:
+    """Statement text to rows for the transactions table: extracted, new rows only (J1), with ids
+    above the stored ones in (document, position) order (K1) and ``is_subscription`` from the
+    recurring merchants of the user's stored and new rows together (X9)."""
+    from spendlens.operators.dedup import new_rows
+    from spendlens.operators.enrich import flag_recurring
+    from spendlens.schema import TX_COLUMNS
+    from spendlens.sources.tables import assign_ids
+
+    fresh = new_rows(statement_records(docs, text_col), history)
+    fresh = assign_ids(fresh, history, "transaction_id", order=["doc_id", "position"]).select(*TX_COLUMNS)
+    every = history.select(*TX_COLUMNS, F.lit(False).alias("_new")).unionByName(fresh.withColumn("_new", F.lit(True)))
+    flagged = flag_recurring(every).filter("_new")
+    return flagged.withColumn("is_subscription", F.col("is_recurring")).select(*TX_COLUMNS)
+
+
+def render_statements(tx: DataFrame, max_rows: int = 10_000, lines_per_page: int = 25) -> DataFrame:
+    """Pages of statement text for rows of ``tx``: one statement per (user, half-year), named by
+    its last month; a longer one than ``max_rows`` lines is cut into consecutive statements. The
+    header with card holder, credit limit and available credit is page 0. Returns
+    (doc_id, user_id, statement_year, statement_month, page_no, text)."""
+    from spendlens.operators.running import numbered_parts
+
+    half = F.when(F.col("month") <= 6, F.lit(6)).otherwise(F.lit(12))
+    key = ["user_id", "statement_year", "statement_month"]
+    docs = numbered_parts(tx.withColumns({"statement_year": F.col("year"), "statement_month": half}), key, max_rows)
     amt = F.col("amount_spent")
     line = F.concat_ws(
         " ",
@@ -132,14 +168,15 @@ def render_statements(tx: DataFrame, max_rows: int = 1024, lines_per_page: int =
         F.col("activity_description"),
         F.concat(F.format_number(F.abs(amt).cast("double"), 2), F.when(amt < 0, F.lit(" CR")).otherwise(F.lit(""))),
     )
+    in_part = F.col("ordinal") - 1 - F.col("part") * max_rows
     numbered = docs.select(
-        "doc_id", "user_id", F.col("year").alias("statement_year"), F.col("month").alias("statement_month"),
-        "customer_id", "credit_limit", "available_credit",
-        (F.row_number().over(w) - 1).alias("_n"), line.alias("_line"),
-    ).withColumn("page_no", (F.floor(F.col("_n") / lines_per_page) + 1).cast("int"))
+        F.concat_ws("-", *[F.col(k).cast("string") for k in (*key, "part")]).alias("doc_id"), *key,
+        "customer_id", "credit_limit", "available_credit", in_part.alias("_n"), line.alias("_line"),
+        (F.floor(in_part / lines_per_page) + 1).cast("int").alias("page_no"),
+    )
     # Header fields ride in the collected (sorted) lines and are read from the first one:
     # collect_list keeps this an object-hash aggregate (a min_by over a struct would sort).
-    pages = numbered.groupBy("doc_id", "user_id", "statement_year", "statement_month", "page_no").agg(
+    pages = numbered.groupBy("doc_id", *key, "page_no").agg(
         F.array_sort(F.collect_list(F.struct("_n", "_line", "customer_id", "credit_limit", "available_credit")))
         .alias("_items")
     )
@@ -150,16 +187,11 @@ def render_statements(tx: DataFrame, max_rows: int = 1024, lines_per_page: int =
             F.lit("Card holder: "), h["customer_id"], F.lit("\nCredit Limit: $"),
             F.format_number(h["credit_limit"].cast("double"), 2),
             F.lit("\nAvailable Credit: $"), F.format_number(h["available_credit"].cast("double"), 2),
-            F.lit("\n"),
         ).alias("text"),
     )
-    body = F.struct(
-        F.col("page_no"),
-        F.concat(F.array_join(F.transform("_items", lambda x: x["_line"]), "\n"), F.lit("\n")).alias("text"),
-    )
+    # No line end behind the last line of a page: a page border ends a line.
+    body = F.struct(F.col("page_no"), F.array_join(F.transform("_items", lambda x: x["_line"]), "\n").alias("text"))
     # Page 1 also emits the header page 0: one pass over the page groups (no union of two
     # branches that would recompute the window and the aggregate).
     emitted = F.when(F.col("page_no") == 1, F.array(header, body)).otherwise(F.array(body))
-    return pages.select("doc_id", "user_id", "statement_year", "statement_month", F.explode(emitted).alias("_p")).select(
-        "doc_id", "user_id", "statement_year", "statement_month", "_p.page_no", "_p.text"
-    )
+    return pages.select("doc_id", *key, F.explode(emitted).alias("_p")).select("doc_id", *key, "_p.page_no", "_p.text")

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 def latest_updates(updates: DataFrame, seq: str = "seq") -> DataFrame:
     """Last update per email (W4) as an aggregate: ``max_by`` combines map-side, so an email
-    with very many updates never gathers them in one task (unlike a row_number window)."""
+    with very many updates never gathers them in one task (unlike a row_number window). One
+    scalar ``max_by`` per column keeps it a hash aggregate; ``seq`` is unique per email."""
     return (
         updates.filter(F.col("email").isNotNull())
         .groupBy("email")
-        .agg(F.max_by(F.struct("display_name", "picture_url"), F.col(seq)).alias("_u"))
-        .select("email", F.col("_u.display_name").alias("display_name"), F.col("_u.picture_url").alias("picture_url"))
+        .agg(F.max_by("display_name", seq).alias("display_name"), F.max_by("picture_url", seq).alias("picture_url"))
     )
 
 

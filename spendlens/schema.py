@@ -95,6 +95,7 @@ TEXT_LIMITS = {
     "customer_id": 255, "f_name": 100, "l_name": 100, "address": 500,
     "category": 100, "sub_category": 100, "month_name": 20, "day_of_week": 20,
 }
+USER_TEXT_LIMITS = {"email": 255, "display_name": 255}
 
 
 def taxonomy_df(spark: SparkSession) -> DataFrame:

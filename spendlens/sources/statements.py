@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def assemble_documents(pages: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Concatenate each document's pages in page order with no separator.
+def assemble_documents(pages: DataFrame, extra: list[str] | None = None, page_end: str = "") -> DataFrame:
+    """Concatenate each document's pages in page order, with no separator unless ``page_end`` is
+    given. For line extraction pass ``"\\n"``: a page border then ends a line, so that the last
+    line of a page does not run into the first of the next.
 
     One group per document (a statement is a bounded unit); ``extra`` document-level
     columns ride along. Documents whose text is empty or missing are left out here and
@@ -19,9 +21,9 @@ def assemble_documents(pages: DataFrame, extra: list[str] | None = None) -> Data
     """
     ordered = F.array_sort(F.collect_list(F.struct("page_no", F.coalesce(F.col("text"), F.lit("")).alias("text"))))
     docs = pages.groupBy("doc_id", *(extra or [])).agg(
-        F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text")
+        F.array_join(F.transform(ordered, lambda x: x["text"]), page_end).alias("text")
     )
-    return docs.filter(F.length("text") > 0)
+    return docs.filter(F.length(F.replace("text", F.lit(page_end))) > 0 if page_end else F.length("text") > 0)
 
 
 def empty_documents(pages: DataFrame) -> DataFrame:

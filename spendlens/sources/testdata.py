@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions.dates import add_calendar_features
+from spendlens.operators.running import numbered_parts
 from spendlens.schema import MONEY, TX_COLUMNS
+from spendlens.sources.extraction import DOCUMENT_ROWS
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,6 +155,11 @@ def users_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The email of every customer, whether a known user or not."""
+    return read_table(spark, sf_dir, "customer").select(_email(F.col("c_name")).alias("email"))
+
+
 def user_updates_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logins from HISTORY_END on: one profile update per order (seq = order key); the
     picture is missing on orders with status P."""
@@ -177,12 +184,16 @@ def raw_orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     d = F.to_date("o_orderdate")
     price = F.col("o_totalprice").cast(MONEY).cast("string")
+    shape = F.pmod(k, F.lit(8))
     date_txt = (
-        F.when(F.pmod(k, 5) == 0, F.date_format(d, "MM-dd-yyyy"))
-        .when(F.pmod(k, 5) == 1, F.concat(F.lit(" "), F.date_format(d, "M-d-yyyy")))
-        .when(F.pmod(k, 5) == 2, F.date_format(d, "yyyy-MM-dd"))
-        .when(F.pmod(k, 5) == 3, F.date_format(d, "dd-MM-yyyy"))
-        .otherwise(F.lit(""))
+        F.when(shape == 0, F.date_format(d, "MM-dd-yyyy"))
+        .when(shape == 1, F.concat(F.lit(" "), F.date_format(d, "M-d-yyyy")))
+        .when(shape == 2, F.date_format(d, "yyyy-MM-dd"))
+        .when(shape == 3, F.date_format(d, "dd-MM-yyyy"))
+        .when(shape == 4, F.lit(""))
+        .when(shape == 5, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:20:30.000")))
+        .when(shape == 6, F.date_format(d, "M/d/yyyy"))
+        .otherwise(F.date_format(d, "MMM d, yyyy"))
     )
     amount_txt = (
         F.when(F.pmod(k, 6) == 0, price)
@@ -239,19 +250,17 @@ def event_records(events: DataFrame) -> DataFrame:
     )
 
 
-def event_documents(events: DataFrame, period: str, max_rows: int = 1024) -> DataFrame:
-    """Fenced JSON documents of events per (user, ``period``, ``event_id div max_rows``) with
-    records in time order: (doc_id, user_id, text). The id bucket bounds every document, however
-    many events one user has in a period."""
-    recs = event_records(events).withColumn("_p", F.date_trunc(period, "ts")).withColumn(
-        "_b", F.floor(F.col("event_id") / max_rows).cast("long")
-    )
-    grouped = recs.groupBy("user_id", "_p", "_b").agg(
-        F.array_sort(F.collect_list(F.struct("ts", "event_id", "_r"))).alias("_items")
+def event_documents(events: DataFrame, period: str, max_rows: int = DOCUMENT_ROWS) -> DataFrame:
+    """Fenced JSON documents of events per (user, ``period``) with records in time order, in
+    consecutive parts of at most ``max_rows`` records: (doc_id, user_id, text)."""
+    recs = event_records(events).withColumn("_p", F.date_trunc(period, "ts"))
+    recs = numbered_parts(recs, ["user_id", "_p"], max_rows, "ts", "event_id")
+    grouped = recs.groupBy("user_id", "_p", "part").agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "_r"))).alias("_items")
     )
     return grouped.select(
         F.concat_ws("-", F.lit(period), F.col("user_id").cast("string"), F.date_format("_p", "yyyyMMdd"),
-                    F.col("_b").cast("string")).alias("doc_id"),
+                    F.col("part").cast("string")).alias("doc_id"),
         "user_id",
         F.concat(F.lit("```json\n"), F.to_json(F.transform("_items", lambda x: x["_r"])), F.lit("\n```")).alias("text"),
     )

@@ -63,8 +63,29 @@ def test_running_sum_matches_plain_window(spark):
 
     w = Window.partitionBy("g").orderBy("d", "tid").rowsBetween(Window.unboundedPreceding, 0)
     plain = {r.tid: r.s for r in df.select("tid", F.sum("v").over(w).alias("s")).collect()}
-    fast = {r.tid: r.s for r in running_sum(df, "v", ["g"], "d", "tid", "s", chunk_rows=8).collect()}
-    assert plain == fast
+    for chunk in (1, 8, 4096):
+        for hot in (0, 1500, 10_000):
+            fast = {r.tid: r.s for r in running_sum(df, "v", ["g"], "d", "tid", "s", chunk_rows=chunk, hot_rows=hot).collect()}
+            assert plain == fast
+
+
+def test_running_credit_with_missing_values(spark):
+    """Missing amounts count nothing, also as a user's first row; a null user is a user."""
+    d, e = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    rows = []
+    for u in (1, None):
+        rows += [(1, u, d, None, Decimal("100.00")), (2, u, d, Decimal("5.00"), None), (3, u, e, None, None),
+                 (4, u, e, Decimal("2.00"), None), (5, u, None, Decimal("1.00"), None)]
+    rows += [(6, 2, d, Decimal("5.00"), None), (7, 2, e, Decimal("5.00"), Decimal("3.00"))]
+    df = spark.createDataFrame(rows, "transaction_id long, user_id long, transaction_date timestamp_ntz, "
+                                     "amount_spent decimal(18,2), available_credit decimal(18,2)")
+    want = {(t, u): v for u in (1, None) for t, v in zip((1, 2, 3, 4, 5), (100.0, 105.0, 105.0, 107.0, 108.0))}
+    want |= {(6, 2): None, (7, 2): None}
+    for chunk in (1, 8, 4096):
+        for hot in (0, 1000):
+            got = running_available_credit(df, chunk_rows=chunk, hot_rows=hot).collect()
+            assert {(r.transaction_id, r.user_id): r.running_available_credit and float(r.running_available_credit)
+                    for r in got} == want
 
 
 def test_recurring(spark):

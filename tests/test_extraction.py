@@ -17,6 +17,11 @@ def test_document_shapes(spark):
             ("object", REC),
             ("malformed", "[{oops"),
             ("mixed", f"[{REC}, 5]"),
+            ("trailing", f"[{REC}] thanks"),
+            ("two", f"[{REC}], [{REC}]"),
+            ("quotes", "[{'amount_spent': '5'}]"),
+            ("null", f"[null, {REC}]"),
+            ("blank", "  "),
         ],
         "doc_id string, text string",
     )
@@ -26,7 +31,8 @@ def test_document_shapes(spark):
     r = rows.filter("doc_id = 'fenced'").first()
     assert float(r.amount_spent) == 12.5 and r.is_subscription and r.transaction_date == dt.datetime(2024, 1, 15)
     q = {r.doc_id: r.reason for r in extraction_quarantine(docs).collect()}
-    assert q == {"object": "not_an_array", "malformed": "malformed", "mixed": "malformed"}
+    assert q == {"object": "not_an_array", "malformed": "malformed", "mixed": "malformed",
+                 "trailing": "malformed", "two": "malformed", "quotes": "malformed", "null": "null_record", "blank": "empty"}
 
 
 def test_pages_and_lines(spark):
@@ -65,4 +71,33 @@ def test_statement_records_fill_every_column(spark):
     assert [(r.category, r.sub_category) for r in rows] == [
         ("Living Expenses", "Transportation"), ("Subscriptions", "Streaming"), ("Financial", "Credit Card Payments")]
     assert [float(r.available_credit) for r in rows] == [100.0, 105.0, 102.0]
-    assert rows[0].customer_id == "Alex Juma" and rows[0].address == "" and rows[0].month_name == "January"
+    assert (rows[0].customer_id, rows[0].f_name, rows[0].l_name) == ("alex_juma", "Alex", "Juma")
+    assert rows[0].address == "" and rows[0].month_name == "January"
+
+
+def test_page_borders_end_lines_and_odd_lines_are_reported(spark):
+    from spendlens.operators.statement_lines import unparsed_lines
+
+    pages = spark.createDataFrame(
+        [("d", 2, "Jan 03 Jan 04 LYFT $3.00\nJan 05 Jan 06 NO AMOUNT"), ("d", 1, "Jan 01 Jan 02 UBER 12.50"),
+         ("d", 0, "Available Credit: $10.00"), ("e", 1, ""), ("e", 2, "")],
+        "doc_id string, page_no int, text string")
+    docs = assemble_documents(pages, page_end="\n").selectExpr("*", "2024 AS statement_year", "1 AS statement_month")
+    assert [r.doc_id for r in docs.collect()] == ["d"]
+    rows = sorted(statement_rows(docs).collect(), key=lambda r: r.position)
+    assert [(r.raw_description, float(r.amount_spent)) for r in rows] == [("UBER", 12.5), ("LYFT", 3.0)]
+    assert [r.line for r in unparsed_lines(docs).collect()] == ["Jan 05 Jan 06 NO AMOUNT"]
+
+
+def test_one_payload_per_user_and_consecutive_parts(spark):
+    import json
+
+    from spendlens.sources.extraction import json_payloads
+
+    df = spark.sql("SELECT id AS transaction_id, id % 2 AS user_id, TIMESTAMP_NTZ'2024-01-01' + make_interval(0, 0, 0, CAST(50 - id AS INT)) "
+                   "AS transaction_date, 'x' AS activity_description FROM range(50)")
+    whole = {r.user_id: [x["transaction_id"] for x in json.loads(r.payload)] for r in json_payloads(df, ["user_id"]).collect()}
+    assert whole == {u: [i for i in range(49, -1, -1) if i % 2 == u] for u in (0, 1)}
+    parts = json_payloads(df, ["user_id"], max_rows=10).collect()
+    assert sorted((r.user_id, r.part, r.n_records) for r in parts) == [(u, p, 10 if p < 2 else 5) for u in (0, 1) for p in (0, 1, 2)]
+    assert [x["transaction_id"] for r in sorted(parts, key=lambda r: r.part) if r.user_id == 0 for x in json.loads(r.payload)] == whole[0]

@@ -33,7 +33,9 @@ def test_overview_has_no_expand(tx):
 
 
 def test_running_credit_uses_hash_aggregates(tx):
-    plan = _plan(running_available_credit(tx))
+    plan = _plan(running_available_credit(tx))  # no hot user: one shuffle and a window
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+    plan = _plan(running_available_credit(tx, hot_rows=0))
     assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 

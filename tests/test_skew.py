@@ -58,7 +58,7 @@ def test_fixture_has_a_hot_user(hot_pd):
 
 
 def test_running_credit_exact_under_skew(spark, hot_tx, hot_pd):
-    got = running_available_credit(hot_tx, chunk_rows=16).select("transaction_id", "running_available_credit")
+    got = running_available_credit(hot_tx, chunk_rows=16, hot_rows=50).select("transaction_id", "running_available_credit")
     got = {r.transaction_id: r.running_available_credit for r in got.collect()}
 
     df = hot_pd.assign(_day=hot_pd["transaction_date"].dt.normalize())
@@ -75,10 +75,11 @@ def test_running_credit_exact_under_skew(spark, hot_tx, hot_pd):
 
 def test_running_credit_spreads_the_hot_user(spark, hot_tx):
     """With partition coalescing off, the hot user's rows leave the final window stage from
-    several tasks: the shuffle key is (user, day, chunk), not the user alone."""
+    several tasks: for a user with more rows than ``hot_rows`` the shuffle key is (user, day,
+    chunk), not the user alone."""
     with conf(spark, **{"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
         parts = (
-            running_available_credit(hot_tx, chunk_rows=16)
+            running_available_credit(hot_tx, chunk_rows=16, hot_rows=50)
             .filter(F.col("user_id") == HOT)
             .select(F.spark_partition_id().alias("p"))
             .distinct()
