@@ -29,8 +29,8 @@ from spendlens.operators.enrich import (
 )
 from spendlens.operators.quality import constraint_violations, typing_failures
 from spendlens.operators.running import running_available_credit
-from spendlens.operators.statement_lines import render_statements, statement_rows
-from spendlens.operators.users import upsert_users
+from spendlens.operators.statement_lines import render_statements, statement_ingest, statement_records, statement_rows
+from spendlens.operators.users import upsert_users, user_ids
 from spendlens.plans.context import prepare, tx_table
 from spendlens.schema import INSERT_COLUMNS
 from spendlens.session import scratch_path
@@ -41,9 +41,21 @@ from spendlens.sources.extraction import (
     json_payloads,
     json_records,
 )
-from spendlens.sources.statements import assemble_documents
-from spendlens.sources.tables import read_transactions, stored_max, users_history, write_transactions
+from spendlens.sources.statements import assemble_documents, read_text_documents
+from spendlens.sources.tables import (
+    assign_ids,
+    create_tables,
+    read_transactions,
+    refresh_tables,
+    stored_max,
+    user_history,
+    users_history,
+    write_transactions,
+    write_users_snapshot,
+)
 from spendlens.sources.testdata import (
+    customer_emails,
+    event_documents,
     event_uploads,
     history_part,
     raw_orders_text,
@@ -53,7 +65,7 @@ from spendlens.sources.testdata import (
     user_updates_from_tables,
     users_from_tables,
 )
-from spendlens.streaming.ingest import run_ingest_stream
+from spendlens.streaming.ingest import read_quarantine, run_ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -186,7 +198,74 @@ def q_user_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return constraint_violations(tx_table(spark, sf_dir), users_from_tables(spark, sf_dir))
+    """Over tables with some rows of every kind of violation."""
+    tx, users = tx_table(spark, sf_dir), users_from_tables(spark, sf_dir)
+    t, u = F.col("transaction_id"), F.col("user_id")
+    tx = tx.unionByName(tx.filter(F.pmod(t, F.lit(17)) == 0)).withColumns({
+        "address": F.when(F.pmod(t, F.lit(13)) == 0, F.repeat("address", 200)).otherwise(F.col("address")),
+        "user_id": F.when(F.pmod(t, F.lit(11)) != 0, u),
+        "transaction_id": F.when(F.pmod(t, F.lit(19)) != 0, t),
+    })
+    users = users.unionByName(users.filter(F.pmod(u, F.lit(5)) == 0)).withColumns({
+        "email": F.when(F.pmod(u, F.lit(7)) != 0, F.col("email")),
+        "display_name": F.when(F.pmod(u, F.lit(3)) == 0, F.repeat("display_name", 20)).otherwise(F.col("display_name")),
+    })
+    return constraint_violations(tx, users)
+
+
+def q_user_ids_by_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the emails of all customers, known ones and others."""
+    prepare(spark)
+    emails = customer_emails(spark, sf_dir)
+    return user_ids(users_from_tables(spark, sf_dir), emails)
+
+
+def q_one_user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one user: the one with the smallest id."""
+    tx = tx_table(spark, sf_dir)
+    return present(user_history(tx, tx.select(F.min("user_id")).first()[0]))
+
+
+def q_clean_padded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column names with blanks around them are still typed."""
+    prepare(spark)
+    raw = raw_orders_text(spark, sf_dir)
+    padded = raw.toDF(*[f" {c}  " if i % 2 else f"{c}\t" for i, c in enumerate(raw.columns)])
+    return present(clean_transactions(padded).drop("posting_date"))
+
+
+def q_surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh ids above the stored ones, dense and in (date, old id) order."""
+    tx = tx_table(spark, sf_dir)
+    old = tx.select(F.col("transaction_id").alias("old_id"), "transaction_date")
+    new = assign_ids(old, tx, "transaction_id", order=["transaction_date", "old_id"])
+    return new.select("old_id", "transaction_id")
+
+
+def q_catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables created, written and counted through the catalog."""
+    tx = tx_table(spark, sf_dir)
+    root = scratch_path(spark, "store")
+    names = [f"{n}_{root[-12:]}" for n in ("transactions", "users")]
+    create_tables(spark, root, *names)
+    write_transactions(tx, f"{root}/transactions")
+    write_users_snapshot(spark, root, users_from_tables(spark, sf_dir))
+    refresh_tables(spark, root, *names)
+    counts = [
+        spark.table(n).agg(F.lit(label).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("user_id").alias("n_users"))
+        for n, label in zip(names, ("transactions", "users"), strict=True)
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+def q_folder_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text file per benchmark item, written to a folder and read back whole."""
+    prepare(spark)
+    path = scratch_path(spark, "folder")
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    items.write.partitionBy("item_id").text(path, lineSep="|")
+    docs = read_text_documents(spark, f"{path}/*")
+    return docs.select(F.regexp_extract("doc_id", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "text")
 
 
 QUERIES.update(
@@ -199,6 +278,12 @@ QUERIES.update(
         "append_history": q_append_history,
         "user_upsert": q_user_upsert,
         "constraint_violations": q_constraint_violations,
+        "user_ids_by_email": q_user_ids_by_email,
+        "one_user_history": q_one_user_history,
+        "clean_padded_names": q_clean_padded_names,
+        "surrogate_ids": q_surrogate_ids,
+        "catalog_tables": q_catalog_tables,
+        "folder_documents": q_folder_documents,
     }
 )
 
@@ -218,8 +303,8 @@ def q_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_statement_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx -> statement pages -> documents -> line extraction: the round trip equals tx."""
-    pages = render_statements(tx_table(spark, sf_dir))
-    docs = assemble_documents(pages, ["user_id", "statement_year", "statement_month"])
+    pages = render_statements(tx_table(spark, sf_dir), lines_per_page=2)
+    docs = assemble_documents(pages, ["user_id", "statement_year", "statement_month"], "\n")
     rows = statement_rows(docs)
     return present(
         rows.select(
@@ -229,8 +314,47 @@ def q_statement_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_json_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON export read back as response documents and cleaned: equals tx."""
+    records = json_records(tx_table(spark, sf_dir), keep=["user_id"])
+    docs = records.select("user_id", F.concat(F.lit("["), "record", F.lit("]")).alias("text"))
+    return present(clean_transactions(extraction_rows(docs)).select("user_id", *INSERT_COLUMNS))
+
+
+def q_statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body pages and extracted lines of every statement (two lines a page)."""
+    pages = render_statements(tx_table(spark, sf_dir), lines_per_page=2)
+    keys = ["user_id", "statement_year", "statement_month"]
+    lines = statement_rows(assemble_documents(pages, keys, "\n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lines"))
+    bodies = pages.filter("page_no > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_body_pages"))
+    return bodies.join(lines, keys)
+
+
+def _statements(tx: DataFrame) -> DataFrame:
+    """Statement documents of ``tx`` whose holder line reads "Customer <number>"."""
+    named = tx.withColumn("customer_id", F.replace("customer_id", F.lit("#"), F.lit(" ")))
+    keys = ["user_id", "statement_year", "statement_month"]
+    return assemble_documents(render_statements(named, lines_per_page=2), keys, "\n")
+
+
+def q_statement_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = statement_records(_statements(tx_table(spark, sf_dir)))
+    return present(rows.select("user_id", *INSERT_COLUMNS))
+
+
+def q_statement_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of all years from UPLOAD_START on, ingested over the stored history."""
+    tx = tx_table(spark, sf_dir)
+    new = statement_ingest(_statements(upload_part(tx)), history_part(tx))
+    return present(new.select("user_id", "transaction_date", "activity_description", "amount_spent", "is_subscription"))
+
+
 QUERIES.update(
     {
+        "json_export_roundtrip": q_json_export_roundtrip,
+        "statement_pages": q_statement_pages,
+        "statement_records": q_statement_records,
+        "statement_ingest": q_statement_ingest,
         "json_extract": q_json_extract,
         "json_export": q_json_export,
         "statement_extract": q_statement_extract,
@@ -308,6 +432,15 @@ def q_running_available_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("transaction_id", "user_id", F.col("running_available_credit").cast("double"))
 
 
+def q_running_available_credit_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh amount is missing, first rows of users among them."""
+    tx = tx_table(spark, sf_dir).withColumn(
+        "amount_spent", F.when(F.pmod("transaction_id", F.lit(7)) != 0, F.col("amount_spent"))
+    )
+    r = running_available_credit(tx)
+    return r.select("transaction_id", "user_id", F.col("running_available_credit").cast("double"))
+
+
 def q_recurring_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurring_merchants(tx_table(spark, sf_dir))
 
@@ -324,6 +457,7 @@ QUERIES.update(
         "categorise_many_rules": q_categorise_many_rules,
         "taxonomy_violations": q_taxonomy_violations,
         "running_available_credit": q_running_available_credit,
+        "running_available_credit_nulls": q_running_available_credit_nulls,
         "recurring_merchants": q_recurring_merchants,
         "spending_habits": q_spending_habits,
     }
@@ -345,22 +479,62 @@ def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(read_transactions(spark, tx_path).select("user_id", *INSERT_COLUMNS))
 
 
+def q_ingest_same_bytes_two_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the events is uploaded by its user and later, byte for byte, by another
+    one: both have the rows."""
+    prepare(spark)
+    root = scratch_path(spark, "two-users")
+    docs = event_documents(read_table(spark, sf_dir, "events"), "month")
+    docs.write.json(f"{root}/landing/upload_id=1")
+    docs.withColumn("user_id", F.col("user_id") + 1_000_000).write.json(f"{root}/landing/upload_id=2")
+    run_ingest_stream(spark, f"{root}/landing", f"{root}/tx", f"{root}/log", f"{root}/ckpt")
+    return present(read_transactions(spark, f"{root}/tx").select("user_id", *INSERT_COLUMNS))
+
+
+def q_ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's documents as answers, one in five of them a valid array, one empty, one cut
+    off, one with text behind it: what the ingest keeps aside, and why."""
+    prepare(spark)
+    root = scratch_path(spark, "quarantine")
+    record = F.lit('[{"activity_description": "x", "amount_spent": "1"}]')
+    k = F.pmod("doc_id", F.lit(5))
+    text = (
+        F.when(k == 0, record).when(k == 1, F.lit("[]")).when(k == 2, F.substring(record, 1, 30))
+        .when(k == 3, F.concat(record, F.lit(" thanks"))).otherwise(F.col("text"))
+    )
+    docs = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("user_id"), text.alias("text")
+    )
+    docs.write.json(f"{root}/landing/upload_id=1")
+    run_ingest_stream(spark, f"{root}/landing", f"{root}/tx", f"{root}/log", f"{root}/ckpt")
+    stored = read_transactions(spark, f"{root}/tx").select(F.col("user_id").alias("doc_id"), F.lit("stored").alias("reason"))
+    aside = read_quarantine(spark, f"{root}/log").select(F.col("user_id").alias("doc_id"), "reason")
+    return stored.unionByName(aside)
+
+
 QUERIES["incremental_ingest"] = q_incremental_ingest
+QUERIES["ingest_same_bytes_two_users"] = q_ingest_same_bytes_two_users
+QUERIES["ingest_quarantine"] = q_ingest_quarantine
 
 
 # --------------------------------------------------------------------------- more outputs
 
 def q_adviser_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-user JSON arrays for an external adviser, cut into documents of at most 1024 rows."""
-    return json_payloads(_tx(spark, sf_dir), ["user_id"], max_rows=1024)
+    """One JSON array per user for an external adviser."""
+    return json_payloads(_tx(spark, sf_dir), ["user_id"])
 
 
 def q_extraction_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's prose documents read as model responses: none is a JSON array, so every
-    one is quarantined with its reason instead of silently dropped."""
-
+    """The driver's documents read as model responses, with some made blank, cut off, followed by
+    text or holding a null: every one that is no array of objects has its reason."""
     prepare(spark)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    array = F.lit('[{"activity_description": "x"}]')
+    k = F.pmod("doc_id", F.lit(7))
+    text = (
+        F.when(k == 1, F.lit(" ")).when(k == 2, F.lit('[{"activity_description": "x"')).when(k == 3, F.concat(array, F.lit(" ok")))
+        .when(k == 4, F.lit("[null]")).when(k == 5, F.concat(F.lit("```json"), array, F.lit("```"))).otherwise(F.col("text"))
+    )
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     return extraction_quarantine(docs).select("doc_id", "reason")
 
 

@@ -142,10 +142,12 @@ SELECT {keys}rank, merchant, transaction_count FROM (
 
 def _subscriptions(by: str) -> str:
     keys = f"{by}, " if by else ""
+    part = f"PARTITION BY {by}" if by else ""
     return _with(SEL, EXP) + f"""
-SELECT {keys}activity_description, CAST(sum(amount_spent) AS DOUBLE) AS amount_spent
-FROM exp WHERE is_subscription AND activity_description IS NOT NULL
-GROUP BY {keys}activity_description
+SELECT {keys}row_number() OVER ({part} ORDER BY s DESC, activity_description) AS rank, activity_description,
+       CAST(s AS DOUBLE) AS amount_spent
+FROM (SELECT {keys}activity_description, sum(amount_spent) AS s FROM exp
+      WHERE is_subscription AND activity_description IS NOT NULL GROUP BY {keys}activity_description) g
 """
 
 
@@ -168,7 +170,10 @@ ORACLE: dict[str, str] = {
     "top10_merchants_per_user": _top10_merchants("user_id"),
     "subscription_costs": _subscriptions(""),
     "subscription_costs_per_user": _subscriptions("user_id"),
-    "available_years": _with(SEL) + "SELECT DISTINCT year FROM sel WHERE year IS NOT NULL",
+    "available_years": _with(SEL) + (
+        "SELECT CAST(row_number() OVER (ORDER BY year) AS INTEGER) AS rank, year "
+        "FROM (SELECT DISTINCT year FROM sel WHERE year IS NOT NULL) y"
+    ),
     "available_months": _with(SEL) + (
         "SELECT DISTINCT month AS month_no, month_name FROM sel WHERE month IS NOT NULL AND month_name IS NOT NULL"
     ),
@@ -192,8 +197,8 @@ WITH src AS (
   FROM orders
 ), parsed AS (
   SELECT k AS transaction_id,
-    CASE k % 5 WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN d
-               WHEN 3 THEN CASE WHEN day(d) <= 12 THEN make_date(year(d), day(d), month(d)) END
+    CASE k % 8 WHEN 3 THEN CASE WHEN day(d) <= 12 THEN make_date(year(d), day(d), month(d)) END
+               WHEN 4 THEN NULL ELSE d
     END AS transaction_date,
     CASE k % 6 WHEN 0 THEN price WHEN 2 THEN price WHEN 4 THEN price WHEN 5 THEN -price END AS amount_spent,
     (k % 7) IN (0, 1, 3, 4) AS is_subscription,
@@ -286,25 +291,40 @@ SELECT u.user_id, coalesce(u.email, n.email) AS email,
 FROM users0 u FULL OUTER JOIN latest n ON u.email = n.email
 """
 
-CONSTRAINTS = _with(USERS0) + """
-SELECT 'tx_null_user_id' AS check_name, count(*) FILTER (WHERE user_id IS NULL) AS violations FROM tx
-UNION ALL SELECT 'tx_customer_id_too_long', count(*) FILTER (WHERE length(customer_id) > 255) FROM tx
-UNION ALL SELECT 'tx_f_name_too_long', count(*) FILTER (WHERE length(f_name) > 100) FROM tx
-UNION ALL SELECT 'tx_l_name_too_long', count(*) FILTER (WHERE length(l_name) > 100) FROM tx
-UNION ALL SELECT 'tx_address_too_long', count(*) FILTER (WHERE length(address) > 500) FROM tx
-UNION ALL SELECT 'tx_category_too_long', count(*) FILTER (WHERE length(category) > 100) FROM tx
-UNION ALL SELECT 'tx_sub_category_too_long', count(*) FILTER (WHERE length(sub_category) > 100) FROM tx
-UNION ALL SELECT 'tx_month_name_too_long', count(*) FILTER (WHERE length(month_name) > 20) FROM tx
-UNION ALL SELECT 'tx_day_of_week_too_long', count(*) FILTER (WHERE length(day_of_week) > 20) FROM tx
+CONSTRAINTS = _with(USERS0, """txd AS (
+  SELECT * FROM tx UNION ALL SELECT * FROM tx WHERE transaction_id % 17 = 0
+), t AS (
+  SELECT CASE WHEN transaction_id % 19 <> 0 THEN transaction_id END AS transaction_id,
+         CASE WHEN transaction_id % 11 <> 0 THEN user_id END AS user_id, customer_id, f_name, l_name,
+         CASE WHEN transaction_id % 13 = 0 THEN repeat(address, 200) ELSE address END AS address,
+         category, sub_category, month_name, day_of_week FROM txd
+), ud AS (
+  SELECT * FROM users0 UNION ALL SELECT * FROM users0 WHERE user_id % 5 = 0
+), u AS (
+  SELECT user_id, CASE WHEN user_id % 7 <> 0 THEN email END AS email,
+         CASE WHEN user_id % 3 = 0 THEN repeat(display_name, 20) ELSE display_name END AS display_name FROM ud
+)""") + """
+SELECT 'tx_null_user_id' AS check_name, count(*) FILTER (WHERE user_id IS NULL) AS violations FROM t
+UNION ALL SELECT 'tx_null_transaction_id', count(*) FILTER (WHERE transaction_id IS NULL) FROM t
+UNION ALL SELECT 'tx_customer_id_too_long', count(*) FILTER (WHERE length(customer_id) > 255) FROM t
+UNION ALL SELECT 'tx_f_name_too_long', count(*) FILTER (WHERE length(f_name) > 100) FROM t
+UNION ALL SELECT 'tx_l_name_too_long', count(*) FILTER (WHERE length(l_name) > 100) FROM t
+UNION ALL SELECT 'tx_address_too_long', count(*) FILTER (WHERE length(address) > 500) FROM t
+UNION ALL SELECT 'tx_category_too_long', count(*) FILTER (WHERE length(category) > 100) FROM t
+UNION ALL SELECT 'tx_sub_category_too_long', count(*) FILTER (WHERE length(sub_category) > 100) FROM t
+UNION ALL SELECT 'tx_month_name_too_long', count(*) FILTER (WHERE length(month_name) > 20) FROM t
+UNION ALL SELECT 'tx_day_of_week_too_long', count(*) FILTER (WHERE length(day_of_week) > 20) FROM t
 UNION ALL SELECT 'tx_duplicate_transaction_id', coalesce(sum(n), 0)
-  FROM (SELECT transaction_id, count(*) AS n FROM tx GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT 'tx_orphan_user_id', count(*) FROM tx WHERE user_id NOT IN (SELECT user_id FROM users0)
-UNION ALL SELECT 'users_null_email', count(*) FILTER (WHERE email IS NULL) FROM users0
-UNION ALL SELECT 'users_null_user_id', count(*) FILTER (WHERE user_id IS NULL) FROM users0
+  FROM (SELECT transaction_id, count(*) AS n FROM t WHERE transaction_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'tx_orphan_user_id', count(*) FROM t WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM u)
+UNION ALL SELECT 'users_null_email', count(*) FILTER (WHERE email IS NULL) FROM u
+UNION ALL SELECT 'users_null_user_id', count(*) FILTER (WHERE user_id IS NULL) FROM u
+UNION ALL SELECT 'users_email_too_long', count(*) FILTER (WHERE length(email) > 255) FROM u
+UNION ALL SELECT 'users_display_name_too_long', count(*) FILTER (WHERE length(display_name) > 255) FROM u
 UNION ALL SELECT 'users_duplicate_email', coalesce(sum(n), 0)
-  FROM (SELECT email, count(*) AS n FROM users0 WHERE email IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+  FROM (SELECT email, count(*) AS n FROM u WHERE email IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'users_duplicate_user_id', coalesce(sum(n), 0)
-  FROM (SELECT user_id, count(*) AS n FROM users0 GROUP BY 1 HAVING count(*) > 1)
+  FROM (SELECT user_id, count(*) AS n FROM u GROUP BY 1 HAVING count(*) > 1)
 """
 
 ORACLE.update(
@@ -317,6 +337,22 @@ ORACLE.update(
         "append_history": APPEND_HISTORY,
         "user_upsert": USER_UPSERT,
         "constraint_violations": CONSTRAINTS,
+        "user_ids_by_email": "WITH " + USERS0 + """
+SELECT lower(replace(c_name, '#', '.')) || '@example.com' AS email, c_custkey AS user_id
+FROM customer WHERE c_custkey IN (SELECT user_id FROM users0)
+""",
+        "one_user_history": _with() + f"SELECT {TX_PRESENTED} FROM tx WHERE user_id = (SELECT min(user_id) FROM tx)",
+        "clean_padded_names": CLEAN_TYPES,
+        "surrogate_ids": _with() + """
+SELECT transaction_id AS old_id, (SELECT max(transaction_id) FROM tx)
+       + row_number() OVER (ORDER BY transaction_date, transaction_id) AS transaction_id
+FROM tx
+""",
+        "catalog_tables": _with(USERS0) + """
+SELECT 'transactions' AS table_name, count(*) AS n_rows, count(DISTINCT user_id) AS n_users FROM tx
+UNION ALL SELECT 'users', count(*), count(DISTINCT user_id) FROM users0
+""",
+        "folder_documents": "SELECT item_id, text || '|' AS text FROM benchmark",
     }
 )
 
@@ -367,9 +403,48 @@ SELECT user_id, CAST(transaction_date AS DATE) AS transaction_date, CAST(posting
 FROM tx
 """
 
+STATEMENT_RECORDS = _with("""stm AS (
+  SELECT *, CASE WHEN month <= 6 THEN 6 ELSE 12 END AS half FROM tx
+)""") + """
+SELECT user_id, 'customer_' || split_part(customer_id, '#', 2) AS customer_id, 'Customer' AS f_name,
+       split_part(customer_id, '#', 2) AS l_name, '' AS address,
+       CAST(transaction_date AS DATE) AS transaction_date, CAST(posting_date AS DATE) AS posting_date,
+       activity_description, 'Other' AS category, 'Other' AS sub_category,
+       CAST(amount_spent AS DOUBLE) AS amount_spent, CAST(credit_limit AS DOUBLE) AS credit_limit,
+       CAST(first_value(available_credit) OVER w + sum(amount_spent) OVER w - first_value(amount_spent) OVER w AS DOUBLE)
+         AS available_credit,
+       false AS is_subscription, month, day, month_name, day_of_week, year
+FROM stm
+WINDOW w AS (PARTITION BY user_id, year, half ORDER BY transaction_date, transaction_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+
+STATEMENT_INGEST = _with(UPLOAD, """every AS (
+  SELECT user_id, transaction_date, activity_description, amount_spent, false AS fresh FROM hist
+  UNION ALL SELECT user_id, transaction_date, activity_description, amount_spent, true FROM flagged WHERE NOT dup
+), rec AS (
+  SELECT user_id, activity_description,
+    count(DISTINCT date_trunc('month', transaction_date)) >= 3
+      AND (max(amount_spent) - min(amount_spent)) * count(*) * 100 <= 5 * sum(amount_spent) AS is_rec
+  FROM every WHERE amount_spent > 0 GROUP BY user_id, activity_description
+)""") + """
+SELECT e.user_id, CAST(transaction_date AS DATE) AS transaction_date, e.activity_description,
+       CAST(amount_spent AS DOUBLE) AS amount_spent, coalesce(is_rec AND amount_spent > 0, false) AS is_subscription
+FROM every e LEFT JOIN rec r ON e.user_id = r.user_id AND e.activity_description = r.activity_description
+WHERE fresh
+"""
+
 ORACLE.update(
     {
         "json_extract": TX_INSERT_PRESENTED,
+        "json_export_roundtrip": TX_INSERT_PRESENTED,
+        "statement_pages": _with() + """
+SELECT user_id, year AS statement_year, CASE WHEN month <= 6 THEN 6 ELSE 12 END AS statement_month,
+       CAST(ceil(count(*) / 2.0) AS BIGINT) AS n_body_pages, count(*) AS n_lines
+FROM tx GROUP BY ALL
+""",
+        "statement_records": STATEMENT_RECORDS,
+        "statement_ingest": STATEMENT_INGEST,
         "json_export": JSON_EXPORT,
         "statement_extract": STATEMENT_EXTRACT,
     }
@@ -454,6 +529,14 @@ WINDOW w AS (PARTITION BY user_id ORDER BY transaction_date, transaction_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
 
+RUNNING_CREDIT_NULLS = _with() + """
+SELECT transaction_id, user_id,
+  CAST(first_value(available_credit) OVER w + sum(a) OVER w - first_value(a) OVER w AS DOUBLE) AS running_available_credit
+FROM (SELECT *, CASE WHEN transaction_id % 7 = 0 THEN 0 ELSE amount_spent END AS a FROM tx) t
+WINDOW w AS (PARTITION BY user_id ORDER BY transaction_date, transaction_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+
 RECURRING = _with() + """
 SELECT user_id, activity_description AS merchant,
   count(DISTINCT date_trunc('month', transaction_date)) AS n_months, count(*) AS n_transactions,
@@ -482,6 +565,7 @@ ORACLE.update(
         "categorise_many_rules": CATEGORISE,
         "taxonomy_violations": TAXONOMY_VIOLATIONS,
         "running_available_credit": RUNNING_CREDIT,
+        "running_available_credit_nulls": RUNNING_CREDIT_NULLS,
         "recurring_merchants": RECURRING,
         "spending_habits": SPENDING_HABITS,
     }
@@ -500,6 +584,14 @@ SELECT user_id, 'user_' || CAST(user_id AS VARCHAR) AS customer_id, 'user' AS f_
 FROM events
 """
 ORACLE["incremental_ingest"] = INCREMENTAL_INGEST
+ORACLE["ingest_same_bytes_two_users"] = (
+    f"{INCREMENTAL_INGEST} UNION ALL SELECT * REPLACE (user_id + 1000000 AS user_id) FROM ({INCREMENTAL_INGEST})"
+)
+ORACLE["ingest_quarantine"] = """
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'stored' WHEN 2 THEN 'malformed' WHEN 3 THEN 'malformed'
+                               ELSE CASE WHEN trim(text) = '' THEN 'empty' ELSE 'not_an_array' END END AS reason
+FROM documents WHERE doc_id % 5 <> 1
+"""
 
 _RECORD = "'{' || " + " || ',' || ".join(_js(n, e, q) for n, e, q in _JSON_FIELDS) + " || '}'"
 
@@ -514,18 +606,18 @@ GROUP BY 1, 2
 HAVING daily_spending IS NOT NULL OR daily_payments IS NOT NULL
 """,
         "adviser_payloads": _with(SEL) + f"""
-SELECT user_id, transaction_id // 1024 AS bucket,
-       '[' || string_agg({_RECORD}, ',' ORDER BY transaction_id) || ']' AS payload,
-       count(*) AS n_records
-FROM sel GROUP BY user_id, transaction_id // 1024
+SELECT user_id, n // 10000 AS part,
+       '[' || string_agg({_RECORD}, ',' ORDER BY n) || ']' AS payload, count(*) AS n_records
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY transaction_date, transaction_id) - 1 AS n FROM sel) s
+GROUP BY user_id, n // 10000
 """,
         "extraction_quarantine": r"""
 SELECT doc_id,
-  CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty'
-       WHEN NOT regexp_matches(text, '^\s*[`json]*\s*\[') THEN 'not_an_array'
-       ELSE 'malformed' END AS reason
+  CASE doc_id % 7 WHEN 1 THEN 'empty' WHEN 2 THEN 'malformed' WHEN 3 THEN 'malformed' WHEN 4 THEN 'null_record'
+    ELSE CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty'
+              WHEN NOT regexp_matches(text, '^\s*[`json]*\s*\[') THEN 'not_an_array' ELSE 'malformed' END END AS reason
 FROM documents
-WHERE text IS NULL OR NOT regexp_matches(text, '^\s*[`json]*\s*\[') OR NOT json_valid(text)
+WHERE doc_id % 7 <> 5
 """,
     }
 )
@@ -544,7 +636,7 @@ FROM tx t LEFT JOIN rec r ON t.user_id = r.user_id AND t.activity_description =
 
 ORACLE["typing_failures"] = """
 SELECT 'transaction_date' AS column_name,
-       count(*) FILTER (WHERE o_orderkey % 5 = 3 AND day(o_orderdate) > 12) AS failures
+       count(*) FILTER (WHERE o_orderkey % 8 = 3 AND day(o_orderdate) > 12) AS failures
 FROM orders
 UNION ALL
 SELECT 'amount_spent', count(*) FILTER (WHERE o_orderkey % 6 IN (1, 3)) FROM orders
