@@ -8,8 +8,9 @@ per task is padded. No shuffle; a task keeps the level array, one open list per
 slice of documents.
 
 Tokens: ``tokenizers`` ids of the vocabulary file, no special tokens added, plus one end id.
-White space separates pre-tokens of that vocabulary, so ids are cached per white-space-delimited
-chunk; plain letter words of chunks not seen before are encoded together in one call.
+White space separates pre-tokens of that vocabulary, so ids are looked up per unit of text (a
+pre-token of a Latin text, a white-space-delimited chunk of another); units not seen before are
+encoded, and a worker process keeps a bounded number of them.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed
 each; an empty table gives an empty result; only the id and text columns are read.
@@ -26,64 +27,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_slices
+from .common import map_slices, worker_state
 
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-# Chunks and words whose ids a worker keeps; beyond that the cache starts anew.
-CACHE_CHUNKS = 400_000
+# Words and chunks whose ids a worker process keeps between tasks; beyond that it starts anew.
+CACHE_UNITS = 400_000
 # Sequence ids: the task's number above these bits, the task's own count below.
 TASK_SHIFT = 36
 
-# Letters whose lower case and composition do not depend on their neighbours, then punctuation.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+# Texts of ASCII and of letters whose lower case and composition do not depend on their neighbours
+# fall into the vocabulary's pre-tokens by a plain pattern, the simplest ones by splitting.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_NOT_PLAIN = re.compile(f"[^{_LETTERS} \n\t\r.,]")
+_NOT_LATIN = re.compile(f"[^{_LETTERS}\n\t\r -~]|<\\|")
+_MARKS_MEET = ("..", ".,", ",.", ",,")
+_PRE_TOKEN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
 
 
-class ChunkTokens(dict):
-    """White-space-delimited chunk (bytes) -> its ids as little-endian unsigned 32-bit bytes."""
+class Tokens:
+    """Documents to ids (little-endian unsigned 32-bit bytes), by units of text whose ids do not
+    depend on their neighbours: pre-tokens of Latin texts, white-space chunks of others."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.words: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.marks = {"": b"", **{c: self._ids([c])[0] for c in ".,"}}
+        self.cache: dict[str | bytes, bytes] = {}
+
+    @staticmethod
+    def units(text: str) -> list[str] | list[bytes]:
+        if _NOT_PLAIN.search(text) or any(m in text for m in _MARKS_MEET):
+            if _NOT_LATIN.search(text):
+                return text.encode("utf-8", "replace").split()
+            return _PRE_TOKEN.findall(text.lower())
+        return text.lower().replace(".", " . ").replace(",", " , ").split()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Add ids of chunks that are not in the cache."""
-        if len(self) + len(self.words) > CACHE_CHUNKS:
-            self.clear()
-            self.words.clear()
-        plain, other = [], []
-        for chunk in chunks:
-            text = chunk.decode()
-            m = _PLAIN.fullmatch(text)
-            if m:
-                plain.append((chunk, m.group(1).lower(), m.group(2)))
-            else:
-                other.append((chunk, text))
-        new = list({w for _, w, _ in plain}.difference(self.words))
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
+    def learn(self, units: set[str | bytes]) -> None:
+        """Ids of new units; pre-tokens are encoded together, as each ends with an end token."""
+        words = [u for u in units if isinstance(u, str)]
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
             ids = np.frombuffer(self._ids([" ".join(part)])[0], dtype="<u4")
             cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
             if len(cuts) != len(part) + 1:  # not one end per word: take them singly
-                self.words.update(zip(part, self._ids(part), strict=True))
+                self.cache.update(zip(part, self._ids(part), strict=True))
             else:
-                self.words.update((w, ids[a:b].tobytes()) for w, (a, b) in zip(part, pairwise(cuts), strict=True))
-        for chunk, word, mark in plain:
-            self[chunk] = self.words[word] + self.marks[mark]
-        for (chunk, _), ids in zip(other, self._ids([t for _, t in other]) if other else [], strict=True):
-            self[chunk] = ids
+                data = ids.tobytes()
+                self.cache.update((w, data[4 * a : 4 * b]) for w, (a, b) in zip(part, pairwise(cuts), strict=True))
+        chunks = [u for u in units if isinstance(u, bytes)]
+        for i in range(0, len(chunks), 1000):
+            part = chunks[i : i + 1000]
+            self.cache.update(zip(part, self._ids([c.decode() for c in part]), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.cache) > CACHE_UNITS:
+            self.cache.clear()
+        parts = [self.units(t or "") for t in texts]
+        found = [list(map(self.cache.get, p)) for p in parts]
+        new = {u for p, ids in zip(parts, found, strict=True) if None in ids for u, i in zip(p, ids, strict=True) if i is None}
+        if new:
+            self.learn(new)
+            found = [list(map(self.cache.get, p)) if None in ids else ids for p, ids in zip(parts, found, strict=True)]
+        return list(map(b"".join, found))
 
 
 class Packer:
@@ -154,7 +168,10 @@ def pack_documents(
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = ChunkTokens(public_tokenizers.path(vocabulary))
+        state = worker_state("tokens")
+        if vocabulary not in vars(state):
+            setattr(state, vocabulary, Tokens(public_tokenizers.path(vocabulary)))
+        encode = getattr(state, vocabulary).encode
         packer = Packer(window)
         base = TaskContext.get().partitionId() << TASK_SHIFT
         made = iter(range(base, base + (1 << TASK_SHIFT)))
@@ -170,15 +187,8 @@ def pack_documents(
                 for pieces in packer.close():
                     yield from emit(pieces)
                 return
-            parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
-            new = set().union(*parts).difference(cache)
-            if new:
-                cache.learn(new)
-                # the cache may have started anew: what this slice needs must be there
-                if gone := set().union(*parts).difference(cache):
-                    cache.learn(gone)
-            for doc, chunks in zip(ids, parts, strict=True):
-                data = b"".join(map(cache.__getitem__, chunks)) + end
+            for doc, data in zip(ids, encode(texts), strict=True):
+                data += end
                 tokens = len(data) // 4
                 owner, at = (doc, tokens), 0
                 while tokens - at >= window:
