@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.keys import dedup_key, norm_desc
-from spendlens.sources.tables import assign_ids, insert_projection
+from spendlens.sources.tables import assign_ids, insert_projection, user_bucket, user_buckets
 
 KEY_COLUMNS = ["_k_user", "_k_date", "_k_desc", "_k_amt"]
 DEFAULT_BROADCAST_LIMIT = 2_000_000  # distinct upload keys (about 100 bytes each)
@@ -76,6 +76,11 @@ def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int =
     inc_rows = with_keys(incoming).select(*KEY_COLUMNS)
     n, years, undated, (lo, hi) = _profile(inc_rows)
     hist = history
+    if "user_bucket" in history.columns:
+        # Folders of other users' buckets are not read (at most as many values as buckets).
+        bucket = user_bucket(F.col("_k_user"), user_buckets(history.sparkSession))
+        buckets = [r[0] for r in inc_rows.select(bucket).distinct().collect()]
+        hist = hist.filter(F.col("user_bucket").isin(buckets) if buckets else F.lit(False))
     if lo is not None and "user_id" in history.columns:
         # Only the batch's users can match. The range is pushed into the Parquet scan, where
         # files sorted by user_id skip the row groups of other users (an upload of one user's

@@ -182,7 +182,7 @@ def q_append_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming, history = _upload(spark, sf_dir)
     path = scratch_path(spark, "append")
     write_transactions(history, path, mode="errorifexists")
-    stored = read_transactions(spark, path)
+    stored = read_transactions(spark, path, with_bucket=True)
     base = stored_max(spark, path, "transaction_id")  # from file footers, not a scan of the ids
     write_transactions(rows_to_insert(incoming, stored, base=base), path, mode="append", layout=False)
     return present(read_transactions(spark, path).select("user_id", *INSERT_COLUMNS))
@@ -222,7 +222,7 @@ def q_user_ids_by_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_one_user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of one user: the one with the smallest id."""
-    tx = tx_table(spark, sf_dir)
+    tx = tx_table(spark, sf_dir, with_bucket=True)
     return present(user_history(tx, tx.select(F.min("user_id")).first()[0]))
 
 

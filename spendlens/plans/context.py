@@ -21,7 +21,7 @@ def prepare(spark: SparkSession) -> None:
     apply_conf(spark)
 
 
-def tx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tx_table(spark: SparkSession, sf_dir: str, with_bucket: bool = False) -> DataFrame:
     prepare(spark)
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     path = _TX_PATHS.get(key)
@@ -29,4 +29,4 @@ def tx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, "tx")
         write_transactions(tx_from_tables(spark, sf_dir), path, mode="errorifexists")
         _TX_PATHS[key] = path
-    return read_transactions(spark, path)
+    return read_transactions(spark, path, with_bucket)

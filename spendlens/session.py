@@ -31,6 +31,8 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # Folders per year that the users are dealt over; a store keeps its number.
+    "spendlens.user.buckets": "1024",
 }
 
 

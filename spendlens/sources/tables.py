@@ -1,10 +1,11 @@
 """Parquet-backed transactions and users tables.
 
-Layout of ``transactions``: directories by ``year`` (period filters prune them), files of
-about the advisory partition size, rows sorted by (user_id, transaction_id) inside each
-file, so a per-user scan skips row groups by their min/max statistics. Not partitioned by
-``user_id``: one directory per user does not scale. Rows without a date live in the default
-partition and read back with a null year.
+Layout of ``transactions``: directories by ``year`` (period filters prune them) and, below, by
+``user_bucket``, a hash of the user in ``spendlens.user.buckets`` values (per-user reads and the
+dedup of an upload prune those), files of about the advisory partition size, rows sorted by
+(user_id, transaction_id) inside each file, so a per-user scan skips row groups by their min/max
+statistics. One directory per user would not scale. Rows without a date live in the default
+partition of the year and read back with a null year.
 
 Parquet paths cannot be merged in place and a query may not overwrite a path it reads, so
 the users table is versioned: an upsert writes ``users/v=<n+1>`` and readers take the
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS, USERS
 from spendlens.session import checkpoint_root
@@ -27,10 +29,10 @@ def create_tables(spark: SparkSession, root: str, tx_name: str = "transactions",
     for folder in (f"{root}/transactions", users_version_path(root, 0)):
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
-    tx_cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TRANSACTIONS.fields)
+    tx_cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TRANSACTIONS.fields) + ", user_bucket int"
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {tx_name} ({tx_cols}) USING parquet "
-        f"PARTITIONED BY (year) LOCATION '{root}/transactions'"
+        f"PARTITIONED BY (year, user_bucket) LOCATION '{root}/transactions'"
     )
     u_cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in USERS.fields)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {users_name} ({u_cols}) USING parquet LOCATION '{users_version_path(root, 0)}'")
@@ -65,31 +67,49 @@ def drop_tables(spark: SparkSession, root: str, tx_name: str = "transactions", u
 
 # --------------------------------------------------------------------------- transactions
 
+BUCKETS_CONF = "spendlens.user.buckets"
+
+
+def user_buckets(spark: SparkSession) -> int:
+    """Buckets of users per year in the store; a store keeps the number it was written with."""
+    return int(spark.conf.get(BUCKETS_CONF, "16"))
+
+
+def user_bucket(user_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(user_id.cast("long")), F.lit(buckets)).cast("int")
+
+
 def write_transactions(df: DataFrame, path: str, mode: str = "append", layout: bool = True) -> None:
-    """Write rows in table column order.
-
-    ``layout=True`` rebalances rows on ``year`` (the directory key): AQE sizes the write
-    tasks to the advisory partition size and splits a large year over several tasks, so each
-    task writes one file of about that size. (Hashing on (year, user_id) instead would leave
-    every task a slice of every year, i.e. one small file per year per task.) No sampling
-    pass over the input, as range partitioning would need. Rows are then sorted by
-    (user_id, transaction_id) within each file, so a per-user scan reads one row group or
-    so per file. Small incremental appends pass ``layout=False`` (no shuffle; the writer
-    still groups rows by year).
+    """Write rows in table column order (S6), in folders by year and user bucket.
+
+    ``layout=True`` rebalances rows on those two, the folder keys: AQE sizes the write tasks to
+    the advisory partition size and splits a large folder over several tasks, so each task writes
+    one file of about that size. Rows are then sorted by (user_id, transaction_id) within each
+    file. One user's rows lie in one folder per year, in one row group or so per file; period
+    filters prune the years. Small incremental appends pass ``layout=False`` (no shuffle; the
+    writer still groups rows by folder).
     """
-    out = df.select(*TX_COLUMNS)
+    out = df.select(*TX_COLUMNS).withColumn("user_bucket", user_bucket(F.col("user_id"), user_buckets(df.sparkSession)))
     if layout:
-        out = out.hint("rebalance", "year").sortWithinPartitions("year", "user_id", "transaction_id")
-    out.write.mode(mode).partitionBy("year").parquet(path)
+        out = out.hint("rebalance", "year", "user_bucket")
+        out = out.sortWithinPartitions("year", "user_bucket", "user_id", "transaction_id")
+    out.write.mode(mode).partitionBy("year", "user_bucket").parquet(path)
 
 
-def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRANSACTIONS).parquet(path).select(*TX_COLUMNS)
+def read_transactions(spark: SparkSession, path: str, with_bucket: bool = False) -> DataFrame:
+    """The stored rows; ``with_bucket`` keeps the folder column that prunes by user."""
+    df = spark.read.schema(T.StructType([*TRANSACTIONS.fields, T.StructField("user_bucket", T.IntegerType())])).parquet(path)
+    return df.select(*TX_COLUMNS, *(["user_bucket"] if with_bucket else []))
 
 
 def user_history(tx: DataFrame, user_id: int | Column) -> DataFrame:
-    """One user's rows (S5); the equality is pushed into the Parquet scan."""
-    return tx.filter(F.col("user_id") == user_id)
+    """One user's rows (S5): the equality is pushed into the Parquet scan and, on a frame read
+    with its bucket, only that user's folders are listed for it."""
+    out = tx.filter(F.col("user_id") == user_id)
+    if "user_bucket" not in tx.columns:
+        return out
+    value = user_id if isinstance(user_id, Column) else F.lit(user_id)
+    return out.filter(F.col("user_bucket") == user_bucket(value, user_buckets(tx.sparkSession))).drop("user_bucket")
 
 
 def users_history(tx: DataFrame, users: DataFrame) -> DataFrame:

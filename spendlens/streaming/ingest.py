@@ -33,7 +33,7 @@ from __future__ import annotations
 import hashlib
 import time
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +41,7 @@ from spendlens.functions.clean import clean_transactions
 from spendlens.operators.dedup import new_rows_by_upload
 from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS
 from spendlens.sources.extraction import extraction_reasons, extraction_rows
-from spendlens.sources.tables import assign_ids, stored_max
+from spendlens.sources.tables import assign_ids, stored_max, user_bucket, user_buckets
 
 DOC_SCHEMA = T.StructType(
     [
@@ -56,8 +56,10 @@ DOC_SCHEMA = T.StructType(
 CORRUPT = "_corrupt_record"
 LANDING_SCHEMA = T.StructType([*DOC_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
 STORED = T.StructType(
-    TRANSACTIONS.fields + [T.StructField("upload_id", T.LongType()), T.StructField("ingest_batch", T.StringType())]
+    TRANSACTIONS.fields + [T.StructField("upload_id", T.LongType()), T.StructField("ingest_batch", T.StringType()),
+                           T.StructField("user_bucket", T.IntegerType())]
 )
+FOLDERS = ("ingest_batch", "year", "user_bucket")
 # max_id: the highest transaction id the batch wrote (the stream's id high-water mark).
 LOG_SCHEMA = "doc_id string, user_id long, content_sha string, upload_id long, max_id long, ingest_batch string"
 QUARANTINE_SCHEMA = "doc_id string, user_id long, text string, reason string, upload_id long, ingest_batch string"
@@ -157,13 +159,13 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
                              "transaction_id", base=_id_base(spark, log, tx_path, part),
                              order=["upload_id", "doc_id", "position"])
             # Sorted by user inside each file: later per-user scans skip other users' row groups.
-            out = out.select(*TX_COLUMNS, "upload_id").withColumn("ingest_batch", F.lit(part))
-            # The batch's highest id is observed while the rows are written (no extra job).
-            ids = Observation(f"ids-{part}")
-            out = out.observe(ids, F.max("transaction_id").alias("max_id"))
-            _overwrite_partitions(out.sortWithinPartitions("ingest_batch", "year", "user_id", "transaction_id"),
-                                  tx_path, "ingest_batch", "year")
-            max_id = ids.get["max_id"]
+            out = out.select(*TX_COLUMNS, "upload_id").withColumns({
+                "ingest_batch": F.lit(part), "user_bucket": user_bucket(F.col("user_id"), user_buckets(spark)),
+            })
+            # The rows are checkpointed by assign_ids: their highest id is a scan of that column.
+            max_id = out.agg(F.max("transaction_id")).first()[0]
+            if max_id is not None:
+                _overwrite_partitions(_laid_out(out), tx_path, *FOLDERS)
         bad = failed.select("doc_id", "user_id", "text", "reason", "upload_id").unionByName(
             broken.select("doc_id", "user_id", F.col(CORRUPT).alias("text"), F.lit("broken_line").alias("reason"), "upload_id")
         )
@@ -179,6 +181,48 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
         hashed.unpersist()
 
 
+def _laid_out(df: DataFrame) -> DataFrame:
+    """One file or more of advisory size per folder, sorted by user."""
+    df = df.hint("rebalance", "year", "user_bucket")
+    return df.sortWithinPartitions(*FOLDERS, "user_id", "transaction_id")
+
+
+def compact(spark: SparkSession, tx_path: str, keep: int = 1) -> int:
+    """Put the folders of all batches but the ``keep`` newest of each run into one folder set, with
+    files of advisory size; returns how many batches were put together. Ids, rows and upload
+    numbers stay. A batch that may still be replayed must not be among them, so at least the
+    newest one of each run is kept. Run by the store's single writer between two streams.
+
+    The new folders are written under a hidden name; then the old ones are renamed to hidden
+    names, the new one takes its place, and the old ones are removed.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(tx_path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    batches = sorted(n.split("=", 1)[1] for n in names if n.startswith("ingest_batch="))
+    runs: dict[str, list[str]] = {}
+    for b in batches:
+        runs.setdefault(b.rpartition("-")[0], []).append(b)
+    old = [b for run, found in runs.items() for b in (found if run == "compact" else found[: -max(1, keep)])]
+    if len(old) < 2:
+        return 0
+    name = f"compact-{int(time.time() * 1000):015d}"
+    rows = _read_or_empty(spark, tx_path, STORED).filter(F.col("ingest_batch").isin(old)).drop("ingest_batch")
+    hidden = f"{tx_path}/_{name}"
+    _laid_out(rows.withColumn("ingest_batch", F.lit(name))).drop("ingest_batch").write.partitionBy(*FOLDERS[1:]).parquet(hidden)
+
+    def path(n: str):
+        return jvm.org.apache.hadoop.fs.Path(f"{tx_path}/{n}")
+
+    for b in old:
+        fs.rename(path(f"ingest_batch={b}"), path(f"_old-{b}"))
+    fs.rename(jvm.org.apache.hadoop.fs.Path(hidden), path(f"ingest_batch={name}"))
+    for b in old:
+        fs.delete(path(f"_old-{b}"), True)
+    return len(old)
+
+
 def read_quarantine(spark: SparkSession, log_path: str) -> DataFrame:
     """What the ingest could not use: doc_id, user_id, text, reason, upload_id, ingest_batch."""
     return _read_or_empty(spark, f"{log_path}_quarantine", QUARANTINE_SCHEMA)

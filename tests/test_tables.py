@@ -115,3 +115,30 @@ def test_stored_max_from_footers(spark, sf_small):
     assert stored_max(spark, path, "transaction_id", F.col("year") == 1996) == in_1996
     assert stored_max(spark, path, "transaction_id", F.col("year") == 1800) is None
     assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+
+
+def test_one_users_rows_lie_in_one_bucket(spark, sf_small):
+    """A user's lookup and an upload's dedup read the folders of their buckets only."""
+    from pyspark.sql import functions as F
+
+    from spendlens.operators.dedup import new_rows, stored_keys
+    from spendlens.session import scratch_path
+    from spendlens.sources.tables import read_transactions, user_bucket, user_buckets
+    from spendlens.sources.testdata import tx_from_tables
+
+    path = scratch_path(spark, "buckets")
+    write_transactions(tx_from_tables(spark, sf_small), path, mode="errorifexists")
+    tx = read_transactions(spark, path, with_bucket=True)
+    users = [r.user_id for r in tx.select("user_id").distinct().limit(5).collect()]
+    for u in users:
+        mine = tx.select(user_bucket(F.lit(u), user_buckets(spark))).first()[0]
+        files = tx.filter(F.col("user_id") == u).select(F.input_file_name().alias("f")).distinct().collect()
+        assert files and all(f"user_bucket={mine}/" in r.f for r in files)
+        got = user_history(tx, u)
+        assert f"user_bucket#" in got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+        assert got.count() == tx.filter(F.col("user_id") == u).count()
+    upload = tx.filter(F.col("user_id") == users[0]).drop("user_bucket").withColumn("amount_spent", F.col("amount_spent") + 1)
+    upload = upload.unionByName(tx.filter(F.col("user_id") == users[1]).drop("user_bucket"))
+    keys, _ = stored_keys(upload, tx)
+    assert "user_bucket" in keys._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    assert new_rows(upload, tx).count() == tx.filter(F.col("user_id") == users[0]).count()
