@@ -62,6 +62,8 @@ HOT_SEEDS = 100_000
 PACKET = StructType(
     [StructField("kind", IntegerType()), StructField("part", IntegerType()), StructField("data", BinaryType())]
 )
+# The columns of the text exchange; every join reads them all, so that the three share it.
+SOURCE = ("key", "id", "row", "text")
 # Column types of the packets, by name.
 SEEDS = ("<u8", "<i8")  # seed, id
 ENTRIES = ("<u8", "<u8", "<i8", "<i8", "<u4", "<u4")  # seed, content hash, id, row hash, start, strings
@@ -318,7 +320,7 @@ def _dictionary_packets(joined: DataFrame, length: int, parts: int, hot: np.ndar
             last = start[at] + count[at] - np.uint32(1)
             yield from dealt(1, part_of(key[at], parts), [key[at], row[at], start[at], last])
 
-        def rows(keys=None, hashes=None, texts=None, wanted=None):
+        def rows(keys=None, ids=None, hashes=None, texts=None, wanted=None):
             if keys is None:
                 yield from flush()
                 return
@@ -340,7 +342,7 @@ def _dictionary_packets(joined: DataFrame, length: int, parts: int, hot: np.ndar
 
         return rows
 
-    return map_slices(joined.select("key", "row", "text", "seeds"), PACKET, make, finish=True)
+    return map_slices(joined.select(*SOURCE, "seeds"), PACKET, make, finish=True)
 
 
 def _dictionary(packets: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
@@ -420,7 +422,7 @@ def _entry_packets(joined: DataFrame, length: int, parts: int, hot: np.ndarray)
             ranges.clear()
             size[0] = 0
 
-        def rows(keys=None, hashes=None, texts=None, known=None, wanted=None):
+        def rows(keys=None, ids=None, hashes=None, texts=None, known=None, wanted=None):
             if keys is None:
                 yield from flush()
                 return
@@ -454,7 +456,7 @@ def _entry_packets(joined: DataFrame, length: int, parts: int, hot: np.ndarray)
 
         return rows
 
-    return map_slices(joined.select("key", "row", "text", "ranges", "wanted"), PACKET, make, finish=True)
+    return map_slices(joined.select(*SOURCE, "ranges", "wanted"), PACKET, make, finish=True)
 
 
 def repeats_among(entries: list[np.ndarray], data: np.ndarray, length: int) -> list[np.ndarray]:
@@ -555,7 +557,7 @@ def dedup_substrings(
         F.col(id_col).alias("id"),
         F.xxhash64(F.col(text_col)).alias("row"),
         F.col(text_col).alias("text"),
-    )
+    ).select(*SOURCE)
     seeds, hot = repeated_seeds(source, length, parts, hot_rows)
     texts = source.repartition(parts, "key")
     entries = _dictionary(
@@ -564,7 +566,7 @@ def dedup_substrings(
     ranges = _ordered(
         _entry_packets(texts.join(entries.hint("shuffle_hash"), "key"), length, parts, hot), parts, length
     )
-    both = texts.join(ranges.hint("shuffle_hash"), "key", "left").select("id", "row", "text", "ranges")
+    both = texts.join(ranges.hint("shuffle_hash"), "key", "left").select(*SOURCE, "ranges")
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     schema = StructType(
         [docs.schema[id_col]]
@@ -573,7 +575,7 @@ def dedup_substrings(
     )
 
     def make():
-        def rows(ids, hashes, texts, blobs):
+        def rows(keys, ids, hashes, texts, blobs):
             for doc, row, text, blob in zip(ids, hashes, texts, blobs, strict=True):
                 data = _encoded(text)
                 kept, spans, at = hashlib.sha256(), [], 0
