@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.keys import dedup_key, norm_desc
+from spendlens.session import checkpoint_root
 from spendlens.sources.tables import assign_ids, insert_projection, user_bucket, user_buckets
 
 KEY_COLUMNS = ["_k_user", "_k_date", "_k_desc", "_k_amt"]
-DEFAULT_BROADCAST_LIMIT = 2_000_000  # distinct upload keys (about 100 bytes each)
+DEFAULT_BROADCAST_LIMIT = 2_000_000  # upload rows
+BROADCAST_BYTES = 256 << 20  # bytes of their keys (descriptions have no length limit)
 
 
 def with_keys(df: DataFrame) -> DataFrame:
@@ -54,18 +56,19 @@ def _key_cond(left: DataFrame, right: DataFrame) -> Column:
     return cond
 
 
-def _profile(keys: DataFrame) -> tuple[int, list[int], bool, tuple[int | None, int | None]]:
-    """One pass over the incoming keys: row count, distinct years (a handful), whether
+def _profile(keys: DataFrame) -> tuple[int, int, list[int], bool, tuple[int | None, int | None]]:
+    """One pass over the incoming keys: row count, bytes, distinct years (a handful), whether
     undated rows exist, and the range of user ids. Cache the incoming batch when it is
     costly to recompute."""
     r = keys.agg(
         F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.coalesce(F.octet_length("_k_desc"), F.lit(0)) + 40), F.lit(0)).alias("size"),
         F.collect_set(F.year("_k_date")).alias("years"),
         F.max(F.col("_k_date").isNull().cast("int")).alias("undated"),
         F.min("_k_user").alias("lo"),
         F.max("_k_user").alias("hi"),
     ).first()
-    return r["n"], sorted(r["years"]), bool(r["undated"]), (r["lo"], r["hi"])
+    return r["n"], r["size"], sorted(r["years"]), bool(r["undated"]), (r["lo"], r["hi"])
 
 
 def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
@@ -74,7 +77,7 @@ def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int =
     ``incoming`` (not distinct), and whether the upload was proven small (at most
     ``broadcast_limit`` rows)."""
     inc_rows = with_keys(incoming).select(*KEY_COLUMNS)
-    n, years, undated, (lo, hi) = _profile(inc_rows)
+    n, size, years, undated, (lo, hi) = _profile(inc_rows)
     hist = history
     if "user_bucket" in history.columns:
         # Folders of other users' buckets are not read (at most as many values as buckets).
@@ -94,7 +97,7 @@ def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int =
             cond = cond | F.col("year").isNull()
         hist = hist.filter(cond)
     hk = with_keys(hist).select(*KEY_COLUMNS, *(extra or []))
-    small = bool(broadcast_limit) and n <= broadcast_limit
+    small = bool(broadcast_limit) and n <= broadcast_limit and size <= BROADCAST_BYTES
     if small:
         # n rows bound the broadcast side (duplicates are harmless in a semi-join build).
         hk = hk.join(F.broadcast(inc_rows), _key_cond(hk, inc_rows), "left_semi")
@@ -184,8 +187,13 @@ def new_rows_by_upload(incoming: DataFrame, history: DataFrame, upload_col: str
         .groupBy(*KEY_COLUMNS)
         .agg(F.min("_k_up").alias("_k_first"))
     )
-    # After the semi-join the keys are a subset of the upload's keys: bounded by its row count.
-    ref = F.broadcast(first) if small else first
+    # After the semi-join the keys are a subset of the upload's keys: bounded by its size. Beyond
+    # that they are checkpointed: the join then has two plain shuffles, which AQE can split.
+    if small:
+        ref = F.broadcast(first)
+    else:
+        checkpoint_root(first.sparkSession)
+        ref = first.checkpoint()
     cond = _key_cond(inc, ref) & (ref["_k_first"] < inc[upload_col])
     kept = inc.join(ref, cond, "left_anti")
     return kept.drop(*KEY_COLUMNS) if small else _expand(kept, incoming.columns)
