@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from spendlens.plans.catalog import QUERIES
+from spendlens.plans.oracle import ORACLE
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -34,7 +36,8 @@ def duck(sf_small):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry(spark):
@@ -42,11 +45,11 @@ def test_entry(spark):
     assert df.count() > 0 and "total_spent" in df.columns
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, sf_small, key):
-    df = E.queries()[key](spark, sf_small)
+    df = QUERIES[key](spark, sf_small)
     rows = [tuple(r) for r in df.collect()]
-    cur = duck.execute(E.oracle_sql()[key])
+    cur = duck.execute(ORACLE[key])
     cols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(cols)
