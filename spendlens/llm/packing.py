@@ -93,10 +93,11 @@ class Tokens:
             self.cache.clear()
         parts = [self.units(t or "") for t in texts]
         found = [list(map(self.cache.get, p)) for p in parts]
-        new = {u for p, ids in zip(parts, found, strict=True) if None in ids for u, i in zip(p, ids, strict=True) if i is None}
-        if new:
-            self.learn(new)
-            found = [list(map(self.cache.get, p)) if None in ids else ids for p, ids in zip(parts, found, strict=True)]
+        gaps = [[j for j, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        self.learn({p[j] for p, at in zip(parts, gaps, strict=True) for j in at})
+        for p, f, at in zip(parts, found, gaps, strict=True):
+            for j in at:
+                f[j] = self.cache[p[j]]
         return list(map(b"".join, found))
 
 
