@@ -3,8 +3,8 @@
 Every task packs the documents of its own partition: whole windows are cut off a long document,
 the rest is placed online into the fill level h that minimises the sum of N(h)^2, N being the
 number of open windows at each level (a level array of one integer per fill level). Windows still
-open when the task's documents end are joined by cutting their pieces, so at most one sequence
-per task is padded. No shuffle; a task keeps the level array, one open list per level and one
+open when the task's documents end are joined and cut into whole windows and powers of two, so
+that nothing is padded. No shuffle; a task keeps the level array, one open list per level and one
 slice of documents.
 
 Tokens: ``tokenizers`` ids of the vocabulary file, no special tokens added, plus one end id.
@@ -136,19 +136,22 @@ class Packer:
         return None
 
     def close(self) -> list[list]:
-        """The windows still open, fullest first, joined by cutting pieces at the window's end."""
+        """The windows still open, fullest first, joined and cut anew: into whole windows and, for
+        the rest, into the powers of two it is made of, which need no padding either."""
         left = [p for level in sorted(self.open, reverse=True) for pieces in self.open[level] for p in pieces]
         self.open.clear()
         self.levels[:] = 0
-        out, fill = [], self.window
+        whole, rest = divmod(sum(p[2] for p in left), self.window)
+        sizes = [self.window] * whole + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
+        out, room = [], 0
         for owner, start, length, payload in left:
             while length:
-                if fill == self.window:
+                if not room:
+                    room = sizes[len(out)]
                     out.append([])
-                    fill = 0
-                n = min(length, self.window - fill)
+                n = min(length, room)
                 out[-1].append((owner, start, n, payload[: 4 * n]))
-                start, length, payload, fill = start + n, length - n, payload[4 * n :], fill + n
+                start, length, payload, room = start + n, length - n, payload[4 * n :], room - n
         return out
 
 
