@@ -36,8 +36,10 @@ SEED = 42
 # Fingerprints of one prefix aimed at, and the rows from which a prefix is split further.
 PREFIX_FINGERPRINTS = 1000
 GROUP_ROWS = 50_000
+# Links from which each step of a round of the components is written.
+SPLIT_LINKS = 1_000_000
 # Variants that a task keeps in memory at a time.
-CHUNK_VARIANTS = 2_000_000
+CHUNK_VARIANTS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -264,23 +266,34 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     )
 
 
+def _is_stars(edges: DataFrame, count: int) -> bool:
+    """Whether every node has one lower neighbour and no lower neighbour has one itself."""
+    if edges.select("u").distinct().count() < count:
+        return False
+    return edges.join(edges.select(F.col("u").alias("v")), "v", "leftsemi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node connected; nodes without edges are left out.
 
     Alternating large-star and small-star on (u, v) rows with v < u, written after each round,
-    until a round changes nothing. Minimums are combined map-side; a star's centre with very many
-    neighbours meets its rows in a join whose hot keys AQE splits.
+    until every component is a star around its least node. Minimums are combined map-side. Of a
+    large graph they are written too, so that each join has two plain shuffles and AQE can split a
+    star's centre with very many neighbours; the rows are the same either way.
     """
     edges = written(edges, "components")
-    seen = None
-    while True:
+    while not _is_stars(edges, count := edges.count()):
+
+        def cut(df: DataFrame, large: bool = count > SPLIT_LINKS) -> DataFrame:
+            return written(df, "components-step") if large else df
+
         # large-star: every neighbour above a node is linked to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        large = cut(large.distinct())
         # small-star: a node's neighbours below it, and itself, are linked to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small_ = (
             large.join(least, "u")
             .where("v != m")
@@ -289,10 +302,7 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         edges = written(small_, "components")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(
@@ -313,6 +323,8 @@ def near_duplicates(
     first = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = roots.join(first, "root").select(F.col("node").alias("fp"), "component_id")
     of = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # Written for a join of two plain shuffles: a fingerprint with very many copies is split by AQE.
+    of = written(of, "simhash-named")
     return rows.join(of.hint("merge"), "fp").select(F.col(id_col), "row_hash", "fp", "component_id")
 
 

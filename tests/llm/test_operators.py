@@ -138,9 +138,11 @@ def test_fingerprint(documents):
             assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("group_rows, chunk", [(50_000, 2_000_000), (20, 3000)])
+@pytest.mark.parametrize("group_rows, chunk", [(50_000, 1_000_000), (20, 3000)])
 def test_simhash(docs, documents, monkeypatch, group_rows, chunk):
-    """Also with every prefix split over tasks and every group worked in small parts."""
+    """Also with every prefix split over tasks, every group worked in small parts and every step
+    of the components written."""
+    monkeypatch.setattr(simhash, "SPLIT_LINKS", simhash.SPLIT_LINKS if group_rows == 50_000 else 0)
     monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
     monkeypatch.setattr(simhash, "CHUNK_VARIANTS", chunk)
     fps, of = brute_components(documents)
