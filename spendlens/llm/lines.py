@@ -94,6 +94,8 @@ def repeated_units(
         .where("first != last")
         .select("d1", "d2", "first")
     )
+    # Written, so that the join below has two plain shuffles: AQE splits hot digests only then.
+    first = written(first, "line-firsts")
     return (
         rows.join(first.hint("merge"), ["d1", "d2"])
         .where(place != F.col("first"))
