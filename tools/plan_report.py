@@ -16,7 +16,7 @@ from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from spendlens.plans.catalog import QUERIES  # noqa: E402
 from spendlens.session import get_session  # noqa: E402
 
 OPERATORS = [
@@ -51,7 +51,7 @@ def main() -> None:
     print("| Query | Shuffles | Broadcasts | Joins | Aggregates | Windows / top-k | Other |")
     print("|---|---|---|---|---|---|---|")
     details = []
-    for name, q in E.queries().items():
+    for name, q in QUERIES.items():
         # append_history and incremental_ingest write before returning: their plan is the read-back scan.
         df = q(spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
