@@ -111,10 +111,15 @@ def _phrase(keyword: str) -> str:
     return " ".join(w for w in re.split(WORD_SPLIT_RE, keyword.upper()) if w)
 
 
-def categorise_expr(desc: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
-    """struct(category, sub_category) of the first rule whose phrase stands in ``desc`` as whole
-    consecutive words; (Other, Other) when none does (X5, X6)."""
-    padded = F.concat(F.lit(" "), _words(desc), F.lit(" "))
+def padded_words(desc: Column) -> Column:
+    """The upper-cased words of a text with a blank around each: what ``first_rule`` looks in."""
+    return F.concat(F.lit(" "), _words(desc), F.lit(" "))
+
+
+def first_rule(padded: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
+    """struct(category, sub_category) of the first rule whose phrase stands in ``padded`` as whole
+    consecutive words; (Other, Other) when none does (X5, X6). ``padded`` should be a column, as
+    an expression would be evaluated once per rule."""
     expr = F.struct(F.lit(OTHER[0]).alias("category"), F.lit(OTHER[1]).alias("sub_category"))
     for kw, cat, sub in reversed(rules if rules is not None else CATEGORY_RULES):
         hit = padded.contains(f" {_phrase(kw)} ")
@@ -124,7 +129,7 @@ def categorise_expr(desc: Column, rules: list[tuple[str, str, str]] | None = Non
 
 def categorise(df: DataFrame, desc_col: str = "activity_description", rules: list[tuple[str, str, str]] | None = None,
                id_col: str = "transaction_id", max_inline_rules: int = 200) -> DataFrame:
-    """Set ``category``/``sub_category`` from the merchant text, by ``categorise_expr``'s rule.
+    """Set ``category``/``sub_category`` from the merchant text, by ``first_rule``.
 
     Up to ``max_inline_rules`` rules: one CASE expression, evaluated in the scan stage. More:
     each different description is cut into its phrases of up to the longest rule's words, these
@@ -133,12 +138,10 @@ def categorise(df: DataFrame, desc_col: str = "activity_description", rules: lis
     """
     rules = rules if rules is not None else CATEGORY_RULES
     if len(rules) <= max_inline_rules:
-        # the words are a column of their own, so that they are not made once per rule
-        words = df.withColumn("_words", _words(F.col(desc_col)))
-        c = categorise_expr(F.col("_words"), rules)
-        return words.withColumn("_cat", c).withColumns(
+        cat = first_rule(F.col("_padded"), rules)
+        return df.withColumn("_padded", padded_words(F.col(desc_col))).withColumn("_cat", cat).withColumns(
             {"category": F.col("_cat.category"), "sub_category": F.col("_cat.sub_category")}
-        ).drop("_cat", "_words")
+        ).drop("_cat", "_padded")
     phrases = [(_phrase(kw), c, s, i) for i, (kw, c, s) in enumerate(rules)]
     rules_df = df.sparkSession.createDataFrame(phrases, "phrase string, category string, sub_category string, priority int")
     longest = max(p.count(" ") + 1 for p, *_ in phrases)

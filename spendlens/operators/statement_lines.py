@@ -102,15 +102,15 @@ def statement_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
     statement value (X8, within the statement). ``is_subscription`` is false here: it needs the
     user's history, see ``statement_ingest``."""
     from spendlens.functions.dates import add_calendar_features
-    from spendlens.operators.enrich import categorise_expr, customer_id, normalise_merchant
+    from spendlens.operators.enrich import customer_id, first_rule, normalise_merchant, padded_words
 
     keys = [c for c in docs.columns if c != text_col]
     # The holder is a document column, carried through the line explode (no join back).
     with_holder = docs.withColumn("_holder", utrim(F.regexp_extract(F.col(text_col), HOLDER_RE, 1)))
-    # The merchant is a column of its own, so the category rules reference it instead of
-    # repeating its expression once per rule.
+    # The merchant and its words are columns, so the category rules reference them instead of
+    # repeating their expressions once per rule.
     rows = statement_rows(with_holder, text_col).withColumn("_merchant", normalise_merchant(F.col("raw_description")))
-    rows = rows.withColumn("_cat", categorise_expr(F.col("_merchant")))
+    rows = rows.withColumn("_padded", padded_words(F.col("_merchant"))).withColumn("_cat", first_rule(F.col("_padded")))
     cat = F.col("_cat")
     first, last = F.regexp_extract("_holder", HOLDER_NAMES_RE, 1), F.regexp_extract("_holder", HOLDER_NAMES_RE, 2)
     rows = rows.withColumns({"f_name": F.when(first != "", first), "l_name": F.when(last != "", last)})
