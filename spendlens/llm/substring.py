@@ -55,7 +55,7 @@ FLUSH_SEEDS = 1_000_000
 FLUSH_BYTES = 16 << 20
 # Strings compared at a time.
 CHUNK_STRINGS = 300_000
-# A seed sent more often than HOT_ROWS is dealt by content; at most HOT_SEEDS of them are known.
+# A seed that occurs more often than HOT_ROWS is dealt by content; at most HOT_SEEDS are known.
 HOT_ROWS = 4096
 HOT_SEEDS = 100_000
 
@@ -66,6 +66,7 @@ PACKET = StructType(
 SOURCE = ("key", "id", "row", "text")
 # Column types of the packets, by name.
 SEEDS = ("<u8", "<i8")  # seed, id
+FURTHER = ("<u8", "<i8")  # seed, occurrences of a flush beyond the two that are sent
 ENTRIES = ("<u8", "<u8", "<i8", "<i8", "<u4", "<u4")  # seed, content hash, id, row hash, start, strings
 RANGES = ("<i8", "<i8", "<u4", "<u4")  # id, row hash, first and last start
 WANTED = ("<i8", "<i8", "<u4", "<u4", "<u8")  # id, row hash, start, strings, seed
@@ -193,7 +194,8 @@ def _per_id(ids: np.ndarray):
 
 def _seed_packets(source: DataFrame, length: int, parts: int) -> DataFrame:
     """Kind 0: (seed, id) to the seed's part, of each flush at most twice per seed. Kind 1: the
-    further ones, repeated for certain, to the id's part."""
+    further ones, repeated for certain, to the id's part. Kind 3: (seed, number of the further
+    ones of this flush) to the seed's part, so that all occurrences are counted there."""
 
     def make():
         held: list[tuple[np.ndarray, int]] = []
@@ -216,6 +218,8 @@ def _seed_packets(source: DataFrame, length: int, parts: int) -> DataFrame:
             yield from dealt(0, part_of(seeds[sent], parts), [seeds[sent], ids[sent]])
             if further.any():
                 yield from dealt(1, part_of(ids[further], parts), [seeds[further], ids[further]])
+                seed, times = np.unique(seeds[further], return_counts=True)
+                yield from dealt(3, part_of(seed, parts), [seed, times.astype("<i8")])
 
         def rows(keys=None, texts=None):
             if keys is None:
@@ -249,9 +253,13 @@ def repeated_seeds(source: DataFrame, length: int, parts: int, hot_rows: int) ->
         for blob in held.get(1, ()):
             part = part_of(unpack([blob], SEEDS)[1][:1], parts)
             yield 1, int(part[0]), blob
-        hot = np.flatnonzero(times > hot_rows)
+        # a seed with further occurrences has two rows of the same flush here: it is in seeds[first]
+        further, more = unpack(held.get(3, []), FURTHER)
+        occurs = times.copy()
+        np.add.at(occurs, np.searchsorted(seeds[first], further), more)
+        hot = np.flatnonzero(occurs > hot_rows)
         if len(hot):
-            hot = hot[np.argsort(-times[hot], kind="stable")[:most]]
+            hot = hot[np.argsort(-occurs[hot], kind="stable")[:most]]
             yield 2, 0, seeds[first[hot]].tobytes()
 
     def per_id(held):
