@@ -98,12 +98,23 @@ _WORD = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(
     rf"(?i)(?<![^\W_])(?:(plus)[\s-]+)?((?:{_WORD}|[0-9])(?:(?:[\s-]|\s?(?:\bdot\b|\bpoint\b|\.)\s?)(?:{_WORD}|[0-9]+)){{5,}})(?![^\W_])"
 )
+# Four or more numbers joined by dot words: parts of any length, unlike those above.
+_PART = rf"(?:[0-9]++|(?:{_WORD})(?:[\s-](?:{_WORD}))*)"
+_DOTTED = re.compile(
+    rf"(?i)(?<![^\W_])(?:(plus)[\s-]+)?({_PART}(?:(?:\s?\b(?:dot|point)\b\s?|\.){_PART}){{3,}})(?![^\W_])"
+)
 _SPELLED_PART = re.compile(rf"(?i){_WORD}|dot|point|[0-9.]|[\s-]")
+# Cheap to search and true wherever _BRACKETED matches.
+_BRACKET = re.compile(r"(?i)[\[({<]\s?(?:at|@|dot|\.)\s?[\])}>]")
 _BRACKETED = re.compile(r"(?i)\s?(?:\[\s?(at|@|dot|\.)\s?\]|\(\s?(at|@|dot|\.)\s?\)|\{\s?(at|@|dot|\.)\s?\}|<\s?(at|dot)\s?>)\s?")
 _PLAIN = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\sdot\s)[A-Za-z0-9_%+-]+){0,3})(\sat\s)"
+    r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\sdot\s)[A-Za-z0-9_%+-]+){0,3})(\sat\s|@)"
     rf"([A-Za-z0-9-]+(?:(?:\.|\sdot\s)[A-Za-z0-9-]+){{0,3}}\sdot\s(?:{'|'.join(ENDINGS)}))(?![A-Za-z0-9])"
 )
+# Behind an "@" the domain is rewritten whatever stands before it.
+_SIGNED = re.compile(
+    rf"(?i)@([A-Za-z0-9-]+(?:(?:\.|\sdot\s)[A-Za-z0-9-]+){{0,3}}\sdot\s(?:{'|'.join(ENDINGS)}))(?![A-Za-z0-9])"
+)
 _DOT = re.compile(r"(?i)\sdot\s")
 
 
@@ -156,8 +167,8 @@ def _foreign_edits(text: str):
             yield m.start(), m.end(), [(m.start(), m.end(), f)] if f else []
 
 
-def _spelled_edits(text: str):
-    for m in _SPELLED.finditer(text):
+def _spelled_edits(text: str, pattern: re.Pattern = _SPELLED):
+    for m in pattern.finditer(text):
         chars = [(m.start(1), m.end(1), "+")] if m.group(1) else []
         for p in _SPELLED_PART.finditer(text, m.start(2), m.end(2)):
             word = p.group().lower()
@@ -176,12 +187,20 @@ def _bracketed_edits(text: str):
         yield m.start(), m.end(), [(m.start(), m.end(), "@" if sign in ("at", "@") else ".")]
 
 
+def _dot_edits(text: str, start: int, end: int):
+    return [(d.start(), d.end(), [(d.start(), d.end(), ".")]) for d in _DOT.finditer(text, start, end)]
+
+
 def _plain_edits(text: str):
     for m in _PLAIN.finditer(text):
-        edits = [(d.start(), d.end(), [(d.start(), d.end(), ".")]) for d in _DOT.finditer(text, m.start(1), m.end(1))]
-        edits.append((m.start(2), m.end(2), [(m.start(2), m.end(2), "@")]))
-        edits += [(d.start(), d.end(), [(d.start(), d.end(), ".")]) for d in _DOT.finditer(text, m.start(3), m.end(3))]
-        yield from edits
+        yield from _dot_edits(text, m.start(1), m.end(1))
+        yield m.start(2), m.end(2), [(m.start(2), m.end(2), "@")]
+        yield from _dot_edits(text, m.start(3), m.end(3))
+
+
+def _signed_edits(text: str):
+    for m in _SIGNED.finditer(text):
+        yield from _dot_edits(text, m.start(1), m.end(1))
 
 
 def normalised(text: str) -> Rewriter:
@@ -192,10 +211,14 @@ def normalised(text: str) -> Rewriter:
     low = r.text.lower()
     if any(w in low for w in ("three", "seven", "eight", "zero", "five", "nine", "four", "six", "two", "one")):
         r.rewrite(list(_spelled_edits(r.text)))
-    if any(w in low for w in ("at]", "at)", "at}", "at>", "[@", "(@", "{@", "dot]", "dot)", "dot}", "dot>", "[.", "(.", "{.", "at ]", "at )")):
+    if "dot" in low or "point" in low:
+        r.rewrite(list(_spelled_edits(r.text, _DOTTED)))
+    if _BRACKET.search(r.text):
         r.rewrite(list(_bracketed_edits(r.text)))
-    if "dot" in low and "at" in low:
+    if "dot" in low and ("at" in low or "@" in r.text):
         r.rewrite(list(_plain_edits(r.text)))
+        if "@" in r.text:
+            r.rewrite(list(_signed_edits(r.text)))
     return r
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pytest
 from cases import frame
 from test_operators import brute_substrings
 
-from spendlens.llm import substring
+from spendlens.llm import pii, substring
 
 
 def test_seed_with_many_surroundings_is_hot(spark):
@@ -32,3 +33,30 @@ def test_seed_with_many_surroundings_is_hot(spark):
         (r[0], *want[r[0], r[1]]) for r in rows
     }
     assert sum(r.n_removed for r in found) > 0
+
+
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("mail jane{ at }example{ dot }org now", "email", "jane{ at }example{ dot }org"),
+        ("mail jane< at >example.org now", "email", "jane< at >example.org"),
+        ("mail jane[ @ ]example.org now", "email", "jane[ @ ]example.org"),
+        ("mail jane@example[ dot ]org now", "email", "jane@example[ dot ]org"),
+        ("mail jane@example dot com now", "email", "jane@example dot com"),
+        ("mail jane [at] example dot com now", "email", "jane [at] example dot com"),
+        ("mail jane dot doe [at] mail.example dot com now", "email", "jane dot doe [at] mail.example dot com"),
+        ("mail a.b.c.d.e.f@example dot com now", "email", "a.b.c.d.e.f@example dot com"),
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host one dot two dot three dot four is up", "ip", "one dot two dot three dot four"),
+        ("host 192 point one six eight dot 0.1 is up", "ip", "192 point one six eight dot 0.1"),
+    ],
+)
+def test_mixed_disguises(text, kind, found):
+    base, every = pii.text_spans(text)
+    assert [text[a:b] for a, k, b in every if k == kind] == [found]
+    assert pii.masked(text) == text.replace(found, f"<{kind.upper()}>")
+
+
+def test_no_number_without_four_parts():
+    for text in ("1. 2. 3. 4 steps", "one point five dot", "ratio 300 dot 1 dot 1 dot 1", "see @example dot com"):
+        assert pii.text_spans(text) == ([], []), text
