@@ -58,6 +58,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     stack: list[_Open] = []
     texts: list[str] = []
     linked = in_link = 0
+    in_head = False
 
     def flush():
         nonlocal linked
@@ -81,6 +82,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     for m in _TOKEN.finditer(page or ""):
         if (text := m["text"]) is not None:
+            # the end tag of a head is optional: text, or a block of the body, ends it too
+            if in_head and not text.isspace():
+                flush()
+                close(("head",))
+                in_head = False
             texts.append(text)
             if in_link:
                 linked += len(text.strip())
@@ -99,7 +105,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
             in_link = 0 if tag not in ("h1", "h2", "h3", "h4", "div", "li", "p") else in_link
             if m["close"]:
                 close((tag,))
+                in_head = in_head and tag != "head"
                 continue
+            if in_head and tag not in ("html", "head"):
+                close(("head",))
+                in_head = False
+            in_head = in_head or tag == "head"
             if tag in ENDS_P:
                 close(("p",), SCOPES)
             if tag in ENDS_OWN:

@@ -9,7 +9,7 @@ import pytest
 from cases import frame
 from test_operators import brute_substrings
 
-from spendlens.llm import pii, substring
+from spendlens.llm import html_blocks, html_extract, labelled_pages, pii, substring
 
 
 def test_seed_with_many_surroundings_is_hot(spark):
@@ -60,3 +60,22 @@ def test_mixed_disguises(text, kind, found):
 def test_no_number_without_four_parts():
     for text in ("1. 2. 3. 4 steps", "one point five dot", "ratio 300 dot 1 dot 1 dot 1", "see @example dot com"):
         assert pii.text_spans(text) == ([], []), text
+
+
+@pytest.mark.parametrize("body", ["<body><p>{}</p>", "<body><div>{}</div></body></html>", "<p>{}", "{}", "<a href=x>{}</a>"])
+def test_head_without_end_tag(body):
+    head = '<html><head><meta charset="utf-8"><title>T</title>\n<link rel=x><script>s()</script> '
+    text = "The whole article stands here."
+    want = html_blocks.leaf_blocks(head + "</head>" + body.format(text))
+    found = html_blocks.leaf_blocks(head + body.format(text))
+    assert found == want and [b.text for b in found] == [text]
+
+
+def test_page_without_head_end_tag():
+    """The same text comes out of a page with and without the optional tag."""
+    model = html_extract.fit()
+    for seed in range(9000, 9010):
+        page = labelled_pages.page(seed)
+        assert "</head>" in page
+        want = html_extract.main_blocks(model, page)
+        assert want and html_extract.main_blocks(model, page.replace("</head>", "")) == want
