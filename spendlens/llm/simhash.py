@@ -308,7 +308,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """One row per input row: id, row_hash, fp, component_id (least id reachable by links)."""
+    """One row per input row: id, row_hash, fp, root (least fingerprint reachable by links: the
+    component itself), component_id (least id reachable; two components share it if an id repeats)."""
     rows = written(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
     spark = docs.sparkSession
     distinct = written(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-distinct")
@@ -321,11 +322,13 @@ def near_duplicates(
     )
     roots = written(roots, "simhash-roots")
     first = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = roots.join(first, "root").select(F.col("node").alias("fp"), "component_id")
-    of = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    of = roots.join(first, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    of = distinct.join(of, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")
+    )
     # Written for a join of two plain shuffles: a fingerprint with very many copies is split by AQE.
     of = written(of, "simhash-named")
-    return rows.join(of.hint("merge"), "fp").select(F.col(id_col), "row_hash", "fp", "component_id")
+    return rows.join(of.hint("merge"), "fp").select(F.col(id_col), "row_hash", "fp", "root", "component_id")
 
 
 def keep_one(
@@ -334,13 +337,13 @@ def keep_one(
     """The rows of ``docs`` with one document of each component: that with the least id (of rows
     equal in id, the one with the least text hash, once)."""
     found = near_duplicates(docs, id_col, text_col, shingle, radius).select(
-        F.col(id_col).alias("__id"), "row_hash", "fp", "component_id"
+        F.col(id_col).alias("__id"), "row_hash", "root", "component_id"
     )
     found = written(found, "simhash-components")
-    # A component without any id is named by its fingerprints' least; its rows are few edge cases.
+    # Grouped by the component itself, as two of them have the same component_id if an id repeats.
     keep = (
         found.where(F.col("__id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("__fp"))
+        .groupBy("root", "component_id")
         .agg(F.min("row_hash").alias("__hash"))
         .select(F.col("component_id").alias("__keep"), "__hash")
     )

@@ -6,10 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from cases import frame
+from cases import frame, prose
 from test_operators import brute_substrings
 
-from spendlens.llm import html_blocks, html_extract, labelled_pages, pii, substring
+from spendlens.llm import html_blocks, html_extract, labelled_pages, pii, simhash, substring
 
 
 def test_seed_with_many_surroundings_is_hot(spark):
@@ -79,3 +79,14 @@ def test_page_without_head_end_tag():
         assert "</head>" in page
         want = html_extract.main_blocks(model, page)
         assert want and html_extract.main_blocks(model, page.replace("</head>", "")) == want
+
+
+def test_keep_one_of_each_component_when_ids_repeat(spark):
+    """One id with two unrelated texts names two components: each keeps a document."""
+    one, other = prose(21, 300), prose(22, 300)
+    texts = [(7, one), (7, other), (8, one), (9, other), (None, prose(23, 300))]
+    rows = [(i, t, "en", None, len(t)) for i, t in texts]
+    docs = frame(spark, rows)
+    kept = simhash.keep_one(docs).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([texts[0], texts[1], texts[4]])
+    assert kept and set(kept[0].asDict()) == set(docs.columns)
