@@ -1,8 +1,8 @@
 """DuckDB SQL with the rows of those queries that SQL can express.
 
 The others have no SQL form: fuzzy matching (op1), trained models (op2, op9), XXH64 fingerprints
-(op3), disguised identifiers (op5) and token ids (op6); tests/llm holds them against brute force,
-held-out data or exact round trips.
+(op3), disguised identifiers (op5), token ids (op6, op11) and the runs of all periods (op13); tests/llm
+holds them against brute force, held-out data or exact round trips.
 """
 
 from __future__ import annotations
@@ -110,9 +110,23 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
 FROM c LEFT JOIN bad ON c.source = bad.source
 """
 
+OP12 = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+k AS (SELECT doc_id, t, length(t) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2,
+             ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM h),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT doc_id, t, n, form, a, b, '<P>' || substr(t, 1, a) AS p, '<M>' || substr(t, a + 1, b - a) AS m, '<S>' || substr(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
 ORACLE: dict[str, str] = {
     "op4_substring_dedup": OP4,
     "op7_decontamination": OP7,
     "op8_line_dedup": OP8,
     "op10_host_quality": OP10,
+    "op12_fill_in_middle": OP12,
 }

@@ -6,7 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, licenses, lines, packing, pii, quality, simhash, substring
+from . import (
+    bpe_stream,
+    decontam,
+    fim,
+    html_extract,
+    langid,
+    licenses,
+    lines,
+    packing,
+    periodic,
+    pii,
+    quality,
+    simhash,
+    substring,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +93,54 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.decode_ids(bpe_stream.encode_documents(_documents(spark, sf_dir))).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(_documents(spark, sf_dir)).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("form"), F.col("output")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_periods(_documents(spark, sf_dir))
+    # Runs come by start and period, so of equal exponents the first one stays.
+    top = F.reduce(
+        "runs",
+        F.lit(None).cast(periodic.RUN),
+        lambda best, r: F.when(
+            best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r
+        ).otherwise(best),
+    )
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return (
+        periodic.find_runs(docs)
+        .withColumn("top", top)
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            "top.start",
+            "top.length",
+            "top.period",
+            F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform(listed, lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -90,4 +152,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_host_quality": op10_host_quality,
+    "op11_bpe_stream": op11_bpe_stream,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
