@@ -1,9 +1,14 @@
 """Line dedup: normalise units, group digests globally, keep the earliest ranked occurrence.
 
 A unit is a line (or a paragraph: runs of lines between blank lines). Normalised, its A-Z are
-lower-cased and its white space is one space. Units of at least ``min_words`` words are compared;
-shorter ones recur in clean prose and stay. Per digest the earliest (rank, unit number) stays,
-all other occurrences are removed and reported with their offsets in the source.
+lower-cased and its white space is one space. Every unit that holds a word is compared, whatever
+its length. Per digest the earliest (id, start) stays; all other occurrences are removed and
+reported with their offsets in the source.
+
+A passage copied into the middle of a line makes no equal line. So the sentences of a unit are
+hashed as well, and where consecutive repeated sentences of a unit that stays hold
+``passage_words`` words or more, that stretch goes, too. A shorter stretch stays: single short
+sentences recur in clean prose.
 
 Only digest rows move: the earliest occurrence per digest is a min that is combined map-side, so
 a line that a third of all documents hold is one row per task, and the occurrences are joined
@@ -17,14 +22,17 @@ the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import ASCII_LOWER, map_slices, written
 
-MIN_WORDS = 10
+PASSAGE_WORDS = 25
+# A sentence ends with its last mark; what has none is the rest of the unit.
+SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 
 
 def units(text: str, paragraphs: bool = False) -> list[tuple[int, int]]:
@@ -50,31 +58,34 @@ def normalise(unit: str) -> list[bytes]:
     return unit.encode("utf-8", "replace").translate(ASCII_LOWER).split()
 
 
-def digest_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int, paragraphs: bool) -> DataFrame:
-    """One row per compared unit: id, text hash, unit number, its offsets, 128-bit digest."""
+def digest_rows(docs: DataFrame, id_col: str, text_col: str, paragraphs: bool) -> DataFrame:
+    """One row per unit with a word and per sentence with a word in it: id, text hash, whether it
+    is a sentence, unit number, sentence number, offsets, words, 128-bit digest."""
     schema = StructType(
         [StructField("id", docs.schema[id_col].dataType), StructField("row_hash", LongType())]
-        + [StructField(c, IntegerType()) for c in ("unit", "start", "end")]
+        + [StructField("sentence", BooleanType())]
+        + [StructField(c, IntegerType()) for c in ("unit", "at", "start", "end", "words")]
         + [StructField("d1", LongType()), StructField("d2", LongType())]
     )
 
+    def digest(words: list[bytes], kind: bytes) -> tuple[int, int]:
+        d = hashlib.blake2b(b" ".join(words), digest_size=16, person=kind).digest()
+        return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
     def make():
         def rows(ids, hashes, texts):
             for doc, h, text in zip(ids, hashes, texts, strict=True):
                 text = text or ""
                 for n, (a, b) in enumerate(units(text, paragraphs)):
                     words = normalise(text[a:b])
-                    if len(words) >= min_words:
-                        d = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                        yield (
-                            doc,
-                            h,
-                            n,
-                            a,
-                            b,
-                            int.from_bytes(d[:8], "little", signed=True),
-                            int.from_bytes(d[8:], "little", signed=True),
-                        )
+                    if not words:
+                        continue
+                    yield (doc, h, False, n, 0, a, b, len(words), *digest(words, b"unit"))
+                    at = 0
+                    for found in SENTENCE.finditer(text, a, b):
+                        if words := normalise(found.group()):
+                            yield (doc, h, True, n, at, *found.span(), len(words), *digest(words, b"sentence"))
+                            at += 1
 
         return rows
 
@@ -83,11 +94,11 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int, par
 
 
 def repeated_units(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, paragraphs: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paragraphs: bool = False
 ) -> DataFrame:
-    """Units to remove: id, row_hash (of the text), unit, start, end."""
-    rows = written(digest_rows(docs, id_col, text_col, min_words, paragraphs), "line-digests")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_hash", "unit")
+    """Units and sentences that occur earlier: the columns of ``digest_rows`` without digests."""
+    rows = written(digest_rows(docs, id_col, text_col, paragraphs), "line-digests")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_hash", "start")
     first = (
         rows.groupBy("d1", "d2")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -96,52 +107,74 @@ def repeated_units(
     )
     # Written, so that the join below has two plain shuffles: AQE splits hot digests only then.
     first = written(first, "line-firsts")
-    return (
-        rows.join(first.hint("merge"), ["d1", "d2"])
-        .where(place != F.col("first"))
-        .select("id", "row_hash", "unit", "start", "end")
-    )
+    return rows.join(first.hint("merge"), ["d1", "d2"]).where(place != F.col("first")).drop("d1", "d2", "first")
+
+
+def removed_stretches(repeated: list, passage_words: int) -> tuple[list, list]:
+    """(start, end) of the repeated units of a document, and of the passages in its other units,
+    from rows (sentence, unit, at, start, end, words)."""
+    gone, passages, run = {}, [], ()
+    for r in repeated:
+        if not r["sentence"]:
+            gone[r["unit"]] = (r["start"], r["end"])
+    sentences = sorted((r["unit"], r["at"], r["start"], r["end"], r["words"]) for r in repeated if r["sentence"])
+    for unit, at, start, end, words in [*sentences, (None, None, 0, 0, 0)]:
+        if run and (unit, at) != (run[0], run[1] + 1):
+            if run[4] >= passage_words:
+                passages.append((run[2], run[3]))
+            run = ()
+        if unit is not None and unit not in gone:
+            run = (unit, at, run[2], end, run[4] + words) if run else (unit, at, start, end, words)
+    return sorted(gone.values()), passages
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, paragraphs: bool = False
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    passage_words: int = PASSAGE_WORDS,
+    paragraphs: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, n_units, n_removed, n_chars_removed, spans (removed
-    ``start:end``, comma-joined), kept_text (the removed units' line ends go with them)."""
+    """One row per input row: id, n_units, n_removed (units), n_passages (removed within others),
+    n_chars_removed, spans (all removed ``start:end``, comma-joined), kept_text (the removed units'
+    line ends go with them)."""
+    columns = ("sentence", "unit", "at", "start", "end", "words")
     removed = (
-        repeated_units(docs, id_col, text_col, min_words, paragraphs)
+        repeated_units(docs, id_col, text_col, paragraphs)
         .distinct()
         .groupBy("id", "row_hash")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
+        .agg(F.collect_list(F.struct(*columns)).alias("again"))
     )
     source = docs.select(
         F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(F.col(text_col)).alias("__hash")
     )
     both = source.join(
         removed.hint("merge"), (F.col("__id").eqNullSafe(F.col("id"))) & (F.col("__hash") == F.col("row_hash")), "left"
-    ).select("__id", "__text", "gone")
+    ).select("__id", "__text", "again")
     schema = StructType(
         [docs.schema[id_col]]
-        + [StructField(c, LongType()) for c in ("n_units", "n_removed", "n_chars_removed")]
+        + [StructField(c, LongType()) for c in ("n_units", "n_removed", "n_passages", "n_chars_removed")]
         + [StructField("spans", StringType()), StructField("kept_text", StringType())]
     )
 
     def make():
-        def rows(ids, texts, gone):
-            for doc, text, cut in zip(ids, texts, gone, strict=True):
-                cut = [(s["start"], s["end"]) for s in cut or ()]
+        def rows(ids, texts, repeated):
+            for doc, text, again in zip(ids, texts, repeated, strict=True):
                 text = text or ""
+                gone, passages = removed_stretches(again or (), passage_words)
+                cut = sorted([(a, b, 1) for a, b in gone] + [(a, b, 0) for a, b in passages])
                 kept, at = [], 0
-                for a, b in cut:
+                for a, b, line_end in cut:
                     kept.append(text[at:a])
-                    at = min(b + 1, len(text))
+                    at = min(b + line_end, len(text))
                 kept.append(text[at:])
                 yield (
                     doc,
                     len(units(text, paragraphs)) if text else 0,
-                    len(cut),
-                    sum(b - a for a, b in cut),
-                    ",".join(f"{a}:{b}" for a, b in cut),
+                    len(gone),
+                    len(passages),
+                    sum(b - a for a, b, _ in cut),
+                    ",".join(f"{a}:{b}" for a, b, _ in cut),
                     "".join(kept),
                 )
 

@@ -47,21 +47,36 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_
 FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
+# Lines with a word that occur earlier go; in the other lines, stretches of repeated sentences.
 OP8 = f"""
 WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS unit, unnest(ls) AS line, len(ls) AS units
            FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')),
 n AS (SELECT doc_id, unit, line, units, regexp_extract_all(translate(line, {_LOWER}), '{_SPACE_WORD}') AS w,
-             coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+             coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
       FROM l),
-k AS (SELECT *, len(w) >= 10 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit) > 1 AS gone FROM n),
-t AS (SELECT doc_id, max(units) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
-             coalesce(sum(length(line)) FILTER (WHERE gone), 0) AS n_chars_removed,
-             coalesce(string_agg(a::BIGINT || ':' || (a + length(line))::BIGINT, ',' ORDER BY unit) FILTER (WHERE gone), '') AS spans,
-             coalesce(string_agg(line || CASE WHEN unit < units - 1 THEN chr(10) ELSE '' END, '' ORDER BY unit) FILTER (WHERE NOT gone), '') AS kept
-      FROM k GROUP BY doc_id)
+k AS (SELECT *, len(w) > 0 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit) > 1 AS gone FROM n),
+p AS (SELECT doc_id, unit, gone, a, generate_subscripts(ps, 1) AS i, unnest(ps) AS piece
+      FROM (SELECT *, regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+') AS ps FROM k)),
+q AS (SELECT *, regexp_extract_all(translate(piece, {_LOWER}), '{_SPACE_WORD}') AS w,
+             a + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, unit ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s
+      FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, s) > 1 AS again,
+             row_number() OVER (PARTITION BY doc_id, unit ORDER BY i) AS nr FROM q WHERE len(w) > 0),
+u AS (SELECT *, nr - row_number() OVER (PARTITION BY doc_id, unit ORDER BY nr) AS run FROM r WHERE again AND NOT gone),
+passages AS (SELECT doc_id, unit, min(s) AS s, max(s + length(piece)) AS e FROM u GROUP BY doc_id, unit, run HAVING sum(len(w)) >= 25),
+kept AS (SELECT q.doc_id, q.unit, string_agg(piece, '' ORDER BY i) FILTER (WHERE passages.s IS NULL) AS line
+         FROM q LEFT JOIN passages ON q.doc_id = passages.doc_id AND q.unit = passages.unit AND q.s BETWEEN passages.s AND passages.e - 1
+         WHERE NOT gone GROUP BY q.doc_id, q.unit),
+spans AS (SELECT doc_id, a AS s, a + length(line) AS e FROM k WHERE gone UNION ALL SELECT doc_id, s, e FROM passages),
+cut AS (SELECT doc_id, sum(e - s) AS n, string_agg(s || ':' || e, ',' ORDER BY s) AS l FROM spans GROUP BY doc_id),
+inner_cuts AS (SELECT doc_id, count(*) AS n FROM passages GROUP BY doc_id),
+t AS (SELECT k.doc_id, max(units) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+             string_agg(coalesce(kept.line, '') || CASE WHEN k.unit < units - 1 THEN chr(10) ELSE '' END, '' ORDER BY k.unit) FILTER (WHERE NOT gone) AS kept
+      FROM k LEFT JOIN kept ON k.doc_id = kept.doc_id AND k.unit = kept.unit GROUP BY k.doc_id)
 SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       coalesce(n_chars_removed, 0)::BIGINT AS n_chars_removed, coalesce(spans, '') AS spans, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
+       coalesce(inner_cuts.n, 0)::BIGINT AS n_passages, coalesce(cut.n, 0)::BIGINT AS n_chars_removed, coalesce(cut.l, '') AS spans,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN cut ON d.doc_id = cut.doc_id LEFT JOIN inner_cuts ON d.doc_id = inner_cuts.doc_id
 """
 
 # The failure counts of each rule, as (name, condition); the prior's formulas follow quality.prior.

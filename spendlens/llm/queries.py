@@ -71,7 +71,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_documents(spark, sf_dir)).select(
-        "doc_id", "n_units", "n_removed", "n_chars_removed", "spans", F.sha2("kept_text", 256).alias("kept_sha256")
+        "doc_id",
+        "n_units",
+        "n_removed",
+        "n_passages",
+        "n_chars_removed",
+        "spans",
+        F.sha2("kept_text", 256).alias("kept_sha256"),
     )
 
 

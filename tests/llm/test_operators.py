@@ -426,32 +426,66 @@ def test_decontamination(spark, docs, documents, nothing, sf_small):
 
 
 def test_lines(spark, docs, documents, nothing):
-    found = lines.dedup_lines(docs, min_words=4).collect()
-    seen = {}
+    """Every line with a word, and stretches of repeated sentences in the lines that stay."""
+    found = lines.dedup_lines(docs, passage_words=6).collect()
     import xxhash
 
     texts = sorted(
         {(r[0], r[1]) for r in documents},
         key=lambda r: (r[0] is None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).view(np.int64)),
     )
-    want = {}
+    seen_lines, seen_sentences, want = {}, {}, {}
+    passages = 0
     for doc, text in texts:
-        spans, kept, at = [], "", 0
+        cuts, at, gone, inner = [], 0, 0, 0
         pieces = (text or "").split("\n")
         for n, line in enumerate(pieces):
             words = tuple(SPACE_WORD.findall(lower(line)))
-            if len(words) >= 4 and seen.setdefault(words, (doc, text, n)) != (doc, text, n):
-                spans.append(f"{at}:{at + len(line)}")
+            twice = words and seen_lines.setdefault(words, (doc, text, n)) != (doc, text, n)
+            runs, run = [], None
+            for m in re.finditer(r"[^.!?]*[.!?]+|[^.!?]+", line):
+                sentence = tuple(SPACE_WORD.findall(lower(m.group())))
+                if not sentence:
+                    continue
+                where = (doc, text, at + m.start())
+                if seen_sentences.setdefault(sentence, where) != where:
+                    run = [run[0], m.end(), run[2] + len(sentence)] if run else [m.start(), m.end(), len(sentence)]
+                    continue
+                runs, run = runs + [run] if run else runs, None
+            runs = runs + [run] if run else runs
+            if twice:
+                cuts.append((at, at + len(line), 1))
+                gone += 1
             else:
-                kept += line + ("\n" if n < len(pieces) - 1 else "")
+                for a, b, size in runs:
+                    if size >= 6:
+                        cuts.append((at + a, at + b, 0))
+                        inner += 1
             at += len(line) + 1
-        want[doc, text] = (len(pieces) if text else 0, ",".join(spans), kept)
-    assert Counter((r.doc_id, r.n_units, r.spans, r.kept_text) for r in found) == Counter(
-        (r[0], *want[r[0], r[1]]) for r in documents
-    )
+        kept, end = "", 0
+        for a, b, line_end in cuts:
+            kept, end = kept + (text or "")[end:a], b + line_end
+        kept += (text or "")[end:]
+        passages += inner
+        want[doc, text] = (len(pieces) if text else 0, gone, inner, ",".join(f"{a}:{b}" for a, b, _ in cuts), kept)
+    assert passages
+    got = Counter((r.doc_id, r.n_units, r.n_removed, r.n_passages, r.spans, r.kept_text) for r in found)
+    assert got == Counter((r[0], *want[r[0], r[1]]) for r in documents)
     assert lines.dedup_lines(nothing).count() == 0
 
 
+def test_copied_passage_within_lines(spark):
+    """A passage copied into other texts, its first sentence glued to what stands before."""
+    passage = ". ".join(prose(50 + i, 9) for i in range(6)) + ". "
+    rows = [(i, prose(60 + i, 20) + " " + passage + prose(70 + i, 20), "en", None, None) for i in range(3)]
+    rows.append((9, prose(90, 40), "en", None, None))
+    found = {r.doc_id: r for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert [found[i].n_passages for i in (0, 1, 2, 9)] == [0, 1, 1, 0]
+    assert all(found[i].n_removed == 0 for i in found)
+    inner = passage[passage.index(". ") + 1 : -1]
+    assert found[1].kept_text == rows[1][1].replace(inner, "") and found[9].kept_text == rows[3][1]
+
+
 def test_paragraphs():
     text = "a b\nc\n\n  \nd e\n"
     assert [text[a:b] for a, b in lines.units(text, paragraphs=True)] == ["a b\nc", "d e"]
