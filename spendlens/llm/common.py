@@ -66,7 +66,6 @@ def map_slices(
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         fn = make()
 
@@ -81,8 +80,7 @@ def map_slices(
         for batch in batches:
             sizes = [16] * batch.num_rows
             for c in batch.columns:
-                if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
-                    sizes = [a + (b or 0) for a, b in zip(sizes, pc.binary_length(c).to_pylist(), strict=True)]
+                sizes = [a + b for a, b in zip(sizes, _byte_lengths(c), strict=True)]
             for a, b in slices(sizes):
                 yield from out(fn(*(c.slice(a, b - a).to_pylist() for c in batch.columns)))
         if finish:
@@ -91,6 +89,44 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
+def extended(
+    df: DataFrame, schema: StructType, make: Callable[[], Callable[..., Iterable[tuple]]], *inputs: str
+) -> DataFrame:
+    """``df`` with the columns of ``schema`` behind its own, one value tuple per row from
+    ``fn(*inputs)`` of a slice. The columns of ``df`` pass through as they are: they become no
+    Python objects, but for the inputs."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    at = [df.columns.index(c) for c in inputs]
+
+    def run(batches):
+        import pyarrow as pa
+
+        fn = make()
+        for batch in batches:
+            sizes = [16] * batch.num_rows
+            for c in batch.columns:
+                sizes = [a + b for a, b in zip(sizes, _byte_lengths(c), strict=True)]
+            for a, b in slices(sizes):
+                part = batch.slice(a, b - a)
+                made = zip(*fn(*(part.column(i).to_pylist() for i in at)), strict=True)
+                new = [pa.array(c, type=f.type) for c, f in zip(made, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], schema=pa.schema([*batch.schema, *arrow]))
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *schema.fields]))
+
+
+def _byte_lengths(column) -> list[int]:
+    """Bytes of each text or binary value; zero for other types."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+        return [n or 0 for n in pc.binary_length(column).to_pylist()]
+    return [0] * len(column)
+
+
 def worker_state(name: str) -> types.ModuleType:
     """A holder that lives as long as the Python worker process, for caches kept between tasks."""
     return sys.modules.setdefault(f"_spendlens_llm_{name}", types.ModuleType(name))
@@ -114,9 +150,9 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
 
 
-def small(df: DataFrame, *strings: str) -> DataFrame:
+def small(df: DataFrame, *strings: str, beyond: str = "merge") -> DataFrame:
     """``df`` with a broadcast hint if a count shows that it lies under the bounds above, else
-    with a merge-join hint, which leaves hot keys to AQE's skew-join splitting."""
+    with a merge-join hint, which leaves hot keys to AQE's skew-join splitting, or the one given."""
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(16))
     n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df.hint("merge")
+    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df.hint(beyond)

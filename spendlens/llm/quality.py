@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_slices, small, space_words, written
+from .common import extended, map_slices, small, space_words, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -174,28 +174,17 @@ def filter_documents(
     docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: float = HOST_LIMIT
 ) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns unchanged. The counts are taken a
-    second time beside the text, which then moves only if very many hosts are rejected."""
-    names = docs.columns
+    second time beside the rows, which move only if very many hosts are rejected; their columns
+    pass through Python as Arrow data."""
     bad = rejected_hosts(host_rates(quality_counts(docs, [host_col], text_col), host_col), host_col, limit)
-    kept = [F.col(c) for c in names]
-    schema_cols = [c for c in names if c != text_col]
-    schema = StructType(
-        [docs.schema[c] for c in schema_cols]
-        + [docs.schema[text_col]]
-        + [StructField(f"__{c}", LongType()) for c in COUNTS]
-    )
+    schema = StructType([StructField(f"__{c}", LongType()) for c in COUNTS])
 
     def make():
-        def rows(*columns):
-            for *rest, text in zip(*columns, strict=True):
-                yield (*rest, text, *text_counts(text))
-
-        return rows
-
-    both = map_slices(docs.select(*[F.col(c) for c in schema_cols], F.col(text_col)), schema, make)
-    key = F.col(host_col).alias("__host")
-    packed = both.select(
-        F.struct(*kept).alias("__row"), key, *[F.col(f"__{c}").alias(c) for c in COUNTS]
-    )
-    bad = bad.select(F.col(host_col).alias("__host"))
-    return _judged(packed, bad, "__host").where("kept").select("__row.*")
+        return lambda texts: [text_counts(t) for t in texts]
+
+    # Own columns are named by position, so that none clashes with one of the documents.
+    both = extended(docs.toDF(*[f"__{i}" for i in range(len(docs.columns))]), schema, make, f"__{docs.columns.index(text_col)}")
+    counted = both.withColumnsRenamed({f"__{c}": c for c in COUNTS})
+    counted = counted.withColumn("__host", F.col(f"__{docs.columns.index(host_col)}"))
+    judged = _judged(counted, bad.select(F.col(host_col).alias("__host")), "__host").where("kept")
+    return judged.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])

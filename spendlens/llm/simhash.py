@@ -335,21 +335,37 @@ def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that with the least id (of rows
-    equal in id, the one with the least text hash, once)."""
-    found = near_duplicates(docs, id_col, text_col, shingle, radius).select(
-        F.col(id_col).alias("__id"), "row_hash", "root", "component_id"
-    )
-    found = written(found, "simhash-components")
+    equal in id, the one with the least text hash, once).
+
+    Which rows go is decided on ids and text hashes alone. The texts are not shuffled while the
+    rows that go are few enough to be broadcast; beyond that they are shuffled once, against a
+    hash table of those rows, and not sorted. Only rows that are repeated as they stand, and stay,
+    are gathered to be kept once."""
+    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    rows = found.groupBy(F.col(id_col).alias("__id"), F.col("row_hash").alias("__hash"), "root", "component_id").count()
+    rows = written(rows, "simhash-components")
     # Grouped by the component itself, as two of them have the same component_id if an id repeats.
-    keep = (
-        found.where(F.col("__id").eqNullSafe(F.col("component_id")))
-        .groupBy("root", "component_id")
-        .agg(F.min("row_hash").alias("__hash"))
-        .select(F.col("component_id").alias("__keep"), "__hash")
+    kept = (
+        rows.where(F.col("__id").eqNullSafe(F.col("component_id")))
+        .groupBy(F.col("root").alias("__root"), F.col("component_id").alias("__keep"))
+        .agg(F.min("__hash").alias("__least"))
     )
-    names = docs.columns
-    hashed = docs.select(F.struct(*[F.col(c) for c in names]).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__h"))
-    matched = hashed.join(
-        keep.hint("merge"), F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__h") == F.col("__hash")), "leftsemi"
+    is_kept = (
+        (F.col("root") == F.col("__root"))
+        & F.col("__id").eqNullSafe(F.col("__keep"))
+        & (F.col("__hash") == F.col("__least"))
     )
-    return matched.dropDuplicates(["__id", "__h"]).select("__row.*")
+    marked = written(rows.join(kept, is_kept, "left").withColumn("__stays", F.col("__least").isNotNull()), "simhash-kept")
+
+    def these(df: DataFrame) -> DataFrame:
+        return df.select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"))
+
+    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.col(text_col)) == F.col("__h"))
+    gone = these(marked.where(~F.col("__stays")))
+    repeated = these(marked.where(F.col("__stays") & (F.col("count") > 1)))
+    if repeated.isEmpty():
+        return docs.join(small(gone, beyond="shuffle_hash"), same, "leftanti")
+    once = docs.join(small(gone.unionByName(repeated), beyond="shuffle_hash"), same, "leftanti")
+    again = docs.join(small(repeated, beyond="shuffle_hash"), same, "leftsemi")
+    again = again.withColumn("__h", F.xxhash64(F.col(text_col)))
+    return once.unionByName(again.dropDuplicates([id_col, "__h"]).drop("__h"))
