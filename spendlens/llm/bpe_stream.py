@@ -42,8 +42,11 @@ from .packing import VOCABULARY, Tokens
 
 # Symbols taken in between two emissions, and the pre-tokens and chunks whose ids are kept.
 BLOCK = 4096
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 500_000
 CACHE_LENGTH = 100
+# Joints of two tokens and heads that are kept.
+CACHE_JOINS = 200_000
+CACHE_HEADS = 100_000
 # Lengths of the heads of pre-tokens whose tokens are kept too, as many words begin alike.
 HEADS = (7, 4)
 # Ids of one batch of decoded texts.
@@ -116,7 +119,7 @@ class Merges:
 
     def join(self, left: str, right: str) -> bool:
         """Whether the two tokens stay as they are beside each other."""
-        if len(self.joins) >= CACHE_UNITS:
+        if len(self.joins) >= CACHE_JOINS:
             self.joins.clear()
         known = self.joins[left, right] = self._first_across(left, right) is None
         return known
@@ -181,7 +184,7 @@ class Transducer:
                 raise ValueError(f"no token for {text[end - 1]!r}")
             last.append(token)
             if new and end in HEADS and end < size:
-                if len(heads) >= CACHE_UNITS:
+                if len(heads) >= CACHE_HEADS:
                     heads.clear()
                 heads[text[:end]] = tuple(last[1:])
 
@@ -302,6 +305,11 @@ class Decoder:
         self.start()
         return text
 
+    def text(self, ids: np.ndarray) -> str:
+        self.start()
+        parts = [self.feed(ids[i : i + BLOCK].tolist()) for i in range(0, len(ids), BLOCK)]
+        return "".join(parts) + self.finish()
+
 
 def _kept(kind: type, vocabulary: str):
     """One encoder or decoder of a vocabulary per worker process."""
@@ -316,6 +324,28 @@ def _kept(kind: type, vocabulary: str):
     return getattr(state, vocabulary)
 
 
+def round_trip(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY
+) -> DataFrame:
+    """One row per input row: id, ids (as by ``encode_documents``), decoded (the text that the ids
+    give, as by ``decode_ids``), by one worker process a task."""
+    schema = StructType(
+        [docs.schema[id_col], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
+    )
+
+    def make():
+        encode, decode = _kept(Encoder, vocabulary).encode, _kept(Decoder, vocabulary).text
+
+        def rows(ids, texts):
+            for doc, text in zip(ids, texts, strict=True):
+                found = encode(text)
+                yield doc, found, decode(found)
+
+        return rows
+
+    return map_slices(docs.select(F.col(id_col), F.col(text_col)), schema, make)
+
+
 def encode_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY
 ) -> DataFrame:
@@ -348,9 +378,7 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULA
             texts, first = [], 0
             for i in range(batch.num_rows):
                 a, b = int(offsets[i]), int(offsets[i + 1])
-                decoder.start()
-                text = "".join([decoder.feed(values[k : min(b, k + BLOCK)].tolist()) for k in range(a, b, BLOCK)])
-                texts.append(text + decoder.finish())
+                texts.append(decoder.text(values[a:b]))
                 if b - int(offsets[first]) >= BATCH_IDS or i + 1 == batch.num_rows:
                     part = batch.slice(first, i + 1 - first)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], schema=arrow)

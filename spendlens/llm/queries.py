@@ -100,7 +100,7 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_stream.decode_ids(bpe_stream.encode_documents(_documents(spark, sf_dir))).select(
+    return bpe_stream.round_trip(_documents(spark, sf_dir)).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
