@@ -96,6 +96,7 @@ class Merges:
         # What some token ends with, and the lengths of the tokens among its own ends, longest first.
         tails = {t[i:] for t in self.ids for i in range(len(t))}
         self.tails = {t: tuple(n for n in range(len(t), 0, -1) if t[-n:] in self.ids) for t in tails}
+        self.longest_token = max(map(len, self.ids))
         self.lookahead = self._lookahead()
         self.joins: dict[tuple[str, str], bool] = {}
         self.heads: dict[str, tuple[str, ...]] = {}

@@ -30,7 +30,7 @@ def test_query(spark, sf_small, key):
 
 def test_registered():
     names = list(E.queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_pipeline_runs(spark, sf_small):
