@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.format import balance_caption, currency, transaction_label
-from spendlens.sources.tables import assign_ids
 
 EXPENSES, PAYMENTS = "Expenses", "Payments"
 
@@ -233,11 +232,15 @@ def weekday_totals(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+MAGNITUDES = 64
+
+
 def subscription_costs(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Subscription spending per merchant over the whole selection, with ``rank`` (1 = largest).
 
-    Per group a window numbers its merchants. Without groups all merchants are one list: they are
-    numbered over a range-partitioned sort, not in one task."""
+    Per group a window numbers its merchants. Without groups all merchants are one list: each is
+    numbered within its magnitude, behind the counts of the greater magnitudes, not in one task.
+    There are at most ``MAGNITUDES`` per power of ten, so their counts may be broadcast."""
     by = list(by)
     sums = (
         expenses(df)
@@ -249,7 +252,12 @@ def subscription_costs(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     if by:
         ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     else:
-        ranked = assign_ids(sums, sums, "rank", base=0, order=order)
+        sums = sums.withColumn("_size", F.floor(F.log10(F.col("_total").cast("double")) * MAGNITUDES).cast("int"))
+        above = sums.groupBy("_size").agg(F.count(F.lit(1)).alias("_n")).select(
+            "_size", (F.sum("_n").over(Window.orderBy(F.col("_size").desc())) - F.col("_n")).alias("_above")
+        )
+        within = F.row_number().over(Window.partitionBy("_size").orderBy(*order))
+        ranked = sums.withColumn("_at", within).join(F.broadcast(above), "_size").withColumn("rank", F.col("_above") + F.col("_at"))
     return ranked.select(*by, "rank", "activity_description", _money(F.col("_total")).alias("amount_spent"))
 
 

@@ -56,9 +56,9 @@ def _key_cond(left: DataFrame, right: DataFrame) -> Column:
     return cond
 
 
-def _profile(keys: DataFrame) -> tuple[int, int, list[int], bool, tuple[int | None, int | None]]:
+def _profile(keys: DataFrame) -> tuple[int, int, list[int], bool, tuple[int | None, int | None], list[int]]:
     """One pass over the incoming keys: row count, bytes, distinct years (a handful), whether
-    undated rows exist, and the range of user ids. Cache the incoming batch when it is
+    undated rows exist, the range of user ids, and their buckets (at most as many as there are). Cache the incoming batch when it is
     costly to recompute."""
     r = keys.agg(
         F.count(F.lit(1)).alias("n"),
@@ -67,8 +67,9 @@ def _profile(keys: DataFrame) -> tuple[int, int, list[int], bool, tuple[int | No
         F.max(F.col("_k_date").isNull().cast("int")).alias("undated"),
         F.min("_k_user").alias("lo"),
         F.max("_k_user").alias("hi"),
+        F.collect_set(user_bucket(F.col("_k_user"), user_buckets(keys.sparkSession))).alias("buckets"),
     ).first()
-    return r["n"], r["size"], sorted(r["years"]), bool(r["undated"]), (r["lo"], r["hi"])
+    return r["n"], r["size"], sorted(r["years"]), bool(r["undated"]), (r["lo"], r["hi"]), sorted(r["buckets"])
 
 
 def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
@@ -77,12 +78,10 @@ def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int =
     ``incoming`` (not distinct), and whether the upload was proven small (at most
     ``broadcast_limit`` rows)."""
     inc_rows = with_keys(incoming).select(*KEY_COLUMNS)
-    n, size, years, undated, (lo, hi) = _profile(inc_rows)
+    n, size, years, undated, (lo, hi), buckets = _profile(inc_rows)
     hist = history
     if "user_bucket" in history.columns:
         # Folders of other users' buckets are not read (at most as many values as buckets).
-        bucket = user_bucket(F.col("_k_user"), user_buckets(history.sparkSession))
-        buckets = [r[0] for r in inc_rows.select(bucket).distinct().collect()]
         hist = hist.filter(F.col("user_bucket").isin(buckets) if buckets else F.lit(False))
     if lo is not None and "user_id" in history.columns:
         # Only the batch's users can match. The range is pushed into the Parquet scan, where

@@ -20,7 +20,7 @@ from spendlens.schema import taxonomy_df
 # Fixed rule values
 # ---------------------------------------------------------------------------
 
-# Merchant aliases: (substring of the upper-cased descriptor, merchant name), first match wins.
+# Merchant aliases: (whole words of the upper-cased descriptor, merchant name), first match wins.
 MERCHANT_ALIASES = [
     ("AMZN", "AMAZON"),
     ("AMAZON", "AMAZON"),
@@ -86,13 +86,14 @@ def customer_id(f_name: Column, l_name: Column) -> Column:
 # --------------------------------------------------------------------------- X4
 
 def normalise_merchant(desc: Column, aliases: list[tuple[str, str]] | None = None) -> Column:
-    """Upper-case merchant name: an alias when a rule matches, else the descriptor up to the
-    first separator (``UBER* TRIP TORONTO ON`` -> ``UBER``)."""
+    """Upper-case merchant name: that of the first alias whose words stand in the descriptor, else
+    the descriptor up to the first separator (``UBER* TRIP TORONTO ON`` -> ``UBER``; ``SCHUBERT
+    HALL`` holds no alias). ``operators.merchants`` also drops trailing places and references."""
     up = F.upper(utrim(desc))
-    fallback = utrim(F.split(up, MERCHANT_SPLIT_RE, 2).getItem(0))
-    expr = fallback
+    words = padded_words(desc)
+    expr = utrim(F.split(up, MERCHANT_SPLIT_RE, 2).getItem(0))
     for pattern, merchant in reversed(aliases if aliases is not None else MERCHANT_ALIASES):
-        expr = F.when(up.contains(pattern), F.lit(merchant)).otherwise(expr)
+        expr = F.when(words.contains(f" {_phrase(pattern)} "), F.lit(merchant)).otherwise(expr)
     return F.when(desc.isNull(), F.lit(None).cast("string")).otherwise(expr)
 
 

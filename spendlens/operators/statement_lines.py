@@ -95,6 +95,13 @@ HOLDER_RE = r"(?im)^card holder:?[ \t]*(.*?)[ \t]*$"
 HOLDER_NAMES_RE = r"^(\S+)(?:\s+(.*))?$"
 
 
+def statement_reasons(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``reason``: why a statement gives no rows, null for a usable one."""
+    blank = F.length(F.trim(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\r\n\t", ""))) == 0
+    reason = F.when(blank, F.lit("empty")).when(F.col("user_id").isNull(), F.lit("no_account"))
+    return docs.withColumn("reason", reason.when(F.col("statement_year").isNull(), F.lit("no_period")))
+
+
 def statement_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Statement lines as typed transaction rows with every table column: the holder from
     the header, split into names, and the customer id from them (X3), the merchant simplified
@@ -107,10 +114,12 @@ def statement_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keys = [c for c in docs.columns if c != text_col]
     # The holder is a document column, carried through the line explode (no join back).
     with_holder = docs.withColumn("_holder", utrim(F.regexp_extract(F.col(text_col), HOLDER_RE, 1)))
-    # The merchant and its words are columns, so the category rules reference them instead of
-    # repeating their expressions once per rule.
+    # The merchant and the words are columns, so the category rules reference them instead of
+    # repeating their expressions once per rule. The rules see the words of the whole description,
+    # which an alias may cut, and behind a border that no phrase crosses those of the merchant.
     rows = statement_rows(with_holder, text_col).withColumn("_merchant", normalise_merchant(F.col("raw_description")))
-    rows = rows.withColumn("_padded", padded_words(F.col("_merchant"))).withColumn("_cat", first_rule(F.col("_padded")))
+    rows = rows.withColumn("_padded", padded_words(F.concat_ws(" . ", "raw_description", "_merchant")))
+    rows = rows.withColumn("_cat", first_rule(F.col("_padded")))
     cat = F.col("_cat")
     first, last = F.regexp_extract("_holder", HOLDER_NAMES_RE, 1), F.regexp_extract("_holder", HOLDER_NAMES_RE, 2)
     rows = rows.withColumns({"f_name": F.when(first != "", first), "l_name": F.when(last != "", last)})
@@ -127,7 +136,8 @@ def statement_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
         cat["category"].alias("category"),
         cat["sub_category"].alias("sub_category"),
         "amount_spent", "credit_limit",
-        (F.col("statement_available_credit") + F.sum(amount).over(upto) - F.first(amount).over(upto)).alias("available_credit"),
+        (F.col("statement_available_credit") + F.sum(amount).over(upto) - F.first(amount).over(upto)).try_cast(MONEY)
+        .alias("available_credit"),
         F.lit(False).alias("is_subscription"),
     )
     out = fill_unknown_text(out, ["customer_id", "f_name", "l_name", "address"])
@@ -137,16 +147,23 @@ def statement_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def statement_ingest(docs: DataFrame, history: DataFrame, text_col: str = "text") -> DataFrame:
     """Statement text to rows for the transactions table: extracted, new rows only (J1), with ids
     above the stored ones in (document, position) order (K1) and ``is_subscription`` from the
-    recurring merchants of the user's stored and new rows together (X9)."""
+    recurring merchants of the user's stored and new rows together (X9). Of the history only the
+    rows of the new rows' users are aggregated, to one state row per merchant; a store that keeps
+    that state (``streaming.ingest``) does not read them at all."""
     from spendlens.operators.dedup import new_rows
-    from spendlens.operators.enrich import flag_recurring
+    from spendlens.operators.recurring import batch_state, merged_state, with_recurring
     from spendlens.schema import TX_COLUMNS
-    from spendlens.sources.tables import assign_ids
+    from spendlens.sources.tables import assign_ids, user_bucket, user_buckets
 
     fresh = new_rows(statement_records(docs, text_col), history)
     fresh = assign_ids(fresh, history, "transaction_id", order=["doc_id", "position"]).select(*TX_COLUMNS)
-    every = history.select(*TX_COLUMNS, F.lit(False).alias("_new")).unionByName(fresh.withColumn("_new", F.lit(True)))
-    flagged = flag_recurring(every).filter("_new")
+    buckets = user_buckets(docs.sparkSession)
+
+    def state(rows: DataFrame) -> DataFrame:
+        return batch_state(rows.withColumn("user_bucket", user_bucket(F.col("user_id"), buckets)))
+
+    mine = history.join(fresh.select("user_id"), "user_id", "left_semi")
+    flagged = with_recurring(fresh, merged_state(state(mine).unionByName(state(fresh))))
     return flagged.withColumn("is_subscription", F.col("is_recurring")).select(*TX_COLUMNS)
 
 

@@ -27,6 +27,7 @@ from spendlens.operators.enrich import (
     spending_habits,
     taxonomy_violations,
 )
+from spendlens.operators.merchants import simplify_merchants
 from spendlens.operators.quality import constraint_violations, typing_failures
 from spendlens.operators.running import running_available_credit
 from spendlens.operators.statement_lines import render_statements, statement_ingest, statement_records, statement_rows
@@ -45,9 +46,11 @@ from spendlens.sources.statements import assemble_documents, read_text_documents
 from spendlens.sources.tables import (
     assign_ids,
     create_tables,
+    drop_tables,
     read_transactions,
     refresh_tables,
     stored_max,
+    truncate_tables,
     user_history,
     users_history,
     write_transactions,
@@ -65,7 +68,13 @@ from spendlens.sources.testdata import (
     user_updates_from_tables,
     users_from_tables,
 )
-from spendlens.streaming.ingest import read_quarantine, run_ingest_stream
+from spendlens.streaming.ingest import (
+    read_quarantine,
+    read_with_recurring,
+    recurring_state,
+    run_ingest_stream,
+    run_statement_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -258,6 +267,28 @@ def q_catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionByName(counts[1])
 
 
+def q_emptied_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables written, emptied, written again and dropped: their rows after each step, null
+    where the catalog has no such table."""
+    tx, users = tx_table(spark, sf_dir), users_from_tables(spark, sf_dir)
+    root = scratch_path(spark, "emptied")
+    names = {n: f"{n}_{root[-12:]}" for n in ("transactions", "users")}
+    counts = []
+
+    def fill() -> None:
+        write_transactions(tx, f"{root}/transactions")
+        write_users_snapshot(spark, root, users)
+        refresh_tables(spark, root, *names.values())
+
+    steps = [lambda: create_tables(spark, root, *names.values()), fill, lambda: truncate_tables(spark, root, *names.values()),
+             fill, lambda: drop_tables(spark, root, *names.values())]
+    for n, step in enumerate(steps, start=1):
+        step()
+        for label, name in names.items():
+            counts.append((n, label, spark.table(name).count() if spark.catalog.tableExists(name) else None))
+    return spark.createDataFrame(counts, "step int, table_name string, n_rows long")
+
+
 def q_folder_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text file per benchmark item, written to a folder and read back whole."""
     prepare(spark)
@@ -283,6 +314,7 @@ QUERIES.update(
         "clean_padded_names": q_clean_padded_names,
         "surrogate_ids": q_surrogate_ids,
         "catalog_tables": q_catalog_tables,
+        "emptied_tables": q_emptied_tables,
         "folder_documents": q_folder_documents,
     }
 )
@@ -391,6 +423,22 @@ def q_merchant_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("merchant", normalise_merchant(F.col("raw_description")))
 
 
+def q_merchant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors with places, references, aliases and names that only look like one."""
+    tx = tx_table(spark, sf_dir)
+    k, desc, place = F.pmod("transaction_id", F.lit(7)), F.col("activity_description"), F.col("address")
+    raw = (
+        F.when(k == 0, F.concat_ws(" ", desc, place))
+        .when(k == 1, F.concat_ws(" ", F.lower(desc), place, F.format_string("%06d", "transaction_id")))
+        .when(k == 2, F.concat_ws(" ", F.lit("Uber  trip"), place))
+        .when(k == 3, F.concat_ws(" ", F.lit("Schubert Hall"), place))
+        .when(k == 4, F.concat(desc, F.lit("* "), F.col("sub_category")))
+        .when(k == 5, F.concat(F.lit("PayPal *"), desc))
+        .otherwise(F.concat_ws(" ", F.lit("Tuberia"), F.format_string("#%d", "transaction_id")))
+    )
+    return simplify_merchants(tx.select("transaction_id", raw.alias("raw_description")))
+
+
 # Merchant words put behind the descriptions, so that every kind of rule fires.
 SHOP_WORDS = ("Grocery", "*COFFEE* 12", "uber eats", "Uber trip", "gas  station", "PARENT hub", "SPRING", "amazon coffee",
               "", "monthly fee", "COFFEEHOUSE", "Netflix", "credit card payment")
@@ -453,6 +501,7 @@ QUERIES.update(
     {
         "customer_ids": q_customer_ids,
         "merchant_normalise": q_merchant_normalise,
+        "merchant_tokens": q_merchant_tokens,
         "categorise": q_categorise,
         "categorise_many_rules": q_categorise_many_rules,
         "taxonomy_violations": q_taxonomy_violations,
@@ -512,6 +561,45 @@ def q_ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.unionByName(aside)
 
 
+_STATEMENT_STORES: dict[tuple[str, str], str] = {}
+
+
+def statement_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store filled from statement files in two uploads, of the history and of the years after,
+    which overlap; filled once per session and scale directory."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _STATEMENT_STORES:
+        tx = tx_table(spark, sf_dir)
+        root = scratch_path(spark, "statements")
+        for n, part in enumerate((history_part(tx), upload_part(tx)), start=1):
+            period = F.format_string("%04d-%02d", "statement_year", "statement_month")
+            head = F.concat(F.lit("Account: "), F.col("user_id").cast("string"), F.lit("\nStatement period: "), period, F.lit("\n"))
+            files = _statements(part).select(F.concat(head, "text", F.lit("\f")).alias("value"))
+            files.write.option("maxRecordsPerFile", 5000).text(f"{root}/landing/upload_id={n}")
+            run_statement_stream(spark, f"{root}/landing", f"{root}/tx", f"{root}/log", f"{root}/ckpt")
+        _STATEMENT_STORES[key] = root
+    return _STATEMENT_STORES[key]
+
+
+def q_statement_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement files to stored rows by a stream: every transaction once, recurring charges
+    flagged by all rows, those stored before the third month too."""
+    rows = read_with_recurring(spark, f"{statement_store(spark, sf_dir)}/tx")
+    return present(rows.select("user_id", "transaction_date", "activity_description", "amount_spent", "is_subscription"))
+
+
+def q_recurring_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state that the ingest of the statement files kept: that of a scan of all rows."""
+    state = recurring_state(spark, f"{statement_store(spark, sf_dir)}/tx")
+    return state.select(
+        "user_id", "merchant", F.size("months").cast("long").alias("n_months"), "n_transactions",
+        F.col("least").cast("double").alias("min_amount"), F.col("greatest").cast("double").alias("max_amount"),
+        (F.col("total").cast("double") / F.col("n_transactions")).alias("avg_amount"), "is_recurring",
+    )
+
+
+QUERIES["statement_stream"] = q_statement_stream
+QUERIES["recurring_state"] = q_recurring_state
 QUERIES["incremental_ingest"] = q_incremental_ingest
 QUERIES["ingest_same_bytes_two_users"] = q_ingest_same_bytes_two_users
 QUERIES["ingest_quarantine"] = q_ingest_quarantine

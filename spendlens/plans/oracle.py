@@ -641,3 +641,41 @@ FROM orders
 UNION ALL
 SELECT 'amount_spent', count(*) FILTER (WHERE o_orderkey % 6 IN (1, 3)) FROM orders
 """
+
+# Recurring charges over all rows, as if none had been stored before the others.
+_ALL_RECURRING = """rec AS (
+  SELECT user_id, activity_description,
+    count(DISTINCT date_trunc('month', transaction_date)) >= 3
+      AND (max(amount_spent) - min(amount_spent)) * count(*) * 100 <= 5 * sum(amount_spent) AS is_rec
+  FROM tx WHERE amount_spent > 0 AND activity_description IS NOT NULL
+  GROUP BY user_id, activity_description
+)"""
+ORACLE["statement_stream"] = _with(_ALL_RECURRING) + """
+SELECT t.user_id, CAST(t.transaction_date AS DATE) AS transaction_date, t.activity_description,
+       CAST(t.amount_spent AS DOUBLE) AS amount_spent, coalesce(r.is_rec AND t.amount_spent > 0, false) AS is_subscription
+FROM tx t LEFT JOIN rec r ON t.user_id = r.user_id AND t.activity_description = r.activity_description
+"""
+ORACLE["recurring_state"] = RECURRING
+
+# Expected names, written out.
+ORACLE["merchant_tokens"] = _with() + """
+SELECT transaction_id,
+  CASE transaction_id % 7
+    WHEN 0 THEN activity_description || ' ' || address
+    WHEN 1 THEN lower(activity_description) || ' ' || address || ' ' || printf('%06d', transaction_id)
+    WHEN 2 THEN 'Uber  trip ' || address
+    WHEN 3 THEN 'Schubert Hall ' || address
+    WHEN 4 THEN activity_description || '* ' || sub_category
+    WHEN 5 THEN 'PayPal *' || activity_description
+    ELSE 'Tuberia #' || CAST(transaction_id AS VARCHAR)
+  END AS raw_description,
+  CASE transaction_id % 7 WHEN 2 THEN 'UBER' WHEN 3 THEN 'SCHUBERT HALL' WHEN 5 THEN 'PAYPAL' WHEN 6 THEN 'TUBERIA'
+                          ELSE activity_description END AS merchant
+FROM tx
+"""
+
+ORACLE["emptied_tables"] = _with(USERS0) + """,
+n AS (SELECT 'transactions' AS table_name, (SELECT count(*) FROM tx) AS n UNION ALL SELECT 'users', (SELECT count(*) FROM users0))
+SELECT step, table_name, CASE WHEN step IN (1, 3) THEN 0 WHEN step < 5 THEN n END AS n_rows
+FROM n, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)
+"""

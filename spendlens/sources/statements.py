@@ -36,6 +36,26 @@ def empty_documents(pages: DataFrame) -> DataFrame:
     )
 
 
+# Header lines of a statement text that say whose it is and of which month.
+ACCOUNT_RE = r"(?im)^account(?: number)?:?[ \t]*(\d{1,18})[ \t]*$"
+PERIOD_RE = r"(?im)^statement period:?[ \t]*(\d{4})-(\d{2})[ \t]*$"
+
+
+def statement_documents(files: DataFrame) -> DataFrame:
+    """Statement texts of files read whole (``value``, ``file``, ``upload_id``): one document per
+    statement, numbered where form feeds separate several in a file, with the account number and
+    the period of its header as columns (null where missing)."""
+    pieces = files.select("file", "upload_id", F.posexplode(F.split("value", "\f")).alias("_n", "text"))
+    found = pieces.filter((F.col("_n") == 0) | (F.length(F.trim(F.translate("text", "\r\n\t", ""))) > 0))
+    return found.select(
+        F.concat_ws("#", "file", F.col("_n").cast("string")).alias("doc_id"),
+        F.regexp_extract("text", ACCOUNT_RE, 1).try_cast("long").alias("user_id"),
+        "text", "upload_id",
+        F.regexp_extract("text", PERIOD_RE, 1).try_cast("int").alias("statement_year"),
+        F.regexp_extract("text", PERIOD_RE, 2).try_cast("int").alias("statement_month"),
+    )
+
+
 def read_text_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """A folder (or glob) of uploaded text files, one document per file.
 

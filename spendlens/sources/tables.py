@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS, USERS
 from spendlens.session import checkpoint_root
+from spendlens.sources import commits
 
 
 # --------------------------------------------------------------------------- DDL
@@ -97,8 +98,11 @@ def write_transactions(df: DataFrame, path: str, mode: str = "append", layout: b
 
 
 def read_transactions(spark: SparkSession, path: str, with_bucket: bool = False) -> DataFrame:
-    """The stored rows; ``with_bucket`` keeps the folder column that prunes by user."""
-    df = spark.read.schema(T.StructType([*TRANSACTIONS.fields, T.StructField("user_bucket", T.IntegerType())])).parquet(path)
+    """The stored rows; ``with_bucket`` keeps the folder column that prunes by user. Of a table
+    that is written in committed batches (``commits``), the rows of those."""
+    schema = T.StructType([*TRANSACTIONS.fields, T.StructField("user_bucket", T.IntegerType())])
+    markers = commits.committed(spark, path)
+    df = commits.read_committed(spark, path, "rows", schema, markers) if markers else spark.read.schema(schema).parquet(path)
     return df.select(*TX_COLUMNS, *(["user_bucket"] if with_bucket else []))
 
 

@@ -1,6 +1,6 @@
-"""Incremental ingest of extraction documents from a landing folder.
+"""Incremental ingest of extraction documents and statement texts from a landing folder.
 
-``run_ingest_stream`` is a file-source stream with ``trigger(availableNow=True)``: each run
+``run_ingest_stream`` (JSON answers) and ``run_statement_stream`` (statement texts) are file-source streams with ``trigger(availableNow=True)``: each run
 picks up only files it has not seen (its checkpoint replaces the dashboard's session
 state) and hands every micro-batch to ``ingest_batch``, the same batch functions a one-off
 upload uses: parse -> clean -> skip stored rows (J1) -> append with fresh ids.
@@ -18,11 +18,16 @@ Nothing is lost silently: documents without a usable answer and broken landing l
 same bytes is looked at again. Uploads are skipped per user: the same bytes from another user
 are that user's rows.
 
-Exactly-once effect without transactions: every micro-batch writes its own
-``ingest_batch=<run>-<batch>`` partitions of the table and of the ingest log with dynamic
-partition overwrite and reads history without them, so a replay after a failure replaces
-its earlier attempt. The run id comes from the checkpoint path: a stream restarted with a
-fresh checkpoint adds partitions instead of replacing another run's. Single writer per table.
+A batch is visible whole or not at all (``commits``): rows, log, quarantine and recurring state are
+written into folders of the attempt, and one marker file, created exclusively, makes them count. A
+batch replayed after its marker was written does nothing; one replayed after an earlier failure
+reads what was committed before it, recomputes the same result (the same ids included) and
+commits that. The batch's name comes from the checkpoint path: a stream restarted with a fresh
+checkpoint adds batches instead of repeating another run's. Single writer per table.
+
+Nothing per batch reads the whole store: history is pruned by the batch's years, user buckets and
+user ids, the log by the first digits of the batch's content digests, ids start above the mark
+that each marker records, and the recurring charges are a small state that each batch adds to.
 
 No watermark or ``dropDuplicatesWithinWatermark``: equal rows inside one upload are
 legitimate, and duplicates are defined against the stored history, not a time window.
@@ -32,15 +37,21 @@ from __future__ import annotations
 
 import hashlib
 import time
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions.clean import clean_transactions
 from spendlens.operators.dedup import new_rows_by_upload
+from spendlens.operators.recurring import STATE, batch_state, merged_state, with_recurring
+from spendlens.operators.statement_lines import statement_records, statement_reasons, unparsed_lines
 from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS
+from spendlens.sources import commits
 from spendlens.sources.extraction import extraction_reasons, extraction_rows
+from spendlens.sources.statements import statement_documents
 from spendlens.sources.tables import assign_ids, stored_max, user_bucket, user_buckets
 
 DOC_SCHEMA = T.StructType(
@@ -59,30 +70,36 @@ STORED = T.StructType(
     TRANSACTIONS.fields + [T.StructField("upload_id", T.LongType()), T.StructField("ingest_batch", T.StringType()),
                            T.StructField("user_bucket", T.IntegerType())]
 )
-FOLDERS = ("ingest_batch", "year", "user_bucket")
-# max_id: the highest transaction id the batch wrote (the stream's id high-water mark).
-LOG_SCHEMA = "doc_id string, user_id long, content_sha string, upload_id long, max_id long, ingest_batch string"
+# Folders below a batch's: of the rows, of the log (first digits of the digest), of the state.
+ROW_FOLDERS, LOG_FOLDERS, STATE_FOLDERS = ("year", "user_bucket"), ("sha_prefix",), ("user_bucket",)
+# max_id: the highest transaction id the batch wrote.
+LOG_SCHEMA = ("doc_id string, user_id long, content_sha string, upload_id long, max_id long, ingest_batch string, "
+              "sha_prefix string")
 QUARANTINE_SCHEMA = "doc_id string, user_id long, text string, reason string, upload_id long, ingest_batch string"
+# Hexadecimal digits of a digest that name its log folder: 16 folders a batch at most.
+PREFIX_DIGITS = 1
 # Documents of a batch up to which their keys (user, digest, ids: about 150 bytes each) and the
 # log entries reduced to them are broadcast.
 LOG_BROADCAST_LIMIT = 100_000
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def state_path(tx_path: str) -> str:
+    return f"{tx_path}_recurring"
+
+
+def quarantine_path(log_path: str) -> str:
+    return f"{log_path}_quarantine"
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    if _path_exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+def _log_path(spark: SparkSession, tx_path: str) -> str:
+    return commits.read_small(spark, f"{tx_path}_commits/.log")
 
 
-def _overwrite_partitions(df: DataFrame, path: str, *cols: str) -> None:
-    """Replace only the partitions present in ``df``: a replayed batch rewrites its own."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(path)
+def _open_store(spark: SparkSession, tx_path: str, log_path: str) -> None:
+    """The table's log, and the log's table, noted beside each other before the first batch."""
+    for path, other in ((f"{tx_path}_commits/.log", log_path), (f"{log_path}_table", tx_path)):
+        if path.rpartition("/")[2] not in commits.names(spark, path.rpartition("/")[0]):
+            commits.create_small(spark, path, other)
 
 
 def _unseen_documents(docs: DataFrame, log: DataFrame) -> DataFrame:
@@ -91,13 +108,16 @@ def _unseen_documents(docs: DataFrame, log: DataFrame) -> DataFrame:
     the same document of the same upload (already ingested). Identical documents inside one
     upload both count, as two uploaded copies would.
 
-    The log grows with every document ever ingested. It is first reduced to the batch's own keys:
+    The log grows with every document ever ingested. Only the folders of the batch's digest
+    prefixes are read (at most 16 ** PREFIX_DIGITS values), and it is reduced to the batch's own keys:
     per (user, digest) one row with the first upload, and the batch's documents found in it.
     Both are aggregated map-side, so a digest with very many entries stays one row per task, and
     neither is larger than the batch; when that is counted to be small they are broadcast.
     """
     ident = ["user_id", "content_sha"]
     keys = docs.select(*ident, "upload_id", "doc_id").distinct()
+    prefixes = [r[0] for r in docs.select(_prefix(F.col("content_sha"))).distinct().collect()]
+    log = log.filter(F.col("sha_prefix").isin(prefixes) if prefixes else F.lit(False))
     few = keys.limit(LOG_BROADCAST_LIMIT + 1).count() <= LOG_BROADCAST_LIMIT
     sized = F.broadcast if few else (lambda df: df)
     first = (
@@ -112,120 +132,194 @@ def _unseen_documents(docs: DataFrame, log: DataFrame) -> DataFrame:
     return out.filter(F.col("_first").isNull() | (F.col("_first") >= F.col("upload_id"))).drop("_first")
 
 
-def _id_base(spark: SparkSession, log: DataFrame, tx_path: str, part: str) -> int:
-    """The highest stored transaction id. Batches record theirs in the log, so this reads one
-    small column of the log; only before any batch recorded one (a new stream over a seeded
-    table) the table's file footers are read (``stored_max``), without this batch's files."""
-    mark = log.select(F.max("max_id")).first()[0]
-    if mark is None and _path_exists(spark, tx_path):
-        mark = stored_max(spark, tx_path, "transaction_id", F.col("ingest_batch") != part)
-    return int(mark or 0)
+def _prefix(content_sha: Column) -> Column:
+    return F.substring(content_sha, 1, PREFIX_DIGITS)
+
+
+def _id_base(spark: SparkSession, tx_path: str, markers: list[dict]) -> int:
+    """The highest stored transaction id, from the batches' markers. Only before any batch recorded
+    one (a new stream over a table written otherwise) its file footers are read (``stored_max``)."""
+    marks = [m["max_id"] for m in markers if m["max_id"] is not None]
+    if marks or markers or not commits.names(spark, tx_path):
+        return max(marks, default=0)
+    return int(stored_max(spark, tx_path, "transaction_id") or 0)
+
+
+def _answers(docs: DataFrame) -> DataFrame:
+    return extraction_reasons(docs)
+
+
+def _answer_rows(docs: DataFrame) -> DataFrame:
+    return clean_transactions(extraction_rows(docs))
+
+
+def _no_lines(docs: DataFrame) -> DataFrame | None:
+    return None
+
+
+def _broken_lines(docs: DataFrame) -> DataFrame:
+    return unparsed_lines(docs).select("doc_id", "user_id", F.col("line").alias("text"),
+                                       F.lit("unparsed_line").alias("reason"), "upload_id")
+
+
+# What a kind of document means: (reason why it gives no rows, its rows, lines put aside).
+KINDS: dict[str, tuple[Callable, Callable, Callable]] = {
+    "answers": (_answers, _answer_rows, _no_lines),
+    "statements": (statement_reasons, statement_records, _broken_lines),
+}
 
 
 def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0, run_id: str = "run",
-                 run_upload: int | None = None) -> None:
+                 run_upload: int | None = None, kind: str = "answers") -> None:
     """Ingest one batch of documents ``(doc_id, user_id, text[, upload_id])`` into ``tx_path``;
     what holds no usable answer goes to ``<log_path>_quarantine``. ``run_upload`` numbers the
-    documents without an upload id (default: the time now).
+    documents without an upload id (default: the time now). ``kind`` is "answers" (JSON) or
+    "statements" (statement texts, with ``statement_year`` and ``statement_month``).
 
-    Each batch writes its own ``ingest_batch=<run>-<batch>`` partitions (of the table and the
-    log) with dynamic overwrite, and reads history and the log without them: a batch replayed
-    after a failure recomputes the same result (the same id base included) and replaces its
-    earlier attempt.
+    The batch becomes visible by its commit marker alone, written last; if the marker is already
+    there, nothing is done.
     """
     spark = docs.sparkSession
-    part = f"{run_id}-{batch_id:012d}"
+    reasons, to_rows, lines_aside = KINDS[kind]
+    batch = f"{run_id}-{batch_id:012d}"
+    _open_store(spark, tx_path, log_path)
+    markers = commits.committed(spark, tx_path)
+    if commits.is_done(spark, tx_path, batch, markers):
+        return
+    attempt = commits.new_attempt(batch)
     own_upload = F.lit(run_upload if run_upload is not None else int(time.time() * 1000)).cast("long")
     upload = F.coalesce(F.col("upload_id"), own_upload) if "upload_id" in docs.columns else own_upload
     hashed = docs.withColumn("upload_id", upload)
     if CORRUPT not in hashed.columns:
         hashed = hashed.withColumn(CORRUPT, F.lit(None).cast("string"))
     hashed = hashed.withColumn("content_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).persist()
-    log = _read_or_empty(spark, log_path, LOG_SCHEMA).filter(F.col("ingest_batch") != part)
+    log = commits.read_committed(spark, log_path, "log", LOG_SCHEMA, markers)
     broken = hashed.filter(F.col(CORRUPT).isNotNull())
     fresh = _unseen_documents(hashed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), log)
-    checked = extraction_reasons(fresh).persist()
+    checked = reasons(fresh).persist()
     done, failed = checked.filter(F.col("reason").isNull()), checked.filter(F.col("reason").isNotNull())
     # Parsed once, reused by the dedup sizing pass and the write (bounded by the batch size:
     # maxFilesPerTrigger).
-    rows = clean_transactions(extraction_rows(done.drop("content_sha", "reason"))).persist()
-    max_id = None
+    rows = to_rows(done.drop("content_sha", "reason")).persist()
+    parts, max_id = [], None
     try:
         if not rows.isEmpty():  # P13: nothing to dedup or write for an empty batch
-            history = _read_or_empty(spark, tx_path, STORED).filter(F.col("ingest_batch") != part)
+            history = read_stored(spark, tx_path, markers)
             new = new_rows_by_upload(rows, history)
             # Ids follow the statement order (K1, X8, L1): upload, document, position in it.
             out = assign_ids(new.select("user_id", *INSERT_COLUMNS, "upload_id", "doc_id", "position"), history,
-                             "transaction_id", base=_id_base(spark, log, tx_path, part),
+                             "transaction_id", base=_id_base(spark, tx_path, markers),
                              order=["upload_id", "doc_id", "position"])
-            # Sorted by user inside each file: later per-user scans skip other users' row groups.
-            out = out.select(*TX_COLUMNS, "upload_id").withColumns({
-                "ingest_batch": F.lit(part), "user_bucket": user_bucket(F.col("user_id"), user_buckets(spark)),
-            })
+            out = out.select(*TX_COLUMNS, "upload_id").withColumn(
+                "user_bucket", user_bucket(F.col("user_id"), user_buckets(spark)))
             # The rows are checkpointed by assign_ids: their highest id is a scan of that column.
             max_id = out.agg(F.max("transaction_id")).first()[0]
             if max_id is not None:
-                _overwrite_partitions(_laid_out(out), tx_path, *FOLDERS)
-        bad = failed.select("doc_id", "user_id", "text", "reason", "upload_id").unionByName(
-            broken.select("doc_id", "user_id", F.col(CORRUPT).alias("text"), F.lit("broken_line").alias("reason"), "upload_id")
-        )
-        _overwrite_partitions(bad.withColumn("ingest_batch", F.lit(part)), f"{log_path}_quarantine", "ingest_batch")
-        _overwrite_partitions(
-            done.select("doc_id", "user_id", "content_sha", "upload_id", F.lit(max_id).cast("long").alias("max_id"),
-                        F.lit(part).alias("ingest_batch")),
-            log_path, "ingest_batch",
-        )
+                _write(_laid_out(out), tx_path, attempt, ROW_FOLDERS)
+                _write(batch_state(out), state_path(tx_path), attempt, STATE_FOLDERS)
+                parts += ["rows", "recurring"]
+        aside = [
+            failed.select("doc_id", "user_id", "text", "reason", "upload_id"),
+            broken.select("doc_id", "user_id", F.col(CORRUPT).alias("text"), F.lit("broken_line").alias("reason"), "upload_id"),
+            lines_aside(done),
+        ]
+        _write(reduce(DataFrame.unionByName, [a for a in aside if a is not None]), quarantine_path(log_path), attempt)
+        entries = done.select("doc_id", "user_id", "content_sha", "upload_id", F.lit(max_id).cast("long").alias("max_id"),
+                              _prefix(F.col("content_sha")).alias("sha_prefix"))
+        _write(entries, log_path, attempt, LOG_FOLDERS)
+        commits.commit(spark, tx_path, batch, attempt, [*parts, "quarantine", "log"], max_id)
     finally:
         rows.unpersist()
         checked.unpersist()
         hashed.unpersist()
 
 
+def _write(df: DataFrame, path: str, attempt: str, folders: tuple[str, ...] = ()) -> None:
+    df.write.partitionBy(*folders).parquet(commits.folder(path, attempt))
+
+
 def _laid_out(df: DataFrame) -> DataFrame:
-    """One file or more of advisory size per folder, sorted by user."""
-    df = df.hint("rebalance", "year", "user_bucket")
-    return df.sortWithinPartitions(*FOLDERS, "user_id", "transaction_id")
+    """One file or more of advisory size per folder, sorted by user: later per-user scans skip
+    other users' row groups."""
+    df = df.hint("rebalance", *ROW_FOLDERS)
+    return df.sortWithinPartitions(*ROW_FOLDERS, "user_id", "transaction_id")
 
 
-def compact(spark: SparkSession, tx_path: str, keep: int = 1) -> int:
-    """Put the folders of all batches but the ``keep`` newest of each run into one folder set, with
-    files of advisory size; returns how many batches were put together. Ids, rows and upload
-    numbers stay. A batch that may still be replayed must not be among them, so at least the
-    newest one of each run is kept. Run by the store's single writer between two streams.
+def read_stored(spark: SparkSession, tx_path: str, markers: list[dict] | None = None) -> DataFrame:
+    """The committed rows with all their columns, folder columns included. A table that was written
+    before its first ingest batch is read whole until then."""
+    if markers is None:
+        markers = commits.committed(spark, tx_path)
+    if not markers and commits.names(spark, tx_path):
+        return spark.read.schema(STORED).parquet(tx_path)
+    return commits.read_committed(spark, tx_path, "rows", STORED, markers)
+
 
-    The new folders are written under a hidden name; then the old ones are renamed to hidden
-    names, the new one takes its place, and the old ones are removed.
+def recurring_state(spark: SparkSession, tx_path: str) -> DataFrame:
+    """Per (user, merchant) the state of its charges over all committed batches, with
+    ``is_recurring`` (X9): merged from the batches' own rows of state, not from the transactions."""
+    return merged_state(commits.read_committed(spark, state_path(tx_path), "recurring", STATE, commits.committed(spark, tx_path)))
+
+
+def read_with_recurring(spark: SparkSession, tx_path: str) -> DataFrame:
+    """The committed rows, ``is_subscription`` true where it was stored so or the charge is a
+    recurring one by all rows stored up to now. Rows stored before the third month flip with it."""
+    rows = read_stored(spark, tx_path).select(*TX_COLUMNS)
+    flagged = with_recurring(rows, recurring_state(spark, tx_path))
+    return flagged.withColumn("is_subscription", F.coalesce("is_subscription", F.lit(False)) | F.col("is_recurring")).select(*TX_COLUMNS)
+
+
+def compact(spark: SparkSession, tx_path: str, keep: int = 1) -> int:
+    """Put all batches but the ``keep`` newest of each run into one, with files of advisory size;
+    returns how many batches were put together. Rows, log and quarantine stay as they are, the
+    recurring state is merged. A batch that may still be replayed must not be among them, so at
+    least the newest one of each run is kept. Run by the store's single writer between two streams.
+
+    The new folders are written first and take the place of the old ones by one commit marker;
+    whatever step this is stopped at, readers see the same rows. Left-overs of this or of a failed
+    batch are removed by the next call, which begins with that, and at the end.
     """
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(tx_path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    batches = sorted(n.split("=", 1)[1] for n in names if n.startswith("ingest_batch="))
-    runs: dict[str, list[str]] = {}
-    for b in batches:
-        runs.setdefault(b.rpartition("-")[0], []).append(b)
-    old = [b for run, found in runs.items() for b in (found if run == "compact" else found[: -max(1, keep)])]
+    if not commits.has_commits(spark, tx_path):
+        return 0
+    log_path = _log_path(spark, tx_path)
+    tables = {"rows": (tx_path, STORED, ROW_FOLDERS), "recurring": (state_path(tx_path), STATE, STATE_FOLDERS),
+              "log": (log_path, LOG_SCHEMA, LOG_FOLDERS), "quarantine": (quarantine_path(log_path), QUARANTINE_SCHEMA, ())}
+    paths = [path for path, _, _ in tables.values()]
+    commits.sweep(spark, tx_path, paths)
+    markers = commits.committed(spark, tx_path)
+    runs: dict[str, list[dict]] = {}
+    for m in markers:
+        runs.setdefault(m["batch"].rpartition("-")[0], []).append(m)
+    old = [m for run, found in runs.items() for m in (found if run == "compact" else found[: -max(1, keep)])]
     if len(old) < 2:
         return 0
-    name = f"compact-{int(time.time() * 1000):015d}"
-    rows = _read_or_empty(spark, tx_path, STORED).filter(F.col("ingest_batch").isin(old)).drop("ingest_batch")
-    hidden = f"{tx_path}/_{name}"
-    _laid_out(rows.withColumn("ingest_batch", F.lit(name))).drop("ingest_batch").write.partitionBy(*FOLDERS[1:]).parquet(hidden)
-
-    def path(n: str):
-        return jvm.org.apache.hadoop.fs.Path(f"{tx_path}/{n}")
-
-    for b in old:
-        fs.rename(path(f"ingest_batch={b}"), path(f"_old-{b}"))
-    fs.rename(jvm.org.apache.hadoop.fs.Path(hidden), path(f"ingest_batch={name}"))
-    for b in old:
-        fs.delete(path(f"_old-{b}"), True)
+    batch = f"compact-{int(time.time() * 1000):015d}"
+    attempt = commits.new_attempt(batch)
+    parts = []
+    for part, (path, schema, folders) in tables.items():
+        if not any(part in m["parts"] for m in old):
+            continue
+        found = commits.read_committed(spark, path, part, schema, old).drop(commits.BATCH)  # its folder names it
+        if part == "rows":
+            found = _laid_out(found)
+        elif part == "recurring":
+            found = merged_state(found, verdict=False).hint("rebalance", *folders)
+        elif folders:
+            found = found.hint("rebalance", *folders)
+        _write(found, path, attempt, folders)
+        parts.append(part)
+    marks = [m["max_id"] for m in old if m["max_id"] is not None]
+    commits.commit(spark, tx_path, batch, attempt, parts, max(marks, default=None), [m["batch"] for m in old])
+    commits.sweep(spark, tx_path, paths)
     return len(old)
 
 
 def read_quarantine(spark: SparkSession, log_path: str) -> DataFrame:
     """What the ingest could not use: doc_id, user_id, text, reason, upload_id, ingest_batch."""
-    return _read_or_empty(spark, f"{log_path}_quarantine", QUARANTINE_SCHEMA)
+    if f"{log_path}_table".rpartition("/")[2] not in commits.names(spark, log_path.rpartition("/")[0]):
+        return spark.createDataFrame([], QUARANTINE_SCHEMA)
+    tx_path = commits.read_small(spark, f"{log_path}_table")
+    return commits.read_committed(spark, quarantine_path(log_path), "quarantine", QUARANTINE_SCHEMA, commits.committed(spark, tx_path))
 
 
 def _open_upload(spark: SparkSession, mark: str) -> int:
@@ -248,24 +342,16 @@ def _close_upload(spark: SparkSession, mark: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def run_ingest_stream(spark: SparkSession, landing: str, tx_path: str, log_path: str, checkpoint: str,
-                      max_files_per_trigger: int = 64) -> None:
-    """Process every landed file not yet processed, then stop (one availableNow run).
-
-    The run id names this checkpoint's batches in the table, so a stream restarted with a
-    fresh checkpoint never overwrites another run's partitions.
-    """
+def _run(spark: SparkSession, stream: DataFrame, to_docs: Callable[[DataFrame], DataFrame], tx_path: str, log_path: str,
+         checkpoint: str, kind: str) -> None:
+    """One availableNow run of a stream of files. The run id names this checkpoint's batches in the
+    table, so a stream restarted with a fresh checkpoint never repeats another run's."""
     run_id = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
     mark = f"{checkpoint.rstrip('/')}-open-upload"
     number = _open_upload(spark, mark)
-    stream = (
-        spark.readStream.schema(LANDING_SCHEMA)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .json(landing)
-    )
     query = (
-        stream.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, tx_path, log_path, bid, run_id, number))
+        stream.writeStream.foreachBatch(
+            lambda df, bid: ingest_batch(to_docs(df), tx_path, log_path, bid, run_id, number, kind))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -274,3 +360,31 @@ def run_ingest_stream(spark: SparkSession, landing: str, tx_path: str, log_path:
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     _close_upload(spark, mark)
+
+
+def run_ingest_stream(spark: SparkSession, landing: str, tx_path: str, log_path: str, checkpoint: str,
+                      max_files_per_trigger: int = 64) -> None:
+    """Process every landed file of JSON answers not yet processed, then stop."""
+    stream = (
+        spark.readStream.schema(LANDING_SCHEMA)
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .json(landing)
+    )
+    _run(spark, stream, lambda df: df, tx_path, log_path, checkpoint, "answers")
+
+
+def run_statement_stream(spark: SparkSession, landing: str, tx_path: str, log_path: str, checkpoint: str,
+                         max_files_per_trigger: int = 64) -> None:
+    """Process every landed statement file not yet processed, then stop. A file is read whole and
+    holds one statement or several, with form feeds between them (``statement_documents``);
+    statements without account number or period, lines that do not parse and empty statements go
+    to the quarantine."""
+    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("upload_id", T.LongType())])
+    stream = (
+        spark.readStream.format("text").schema(schema).option("wholetext", True)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .load(landing)
+        .select("value", "upload_id", F.col("_metadata.file_path").alias("file"))
+    )
+    _run(spark, stream, statement_documents, tx_path, log_path, checkpoint, "statements")

@@ -105,3 +105,42 @@ def test_flag_recurring_joins_back(spark):
                                      "activity_description string, amount_spent decimal(18,2)")
     got = {r.transaction_id: r.is_recurring for r in flag_recurring(df).collect()}
     assert got == {0: True, 1: True, 2: True, 9: False, 10: False}
+
+
+def test_merchants_by_whole_tokens_and_suffix_frequency(spark):
+    from spendlens.operators.merchants import simplify_merchants
+
+    cities = ["TORONTO ON", "LYON", "Graz"]
+    shops = [f"SHOP{chr(65 + i)} {chr(70 + i)}ARM" for i in range(20)]
+    texts = [f"{s} {c}" for s in shops for c in cities] + [f"{shops[0]} LYON 0042", "UBER* TRIP TORONTO ON", "TUBERIA", "SCHUBERT HALL",
+             "uber eats graz", "AMZN MKTP", "LYON", "  ", "#", None, "12 34", f"{shops[1]}  Graz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "transaction_id long, raw_description string")
+    got = {r.raw_description: r.merchant for r in simplify_merchants(df).collect()}
+    assert len(got) == len(set(texts))
+    assert all(got[f"{s} {c}"] == s for s in shops for c in cities)
+    assert got[f"{shops[0]} LYON 0042"] == shops[0] and got[f"{shops[1]}  Graz"] == shops[1]
+    assert got["UBER* TRIP TORONTO ON"] == got["uber eats graz"] == "UBER" and got["AMZN MKTP"] == "AMAZON"
+    assert got["TUBERIA"] == "TUBERIA" and got["SCHUBERT HALL"] == "SCHUBERT HALL" and got["LYON"] == "LYON"
+    assert got["  "] == got["#"] == "" and got[None] is None and got["12 34"] == "12"
+    assert simplify_merchants(df.limit(0)).count() == 0
+
+
+def test_longest_alias_wins(spark):
+    from pyspark.sql import functions as F
+
+    from spendlens.operators.merchants import alias_of, tokens
+
+    aliases = [("BLUE", "BLUE LTD"), ("BLUE BIRD", "BIRD INC"), ("BLUE BIRD CAFE", "CAFE")]
+    df = spark.createDataFrame([(t,) for t in ("blue bird cafe x", "BLUE BIRD", "blue-bird house", "BLUE CAFE", "BLUEBIRD", "")], "t string")
+    got = [r[0] for r in df.select(alias_of(tokens(F.col("t")), aliases)).collect()]
+    assert got == ["CAFE", "BIRD INC", "BIRD INC", "BLUE LTD", None, None]
+
+
+def test_alias_inside_a_word_is_none(spark):
+    from pyspark.sql import functions as F
+
+    from spendlens.operators.enrich import normalise_merchant
+
+    df = spark.createDataFrame([("SCHUBERT HALL",), ("TUBERIA",), ("UBER* TRIP",), ("x*paypal",), ("APPLE.COM/BILL",)], "t string")
+    got = [r[0] for r in df.select(normalise_merchant(F.col("t"))).collect()]
+    assert got == ["SCHUBERT HALL", "TUBERIA", "UBER", "PAYPAL", "APPLE"]

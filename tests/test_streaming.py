@@ -1,3 +1,4 @@
+import os
 import uuid
 
 from spendlens.session import checkpoint_root
@@ -114,8 +115,6 @@ def test_ids_follow_the_statement_order(spark):
 
 
 def test_compaction_keeps_rows_ids_and_dedup(spark):
-    import os
-
     from spendlens.streaming.ingest import compact
 
     root = f"{checkpoint_root(spark)}/test-compact-{uuid.uuid4().hex[:8]}"
@@ -134,3 +133,205 @@ def test_compaction_keeps_rows_ids_and_dedup(spark):
     ingest_batch(spark.createDataFrame([_doc("late", 1, ("SHOP0", "2.00", 0)) + (9,)], schema), tx_path, log_path, 5)
     assert sorted(map(tuple, read_transactions(spark, tx_path).collect()), key=str) == before
     assert compact(spark, tx_path) in (0, 2)
+
+
+def _steps(monkeypatch, stop_at):
+    """Make the writer stop before its ``stop_at``-th write, commit or removal; returns the count."""
+    from spendlens.sources import commits
+    from spendlens.streaming import ingest
+
+    count = [0]
+
+    def counted(fn):
+        def step(*args, **kwargs):
+            count[0] += 1
+            if count[0] == stop_at:
+                raise RuntimeError("writer lost")
+            return fn(*args, **kwargs)
+
+        return step
+
+    monkeypatch.setattr(ingest, "_write", counted(ingest._write))
+    for name in ("commit", "remove", "create_small"):
+        monkeypatch.setattr(commits, name, counted(getattr(commits, name)))
+    return count
+
+
+def _copied(base):
+    """A copy of a store, as the paths of its table and log."""
+    import shutil
+
+    root = f"{base}-{uuid.uuid4().hex[:8]}"
+    shutil.copytree(base.removeprefix("file:"), root.removeprefix("file:"))
+    for name, other in (("tx_commits/.log", "log"), ("log_table", "tx")):
+        with open(f"{root.removeprefix('file:')}/{name}", "w") as f:
+            f.write(f"{root}/{other}")
+        crc = f"{root.removeprefix('file:')}/{name}".rsplit("/", 1)
+        if os.path.exists(f"{crc[0]}/.{crc[1]}.crc"):
+            os.remove(f"{crc[0]}/.{crc[1]}.crc")
+    return f"{root}/tx", f"{root}/log"
+
+
+def _everything(spark, tx_path, log_path):
+    from spendlens.streaming.ingest import read_quarantine, recurring_state
+
+    rows = sorted(map(tuple, read_transactions(spark, tx_path).collect()), key=str)
+    aside = sorted((r.doc_id, r.reason) for r in read_quarantine(spark, log_path).collect())
+    state = sorted((r.user_id, r.merchant, sorted(r.months), r.n_transactions, r.total, r.is_recurring)
+                   for r in recurring_state(spark, tx_path).collect())
+    return rows, aside, state
+
+
+def test_a_writer_stopped_at_any_step_shows_all_of_a_batch_or_nothing(spark, monkeypatch):
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    first = spark.createDataFrame([_doc("a", 1, ("TEA", "2.00", 1)) + (1,), ("x", 1, "no json", 1)], schema)
+    second = spark.createDataFrame([_doc("b", 1, ("TEA", "2.00", 1), ("BUN", "1.00", 2)) + (2,), ("y", 2, "no json", 2)], schema)
+
+    base = f"{checkpoint_root(spark)}/test-atomic-{uuid.uuid4().hex[:8]}"
+    ingest_batch(first, f"{base}/tx", f"{base}/log", 0)
+    old = _everything(spark, f"{base}/tx", f"{base}/log")
+
+    def store():
+        return _copied(base)
+
+    whole = store()
+    ingest_batch(second, *whole, 1)
+    new = _everything(spark, *whole)
+    assert len(old[0]) == 1 and len(new[0]) == 2
+    stopped = 0
+    for at in range(1, 20):
+        paths = store()
+        with monkeypatch.context() as m:
+            count = _steps(m, at)
+            try:
+                ingest_batch(second, *paths, 1)
+            except RuntimeError:
+                stopped += 1
+        if count[0] < at:
+            break
+        # Stopped before the commit: the old rows, and the replay gives the new ones.
+        assert _everything(spark, *paths) in (old, new)
+        if at in (3, 6):
+            ingest_batch(second, *paths, 1)
+            assert _everything(spark, *paths) == new
+    assert stopped >= 5
+
+
+def test_a_compaction_stopped_at_any_step_changes_no_rows(spark, monkeypatch):
+    from spendlens.streaming.ingest import compact
+
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    batches = [
+        spark.createDataFrame([_doc(f"d{n}", 1, (f"SHOP{n}", "2.00", n), ("GYM", "5.00", n)) + (n,), (f"x{n}", 1, "bad", n)], schema)
+        for n in range(3)
+    ]
+    late = spark.createDataFrame([_doc("late", 1, ("SHOP0", "2.00", 0)) + (9,)], schema)
+    base = f"{checkpoint_root(spark)}/test-swap-{uuid.uuid4().hex[:8]}"
+    for n, docs in enumerate(batches):
+        ingest_batch(docs, f"{base}/tx", f"{base}/log", n)
+    before = _everything(spark, f"{base}/tx", f"{base}/log")
+    stopped = 0
+    for at in (2, 4, 5, 6, 8, 40):
+        tx_path, log_path = _copied(base)
+        root = tx_path.rpartition("/")[0]
+        with monkeypatch.context() as m:
+            _steps(m, at)
+            try:
+                compact(spark, tx_path)
+            except RuntimeError:
+                stopped += 1
+        assert _everything(spark, tx_path, log_path) == before
+        # A replay of a compacted batch does nothing; the next compaction removes what was left.
+        ingest_batch(batches[0], tx_path, log_path, 0)
+        compact(spark, tx_path)
+        assert _everything(spark, tx_path, log_path) == before
+        local = root.removeprefix("file:")
+        for name in ("tx", "log", "log_quarantine", "tx_recurring"):
+            assert len([d for d in os.listdir(f"{local}/{name}") if d.startswith("ingest_batch=")]) == 2
+    ingest_batch(late, tx_path, log_path, 5)
+    assert _everything(spark, tx_path, log_path) == before
+    assert stopped >= 4
+
+
+def test_the_log_is_pruned_by_the_digests_of_a_batch(spark):
+    from spendlens.sources import commits
+    from spendlens.streaming import ingest
+
+    root = f"{checkpoint_root(spark)}/test-log-{uuid.uuid4().hex[:8]}"
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    docs = spark.createDataFrame([_doc(f"d{i}", i, (f"S{i}", "1.00", 1)) + (1,) for i in range(40)], schema)
+    ingest_batch(docs, f"{root}/tx", f"{root}/log", 0)
+    log = commits.read_committed(spark, f"{root}/log", "log", ingest.LOG_SCHEMA, commits.committed(spark, f"{root}/tx"))
+    assert log.select("sha_prefix").distinct().count() > 5
+    one = docs.limit(1).selectExpr("*", "sha2(text, 256) AS content_sha")
+    plan = ingest._unseen_documents(one, log)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "sha_prefix" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert ingest._unseen_documents(one, log).count() == 0
+
+
+def _statement(user, period, *lines):
+    return "\n".join([f"Account: {user}", f"Statement period: {period}", "Card holder: Ada Doe",
+                      "Credit Limit: $1,000.00", "Available Credit: $500.00", *lines])
+
+
+def test_statement_files_to_rows(spark):
+    """Statements of several in a file, broken lines and headers, replays, and charges that become
+    recurring with a later upload."""
+    from spendlens.streaming.ingest import read_quarantine, read_with_recurring, run_statement_stream
+
+    root = f"{checkpoint_root(spark)}/test-statements-{uuid.uuid4().hex[:8]}"
+    local = root.removeprefix("file:")
+    args = (f"{root}/landing", f"{root}/tx", f"{root}/log")
+
+    def land(upload, name, text):
+        os.makedirs(f"{local}/landing/upload_id={upload}", exist_ok=True)
+        with open(f"{local}/landing/upload_id={upload}/{name}", "w") as f:
+            f.write(text)
+
+    land(1, "a.txt", "\f\n".join([
+        _statement(7, "2024-01", "Jan 03 Jan 04 UBER EATS TORONTO 20.00", "Jan 05 Jan 06 STREAMCO 9.99", "Jan 05 Jan 07 BROKEN x.yz"),
+        _statement(8, "2024-01", "Jan 02 Jan 03 SCHUBERT HALL 30.00 CR"), ""]))
+    land(1, "b.txt", "no header\nJan 05 Jan 06 STREAMCO 9.99")
+    land(1, "c.txt", "  \n")
+    run_statement_stream(spark, *args, f"{root}/ckpt")
+    land(2, "d.txt", _statement(7, "2024-03", "Jan 05 Jan 06 STREAMCO 9.99", "Feb 05 Feb 06 STREAMCO 9.99", "Mar 05 Mar 06 STREAMCO 9.99"))
+    run_statement_stream(spark, *args, f"{root}/ckpt")
+    run_statement_stream(spark, *args, f"{root}/ckpt-fresh")  # all files again: nothing is added
+    rows = sorted((r.user_id, r.activity_description, str(r.transaction_date)[:10], float(r.amount_spent), r.is_subscription,
+                   r.sub_category) for r in read_with_recurring(spark, f"{root}/tx").collect())
+    assert rows == [
+        (7, "STREAMCO", "2024-01-05", 9.99, True, "Other"),
+        (7, "STREAMCO", "2024-02-05", 9.99, True, "Other"),
+        (7, "STREAMCO", "2024-03-05", 9.99, True, "Other"),
+        (7, "UBER", "2024-01-03", 20.0, False, "Dining Out"),
+        (8, "SCHUBERT HALL", "2024-01-02", -30.0, False, "Other"),
+    ]
+    stored = read_transactions(spark, f"{root}/tx")
+    assert stored.select("transaction_id").distinct().count() == 5
+    reasons = sorted({(r.reason, r.text.strip()[:9]) for r in read_quarantine(spark, f"{root}/log").collect()})
+    assert reasons == [("empty", ""), ("no_account", "no header"), ("unparsed_line", "Jan 05 Ja")]
+
+
+def test_recurring_state_is_not_read_from_the_rows(spark):
+    from spendlens.operators.enrich import recurring_merchants
+    from spendlens.streaming.ingest import recurring_state
+
+    root = f"{checkpoint_root(spark)}/test-state-{uuid.uuid4().hex[:8]}"
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    rec = '{"activity_description": "%s", "amount_spent": "%s", "transaction_date": "%s"}'
+    for n in range(4):
+        records = [rec % ("GYM", "30.00", f"0{n + 1}-02-2024"), rec % ("SHOP", f"{n + 1}.50", f"0{n + 1}-03-2024"),
+                   rec % ("GYM", "30.00", "bad date"), rec % ("REFUND", "-3", "01-01-2024")]
+        docs = [(f"d{n}-{u}", u, "[" + ",".join(records) + "]", n) for u in (1, 2)]
+        ingest_batch(spark.createDataFrame(docs, schema), f"{root}/tx", f"{root}/log", n)
+    state = recurring_state(spark, f"{root}/tx")
+    files = {f.rsplit("/", 4)[-4].split("=")[0] + "/" + f for f in state.inputFiles()}
+    assert files and all("tx_recurring" in f for f in files)
+    want = recurring_merchants(read_transactions(spark, f"{root}/tx"))
+    got = state.selectExpr("user_id", "merchant", "size(months) AS n_months", "n_transactions", "is_recurring")
+    want = want.selectExpr("user_id", "merchant", "n_months", "n_transactions", "is_recurring")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {(r.merchant, r.is_recurring) for r in got.collect()} == {("GYM", True), ("SHOP", False)}
+    # The state of one user is read from that user's folders.
+    plan = state.filter("user_bucket = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "user_bucket" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
