@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
 # Elements that start and end a block, those without content, those whose content
 # is no text of the page, and those that end an open element of their own kind.
@@ -39,15 +40,20 @@ _HIDES = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # open block elements, outermost first
+    own: str  # the innermost open block element, "none" outside of all
+    above: frozenset[str]  # all open block elements
     names: frozenset[str]  # words of class, id and role above the text
     links: float = 0.0  # share of the characters inside links
 
 
 @dataclass
 class _Open:
+    """An open block element with what holds for everything in it: the sets are those of the
+    element around it wherever it adds nothing, so that deep nesting shares them."""
+
     tag: str
-    names: frozenset[str] = field(default_factory=frozenset)
+    above: frozenset[str] = frozenset()
+    names: frozenset[str] = frozenset()
     hidden: bool = False
 
 
@@ -59,22 +65,28 @@ def leaf_blocks(page: str | None) -> list[Block]:
     texts: list[str] = []
     linked = in_link = 0
     in_head = False
+    opened: Counter[str] = Counter()  # open elements by tag: a tag that is not open is not looked for
+    outside = _Open("none")
+    unseen, depth = "", 0  # the hidden inline element that is open, and how often within itself
 
     def flush():
-        nonlocal linked
+        nonlocal linked, depth
+        depth = 0  # an inline element ends with its block
         if not texts:
             return
         text = " ".join(html.unescape("".join(texts)).split())
-        if text and not any(e.hidden for e in stack):
-            names = frozenset().union(*(e.names for e in stack))
-            share = min(1.0, linked / max(1, len(text)))
-            out.append(Block(text, tuple(e.tag for e in stack), names, share))
+        inner = stack[-1] if stack else outside
+        if text and not inner.hidden and "head" not in inner.above:
+            out.append(Block(text, inner.tag, inner.above, inner.names, min(1.0, linked / max(1, len(text)))))
         texts.clear()
         linked = 0
 
     def close(tags, scopes=frozenset()):
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i].tag in tags:
+                opened.subtract(e.tag for e in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in scopes:
@@ -87,6 +99,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 flush()
                 close(("head",))
                 in_head = False
+            if depth:
+                continue
             texts.append(text)
             if in_link:
                 linked += len(text.strip())
@@ -94,6 +108,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if m["hidden"]:
             continue
         tag = (m["tag"] or "").lower()
+        if tag not in BLOCKS and tag not in VOID:
+            if depth:
+                depth += (-1 if m["close"] else 1) if tag == unseen else 0
+            elif not m["close"] and m["attrs"] and _HIDES.search(m["attrs"]) and not m["attrs"].rstrip().endswith("/"):
+                unseen, depth = tag, 1
         if tag == "a":
             in_link = 0 if m["close"] else 1
         elif tag == "br":
@@ -120,6 +139,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if attrs and not attrs.isspace():
                 for found in _NAMES.findall(attrs):
                     names.update(w.lower() for w in _NAME.findall(" ".join(found)))
-            stack.append(_Open(tag, frozenset(names), bool(attrs and _HIDES.search(attrs))))
+            around = stack[-1] if stack else outside
+            above = around.above if tag in around.above else around.above | {tag}
+            own = around.names if names <= around.names else around.names | names
+            stack.append(_Open(tag, above, own, around.hidden or bool(attrs and _HIDES.search(attrs))))
+            opened[tag] += 1
     flush()
-    return [b for b in out if "head" not in b.path]
+    return out

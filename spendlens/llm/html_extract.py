@@ -55,8 +55,8 @@ _STEPS = (2, 5, 10, 20, 50)
 def _place_features(b: Block) -> frozenset[str]:
     """What the tags and names above a block tell, whatever its text."""
     groups = {g for w in b.names if (g := _GROUP.get(w))}
-    above = _TAGS.intersection(b.path)
-    found = {"bias", f"own={b.path[-1] if b.path else 'none'}"}
+    above = _TAGS.intersection(b.above)
+    found = {"bias", f"own={b.own}"}
     found.update(f"name={g}" for g in groups)
     found.update(f"above={t}" for t in above)
     if not groups and not above & {"nav", "aside", "footer", "header", "form", "menu", "dialog"}:
@@ -67,14 +67,14 @@ def _place_features(b: Block) -> frozenset[str]:
 def block_features(blocks: list[Block]) -> list[set[str]]:
     out, places = [], {}
     for i, b in enumerate(blocks):
-        key = (b.path, b.names)
+        key = (b.own, b.above, b.names)
         if key not in places:
             places[key] = _place_features(b)
         found = set(places[key])
         words = b.text.count(" ") + 1
         size = sum(words >= s for s in _STEPS)
         found.add(f"size={size}")
-        found.add(f"own={b.path[-1] if b.path else 'none'} size={size}")
+        found.add(f"own={b.own} size={size}")
         if "plain" in found:
             found.add(f"plain size={size}")
         found.add("link=" + ("0" if b.links == 0 else "1" if b.links < 0.3 else "2" if b.links < 0.8 else "3"))

@@ -14,6 +14,7 @@ and the text are not read, so clashing names do not matter.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,23 +33,45 @@ PHRASES = (
 NOTICES = (
     ("agpl", "gnu affero general public license", 3),
     ("apache-2.0", "apache license version 2 0", 2),
+    ("apache-2.0", "licensed under the apache license", 3),
+    ("artistic", "artistic license 2 0", 1),
     ("bsd", "redistribution and use in source and binary forms", 4),
+    ("bsd", "bsd 2 clause license", 1),
     ("bsd", "bsd 3 clause license", 1),
+    ("bsl-1.0", "boost software license version 1 0", 3),
+    ("cc0", "creative commons zero", 1),
+    ("cc0", "to the extent possible under law", 3),
     ("cc-by", "creative commons attribution", 2),
     ("cc-by", "licensed under cc by", 1),
     ("cc-by-nc", "licensed under cc by nc", 1),
     ("cc-by-sa", "licensed under cc by sa", 1),
+    ("cc-by-sa", "creative commons attribution share alike", 3),
+    ("cddl", "common development and distribution license", 4),
     ("confidential", "proprietary and confidential", 2),
+    ("epl", "eclipse public license", 2),
+    ("eupl", "european union public licence", 2),
+    ("gfdl", "gnu free documentation license", 2),
     ("gpl", "gnu general public license", 2),
+    ("gpl", "either version 3 of the license or at your option any later version", 5),
     ("isc", "permission to use copy modify and or distribute this software", 5),
     ("lgpl", "gnu lesser general public license", 3),
     ("mit", "released under the mit license", 2),
     ("mit", "permission is hereby granted free of charge to any person", 5),
     ("mpl", "mozilla public license", 2),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", 6),
+    ("ms-pl", "microsoft public license", 2),
+    ("odbl", "open data commons open database license", 3),
+    ("ofl", "sil open font license", 2),
     ("reserved", "all rights reserved", 2),
     ("unlicense", "this is free and unencumbered software", 3),
+    ("warranty", "without warranty of any kind express or implied", 4),
+    ("wtfpl", "do what the fuck you want to public license", 4),
+    ("zlib", "this software is provided as is without any express or implied warranty", 6),
 )
 
+# Verified windows that a task keeps.
+KEPT_WINDOWS = 50_000
+
 SPAN = StructType(
     [
         StructField("label", StringType()),
@@ -58,6 +81,7 @@ SPAN = StructType(
     ]
 )
 
+_BLANK = re.compile(" ")
 _SOURCE_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -84,28 +108,47 @@ def make_scanner(phrases=PHRASES, notices=NOTICES):
     automaton.make_automaton()
     verify = [regex.compile(rf"(?b)\b(?:{regex.escape(p)}){{e<={k}}}\b") for _, p, k in notices]
 
+    seen: dict[tuple[int, str], tuple | None] = {}
+
+    def verified(n: int, window: str) -> tuple | None:
+        """Of the best match in the window: its first and last character but blanks, its end and its
+        edits. Windows recur, as several pieces of a notice lead to one, and are kept."""
+        key = (n, window)
+        if key not in seen:
+            if len(seen) >= KEPT_WINDOWS:
+                seen.clear()
+            seen[key] = None
+            if m := verify[n].search(window):
+                found = m.group()
+                start, end = m.end() - len(found.lstrip()), m.start() + len(found.rstrip())
+                seen[key] = (start, end, m.end(), sum(m.fuzzy_counts))
+        return seen[key]
+
     def scan(text: str | None):
         words = (text or "").encode("utf-8", "replace").translate(ITEM_WORDS).split()
         line = f" {b' '.join(words).decode()} "
         base, spans, done = [], [], {}
+        blanks: list[int] = []  # the line begins with one: the word behind the i-th is word i
         for last, (size, found) in automaton.iter(line):
             at = last - size + 1
+            blanks = blanks or [m.start() for m in _BLANK.finditer(line)]
             for n, offset, _ in found:
                 if n is None:
-                    base.append((line.count(" ", 0, at + 1) - 1, offset))
+                    base.append((bisect_right(blanks, at) - 1, offset))
                     continue
                 label, phrase, edits = notices[n]
-                a, b = max(0, at - offset - edits), at - offset + len(phrase) + edits
                 if at < done.get(n, 0):  # an earlier match of this notice covers the place
                     continue
-                a = max(a, done.get(n, 0))
-                a, b = line.rfind(" ", 0, a + 1) + 1 if a else 0, line.find(" ", b)
-                if m := verify[n].search(line, a, b if b >= 0 else len(line)):
-                    found_text = m.group()
-                    first = line.count(" ", 0, m.end() - len(found_text.lstrip()) + 1) - 1
-                    after = line.count(" ", 0, m.start() + len(found_text.rstrip())) - 1
-                    spans.append((label, first, after + 1, sum(m.fuzzy_counts), len(phrase)))
-                    done[n] = m.end()
+                # From the blank before the word in which a match may begin, as the library inserts
+                # nothing at the very start of its range, to the blank behind the word of its end.
+                a, b = max(0, at - offset - edits - 1), line.find(" ", at - offset + len(phrase) + edits)
+                a = max(line.rfind(" ", 0, a + 1), done.get(n, 0))
+                a = max(0, a)
+                if m := verified(n, line[a : b + 1 if b >= 0 else len(line)]):
+                    start, end, until, cost = m
+                    first, after = bisect_right(blanks, a + start) - 1, bisect_left(blanks, a + end) - 1
+                    spans.append((label, first, after + 1, cost, len(phrase)))
+                    done[n] = a + until
         return words, sorted(base), sorted(set(spans), key=lambda s: (s[1], s[2], s[0]))
 
     return scan
