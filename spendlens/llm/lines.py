@@ -26,7 +26,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import ASCII_LOWER, map_slices, written
 
@@ -58,14 +58,18 @@ def normalise(unit: str) -> list[bytes]:
     return unit.encode("utf-8", "replace").translate(ASCII_LOWER).split()
 
 
+def sentences(text: str, start: int, end: int) -> list[tuple[int, int, list[bytes]]]:
+    """(start, end, words) of the sentences with a word in a unit."""
+    found = ((*m.span(), normalise(m.group())) for m in SENTENCE.finditer(text, start, end))
+    return [(a, b, words) for a, b, words in found if words]
+
+
 def digest_rows(docs: DataFrame, id_col: str, text_col: str, paragraphs: bool) -> DataFrame:
-    """One row per unit with a word and per sentence with a word in it: id, text hash, whether it
-    is a sentence, unit number, sentence number, offsets, words, 128-bit digest."""
+    """One row per unit with a word and per sentence with a word in it: id, text hash, place (twice
+    the offset, plus one for a sentence), 128-bit digest. Narrow, as these rows are shuffled."""
     schema = StructType(
         [StructField("id", docs.schema[id_col].dataType), StructField("row_hash", LongType())]
-        + [StructField("sentence", BooleanType())]
-        + [StructField(c, IntegerType()) for c in ("unit", "at", "start", "end", "words")]
-        + [StructField("d1", LongType()), StructField("d2", LongType())]
+        + [StructField("place", LongType()), StructField("d1", LongType()), StructField("d2", LongType())]
     )
 
     def digest(words: list[bytes], kind: bytes) -> tuple[int, int]:
@@ -76,16 +80,11 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, paragraphs: bool) -
         def rows(ids, hashes, texts):
             for doc, h, text in zip(ids, hashes, texts, strict=True):
                 text = text or ""
-                for n, (a, b) in enumerate(units(text, paragraphs)):
-                    words = normalise(text[a:b])
-                    if not words:
-                        continue
-                    yield (doc, h, False, n, 0, a, b, len(words), *digest(words, b"unit"))
-                    at = 0
-                    for found in SENTENCE.finditer(text, a, b):
-                        if words := normalise(found.group()):
-                            yield (doc, h, True, n, at, *found.span(), len(words), *digest(words, b"sentence"))
-                            at += 1
+                for a, b in units(text, paragraphs):
+                    if words := normalise(text[a:b]):
+                        yield (doc, h, 2 * a, *digest(words, b"unit"))
+                        for start, _, inner in sentences(text, a, b):
+                            yield (doc, h, 2 * start + 1, *digest(inner, b"sentence"))
 
         return rows
 
@@ -96,36 +95,38 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, paragraphs: bool) -
 def repeated_units(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paragraphs: bool = False
 ) -> DataFrame:
-    """Units and sentences that occur earlier: the columns of ``digest_rows`` without digests."""
+    """Units and sentences that occur earlier: id, row_hash, place (as in ``digest_rows``)."""
     rows = written(digest_rows(docs, id_col, text_col, paragraphs), "line-digests")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_hash", "start")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_hash", "place")
     first = (
         rows.groupBy("d1", "d2")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first != last")
+        .agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        .where("n > 1")
         .select("d1", "d2", "first")
     )
     # Written, so that the join below has two plain shuffles: AQE splits hot digests only then.
     first = written(first, "line-firsts")
-    return rows.join(first.hint("merge"), ["d1", "d2"]).where(place != F.col("first")).drop("d1", "d2", "first")
-
-
-def removed_stretches(repeated: list, passage_words: int) -> tuple[list, list]:
-    """(start, end) of the repeated units of a document, and of the passages in its other units,
-    from rows (sentence, unit, at, start, end, words)."""
-    gone, passages, run = {}, [], ()
-    for r in repeated:
-        if not r["sentence"]:
-            gone[r["unit"]] = (r["start"], r["end"])
-    sentences = sorted((r["unit"], r["at"], r["start"], r["end"], r["words"]) for r in repeated if r["sentence"])
-    for unit, at, start, end, words in [*sentences, (None, None, 0, 0, 0)]:
-        if run and (unit, at) != (run[0], run[1] + 1):
-            if run[4] >= passage_words:
-                passages.append((run[2], run[3]))
-            run = ()
-        if unit is not None and unit not in gone:
-            run = (unit, at, run[2], end, run[4] + words) if run else (unit, at, start, end, words)
-    return sorted(gone.values()), passages
+    return rows.join(first.hint("merge"), ["d1", "d2"]).where(place != F.col("first")).select("id", "row_hash", "place")
+
+
+def removed_stretches(
+    text: str, places: set[int], passage_words: int, paragraphs: bool = False
+) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(start, end) of the repeated units of a text, and of the passages in its other units."""
+    gone, passages = [], []
+    for a, b in units(text, paragraphs):
+        if 2 * a in places:
+            gone.append((a, b))
+            continue
+        start = end = size = 0
+        for x, y, words in [*sentences(text, a, b), (b, b, [])]:
+            if 2 * x + 1 in places and words:
+                start, end, size = (start if size else x), y, size + len(words)
+                continue
+            if size >= passage_words:
+                passages.append((start, end))
+            size = 0
+    return gone, passages
 
 
 def dedup_lines(
@@ -138,12 +139,10 @@ def dedup_lines(
     """One row per input row: id, n_units, n_removed (units), n_passages (removed within others),
     n_chars_removed, spans (all removed ``start:end``, comma-joined), kept_text (the removed units'
     line ends go with them)."""
-    columns = ("sentence", "unit", "at", "start", "end", "words")
     removed = (
         repeated_units(docs, id_col, text_col, paragraphs)
-        .distinct()
         .groupBy("id", "row_hash")
-        .agg(F.collect_list(F.struct(*columns)).alias("again"))
+        .agg(F.collect_set("place").alias("again"))
     )
     source = docs.select(
         F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(F.col(text_col)).alias("__hash")
@@ -161,7 +160,7 @@ def dedup_lines(
         def rows(ids, texts, repeated):
             for doc, text, again in zip(ids, texts, repeated, strict=True):
                 text = text or ""
-                gone, passages = removed_stretches(again or (), passage_words)
+                gone, passages = removed_stretches(text, set(again), passage_words, paragraphs) if again else ([], [])
                 cut = sorted([(a, b, 1) for a, b in gone] + [(a, b, 0) for a, b in passages])
                 kept, at = [], 0
                 for a, b, line_end in cut:
