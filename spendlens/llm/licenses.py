@@ -33,7 +33,6 @@ PHRASES = (
 NOTICES = (
     ("agpl", "gnu affero general public license", 3),
     ("apache-2.0", "apache license version 2 0", 2),
-    ("apache-2.0", "licensed under the apache license", 3),
     ("artistic", "artistic license 2 0", 1),
     ("bsd", "redistribution and use in source and binary forms", 4),
     ("bsd", "bsd 2 clause license", 1),

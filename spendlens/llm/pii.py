@@ -90,8 +90,12 @@ DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4",
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
-# A plain "at ... dot ..." is an address only with one of these endings.
-ENDINGS = "com org net edu gov mil int info biz io co dev app ai example test uk de fr es it nl eu us ca au ch at se".split()
+# Endings of a domain whose dots stand as such between blanks. A dot that is spelled needs none of
+# them: any two to six letters end such a domain.
+ENDINGS = "com org net edu gov mil int info biz io co dev app ai example test uk de fr es nl eu us ca au ch jp ru".split()
+_ENDING = "[A-Za-z]{2,6}"
+# Words before a noun, which begin no domain ("look at the dot there").
+_NO_DOMAIN = r"(?!(?:the|a|an|this|that|each|every|my|your|his|her|its|our|their)\s)"
 
 _FOREIGN = re.compile("[^\x00-\u017f]|[\u00ad\u00b2\u00b3\u00b9]")
 _WORD = "|".join(DIGIT_WORDS)
@@ -108,13 +112,26 @@ _SPELLED_PART = re.compile(rf"(?i){_WORD}|dot|point|[0-9.]|[\s-]")
 _BRACKET = re.compile(r"(?i)[\[({<]\s?(?:at|@|dot|\.)\s?[\])}>]")
 _BRACKETED = re.compile(r"(?i)\s?(?:\[\s?(at|@|dot|\.)\s?\]|\(\s?(at|@|dot|\.)\s?\)|\{\s?(at|@|dot|\.)\s?\}|<\s?(at|dot)\s?>)\s?")
 _PLAIN = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\sdot\s)[A-Za-z0-9_%+-]+){0,3})(\sat\s|@)"
-    rf"([A-Za-z0-9-]+(?:(?:\.|\sdot\s)[A-Za-z0-9-]+){{0,3}}\sdot\s(?:{'|'.join(ENDINGS)}))(?![A-Za-z0-9])"
+    r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\sdot\s)[A-Za-z0-9_%+-]+){0,3})(\sat\s|\s@\s|@\s?)"
+    rf"({_NO_DOMAIN}[A-Za-z0-9-]+(?:(?:\.|\sdot\s)[A-Za-z0-9-]+){{0,3}}\sdot\s{_ENDING})(?![A-Za-z0-9])"
 )
 # Behind an "@" the domain is rewritten whatever stands before it.
 _SIGNED = re.compile(
-    rf"(?i)@([A-Za-z0-9-]+(?:(?:\.|\sdot\s)[A-Za-z0-9-]+){{0,3}}\sdot\s(?:{'|'.join(ENDINGS)}))(?![A-Za-z0-9])"
+    rf"(?i)@([A-Za-z0-9-]+(?:(?:\.|\sdot\s)[A-Za-z0-9-]+){{0,3}}\sdot\s{_ENDING})(?![A-Za-z0-9])"
 )
+# Signs between blanks: "jane @ example . com"; either the at or a dot, at least, has them. A blank
+# on the left alone makes a mention of what follows, not an address.
+_SPACED = re.compile(
+    r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:\s?\.\s?[A-Za-z0-9_%+-]+){0,3})(\s@\s|@\s?)"
+    rf"([A-Za-z0-9-]+(?:\s?\.\s?[A-Za-z0-9-]+){{0,3}}\s?\.\s?(?:{'|'.join(ENDINGS)}))(?![A-Za-z0-9])"
+)
+_SPACED_SIGN = re.compile(r"\s@|@\s|@[A-Za-z0-9-]+\s?\.\s|@[A-Za-z0-9-]+\s\.")
+_SPACED_DOT = re.compile(r"\s\.\s?|\.\s")
+# A number behind a plus in which at least two digits in a row are spelled, the others in groups.
+_MIXED = re.compile(
+    rf"(?i)(?:\+|(?<![^\W_])(plus)[\s-]+)((?:{_WORD}|[0-9]+)(?:[\s-](?:{_WORD}|[0-9]+)){{3,}})(?![^\W_])"
+)
+_TWO_WORDS = re.compile(rf"(?i)\b(?:{_WORD})[\s-](?:{_WORD})\b")
 _DOT = re.compile(r"(?i)\sdot\s")
 
 
@@ -203,6 +220,24 @@ def _signed_edits(text: str):
         yield from _dot_edits(text, m.start(1), m.end(1))
 
 
+def _spaced_edits(text: str):
+    for m in _SPACED.finditer(text):
+        for part in (1, 3):
+            yield from (
+                (d.start(), d.end(), [(d.start(), d.end(), ".")]) for d in _SPACED_DOT.finditer(text, m.start(part), m.end(part))
+            )
+        if m.end(2) - m.start(2) > 1:
+            yield m.start(2), m.end(2), [(m.start(2), m.end(2), "@")]
+
+
+def _mixed_edits(text: str):
+    for m in _MIXED.finditer(text):
+        if _TWO_WORDS.search(m.group(2)):
+            plus = (m.start(1), m.end(1)) if m.group(1) else (m.start(), m.start() + 1)
+            digits = [(p.start(), p.end(), DIGIT_WORDS.get(p.group().lower(), p.group())) for p in _SPELLED_PART.finditer(text, *m.span(2))]
+            yield m.start(), m.end(), [(*plus, "+"), *(d for d in digits if d[2].isdigit())]
+
+
 def normalised(text: str) -> Rewriter:
     """Apply the transducers in order; each runs only where its trigger occurs."""
     r = Rewriter(text)
@@ -211,6 +246,8 @@ def normalised(text: str) -> Rewriter:
     low = r.text.lower()
     if any(w in low for w in ("three", "seven", "eight", "zero", "five", "nine", "four", "six", "two", "one")):
         r.rewrite(list(_spelled_edits(r.text)))
+        if "+" in r.text or "plus" in low:
+            r.rewrite(list(_mixed_edits(r.text)))
     if "dot" in low or "point" in low:
         r.rewrite(list(_spelled_edits(r.text, _DOTTED)))
     if _BRACKET.search(r.text):
@@ -219,6 +256,8 @@ def normalised(text: str) -> Rewriter:
         r.rewrite(list(_plain_edits(r.text)))
         if "@" in r.text:
             r.rewrite(list(_signed_edits(r.text)))
+    if "@" in r.text and _SPACED_SIGN.search(r.text):
+        r.rewrite(sorted(_spaced_edits(r.text)))
     return r
 
 
