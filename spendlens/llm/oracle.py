@@ -95,7 +95,9 @@ def _per_rule(template: str) -> str:
 
 _FAILURES = ", ".join(f"sum(({c})::INT) AS f_{r}" for r, c in _RULES.items())
 _FURTHER = " + ".join(f"({_RULES[r]})::INT" for r in ("symbols", "word_length", "dup_lines"))
-_WORST = ", ".join(f"(f_{r} + mean_{r} * m_{r}) / (h.n + m_{r})" for r in _RULES)
+_RATES = ", ".join(f"(f_{r} + mean_{r} * m_{r}) / (h.n + m_{r}) AS rate_{r}, h.n + m_{r} + 1 AS size_{r}, mean_{r}" for r in _RULES)
+_WORST = ", ".join(f"rate_{r}" for r in _RULES)
+_OVER = " OR ".join(f"rate_{r} - 3.0 * sqrt(rate_{r} * (1 - rate_{r}) / size_{r}) > 2.0 * mean_{r}" for r in _RULES)
 
 OP10 = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE_WORD}') AS w FROM documents),
@@ -115,13 +117,14 @@ s AS (SELECT count(*) AS hosts, sum(n) AS n, sum(n::DOUBLE * n) AS nn,
        {_per_rule("sum(f_@::DOUBLE * f_@ / n) - sum(f_@)::DOUBLE * sum(f_@) / sum(n) AS within_@")} FROM h),
 v AS (SELECT *, {_per_rule("CASE WHEN n - nn / n > 0 THEN (within_@ - (hosts - 1) * mean_@ * (1 - mean_@)) / (n - nn / n) ELSE 0 END AS between_@")} FROM s),
 p AS (SELECT *, {_per_rule("CASE WHEN between_@ <= 0 OR mean_@ * (1 - mean_@) <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, mean_@ * (1 - mean_@) / between_@ - 1)) END AS m_@")} FROM v),
-bad AS (SELECT source FROM h, p WHERE greatest({_WORST}) > 0.5)
+rates AS (SELECT source, h.n, {_RATES} FROM h, p),
+bad AS (SELECT source, n AS host_n, greatest({_WORST}) AS host_rate, ({_OVER}) AS over FROM rates)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words,
        ({_RULES["few_words"]} OR {_RULES["repetition"]}) AS base_failed,
        NOT ({_RULES["few_words"]} OR {_RULES["repetition"]})
-         AND {_FURTHER} <= CASE WHEN bad.source IS NULL THEN 1 ELSE 0 END AS kept,
-       bad.source IS NOT NULL AS host_rejected
+         AND {_FURTHER} <= CASE WHEN coalesce(over, false) THEN 0 ELSE 1 END AS kept,
+       host_n, round(host_rate, 9) AS host_rate, coalesce(over, false) AS host_rejected
 FROM c LEFT JOIN bad ON c.source = bad.source
 """
 

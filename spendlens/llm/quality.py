@@ -4,9 +4,13 @@ Each document is judged by row-local rules; failures are counted per host; each
 rate per rule is shrunk towards the corpus rate with a beta prior whose strength comes from the
 spread between hosts (empirical Bayes, moments); the hosts' verdicts are joined back.
 
+A host is judged against the corpus: it is rejected when, for some rule, its failure rate is with
+near certainty (``HOST_SIGMAS`` posterior deviations) over ``HOST_FACTOR`` times the corpus rate.
+The prior makes that test fair to small hosts: a few failures of a few documents move their
+shrunk rate little.
+
 Verdict: a document that fails a base rule goes. Beyond that a document may fail at most one
-further rule, and none if its host is rejected, which is when some rule's shrunk failure rate
-passes ``host_limit``. A document that fails no rule stays on any host.
+further rule, and none if its host is rejected. A document that fails no rule stays on any host.
 
 Defined results: a null or empty text has no words and so fails the base rules; a null host is
 no host (its documents are judged by their own rules alone and are left out of the prior); empty
@@ -31,7 +35,8 @@ REPEAT_WORDS = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 MIN_WORDS = 10
-HOST_LIMIT = 0.5
+HOST_FACTOR = 2.0
+HOST_SIGMAS = 3.0
 # Bounds of the prior's strength in documents: the spread between hosts may be too small to see.
 PRIOR_MIN, PRIOR_MAX = 1.0, 1e6
 
@@ -99,7 +104,8 @@ def quality_counts(docs: DataFrame, keep: list[str], text_col: str = "text") ->
 
 
 def host_rates(counts: DataFrame, host_col: str) -> DataFrame:
-    """Per host: documents and each rule's shrunk failure rate (``rate_<rule>``).
+    """Per host: documents, each rule's shrunk failure rate (``rate_<rule>``) and whether it is
+    over the corpus rate by the bounds above (``over_<rule>``).
 
     The failures are summed map-side first, so a host with a third of all rows is one small row
     per task. The prior's moments are one row over the host table.
@@ -118,13 +124,15 @@ def host_rates(counts: DataFrame, host_col: str) -> DataFrame:
         *[F.sum(f"f_{r}").alias(f"f_{r}") for r in rules],
         *[F.sum(F.col(f"f_{r}").cast("double") * F.col(f"f_{r}") / F.col("n")).alias(f"ff_{r}") for r in rules],
     ).first()
-    rates = []
+    columns = []
     for r in rules:
         mean, strength = prior(
             moments["hosts"], moments["n"], moments["nn"], moments[f"f_{r}"], moments[f"ff_{r}"]
         )
-        rates.append(((F.col(f"f_{r}") + mean * strength) / (F.col("n") + strength)).alias(f"rate_{r}"))
-    return hosts.select(F.col(host_col), "n", *rates)
+        rate = (F.col(f"f_{r}") + mean * strength) / (F.col("n") + strength)
+        deviation = F.sqrt(rate * (1 - rate) / (F.col("n") + strength + 1))
+        columns += [rate.alias(f"rate_{r}"), (rate - HOST_SIGMAS * deviation > HOST_FACTOR * mean).alias(f"over_{r}")]
+    return hosts.select(F.col(host_col), "n", *columns)
 
 
 def prior(hosts: int, n: int | None, nn: float | None, f: int | None, ff: float | None) -> tuple[float, float]:
@@ -141,42 +149,43 @@ def prior(hosts: int, n: int | None, nn: float | None, f: int | None, ff: float
     return mean, min(PRIOR_MAX, max(PRIOR_MIN, inner / between - 1))
 
 
-def rejected_hosts(rates: DataFrame, host_col: str, limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(rates: DataFrame, host_col: str) -> DataFrame:
+    """Per host: host_n (documents), host_rate (its greatest shrunk rate), host_rejected."""
     worst = F.greatest(*[F.col(c) for c in rates.columns if c.startswith("rate_")])
-    return rates.where(worst > limit).select(F.col(host_col))
+    over = F.greatest(*[F.col(c) for c in rates.columns if c.startswith("over_")])
+    return rates.select(F.col(host_col), F.col("n").alias("host_n"), worst.alias("host_rate"), over.alias("host_rejected"))
 
 
-def _judged(counts: DataFrame, bad: DataFrame, host_col: str) -> DataFrame:
-    """Adds base_failed, host_rejected and kept to rows with COUNTS."""
+def _judged(counts: DataFrame, verdicts: DataFrame, host_col: str) -> DataFrame:
+    """Adds base_failed, the host's verdict and kept to rows with COUNTS. ``verdicts`` may hold the
+    rejected hosts alone."""
     failures = sum((c.cast("int") for c in further_rules().values()), F.lit(0))
     base = F.lit(False)
     for c in base_rules().values():
         base = base | c
-    bad = small(bad, host_col).withColumn("__bad", F.lit(True))
     return (
-        counts.join(bad, host_col, "left")
+        counts.join(small(verdicts, host_col), host_col, "left")
         .withColumn("base_failed", base)
-        .withColumn("host_rejected", F.coalesce("__bad", F.lit(False)))
+        .withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
         .withColumn("kept", ~F.col("base_failed") & (failures <= F.when(F.col("host_rejected"), 0).otherwise(1)))
-        .drop("__bad")
     )
 
 
 def judge_documents(
-    docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: float = HOST_LIMIT
+    docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text"
 ) -> DataFrame:
-    """One row per input row: id, host, COUNTS, base_failed, host_rejected, kept."""
+    """One row per input row: id, host, COUNTS, base_failed, host_n, host_rate, host_rejected, kept
+    (host_n and host_rate are null without a host)."""
     counts = written(quality_counts(docs, [id_col, host_col], text_col), "quality-counts")
-    return _judged(counts, rejected_hosts(host_rates(counts, host_col), host_col, limit), host_col)
+    return _judged(counts, host_verdicts(host_rates(counts, host_col), host_col), host_col)
 
 
-def filter_documents(
-    docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: float = HOST_LIMIT
-) -> DataFrame:
+def filter_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns unchanged. The counts are taken a
     second time beside the rows, which move only if very many hosts are rejected; their columns
     pass through Python as Arrow data."""
-    bad = rejected_hosts(host_rates(quality_counts(docs, [host_col], text_col), host_col), host_col, limit)
+    verdicts = host_verdicts(host_rates(quality_counts(docs, [host_col], text_col), host_col), host_col)
+    bad = verdicts.where("host_rejected").select(F.col(host_col).alias("__host"), "host_rejected")
     schema = StructType([StructField(f"__{c}", LongType()) for c in COUNTS])
 
     def make():
@@ -186,5 +195,5 @@ def filter_documents(
     both = extended(docs.toDF(*[f"__{i}" for i in range(len(docs.columns))]), schema, make, f"__{docs.columns.index(text_col)}")
     counted = both.withColumnsRenamed({f"__{c}": c for c in COUNTS})
     counted = counted.withColumn("__host", F.col(f"__{docs.columns.index(host_col)}"))
-    judged = _judged(counted, bad.select(F.col(host_col).alias("__host")), "__host").where("kept")
+    judged = _judged(counted, bad, "__host").where("kept")
     return judged.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -95,6 +95,8 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_repeat_words",
         "base_failed",
         "kept",
+        "host_n",
+        F.round("host_rate", 9).alias("host_rate"),
         "host_rejected",
     )
 

@@ -512,11 +512,40 @@ def test_quality_counts(documents):
         assert quality.text_counts(text) == brute_counts(text)
 
 
+def test_hosts_that_differ(spark, sf_small, tmp_path):
+    """The given documents with symbols strewn over most texts of one host: it is rejected, its
+    documents with one failed rule go, and the rows are those of the oracle."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from spendlens.llm import oracle, queries
+
+    given = spark.read.parquet(f"{sf_small}/../sf0.01/documents.parquet")
+    host = given.groupBy("source").count().orderBy(F.desc("count"), "source").first().source
+    noisy = (F.col("source") == host) & (F.col("doc_id") % 3 > 0) & F.col("text").isNotNull()
+    changed = given.withColumn("text", F.when(noisy, F.concat("text", F.lit(" "), F.regexp_replace("text", r"\S+ ?", "#"))).otherwise(F.col("text")))
+    changed.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries.op10_host_quality(spark, str(tmp_path))
+    rows = df.collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = con.execute(oracle.OP10)
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(tuple(r[names.index(c)] for c in df.columns) for r in cur.fetchall()) == sorted(map(tuple, rows))
+    of = {r.doc_id: r.source for r in given.collect()}
+    assert {of[r.doc_id] for r in rows if r.host_rejected} == {host}
+    dropped = [r for r in rows if of[r.doc_id] == host and not r.base_failed and not r.kept]
+    assert dropped and all(r.n_symbols * 10 > r.n_words for r in dropped)
+    assert all(r.kept for r in rows if of[r.doc_id] != host and not r.base_failed)
+
+
 def test_host_verdicts(spark, nothing):
     good = prose(11, 50)
     junk = " ".join(f"{w}###" for w in prose(12, 50).split())
     rows = [(i, f"{good} {i}", None, "fine", None) for i in range(40)]
     rows += [(100 + i, junk + str(i) if i < 18 else f"{good} {i}", None, "bad", None) for i in range(20)]
+    rows += [(300 + 10 * h + i, f"{good} {i}", None, f"plain{h}", None) for h in range(8) for i in range(10)]
     rows += [(200, junk, None, "fine", None), (201, junk, None, None, None), (202, "too few", None, "fine", None), (203, None, None, "tiny", None)]
     got = {r.doc_id: r for r in quality.judge_documents(frame(spark, rows)).collect()}
     assert all(got[100 + i].host_rejected and got[100 + i].kept == (i >= 18) for i in range(20))
@@ -570,3 +599,69 @@ def test_pipeline(spark, docs, documents, sf_small):
     pieces = stages[4](spark, masked, sf_small)
     whole = pieces.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert len(whole) == len({r[0] for r in rows_clean}) and all(r["sum(length)"] % r["max(doc_tokens)"] == 0 for r in whole)
+
+
+def edited(rng, phrase, edits):
+    out = list(phrase)
+    for _ in range(rng.randint(0, edits)):
+        kind, at = rng.randrange(3), rng.randrange(len(out) + 1)
+        if kind == 0:
+            out.insert(at, rng.choice("abcdefgh h"))
+        elif at < len(out):
+            out[at : at + 1] = [] if kind == 1 else [rng.choice("abcdefgh ")]
+    return "".join(out)
+
+
+def test_license_labels_without_seeds():
+    """Edited notices between other words: the labels are those of the same patterns run over the
+    whole text, at every border."""
+    import random
+
+    import regex
+
+    rng, scan = random.Random(1), licenses.make_scanner()
+    patterns = [(label, regex.compile(rf"(?b)\b(?:{regex.escape(p)}){{e<={k}}}\b")) for label, p, k in licenses.NOTICES]
+    words = ["lorem", "ipsum", "dolor", "the", "license", "free", "of", "hc", "a"]
+    hits = 0
+    for _ in range(2000):
+        _, phrase, k = rng.choice(licenses.NOTICES)
+        around = [" ".join(rng.choices(words, k=rng.randint(0, 4))) for _ in range(2)]
+        text = around[0] + rng.choice([" ", " ", ""]) + edited(rng, phrase, k) + rng.choice([" ", " ", ""]) + around[1]
+        line = f" {' '.join(w.decode() for w in item_words(text))} "
+        want = {label for label, p in patterns if p.search(line)}
+        hits += bool(want)
+        assert {s[0] for s in scan(text)[2]} == want, text
+    assert hits > 1000
+
+
+@pytest.mark.parametrize("unit", ["cc by ", "general public license ", "permission is hereby ", "a " * 10 + "mit "])
+def test_license_scan_is_linear(unit):
+    import time
+
+    scan = licenses.make_scanner()
+    start = time.time()
+    scan(unit * (5_000_000 // len(unit)))
+    assert time.time() - start < 60  # 2 to 8 seconds on an idle core
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<div>" * 50_000 + "</section>" * 50_000 + "<li>a" * 1000])
+def test_html_blocks_are_linear_in_depth(page):
+    import time
+    import tracemalloc
+
+    from spendlens.llm import html_blocks
+
+    start = time.time()
+    assert html_blocks.leaf_blocks(page)
+    assert time.time() - start < 20  # about 1.5 seconds on an idle core
+    tracemalloc.start()
+    html_blocks.leaf_blocks(page)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_html_hidden_inline_parts():
+    from spendlens.llm import html_blocks
+
+    page = '<p>a <span style="display:none">b <span>c</span> d</span> e <i hidden>x</p><p>f <b hidden/> g</p>'
+    assert [b.text for b in html_blocks.leaf_blocks(page)] == ["a e", "f g"]
