@@ -72,6 +72,43 @@ def _profile(keys: DataFrame) -> tuple[int, int, list[int], bool, tuple[int | No
     return r["n"], r["size"], sorted(r["years"]), bool(r["undated"]), (r["lo"], r["hi"]), sorted(r["buckets"])
 
 
+KEY_DIGESTS = "digest long, user_id long, day date, user_bucket int"
+
+
+def key_digests(rows: DataFrame) -> DataFrame:
+    """One narrow row per stored key: a 64-bit digest of it, its user and day, and the folder column
+    ``user_bucket``. What an ingest keeps beside its rows, to look keys up without reading them."""
+    k = with_keys(rows)
+    return k.select(F.xxhash64(*KEY_COLUMNS).alias("digest"), F.col("_k_user").alias("user_id"), F.col("_k_date").alias("day"),
+                    "user_bucket").distinct()
+
+
+def candidate_history(incoming: DataFrame, digests: DataFrame, history: DataFrame,
+                      broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+    """The part of ``history`` (with its folder columns) that can hold a key of ``incoming``: rows of
+    the users, user buckets and years of the digests found. An upload without a stored key reads
+    no history at all, and the exact comparison is left to the join that follows.
+
+    The digests are read in the incoming rows' bucket folders only; their join broadcasts the
+    incoming digests where these are counted to be few."""
+    keys = with_keys(incoming).select(F.xxhash64(*KEY_COLUMNS).alias("digest"), "_k_user").distinct()
+    bucket = user_bucket(F.col("_k_user"), user_buckets(incoming.sparkSession))
+    n, buckets = keys.agg(F.count(F.lit(1)), F.collect_set(bucket)).first()
+    near = digests.filter(F.col("user_bucket").isin(buckets) if buckets else F.lit(False))
+    wanted = keys.select("digest")
+    hits = near.join(F.broadcast(wanted) if n <= broadcast_limit else wanted, "digest", "left_semi")
+    found = hits.agg(
+        F.min("user_id").alias("lo"), F.max("user_id").alias("hi"), F.collect_set("user_bucket").alias("buckets"),
+        F.collect_set(F.year("day")).alias("years"), F.max(F.col("day").isNull()).alias("undated"),
+    ).first()
+    if found["lo"] is None:
+        return history.filter(F.lit(False))
+    year = F.col("year").isin(found["years"]) if found["years"] else F.lit(False)
+    if found["undated"]:
+        year = year | F.col("year").isNull()
+    return history.filter(F.col("user_id").between(found["lo"], found["hi"]) & F.col("user_bucket").isin(found["buckets"]) & year)
+
+
 def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
                 extra: list[str] | None = None) -> tuple[DataFrame, bool]:
     """Keys of ``history`` (prefixed ``_k_``, plus ``extra`` history columns) that may match

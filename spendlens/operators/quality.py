@@ -1,4 +1,4 @@
-"""Declared-constraint checks of the stored tables.
+"""Declared-constraint checks of the stored tables (K2, J3), and of rows before they are stored.
 
 Each check yields one row ``(check_name, violations)``, zero included. Row-level checks of
 the transactions table share one scan; the orphan check pre-aggregates transactions per
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.schema import TEXT_LIMITS, USER_TEXT_LIMITS
@@ -74,3 +74,39 @@ def typing_failures(raw: DataFrame) -> DataFrame:
     return _unpivot(raw.agg(*checks)).withColumnRenamed("check_name", "column_name").withColumnRenamed(
         "violations", "failures"
     )
+
+
+# --------------------------------------------------------------------------- before the write
+
+# Set by a parser where a number is there but too large for the column.
+OUT_OF_RANGE = "_out_of_range"
+
+
+def out_of_range(columns: list[str]) -> Column:
+    """Whether a raw money text is a number that DECIMAL(18,2) cannot hold."""
+    from spendlens.functions.text import utrim
+
+    values = [F.abs(utrim(F.col(c).cast("string")).try_cast("double")) for c in columns]
+    too_large = [(v >= 1e16) & (v < float("inf")) for v in values]
+    return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in too_large], F.lit(False))
+
+
+def violation_names(with_users: bool = True) -> list[str]:
+    return ["null_user_id", "out_of_range", *[f"{c}_too_long" for c in TEXT_LIMITS], *(["unknown_user"] if with_users else [])]
+
+
+def with_violation(rows: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``violation``: the first constraint of the table that a row breaks, null for a
+    row that may be stored. ``users`` are those known; without them the reference is not checked.
+    Their ids are unique, so the join adds no rows; AQE splits a user with very many rows."""
+    broken = F.when(F.col("user_id").isNull(), F.lit("null_user_id"))
+    if OUT_OF_RANGE in rows.columns:
+        broken = broken.when(F.col(OUT_OF_RANGE), F.lit("out_of_range"))
+    for c, n in TEXT_LIMITS.items():
+        if c in rows.columns:
+            broken = broken.when(F.length(c) > n, F.lit(f"{c}_too_long"))
+    if users is None:
+        return rows.withColumn("violation", broken.otherwise(F.lit(None).cast("string"))).drop(OUT_OF_RANGE)
+    known = users.select(F.col("user_id").alias("_known")).filter(F.col("_known").isNotNull())
+    joined = rows.join(known, rows["user_id"] == known["_known"], "left")
+    return joined.withColumn("violation", broken.when(F.col("_known").isNull(), F.lit("unknown_user"))).drop("_known", OUT_OF_RANGE)

@@ -598,6 +598,32 @@ def q_recurring_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_constraint_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer per customer, four in five with a row that the table does not take: what became of
+    each."""
+    prepare(spark)
+    root = scratch_path(spark, "constraints")
+    k = F.pmod("c_custkey", F.lit(5))
+    customers = read_table(spark, sf_dir, "customer")
+    record = F.to_json(F.struct(
+        F.when(k == 1, F.repeat("c_name", 20)).otherwise(F.col("c_name")).alias("customer_id"),
+        F.col("c_name").alias("activity_description"),
+        F.when(k == 2, F.lit("1e20")).otherwise(F.col("c_acctbal").cast("string")).alias("amount_spent"),
+        F.lit("01-15-2024").alias("transaction_date"),
+    ))
+    docs = customers.select(
+        F.col("c_custkey").cast("string").alias("doc_id"),
+        F.when(k == 4, -F.col("c_custkey")).when(k != 3, F.col("c_custkey")).alias("user_id"),
+        F.concat(F.lit("["), record, F.lit("]")).alias("text"),
+    )
+    docs.write.json(f"{root}/landing/upload_id=1")
+    users = customers.select(F.col("c_custkey").alias("user_id"))
+    run_ingest_stream(spark, f"{root}/landing", f"{root}/tx", f"{root}/log", f"{root}/ckpt", users=users)
+    stored = read_transactions(spark, f"{root}/tx").select(F.col("user_id").cast("string").alias("doc_id"), F.lit("stored").alias("outcome"))
+    return stored.unionByName(read_quarantine(spark, f"{root}/log").select("doc_id", F.col("reason").alias("outcome")))
+
+
+QUERIES["constraint_ingest"] = q_constraint_ingest
 QUERIES["statement_stream"] = q_statement_stream
 QUERIES["recurring_state"] = q_recurring_state
 QUERIES["incremental_ingest"] = q_incremental_ingest

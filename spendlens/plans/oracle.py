@@ -679,3 +679,9 @@ n AS (SELECT 'transactions' AS table_name, (SELECT count(*) FROM tx) AS n UNION
 SELECT step, table_name, CASE WHEN step IN (1, 3) THEN 0 WHEN step < 5 THEN n END AS n_rows
 FROM n, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)
 """
+
+ORACLE["constraint_ingest"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS doc_id,
+       ['stored', 'customer_id_too_long', 'out_of_range', 'null_user_id', 'unknown_user'][c_custkey % 5 + 1] AS outcome
+FROM customer
+"""

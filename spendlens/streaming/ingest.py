@@ -25,8 +25,11 @@ reads what was committed before it, recomputes the same result (the same ids inc
 commits that. The batch's name comes from the checkpoint path: a stream restarted with a fresh
 checkpoint adds batches instead of repeating another run's. Single writer per table.
 
-Nothing per batch reads the whole store: history is pruned by the batch's years, user buckets and
-user ids, the log by the first digits of the batch's content digests, ids start above the mark
+Rows that break a constraint of the table (text lengths, number range, missing or unknown user) are
+not stored: they go to the quarantine, and the counts per constraint into the marker.
+
+Nothing per batch reads the whole store: stored keys are looked up by digest in a narrow table of
+their own, history is read only where a digest is found (by year, user bucket and user id), the log by the first digits of the batch's content digests, ids start above the mark
 that each marker records, and the recurring charges are a small state that each batch adds to.
 
 No watermark or ``dropDuplicatesWithinWatermark``: equal rows inside one upload are
@@ -40,12 +43,13 @@ import time
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.functions.clean import clean_transactions
-from spendlens.operators.dedup import new_rows_by_upload
+from spendlens.functions.clean import MONEY_COLUMNS, clean_transactions
+from spendlens.operators.dedup import KEY_DIGESTS, candidate_history, key_digests, new_rows_by_upload
+from spendlens.operators.quality import OUT_OF_RANGE, out_of_range, violation_names, with_violation
 from spendlens.operators.recurring import STATE, batch_state, merged_state, with_recurring
 from spendlens.operators.statement_lines import statement_records, statement_reasons, unparsed_lines
 from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS
@@ -87,6 +91,10 @@ def state_path(tx_path: str) -> str:
     return f"{tx_path}_recurring"
 
 
+def digest_path(tx_path: str) -> str:
+    return f"{tx_path}_digests"
+
+
 def quarantine_path(log_path: str) -> str:
     return f"{log_path}_quarantine"
 
@@ -150,7 +158,7 @@ def _answers(docs: DataFrame) -> DataFrame:
 
 
 def _answer_rows(docs: DataFrame) -> DataFrame:
-    return clean_transactions(extraction_rows(docs))
+    return clean_transactions(extraction_rows(docs).withColumn(OUT_OF_RANGE, out_of_range(list(MONEY_COLUMNS))))
 
 
 def _no_lines(docs: DataFrame) -> DataFrame | None:
@@ -170,11 +178,12 @@ KINDS: dict[str, tuple[Callable, Callable, Callable]] = {
 
 
 def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0, run_id: str = "run",
-                 run_upload: int | None = None, kind: str = "answers") -> None:
+                 run_upload: int | None = None, kind: str = "answers", users: DataFrame | None = None) -> None:
     """Ingest one batch of documents ``(doc_id, user_id, text[, upload_id])`` into ``tx_path``;
     what holds no usable answer goes to ``<log_path>_quarantine``. ``run_upload`` numbers the
     documents without an upload id (default: the time now). ``kind`` is "answers" (JSON) or
-    "statements" (statement texts, with ``statement_year`` and ``statement_month``).
+    "statements" (statement texts, with ``statement_year`` and ``statement_month``). With ``users``,
+    rows of other users are not stored.
 
     The batch becomes visible by its commit marker alone, written last; if the marker is already
     there, nothing is done.
@@ -199,12 +208,22 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     checked = reasons(fresh).persist()
     done, failed = checked.filter(F.col("reason").isNull()), checked.filter(F.col("reason").isNotNull())
     # Parsed once, reused by the dedup sizing pass and the write (bounded by the batch size:
-    # maxFilesPerTrigger).
-    rows = to_rows(done.drop("content_sha", "reason")).persist()
-    parts, max_id = [], None
+    # maxFilesPerTrigger). The counts of violations come with the pass that fills the cache.
+    seen = Observation()
+    of = F.col("violation")
+    parsed = with_violation(to_rows(done.drop("content_sha", "reason")), users)
+    parsed = parsed.observe(seen, *[F.count(F.when(of == v, 1)).alias(v) for v in violation_names()]).persist()
+    parts, max_id, counts = [], None, {}
     try:
-        if not rows.isEmpty():  # P13: nothing to dedup or write for an empty batch
+        n_rows = parsed.count()
+        if n_rows:
+            counts = {k: v for k, v in seen.get.items() if v}
+        rows = parsed.filter(of.isNull()).drop("violation")
+        if n_rows > sum(counts.values()):  # P13: nothing to dedup or write for an empty batch
             history = read_stored(spark, tx_path, markers)
+            if markers:
+                digests = commits.read_committed(spark, digest_path(tx_path), "digests", KEY_DIGESTS, markers)
+                history = candidate_history(rows, digests, history)
             new = new_rows_by_upload(rows, history)
             # Ids follow the statement order (K1, X8, L1): upload, document, position in it.
             out = assign_ids(new.select("user_id", *INSERT_COLUMNS, "upload_id", "doc_id", "position"), history,
@@ -217,8 +236,11 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
             if max_id is not None:
                 _write(_laid_out(out), tx_path, attempt, ROW_FOLDERS)
                 _write(batch_state(out), state_path(tx_path), attempt, STATE_FOLDERS)
-                parts += ["rows", "recurring"]
+                _write(key_digests(out), digest_path(tx_path), attempt, STATE_FOLDERS)
+                parts += ["rows", "recurring", "digests"]
+        record = F.to_json(F.struct(*[c for c in INSERT_COLUMNS if c in parsed.columns]))
         aside = [
+            parsed.filter(of.isNotNull()).select("doc_id", "user_id", record.alias("text"), of.alias("reason"), "upload_id"),
             failed.select("doc_id", "user_id", "text", "reason", "upload_id"),
             broken.select("doc_id", "user_id", F.col(CORRUPT).alias("text"), F.lit("broken_line").alias("reason"), "upload_id"),
             lines_aside(done),
@@ -227,9 +249,9 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
         entries = done.select("doc_id", "user_id", "content_sha", "upload_id", F.lit(max_id).cast("long").alias("max_id"),
                               _prefix(F.col("content_sha")).alias("sha_prefix"))
         _write(entries, log_path, attempt, LOG_FOLDERS)
-        commits.commit(spark, tx_path, batch, attempt, [*parts, "quarantine", "log"], max_id)
+        commits.commit(spark, tx_path, batch, attempt, [*parts, "quarantine", "log"], max_id, counts=counts)
     finally:
-        rows.unpersist()
+        parsed.unpersist()
         checked.unpersist()
         hashed.unpersist()
 
@@ -283,6 +305,7 @@ def compact(spark: SparkSession, tx_path: str, keep: int = 1) -> int:
         return 0
     log_path = _log_path(spark, tx_path)
     tables = {"rows": (tx_path, STORED, ROW_FOLDERS), "recurring": (state_path(tx_path), STATE, STATE_FOLDERS),
+              "digests": (digest_path(tx_path), KEY_DIGESTS, STATE_FOLDERS),
               "log": (log_path, LOG_SCHEMA, LOG_FOLDERS), "quarantine": (quarantine_path(log_path), QUARANTINE_SCHEMA, ())}
     paths = [path for path, _, _ in tables.values()]
     commits.sweep(spark, tx_path, paths)
@@ -302,6 +325,8 @@ def compact(spark: SparkSession, tx_path: str, keep: int = 1) -> int:
         found = commits.read_committed(spark, path, part, schema, old).drop(commits.BATCH)  # its folder names it
         if part == "rows":
             found = _laid_out(found)
+        elif part == "digests":
+            found = found.distinct().hint("rebalance", *folders)
         elif part == "recurring":
             found = merged_state(found, verdict=False).hint("rebalance", *folders)
         elif folders:
@@ -343,7 +368,7 @@ def _close_upload(spark: SparkSession, mark: str) -> None:
 
 
 def _run(spark: SparkSession, stream: DataFrame, to_docs: Callable[[DataFrame], DataFrame], tx_path: str, log_path: str,
-         checkpoint: str, kind: str) -> None:
+         checkpoint: str, kind: str, users: DataFrame | None) -> None:
     """One availableNow run of a stream of files. The run id names this checkpoint's batches in the
     table, so a stream restarted with a fresh checkpoint never repeats another run's."""
     run_id = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
@@ -351,7 +376,7 @@ def _run(spark: SparkSession, stream: DataFrame, to_docs: Callable[[DataFrame],
     number = _open_upload(spark, mark)
     query = (
         stream.writeStream.foreachBatch(
-            lambda df, bid: ingest_batch(to_docs(df), tx_path, log_path, bid, run_id, number, kind))
+            lambda df, bid: ingest_batch(to_docs(df), tx_path, log_path, bid, run_id, number, kind, users))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -363,7 +388,7 @@ def _run(spark: SparkSession, stream: DataFrame, to_docs: Callable[[DataFrame],
 
 
 def run_ingest_stream(spark: SparkSession, landing: str, tx_path: str, log_path: str, checkpoint: str,
-                      max_files_per_trigger: int = 64) -> None:
+                      max_files_per_trigger: int = 64, users: DataFrame | None = None) -> None:
     """Process every landed file of JSON answers not yet processed, then stop."""
     stream = (
         spark.readStream.schema(LANDING_SCHEMA)
@@ -371,11 +396,11 @@ def run_ingest_stream(spark: SparkSession, landing: str, tx_path: str, log_path:
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(landing)
     )
-    _run(spark, stream, lambda df: df, tx_path, log_path, checkpoint, "answers")
+    _run(spark, stream, lambda df: df, tx_path, log_path, checkpoint, "answers", users)
 
 
 def run_statement_stream(spark: SparkSession, landing: str, tx_path: str, log_path: str, checkpoint: str,
-                         max_files_per_trigger: int = 64) -> None:
+                         max_files_per_trigger: int = 64, users: DataFrame | None = None) -> None:
     """Process every landed statement file not yet processed, then stop. A file is read whole and
     holds one statement or several, with form feeds between them (``statement_documents``);
     statements without account number or period, lines that do not parse and empty statements go
@@ -387,4 +412,4 @@ def run_statement_stream(spark: SparkSession, landing: str, tx_path: str, log_pa
         .load(landing)
         .select("value", "upload_id", F.col("_metadata.file_path").alias("file"))
     )
-    _run(spark, stream, statement_documents, tx_path, log_path, checkpoint, "statements")
+    _run(spark, stream, statement_documents, tx_path, log_path, checkpoint, "statements", users)

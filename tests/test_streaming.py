@@ -246,7 +246,7 @@ def test_a_compaction_stopped_at_any_step_changes_no_rows(spark, monkeypatch):
         compact(spark, tx_path)
         assert _everything(spark, tx_path, log_path) == before
         local = root.removeprefix("file:")
-        for name in ("tx", "log", "log_quarantine", "tx_recurring"):
+        for name in ("tx", "log", "log_quarantine", "tx_recurring", "tx_digests"):
             assert len([d for d in os.listdir(f"{local}/{name}") if d.startswith("ingest_batch=")]) == 2
     ingest_batch(late, tx_path, log_path, 5)
     assert _everything(spark, tx_path, log_path) == before
@@ -335,3 +335,52 @@ def test_recurring_state_is_not_read_from_the_rows(spark):
     # The state of one user is read from that user's folders.
     plan = state.filter("user_bucket = 3")._jdf.queryExecution().executedPlan().toString()
     assert "user_bucket" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
+def test_rows_that_break_a_constraint_are_put_aside(spark):
+    from spendlens.sources import commits
+    from spendlens.streaming.ingest import read_quarantine
+
+    root = f"{checkpoint_root(spark)}/test-constraints-{uuid.uuid4().hex[:8]}"
+    long = "x" * 101
+    records = ['{"activity_description": "OK", "amount_spent": "1"}', '{"f_name": "%s", "amount_spent": "2"}' % long,
+               '{"amount_spent": "1e17"}', '{"amount_spent": "inf"}', '{"amount_spent": "3", "credit_limit": "-99999999999999999"}']
+    docs = [("a", 1, "[" + ",".join(records) + "]", 1), ("b", None, "[" + records[0] + "]", 1), ("c", 9, "[" + records[0] + "]", 1)]
+    users = spark.createDataFrame([(1,), (2,)], "user_id long")
+    df = spark.createDataFrame(docs, "doc_id string, user_id long, text string, upload_id long")
+    ingest_batch(df, f"{root}/tx", f"{root}/log", 0, users=users)
+    stored = read_transactions(spark, f"{root}/tx").collect()
+    assert sorted(str((r.user_id, r.activity_description)) for r in stored) == ["(1, 'OK')", "(1, None)"]
+    aside = sorted((r.doc_id, r.reason) for r in read_quarantine(spark, f"{root}/log").collect())
+    assert aside == [("a", "f_name_too_long"), ("a", "out_of_range"), ("a", "out_of_range"), ("b", "null_user_id"), ("c", "unknown_user")]
+    (marker,) = commits.committed(spark, f"{root}/tx")
+    assert marker["counts"] == {"f_name_too_long": 1, "out_of_range": 2, "null_user_id": 1, "unknown_user": 1}
+
+
+def test_history_is_read_only_where_a_digest_is_found(spark):
+    from spendlens.operators.dedup import KEY_DIGESTS, candidate_history
+    from spendlens.sources import commits
+    from spendlens.streaming import ingest
+
+    root = f"{checkpoint_root(spark)}/test-digests-{uuid.uuid4().hex[:8]}"
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    docs = [_doc(f"d{u}", u, ("TEA", "2.00", 1), (f"S{u}", "3.00", 2)) + (1,) for u in range(30)]
+    ingest_batch(spark.createDataFrame(docs, schema), f"{root}/tx", f"{root}/log", 0)
+    markers = commits.committed(spark, f"{root}/tx")
+    digests = commits.read_committed(spark, f"{root}/tx_digests", "digests", KEY_DIGESTS, markers)
+    history = ingest.read_stored(spark, f"{root}/tx", markers)
+    assert digests.count() == 60
+
+    def upload(*docs):
+        return ingest._answer_rows(spark.createDataFrame([d + (2,) for d in docs], schema))
+
+    fresh = candidate_history(upload(_doc("n", 3, ("NEW", "1.00", 1))), digests, history)
+    assert fresh.isEmpty() and "FileScan" not in fresh._jdf.queryExecution().executedPlan().toString()
+    again = candidate_history(upload(_doc("n", 3, ("tea ", "2.00", 1)), _doc("m", 8, ("NEW", "1.00", 1))), digests, history)
+    assert sorted({r.user_id for r in again.collect()}) == [3]
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "user_bucket" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    # through the ingest: the stored row is skipped, the new one is added
+    again_docs = [_doc("n", 3, ("tea ", "2.00", 1), ("NEW", "1.00", 1)) + (2,)]
+    ingest_batch(spark.createDataFrame(again_docs, schema), f"{root}/tx", f"{root}/log", 1)
+    assert read_transactions(spark, f"{root}/tx").count() == 61
