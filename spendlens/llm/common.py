@@ -150,9 +150,14 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
 
 
-def small(df: DataFrame, *strings: str, beyond: str = "merge") -> DataFrame:
-    """``df`` with a broadcast hint if a count shows that it lies under the bounds above, else
-    with a merge-join hint, which leaves hot keys to AQE's skew-join splitting, or the one given."""
+def is_small(df: DataFrame, *strings: str) -> bool:
+    """Whether a count of rows and of the bytes of ``strings`` lies under the bounds above."""
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(16))
     n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df.hint(beyond)
+    return n <= BROADCAST_ROWS and total <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, *strings: str, beyond: str = "merge") -> DataFrame:
+    """``df`` with a broadcast hint if it is small, else with a merge-join hint, which leaves hot
+    keys to AQE's skew-join splitting, or the one given."""
+    return F.broadcast(df) if is_small(df, *strings) else df.hint(beyond)

@@ -7,9 +7,11 @@ the necessary prefix is one shingle: the rarest. Documents are joined on that sh
 window whose rarest shingle is in no document drops out), the positional bound keeps candidates
 whose window would lie inside the document, and the words themselves are compared.
 
-Two passes over the documents (frequencies, then candidates) and one for the word counts; no
-document text is shuffled. The benchmark side is broadcast only below a counted size and
-otherwise joined by a sort-merge join whose hot shingles AQE splits.
+Three passes over the documents: frequencies, candidates, word counts. Each word is hashed
+once, a shingle's hash is that of its words' hashes. The benchmark side is broadcast only below a
+counted size, and no document text is shuffled then; beyond it, positions (id, text hash, place,
+shingle hash) are joined by a sort-merge join whose hot shingles AQE splits, and the words of the
+documents with candidates are compared after joining these back.
 
 Defined results: null and empty texts have no words and no hits; items without words have no
 windows; repeated items count once per item_id and repeated documents are judged each; empty
@@ -23,23 +25,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import is_small, small, written
 
 WINDOW = 10
 SHINGLE = 5
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# ASCII characters that are no letter or digit stand between words.
+_BETWEEN = "".join(chr(c) for c in (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
 
 
 def words_of(text: Column) -> Column:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased."""
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
-    return F.array_remove(F.split(low, _BETWEEN), "")
+    plain = F.translate(F.coalesce(text, F.lit("")), _UPPER + _BETWEEN, _UPPER.lower() + " " * len(_BETWEEN))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _hash(words: Column, at: Column, k: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + i) for i in range(k)])
+    return F.xxhash64(*[F.xxhash64(F.get(words, at + i)) for i in range(k)])
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, shingle: int) -> DataFrame:
@@ -63,10 +66,38 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int
     return reduce(DataFrame.unionByName, parts)
 
 
-def _positions(words: DataFrame, k: int) -> DataFrame:
-    """Every k-word shingle of rows with the column ``ws``: its position and hash."""
-    at = words.where(F.size("ws") >= k).select("*", F.explode(F.sequence(F.lit(0), F.size("ws") - k)).alias("pos"))
-    return at.withColumn("hash", _hash(F.col("ws"), F.col("pos"), k)).withColumn("k", F.lit(k))
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, row_hash (of the text), ws (its words), hs (their hashes)."""
+    words = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_hash"), words_of(F.col(text_col)).alias("ws")
+    )
+    return words.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
+
+
+def _positions(words: DataFrame, k: int, *keep: str) -> DataFrame:
+    """Every k-word shingle of rows with hs: the columns ``keep``, its place and hash."""
+    at = words.where(F.size("hs") >= k).select(*keep, "hs", F.explode(F.sequence(F.lit(0), F.size("hs") - k)).alias("pos"))
+    # Of one document row the arrays are referenced, not copied, as long as no shuffle follows.
+    return at.withColumn("hash", F.xxhash64(*[F.get("hs", F.col("pos") + i) for i in range(k)])).drop("hs")
+
+
+def window_prefixes(words: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame:
+    """The necessary prefix of each window, its rarest shingle over all documents: words, size, k,
+    hash, offset, items. Windows with a shingle that is nowhere drop out; one row per different
+    window, with the items that share it."""
+    known = tokens.select("k", "hash").distinct()
+    counted = [
+        _positions(words, k).join(small(known.where(F.col("k") == k).select("hash")), "hash").select("hash", F.lit(k).alias("k"))
+        for k in sizes
+    ]
+    seen = written(reduce(DataFrame.unionByName, counted).groupBy("k", "hash").count(), "decontam-counts")
+    ranked = tokens.join(small(seen), ["k", "hash"], "left").groupBy("item", "words", "size", "k").agg(
+        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "hash", "offset")).alias("rarest")
+    )
+    shared = ranked.where("rarest.n > 0").groupBy("words", "size", "k", "rarest.hash", "rarest.offset").agg(
+        F.collect_set("item").alias("items")
+    )
+    return written(shared, "decontam-prefixes")
 
 
 def contained_windows(
@@ -79,43 +110,36 @@ def contained_windows(
     window: int = WINDOW,
     shingle: int = SHINGLE,
 ) -> DataFrame:
-    """Occurrences of windows: id, row_hash (of the text), start (word), size, item."""
+    """Occurrences of windows: id, row_hash (of the text), start (word), size, items."""
     tokens = written(item_windows(benchmark, item_col, item_text_col, window, shingle), "decontam-windows")
     sizes = sorted(r.k for r in tokens.select("k").distinct().collect())  # at most ``shingle`` values
-    words = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_hash"), words_of(F.col(text_col)).alias("ws")
-    )
+    words = _documents(docs, id_col, text_col)
     if not sizes:
         ids, items = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"id {ids}, row_hash long, start int, size int, item {items}")
-    known = tokens.select("k", "hash").distinct()
-    counted = [
-        _positions(words.select("ws"), k).join(small(known.where(F.col("k") == k).select("hash")), "hash").select("hash", "k")
-        for k in sizes
-    ]
-    seen = written(reduce(DataFrame.unionByName, counted).groupBy("k", "hash").count(), "decontam-counts")
-    # The prefix: each window's rarest shingle; windows with a shingle that is nowhere drop out.
-    ranked = tokens.join(small(seen), ["k", "hash"], "left").groupBy("item", "words", "size", "k").agg(
-        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "hash", "offset")).alias("rarest")
-    )
-    prefix = written(
-        ranked.where("rarest.n > 0").select("item", "words", "size", "k", "rarest.hash", "rarest.offset"),
-        "decontam-prefixes",
-    )
+        return docs.sparkSession.createDataFrame(
+            [], f"id {ids}, row_hash long, start int, size int, items array<{items}>"
+        )
+    prefix = window_prefixes(words, tokens, sizes)
+    start = F.col("pos") - F.col("offset")
+    held = F.slice("ws", F.col("start") + 1, F.col("size")) == F.col("words")
     found = []
     for k in sizes:
-        of = prefix.where(F.col("k") == k).drop("k")
-        # one row per different window: items that share it are joined after the words are verified
-        shared = of.groupBy("hash", "offset", "size", "words").agg(F.collect_set("item").alias("items"))
-        start = F.col("pos") - F.col("offset")
-        found.append(
-            _positions(words, k)
-            .drop("k")
-            .join(small(shared.withColumn("__b", F.array_join("words", " ")), "__b"), "hash")
-            .where((start >= 0) & (start + F.col("size") <= F.size("ws")))
-            .where(F.slice("ws", start + 1, F.col("size")) == F.col("words"))
-            .select("id", "row_hash", start.alias("start"), "size", F.explode("items").alias("item"))
-        )
+        of = prefix.where(F.col("k") == k).drop("k").withColumn("__b", F.concat_ws(" ", "words", F.col("items").cast("array<string>")))
+        few = is_small(of, "__b")
+        side = F.broadcast(of) if few else of.hint("merge")
+        out = ("id", "row_hash", "start", "size", "items")
+        if few:
+            at = _positions(words, k, "id", "row_hash", "ws").join(side, "hash").withColumn("start", start)
+            found.append(at.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("ws"))).where(held).select(*out))
+            continue
+        # Beyond the bound narrow rows are joined, and only documents with candidates join back.
+        at = _positions(words, k, "id", "row_hash").join(side.drop("__b"), "hash").withColumn("start", start)
+        at = written(at.where("start >= 0").select(*out, "words").distinct(), "decontam-candidates")
+        near = small(at.select(F.col("id").alias("__i"), F.col("row_hash").alias("__h")).distinct())
+        texts = words.drop("hs").join(near, F.col("id").eqNullSafe(F.col("__i")) & (F.col("row_hash") == F.col("__h")), "leftsemi")
+        same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("row_hash") == F.col("__hash"))
+        both = at.join(texts.distinct().select(F.col("id").alias("__id"), F.col("row_hash").alias("__hash"), "ws"), same)
+        found.append(both.where(F.col("start") + F.col("size") <= F.size("ws")).where(held).select(*out))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -123,7 +147,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per input row: id, row_hash, n_words, n_hit (words inside windows), n_items, items
     (ids as strings, sorted), contaminated."""
     hits = contained_windows(docs, benchmark, id_col, text_col, **options)
-    # Bounded by the words of one document and the items.
+    # Bounded by the words of one document and the items. The windows of a document are made
+    # different before their items are listed.
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
     covered = F.aggregate(
         "spans",
@@ -134,9 +159,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         ),
         lambda a: a.n,
     )
+    items = F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda i: i.cast("string")))
     per_document = (
         hits.groupBy("id", "row_hash")
-        .agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+        .agg(spans.alias("spans"), items.alias("items"))
         .select("id", "row_hash", covered.cast("long").alias("n_hit"), "items")
     )
     counts = docs.select(

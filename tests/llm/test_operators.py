@@ -190,6 +190,25 @@ def test_simhash_keep_one(docs, documents, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    """Beyond the broadcast bound: the same rows, a very long document and repeated rows included."""
+    from spendlens.llm import common
+
+    item = prose(31, 14)
+    long = prose(32, 60_000).split()
+    long[30_000:30_000] = item.split()
+    rows = [(1, " ".join(long), "en", None, None), (2, prose(33, 50), "en", None, None), (3, f"x {item} y", None, None, None),
+            (3, f"x {item} y", None, None, None), (None, item, None, None, None), (4, None, None, None, None), (5, "a b", None, None, None)]
+    docs = frame(spark, rows)
+    benchmark = spark.createDataFrame([(7, item), (8, item), (9, "a b"), (10, prose(34, 30))], "item_id long, text string")
+    want = sorted(map(str, decontam.decontaminate(docs, benchmark).collect()))
+    clean = sorted(str(r.doc_id) for r in decontam.drop_contaminated(docs, benchmark).collect())
+    assert clean == ["2", "4"]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, decontam.decontaminate(docs, benchmark).collect())) == want
+    assert sorted(str(r.doc_id) for r in decontam.drop_contaminated(docs, benchmark).collect()) == clean
+
+
 # substrings
 
 
