@@ -24,6 +24,11 @@ def _amt() -> Column:
     return F.col("amount_spent")
 
 
+def _n_rows(df: DataFrame) -> Column:
+    """Number of transactions: rows, or what rollup rows stand for (``operators.rollup``)."""
+    return F.sum("n_rows") if "n_rows" in df.columns else F.count(F.lit(1))
+
+
 def _money(c: Column) -> Column:
     return c.cast("double")
 
@@ -174,7 +179,7 @@ def top_merchants(df: DataFrame, k: int = 10, by: Sequence[str] = ()) -> DataFra
         expenses(df)
         .filter(F.col("activity_description").isNotNull())
         .groupBy(*by, F.col("activity_description").alias("merchant"))
-        .agg(F.count(F.lit(1)).alias("transaction_count"))
+        .agg(_n_rows(df).alias("transaction_count"))
     )
     return _rank_top(counts, k, by, [F.col("transaction_count").desc(), F.col("merchant").asc()]).select(
         *by, "rank", "merchant", "transaction_count"
@@ -189,7 +194,7 @@ def category_totals(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         expenses(df)
         .filter(F.col("category").isNotNull())
         .groupBy(*by, "category")
-        .agg(F.sum(_amt()).alias("_total"), F.count(F.lit(1)).alias("n_transactions"))
+        .agg(F.sum(_amt()).alias("_total"), _n_rows(df).alias("n_transactions"))
     )
     return sums.select(
         *by, "category", _money(F.col("_total")).alias("total_spent"), "n_transactions", _share("_total", by).alias("share")

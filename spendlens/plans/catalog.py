@@ -70,6 +70,7 @@ from spendlens.sources.testdata import (
 )
 from spendlens.streaming.ingest import (
     read_quarantine,
+    read_rollup,
     read_with_recurring,
     recurring_state,
     run_ingest_stream,
@@ -623,6 +624,20 @@ def q_constraint_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.unionByName(read_quarantine(spark, f"{root}/log").select("doc_id", F.col("reason").alias("outcome")))
 
 
+def _on_rollup(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    """A dashboard output from the rollup that the ingest of the statement files kept."""
+    return lambda spark, sf_dir: fn(A.period_filter(read_rollup(spark, f"{statement_store(spark, sf_dir)}/tx")))
+
+
+QUERIES.update(
+    {
+        "rollup_overview_per_user": _on_rollup(lambda d: A.overview(d, PER_USER)),
+        "rollup_daily_series": _on_rollup(A.daily_series),
+        "rollup_monthly_totals": _on_rollup(A.monthly_totals),
+        "rollup_weekday_totals_per_user": _on_rollup(lambda d: A.weekday_totals(d, PER_USER)),
+        "rollup_top10_merchants_per_user": _on_rollup(lambda d: A.top_merchants(d, 10, PER_USER)),
+    }
+)
 QUERIES["constraint_ingest"] = q_constraint_ingest
 QUERIES["statement_stream"] = q_statement_stream
 QUERIES["recurring_state"] = q_recurring_state

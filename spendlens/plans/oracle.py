@@ -685,3 +685,9 @@ SELECT CAST(c_custkey AS VARCHAR) AS doc_id,
        ['stored', 'customer_id_too_long', 'out_of_range', 'null_user_id', 'unknown_user'][c_custkey % 5 + 1] AS outcome
 FROM customer
 """
+
+# From the rollup as from the rows.
+ORACLE.update({f"rollup_{name}": ORACLE[key] for name, key in {
+    "overview_per_user": "overview_kpis_per_user", "daily_series": "daily_spend_vs_payments", "monthly_totals": "monthly_totals",
+    "weekday_totals_per_user": "weekday_totals_per_user", "top10_merchants_per_user": "top10_merchants_per_user",
+}.items()})

@@ -30,7 +30,8 @@ not stored: they go to the quarantine, and the counts per constraint into the ma
 
 Nothing per batch reads the whole store: stored keys are looked up by digest in a narrow table of
 their own, history is read only where a digest is found (by year, user bucket and user id), the log by the first digits of the batch's content digests, ids start above the mark
-that each marker records, and the recurring charges are a small state that each batch adds to.
+that each marker records, and the recurring charges are a small state that each batch adds to,
+and so is the daily rollup that the dashboard reads.
 
 No watermark or ``dropDuplicatesWithinWatermark``: equal rows inside one upload are
 legitimate, and duplicates are defined against the stored history, not a time window.
@@ -51,6 +52,7 @@ from spendlens.functions.clean import MONEY_COLUMNS, clean_transactions
 from spendlens.operators.dedup import KEY_DIGESTS, candidate_history, key_digests, new_rows_by_upload
 from spendlens.operators.quality import OUT_OF_RANGE, out_of_range, violation_names, with_violation
 from spendlens.operators.recurring import STATE, batch_state, merged_state, with_recurring
+from spendlens.operators.rollup import ROLLUP, daily_rollup, merged_rollup, rollup_rows
 from spendlens.operators.statement_lines import statement_records, statement_reasons, unparsed_lines
 from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS
 from spendlens.sources import commits
@@ -91,6 +93,10 @@ def state_path(tx_path: str) -> str:
     return f"{tx_path}_recurring"
 
 
+def rollup_path(tx_path: str) -> str:
+    return f"{tx_path}_rollup"
+
+
 def digest_path(tx_path: str) -> str:
     return f"{tx_path}_digests"
 
@@ -237,7 +243,8 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
                 _write(_laid_out(out), tx_path, attempt, ROW_FOLDERS)
                 _write(batch_state(out), state_path(tx_path), attempt, STATE_FOLDERS)
                 _write(key_digests(out), digest_path(tx_path), attempt, STATE_FOLDERS)
-                parts += ["rows", "recurring", "digests"]
+                _write(daily_rollup(out), rollup_path(tx_path), attempt, STATE_FOLDERS)
+                parts += ["rows", "recurring", "digests", "rollup"]
         record = F.to_json(F.struct(*[c for c in INSERT_COLUMNS if c in parsed.columns]))
         aside = [
             parsed.filter(of.isNotNull()).select("doc_id", "user_id", record.alias("text"), of.alias("reason"), "upload_id"),
@@ -291,6 +298,12 @@ def read_with_recurring(spark: SparkSession, tx_path: str) -> DataFrame:
     return flagged.withColumn("is_subscription", F.coalesce("is_subscription", F.lit(False)) | F.col("is_recurring")).select(*TX_COLUMNS)
 
 
+def read_rollup(spark: SparkSession, tx_path: str) -> DataFrame:
+    """The daily rollup of all committed batches, as the dashboard's functions take it: they give
+    the same figures as from the rows, which are not read."""
+    return rollup_rows(commits.read_committed(spark, rollup_path(tx_path), "rollup", ROLLUP, commits.committed(spark, tx_path)))
+
+
 def compact(spark: SparkSession, tx_path: str, keep: int = 1) -> int:
     """Put all batches but the ``keep`` newest of each run into one, with files of advisory size;
     returns how many batches were put together. Rows, log and quarantine stay as they are, the
@@ -306,6 +319,7 @@ def compact(spark: SparkSession, tx_path: str, keep: int = 1) -> int:
     log_path = _log_path(spark, tx_path)
     tables = {"rows": (tx_path, STORED, ROW_FOLDERS), "recurring": (state_path(tx_path), STATE, STATE_FOLDERS),
               "digests": (digest_path(tx_path), KEY_DIGESTS, STATE_FOLDERS),
+              "rollup": (rollup_path(tx_path), ROLLUP, STATE_FOLDERS),
               "log": (log_path, LOG_SCHEMA, LOG_FOLDERS), "quarantine": (quarantine_path(log_path), QUARANTINE_SCHEMA, ())}
     paths = [path for path, _, _ in tables.values()]
     commits.sweep(spark, tx_path, paths)
@@ -327,6 +341,8 @@ def compact(spark: SparkSession, tx_path: str, keep: int = 1) -> int:
             found = _laid_out(found)
         elif part == "digests":
             found = found.distinct().hint("rebalance", *folders)
+        elif part == "rollup":
+            found = merged_rollup(found).hint("rebalance", *folders)
         elif part == "recurring":
             found = merged_state(found, verdict=False).hint("rebalance", *folders)
         elif folders:

@@ -246,7 +246,7 @@ def test_a_compaction_stopped_at_any_step_changes_no_rows(spark, monkeypatch):
         compact(spark, tx_path)
         assert _everything(spark, tx_path, log_path) == before
         local = root.removeprefix("file:")
-        for name in ("tx", "log", "log_quarantine", "tx_recurring", "tx_digests"):
+        for name in ("tx", "log", "log_quarantine", "tx_recurring", "tx_digests", "tx_rollup"):
             assert len([d for d in os.listdir(f"{local}/{name}") if d.startswith("ingest_batch=")]) == 2
     ingest_batch(late, tx_path, log_path, 5)
     assert _everything(spark, tx_path, log_path) == before
@@ -384,3 +384,26 @@ def test_history_is_read_only_where_a_digest_is_found(spark):
     again_docs = [_doc("n", 3, ("tea ", "2.00", 1), ("NEW", "1.00", 1)) + (2,)]
     ingest_batch(spark.createDataFrame(again_docs, schema), f"{root}/tx", f"{root}/log", 1)
     assert read_transactions(spark, f"{root}/tx").count() == 61
+
+
+def test_dashboard_from_the_rollup_of_several_batches(spark):
+    """The same figures as from the rows, zero amounts and equal rows included, without reading them;
+    a compaction adds the batches up."""
+    from spendlens.operators import analytics as A
+    from spendlens.streaming.ingest import compact, read_rollup
+
+    root = f"{checkpoint_root(spark)}/test-rollup-{uuid.uuid4().hex[:8]}"
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    for n in range(3):
+        docs = [_doc(f"d{n}-{u}", u, (f"SHOP{n}", "2.00", 1), (f"SHOP{n}", "2.00", 1), ("BACK", f"-{n}.25", 2), ("FREE", "0", 3)) + (n,)
+                for u in (1, 2)]
+        ingest_batch(spark.createDataFrame(docs, schema), f"{root}/tx", f"{root}/log", n)
+    outputs = [lambda d: A.overview(d, ["user_id"]), A.daily_series, A.monthly_totals, A.category_totals,
+               lambda d: A.top_merchants(d, 10, ["user_id"]), lambda d: A.weekday_totals(d, ["user_id"])]
+    want = [sorted(map(str, f(A.period_filter(read_transactions(spark, f"{root}/tx"))).collect())) for f in outputs]
+    for _ in range(2):
+        rollup = read_rollup(spark, f"{root}/tx")
+        assert all("tx_rollup" in f for f in rollup.inputFiles())
+        assert [sorted(map(str, f(A.period_filter(rollup)).collect())) for f in outputs] == want
+        compact(spark, f"{root}/tx")
+    assert A.overview(rollup, ["user_id"]).first().active_days == 3
