@@ -24,14 +24,15 @@ def latest_updates(updates: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
-def upsert_users(users: DataFrame, updates: DataFrame, seq: str = "seq") -> DataFrame:
+def upsert_users(users: DataFrame, updates: DataFrame, seq: str = "seq", base: int | None = None) -> DataFrame:
     """The next users snapshot, with ``is_new`` marking the inserted emails.
 
     One full outer join on email; new users get ``max(id) + 1 + monotonically_increasing_id()``
-    in the same pass (ids stay unique and above the old ones; gaps are allowed).
+    in the same pass (ids stay unique and above the old ones; gaps are allowed). ``base`` is the
+    highest id where ``users`` are only some of them.
     """
     upd = latest_updates(updates, seq).withColumn("_present", F.lit(True))
-    base = F.coalesce(users.select(F.max("user_id")).scalar(), F.lit(0).cast("long"))
+    base = F.coalesce(users.select(F.max("user_id")).scalar(), F.lit(0).cast("long")) if base is None else F.lit(base)
     u, n = users.alias("u"), upd.alias("n")
     return u.join(n, F.col("u.email") == F.col("n.email"), "full_outer").select(
         F.coalesce(F.col("u.user_id"), base + F.lit(1) + F.monotonically_increasing_id()).alias("user_id"),

@@ -68,6 +68,7 @@ from spendlens.sources.testdata import (
     user_updates_from_tables,
     users_from_tables,
 )
+from spendlens.sources.user_store import create_user_store, load_user_store, read_user_store, upsert_user_store
 from spendlens.streaming.ingest import (
     read_quarantine,
     read_rollup,
@@ -207,6 +208,23 @@ def q_user_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_user_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert into a bucketed store, in two halves; new ids left out."""
+    prepare(spark)
+    path = f"{scratch_path(spark, 'user-store')}/users"
+    known, updates = users_from_tables(spark, sf_dir), user_updates_from_tables(spark, sf_dir)
+    create_user_store(spark, path, 8)
+    load_user_store(spark, path, known)
+    middle = updates.select(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    for half in (F.col("seq") <= middle, F.col("seq") > middle):
+        upsert_user_store(spark, path, updates.filter(half))
+    ids = known.select("email", F.lit(False).alias("_new"))
+    out = read_user_store(spark, path).join(ids, "email", "left").withColumn("is_new", F.coalesce("_new", F.lit(True)))
+    return out.select(
+        F.when(~F.col("is_new"), F.col("user_id")).alias("user_id"), "email", "display_name", "picture_url", "is_new"
+    )
+
+
 def q_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over tables with some rows of every kind of violation."""
     tx, users = tx_table(spark, sf_dir), users_from_tables(spark, sf_dir)
@@ -309,6 +327,7 @@ QUERIES.update(
         "dedup_report": q_dedup_report,
         "append_history": q_append_history,
         "user_upsert": q_user_upsert,
+        "user_store": q_user_store,
         "constraint_violations": q_constraint_violations,
         "user_ids_by_email": q_user_ids_by_email,
         "one_user_history": q_one_user_history,

@@ -691,3 +691,5 @@ ORACLE.update({f"rollup_{name}": ORACLE[key] for name, key in {
     "overview_per_user": "overview_kpis_per_user", "daily_series": "daily_spend_vs_payments", "monthly_totals": "monthly_totals",
     "weekday_totals_per_user": "weekday_totals_per_user", "top10_merchants_per_user": "top10_merchants_per_user",
 }.items()})
+
+ORACLE["user_store"] = ORACLE["user_upsert"]

@@ -90,11 +90,10 @@ def is_done(spark: SparkSession, table: str, batch: str, markers: list[dict]) ->
 
 
 def commit(spark: SparkSession, table: str, batch: str, attempt: str, parts: list[str], max_id: int | None,
-           replaces: list[str] | None = None, counts: dict[str, int] | None = None) -> None:
-    """Make an attempt visible: ``parts`` names the tables it wrote a folder of; ``counts`` is kept
+           replaces: list[str] | None = None, **more) -> None:
+    """Make an attempt visible: ``parts`` names the tables it wrote a folder of; ``more`` is kept
     with it."""
-    marker = {"batch": batch, "attempt": attempt, "parts": parts, "max_id": max_id, "replaces": replaces or [],
-              "counts": counts or {}}
+    marker = {"batch": batch, "attempt": attempt, "parts": parts, "max_id": max_id, "replaces": replaces or [], **more}
     create_small(spark, f"{table}_commits/{batch}", json.dumps(marker))
 
 
