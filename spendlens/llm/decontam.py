@@ -7,11 +7,10 @@ the necessary prefix is one shingle: the rarest. Documents are joined on that sh
 window whose rarest shingle is in no document drops out), the positional bound keeps candidates
 whose window would lie inside the document, and the words themselves are compared.
 
-Three passes over the documents: frequencies, candidates, word counts. Each word is hashed
-once, a shingle's hash is that of its words' hashes. The benchmark side is broadcast only below a
-counted size, and no document text is shuffled then; beyond it, positions (id, text hash, place,
-shingle hash) are joined by a sort-merge join whose hot shingles AQE splits, and the words of the
-documents with candidates are compared after joining these back.
+Three passes over the documents: frequencies, candidates, word counts. The benchmark side is
+broadcast only below a counted size, and no document text is shuffled then; beyond it, positions
+(id, text hash, place, shingle hash) are joined by a sort-merge join whose hot shingles AQE splits,
+and the words of the documents with candidates are compared after joining these back.
 
 Defined results: null and empty texts have no words and no hits; items without words have no
 windows; repeated items count once per item_id and repeated documents are judged each; empty
@@ -42,7 +41,7 @@ def words_of(text: Column) -> Column:
 
 
 def _hash(words: Column, at: Column, k: int) -> Column:
-    return F.xxhash64(*[F.xxhash64(F.get(words, at + i)) for i in range(k)])
+    return F.xxhash64(*[F.get(words, at + i) for i in range(k)])
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, shingle: int) -> DataFrame:
@@ -67,18 +66,17 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, row_hash (of the text), ws (its words), hs (their hashes)."""
-    words = docs.select(
+    """id, row_hash (of the text), ws (its words)."""
+    return docs.select(
         F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_hash"), words_of(F.col(text_col)).alias("ws")
     )
-    return words.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
 
 
 def _positions(words: DataFrame, k: int, *keep: str) -> DataFrame:
-    """Every k-word shingle of rows with hs: the columns ``keep``, its place and hash."""
-    at = words.where(F.size("hs") >= k).select(*keep, "hs", F.explode(F.sequence(F.lit(0), F.size("hs") - k)).alias("pos"))
-    # Of one document row the arrays are referenced, not copied, as long as no shuffle follows.
-    return at.withColumn("hash", F.xxhash64(*[F.get("hs", F.col("pos") + i) for i in range(k)])).drop("hs")
+    """Every k-word shingle of rows with ws: the columns ``keep``, its place and hash. Of a document
+    the words are referenced, not copied, as long as no shuffle follows."""
+    at = words.where(F.size("ws") >= k).select("*", F.explode(F.sequence(F.lit(0), F.size("ws") - k)).alias("pos"))
+    return at.withColumn("hash", _hash(F.col("ws"), F.col("pos"), k)).select(*keep, "pos", "hash")
 
 
 def window_prefixes(words: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame:
@@ -136,7 +134,7 @@ def contained_windows(
         at = _positions(words, k, "id", "row_hash").join(side.drop("__b"), "hash").withColumn("start", start)
         at = written(at.where("start >= 0").select(*out, "words").distinct(), "decontam-candidates")
         near = small(at.select(F.col("id").alias("__i"), F.col("row_hash").alias("__h")).distinct())
-        texts = words.drop("hs").join(near, F.col("id").eqNullSafe(F.col("__i")) & (F.col("row_hash") == F.col("__h")), "leftsemi")
+        texts = words.join(near, F.col("id").eqNullSafe(F.col("__i")) & (F.col("row_hash") == F.col("__h")), "leftsemi")
         same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("row_hash") == F.col("__hash"))
         both = at.join(texts.distinct().select(F.col("id").alias("__id"), F.col("row_hash").alias("__hash"), "ws"), same)
         found.append(both.where(F.col("start") + F.col("size") <= F.size("ws")).where(held).select(*out))
