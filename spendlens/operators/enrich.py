@@ -85,15 +85,28 @@ def customer_id(f_name: Column, l_name: Column) -> Column:
 
 # --------------------------------------------------------------------------- X4
 
+# What separates the words in which aliases are looked for: NETFLIX.COM holds NETFLIX.
+ALIAS_SPLIT_RE = r"[^\p{L}\p{N}]+"
+
+
+def alias_words(text: Column) -> Column:
+    """The upper-cased words of a descriptor, letters and digits only."""
+    return F.filter(F.split(F.upper(text), ALIAS_SPLIT_RE), lambda w: w != "")
+
+
+def alias_phrase(keyword: str) -> str:
+    return " ".join("".join(c if c.isalnum() else " " for c in keyword.upper()).split())
+
+
 def normalise_merchant(desc: Column, aliases: list[tuple[str, str]] | None = None) -> Column:
     """Upper-case merchant name: that of the first alias whose words stand in the descriptor, else
     the descriptor up to the first separator (``UBER* TRIP TORONTO ON`` -> ``UBER``; ``SCHUBERT
     HALL`` holds no alias). ``operators.merchants`` also drops trailing places and references."""
     up = F.upper(utrim(desc))
-    words = padded_words(desc)
+    words = F.concat(F.lit(" "), F.array_join(alias_words(desc), " "), F.lit(" "))
     expr = utrim(F.split(up, MERCHANT_SPLIT_RE, 2).getItem(0))
     for pattern, merchant in reversed(aliases if aliases is not None else MERCHANT_ALIASES):
-        expr = F.when(words.contains(f" {_phrase(pattern)} "), F.lit(merchant)).otherwise(expr)
+        expr = F.when(words.contains(f" {alias_phrase(pattern)} "), F.lit(merchant)).otherwise(expr)
     return F.when(desc.isNull(), F.lit(None).cast("string")).otherwise(expr)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.text import utrim
-from spendlens.operators.enrich import MERCHANT_ALIASES, MERCHANT_SPLIT_RE, WORD_SPLIT_RE, _phrase
+from spendlens.operators.enrich import MERCHANT_ALIASES, MERCHANT_SPLIT_RE, WORD_SPLIT_RE, alias_phrase, alias_words
 from spendlens.operators.skew import join_back
 from spendlens.session import checkpoint_root
 
@@ -39,10 +39,10 @@ def tokens(text: Column) -> Column:
 
 
 def alias_of(words: Column, aliases: list[tuple[str, str]] | None = None) -> Column:
-    """The name of the longest alias that the tokens begin with; null if none."""
+    """The name of the longest alias that the words (``alias_words``) begin with; null if none."""
     table: dict[str, str] = {}
     for phrase, name in aliases if aliases is not None else MERCHANT_ALIASES:
-        table.setdefault(_phrase(phrase), name)
+        table.setdefault(alias_phrase(phrase), name)
     if not table:
         return F.lit(None).cast("string")
     names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
@@ -78,7 +78,7 @@ def simplify_merchants(df: DataFrame, desc_col: str = "raw_description", id_col:
     eligible = F.col(desc_col).isNotNull()
     texts = df.filter(eligible).groupBy(desc_col).agg(F.count(F.lit(1)).alias("_n"))
     head = F.split(utrim(F.col(desc_col)), MERCHANT_SPLIT_RE, 2).getItem(0)
-    texts = texts.withColumns({"_w": tokens(head), "_alias": alias_of(tokens(F.col(desc_col)), aliases)})
+    texts = texts.withColumns({"_w": tokens(head), "_alias": alias_of(alias_words(F.col(desc_col)), aliases)})
     checkpoint_root(df.sparkSession)
     suffixes = suffix_tokens(texts, "_w", min_beginnings, min_share).select("token").checkpoint()
     few = suffixes.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS

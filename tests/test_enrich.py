@@ -128,11 +128,12 @@ def test_merchants_by_whole_tokens_and_suffix_frequency(spark):
 def test_longest_alias_wins(spark):
     from pyspark.sql import functions as F
 
-    from spendlens.operators.merchants import alias_of, tokens
+    from spendlens.operators.enrich import alias_words
+    from spendlens.operators.merchants import alias_of
 
     aliases = [("BLUE", "BLUE LTD"), ("BLUE BIRD", "BIRD INC"), ("BLUE BIRD CAFE", "CAFE")]
     df = spark.createDataFrame([(t,) for t in ("blue bird cafe x", "BLUE BIRD", "blue-bird house", "BLUE CAFE", "BLUEBIRD", "")], "t string")
-    got = [r[0] for r in df.select(alias_of(tokens(F.col("t")), aliases)).collect()]
+    got = [r[0] for r in df.select(alias_of(alias_words(F.col("t")), aliases)).collect()]
     assert got == ["CAFE", "BIRD INC", "BIRD INC", "BLUE LTD", None, None]
 
 
@@ -141,6 +142,6 @@ def test_alias_inside_a_word_is_none(spark):
 
     from spendlens.operators.enrich import normalise_merchant
 
-    df = spark.createDataFrame([("SCHUBERT HALL",), ("TUBERIA",), ("UBER* TRIP",), ("x*paypal",), ("APPLE.COM/BILL",)], "t string")
+    df = spark.createDataFrame([("SCHUBERT HALL",), ("TUBERIA",), ("UBER* TRIP",), ("x*paypal",), ("APPLE.COM/BILL",), ("Netflix.com",), ("ÉUBER",)], "t string")
     got = [r[0] for r in df.select(normalise_merchant(F.col("t"))).collect()]
-    assert got == ["SCHUBERT HALL", "TUBERIA", "UBER", "PAYPAL", "APPLE"]
+    assert got == ["SCHUBERT HALL", "TUBERIA", "UBER", "PAYPAL", "APPLE", "NETFLIX", "ÉUBER"]
