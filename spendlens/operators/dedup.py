@@ -213,23 +213,26 @@ def new_rows_by_upload(incoming: DataFrame, history: DataFrame, upload_col: str
     incoming rows - is earlier than its own upload. Equal rows of one upload are all kept,
     even when that upload arrives in several batches; a later upload's copy is skipped, even
     within the same batch. Stored rows without an upload id count as earliest.
+
+    Only keys are shuffled to find those that came again: they are checkpointed (the join then has
+    two plain shuffles, which AQE can split) and counted. Without any the rows pass untouched; few
+    are broadcast.
     """
-    hk, small = stored_keys(incoming, history, broadcast_limit, extra=[upload_col])
+    hk, _ = stored_keys(incoming, history, broadcast_limit, extra=[upload_col])
+    own = F.col(upload_col).cast("long")
+    keys = hk.select(*KEY_COLUMNS, F.coalesce(own, F.lit(-1)).alias("_k_up"), F.lit(None).cast("long").alias("_k_own"))
+    keys = keys.unionByName(with_keys(incoming).select(*KEY_COLUMNS, own.alias("_k_up"), own.alias("_k_own")))
+    first = keys.groupBy(*KEY_COLUMNS).agg(F.min("_k_up").alias("_k_first"), F.max("_k_own").alias("_k_last"))
+    checkpoint_root(first.sparkSession)
+    again = first.filter(F.col("_k_first") < F.col("_k_last")).drop("_k_last").checkpoint()
+    size = F.coalesce(F.sum(F.coalesce(F.octet_length("_k_desc"), F.lit(0)) + 40), F.lit(0))
+    n, n_bytes = again.agg(F.count(F.lit(1)), size).first()
+    if n == 0:
+        return incoming
+    small = n <= broadcast_limit and n_bytes <= BROADCAST_BYTES
+    ref = F.broadcast(again) if small else again
     # Beyond the limit the join is shuffled: equal rows are collapsed first (see ``_collapse``).
     inc = with_keys(incoming if small else _collapse(incoming))
-    first = (
-        hk.select(*KEY_COLUMNS, F.coalesce(F.col(upload_col), F.lit(-1)).cast("long").alias("_k_up"))
-        .unionByName(inc.select(*KEY_COLUMNS, F.col(upload_col).cast("long").alias("_k_up")))
-        .groupBy(*KEY_COLUMNS)
-        .agg(F.min("_k_up").alias("_k_first"))
-    )
-    # After the semi-join the keys are a subset of the upload's keys: bounded by its size. Beyond
-    # that they are checkpointed: the join then has two plain shuffles, which AQE can split.
-    if small:
-        ref = F.broadcast(first)
-    else:
-        checkpoint_root(first.sparkSession)
-        ref = first.checkpoint()
     cond = _key_cond(inc, ref) & (ref["_k_first"] < inc[upload_col])
     kept = inc.join(ref, cond, "left_anti")
     return kept.drop(*KEY_COLUMNS) if small else _expand(kept, incoming.columns)

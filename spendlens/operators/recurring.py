@@ -46,15 +46,12 @@ def batch_state(rows: DataFrame) -> DataFrame:
 
 def merged_state(state: DataFrame, min_months: int = 3, tolerance_pct: int = 5, verdict: bool = True) -> DataFrame:
     """One state row per (user, merchant), with ``is_recurring`` by the rule of ``recurring_merchants``.
-    Months are merged as (key, month) rows, which combine map-side."""
-    months = state.select(*KEYS, "user_bucket", F.explode_outer("months").alias("_m")).groupBy(*KEYS, "user_bucket").agg(
-        F.collect_set("_m").alias("months")
-    )
-    rest = state.groupBy(*KEYS, "user_bucket").agg(
+    One aggregate over one read of the state; a key gathers one array of months per batch."""
+    merged = state.groupBy(*KEYS, "user_bucket").agg(
+        F.array_distinct(F.flatten(F.collect_list("months"))).alias("months"),
         F.sum("n_transactions").alias("n_transactions"), F.sum("total").cast("decimal(38,2)").alias("total"),
         F.min("least").alias("least"), F.max("greatest").alias("greatest"),
-    )
-    merged = rest.join(months, [*KEYS, "user_bucket"]).select(*STATE.fieldNames())
+    ).select(*STATE.fieldNames())
     if not verdict:
         return merged
     steady = (F.col("greatest") - F.col("least")) * F.col("n_transactions") * 100 <= F.lit(tolerance_pct) * F.col("total")

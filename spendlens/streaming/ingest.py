@@ -84,6 +84,8 @@ LOG_SCHEMA = ("doc_id string, user_id long, content_sha string, upload_id long,
 QUARANTINE_SCHEMA = "doc_id string, user_id long, text string, reason string, upload_id long, ingest_batch string"
 # Hexadecimal digits of a digest that name its log folder: 16 folders a batch at most.
 PREFIX_DIGITS = 1
+# Bytes of landed files that a batch takes (one larger file is a batch by itself).
+BATCH_BYTES = 256 << 20
 # Documents of a batch up to which their keys (user, digest, ids: about 150 bytes each) and the
 # log entries reduced to them are broadcast.
 LOG_BROADCAST_LIMIT = 100_000
@@ -127,13 +129,15 @@ def _unseen_documents(docs: DataFrame, log: DataFrame) -> DataFrame:
     per (user, digest) one row with the first upload, and the batch's documents found in it.
     Both are aggregated map-side, so a digest with very many entries stays one row per task, and
     neither is larger than the batch; when that is counted to be small they are broadcast.
+
+    What is looked up are keys without their texts; the texts are joined with the documents found
+    to be known only, and pass untouched where there are none.
     """
     ident = ["user_id", "content_sha"]
     keys = docs.select(*ident, "upload_id", "doc_id").distinct()
-    prefixes = [r[0] for r in docs.select(_prefix(F.col("content_sha"))).distinct().collect()]
+    n, prefixes = keys.agg(F.count(F.lit(1)), F.collect_set(_prefix(F.col("content_sha")))).first()
     log = log.filter(F.col("sha_prefix").isin(prefixes) if prefixes else F.lit(False))
-    few = keys.limit(LOG_BROADCAST_LIMIT + 1).count() <= LOG_BROADCAST_LIMIT
-    sized = F.broadcast if few else (lambda df: df)
+    sized = F.broadcast if n <= LOG_BROADCAST_LIMIT else (lambda df: df)
     first = (
         log.join(sized(keys.select(*ident).distinct()), ident, "left_semi")
         .groupBy(*ident)
@@ -141,9 +145,15 @@ def _unseen_documents(docs: DataFrame, log: DataFrame) -> DataFrame:
     )
     same = log.join(sized(keys), [*ident, "upload_id", "doc_id"], "left_semi")
     same = same.select(*ident, "upload_id", "doc_id").distinct()
-    unseen = docs.join(sized(same), [*ident, "upload_id", "doc_id"], "left_anti")
-    out = unseen.join(sized(first), ident, "left")
-    return out.filter(F.col("_first").isNull() | (F.col("_first") >= F.col("upload_id"))).drop("_first")
+    resent = keys.join(sized(first), ident).filter(F.col("_first") < F.col("upload_id")).drop("_first")
+    known = resent.unionByName(same).withColumnsRenamed({c: f"_k_{c}" for c in keys.columns})
+    n_known = known.limit(LOG_BROADCAST_LIMIT + 1).count()
+    if n_known == 0:
+        return docs
+    if n_known <= LOG_BROADCAST_LIMIT:
+        known = F.broadcast(known)
+    of_user = [docs[c] == known[f"_k_{c}"] for c in (*ident, "upload_id")]
+    return docs.join(known, reduce(Column.__and__, of_user) & docs["doc_id"].eqNullSafe(known["_k_doc_id"]), "left_anti")
 
 
 def _prefix(content_sha: Column) -> Column:
@@ -210,11 +220,13 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     hashed = hashed.withColumn("content_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).persist()
     log = commits.read_committed(spark, log_path, "log", LOG_SCHEMA, markers)
     broken = hashed.filter(F.col(CORRUPT).isNotNull())
-    fresh = _unseen_documents(hashed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), log)
+    fresh = hashed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    if any("log" in m["parts"] for m in markers):
+        fresh = _unseen_documents(fresh, log)
     checked = reasons(fresh).persist()
     done, failed = checked.filter(F.col("reason").isNull()), checked.filter(F.col("reason").isNotNull())
     # Parsed once, reused by the dedup sizing pass and the write (bounded by the batch size:
-    # maxFilesPerTrigger). The counts of violations come with the pass that fills the cache.
+    # maxBytesPerTrigger). The counts of violations come with the pass that fills the cache.
     seen = Observation()
     of = F.col("violation")
     parsed = with_violation(to_rows(done.drop("content_sha", "reason")), users)
@@ -241,9 +253,9 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
             max_id = out.agg(F.max("transaction_id")).first()[0]
             if max_id is not None:
                 _write(_laid_out(out), tx_path, attempt, ROW_FOLDERS)
-                _write(batch_state(out), state_path(tx_path), attempt, STATE_FOLDERS)
-                _write(key_digests(out), digest_path(tx_path), attempt, STATE_FOLDERS)
-                _write(daily_rollup(out), rollup_path(tx_path), attempt, STATE_FOLDERS)
+                _write(_in_folders(batch_state(out), STATE_FOLDERS), state_path(tx_path), attempt, STATE_FOLDERS)
+                _write(_in_folders(key_digests(out), STATE_FOLDERS), digest_path(tx_path), attempt, STATE_FOLDERS)
+                _write(_in_folders(daily_rollup(out), STATE_FOLDERS), rollup_path(tx_path), attempt, STATE_FOLDERS)
                 parts += ["rows", "recurring", "digests", "rollup"]
         record = F.to_json(F.struct(*[c for c in INSERT_COLUMNS if c in parsed.columns]))
         aside = [
@@ -255,7 +267,7 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
         _write(reduce(DataFrame.unionByName, [a for a in aside if a is not None]), quarantine_path(log_path), attempt)
         entries = done.select("doc_id", "user_id", "content_sha", "upload_id", F.lit(max_id).cast("long").alias("max_id"),
                               _prefix(F.col("content_sha")).alias("sha_prefix"))
-        _write(entries, log_path, attempt, LOG_FOLDERS)
+        _write(_in_folders(entries, LOG_FOLDERS), log_path, attempt, LOG_FOLDERS)
         commits.commit(spark, tx_path, batch, attempt, [*parts, "quarantine", "log"], max_id, counts=counts)
     finally:
         parsed.unpersist()
@@ -267,6 +279,12 @@ def _write(df: DataFrame, path: str, attempt: str, folders: tuple[str, ...] = ()
     df.write.partitionBy(*folders).parquet(commits.folder(path, attempt))
 
 
+def _in_folders(df: DataFrame, folders: tuple[str, ...]) -> DataFrame:
+    """A folder's rows in one task, or in a few where there are many of them: one file or so per
+    folder and batch, not one per folder and task."""
+    return df.hint("rebalance", *folders)
+
+
 def _laid_out(df: DataFrame) -> DataFrame:
     """One file or more of advisory size per folder, sorted by user: later per-user scans skip
     other users' row groups."""
@@ -340,13 +358,13 @@ def compact(spark: SparkSession, tx_path: str, keep: int = 1) -> int:
         if part == "rows":
             found = _laid_out(found)
         elif part == "digests":
-            found = found.distinct().hint("rebalance", *folders)
+            found = _in_folders(found.distinct(), folders)
         elif part == "rollup":
-            found = merged_rollup(found).hint("rebalance", *folders)
+            found = _in_folders(merged_rollup(found), folders)
         elif part == "recurring":
-            found = merged_state(found, verdict=False).hint("rebalance", *folders)
+            found = _in_folders(merged_state(found, verdict=False), folders)
         elif folders:
-            found = found.hint("rebalance", *folders)
+            found = _in_folders(found, folders)
         _write(found, path, attempt, folders)
         parts.append(part)
     marks = [m["max_id"] for m in old if m["max_id"] is not None]
@@ -403,20 +421,26 @@ def _run(spark: SparkSession, stream: DataFrame, to_docs: Callable[[DataFrame],
     _close_upload(spark, mark)
 
 
+def _trigger(max_files: int | None) -> dict[str, str]:
+    """What bounds a batch: the bytes of its files, so that many small files are no more batches
+    than a few large ones; or the number of its files where that is given."""
+    return {"maxBytesPerTrigger": str(BATCH_BYTES)} if max_files is None else {"maxFilesPerTrigger": str(max_files)}
+
+
 def run_ingest_stream(spark: SparkSession, landing: str, tx_path: str, log_path: str, checkpoint: str,
-                      max_files_per_trigger: int = 64, users: DataFrame | None = None) -> None:
+                      max_files_per_trigger: int | None = None, users: DataFrame | None = None) -> None:
     """Process every landed file of JSON answers not yet processed, then stop."""
     stream = (
         spark.readStream.schema(LANDING_SCHEMA)
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .options(**_trigger(max_files_per_trigger))
         .json(landing)
     )
     _run(spark, stream, lambda df: df, tx_path, log_path, checkpoint, "answers", users)
 
 
 def run_statement_stream(spark: SparkSession, landing: str, tx_path: str, log_path: str, checkpoint: str,
-                         max_files_per_trigger: int = 64, users: DataFrame | None = None) -> None:
+                         max_files_per_trigger: int | None = None, users: DataFrame | None = None) -> None:
     """Process every landed statement file not yet processed, then stop. A file is read whole and
     holds one statement or several, with form feeds between them (``statement_documents``);
     statements without account number or period, lines that do not parse and empty statements go
@@ -424,7 +448,7 @@ def run_statement_stream(spark: SparkSession, landing: str, tx_path: str, log_pa
     schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("upload_id", T.LongType())])
     stream = (
         spark.readStream.format("text").schema(schema).option("wholetext", True)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .options(**_trigger(max_files_per_trigger))
         .load(landing)
         .select("value", "upload_id", F.col("_metadata.file_path").alias("file"))
     )

@@ -407,3 +407,47 @@ def test_dashboard_from_the_rollup_of_several_batches(spark):
         assert [sorted(map(str, f(A.period_filter(rollup)).collect())) for f in outputs] == want
         compact(spark, f"{root}/tx")
     assert A.overview(rollup, ["user_id"]).first().active_days == 3
+
+
+def _files(path):
+    return [os.path.join(d, f) for d, _, names in os.walk(path.removeprefix("file:")) for f in names if f.endswith(".parquet")]
+
+
+def test_many_small_files_are_one_batch_with_a_file_per_folder(spark):
+    from spendlens.sources import commits
+
+    root = f"{checkpoint_root(spark)}/test-small-files-{uuid.uuid4().hex[:8]}"
+    docs = [_doc(f"d{u}", u, ("TEA", "2.00", 1), (f"S{u}", "3.00", 2)) for u in range(140)]
+    docs = spark.createDataFrame(docs, "doc_id string, user_id long, text string")
+    docs.write.option("maxRecordsPerFile", 2).json(f"{root}/landing/upload_id=1")
+    run_ingest_stream(spark, f"{root}/landing", f"{root}/tx", f"{root}/log", f"{root}/ckpt")
+    assert len(commits.committed(spark, f"{root}/tx")) == 1  # by files there would be two
+    assert read_transactions(spark, f"{root}/tx").count() == 280
+    for path in ("log", "tx_digests", "tx_recurring", "tx_rollup"):
+        files = _files(f"{root}/{path}")
+        assert len(files) == len({os.path.dirname(f) for f in files}) <= 16
+
+
+def test_texts_and_rows_pass_unjoined_where_nothing_came_before(spark):
+    from pyspark.sql import functions as F
+
+    from spendlens.operators.dedup import new_rows_by_upload
+    from spendlens.sources import commits
+    from spendlens.streaming import ingest
+
+    root = f"{checkpoint_root(spark)}/test-unjoined-{uuid.uuid4().hex[:8]}"
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    docs = spark.createDataFrame([_doc(f"d{i}", i, (f"S{i}", "1.00", 1)) + (2,) for i in range(5)], schema)
+    ingest_batch(docs, f"{root}/tx", f"{root}/log", 0)
+    log = commits.read_committed(spark, f"{root}/log", "log", ingest.LOG_SCHEMA, commits.committed(spark, f"{root}/tx"))
+    hashed = docs.withColumn("content_sha", F.sha2("text", 256))
+    other = hashed.withColumn("user_id", F.col("user_id") + 100)
+    assert "Join" not in ingest._unseen_documents(other, log)._jdf.queryExecution().executedPlan().toString()
+    # Known: the same document of the upload, and the bytes of an earlier upload, named or not.
+    mixed = hashed.withColumn("upload_id", F.when(F.col("user_id") < 2, 2).otherwise(F.col("user_id") - 1).cast("long"))
+    mixed = mixed.withColumn("doc_id", F.when(F.col("user_id") != 4, F.col("doc_id")))
+    left = sorted((r.user_id, r.upload_id) for r in ingest._unseen_documents(mixed.unionByName(other), log).collect())
+    assert left == [(2, 1), *[(u, 2) for u in range(100, 105)]]
+    rows = ingest._answer_rows(other.drop("content_sha"))
+    new = new_rows_by_upload(rows, ingest.read_stored(spark, f"{root}/tx"), broadcast_limit=1)
+    assert "Join" not in new._jdf.queryExecution().executedPlan().toString() and new.count() == 5
