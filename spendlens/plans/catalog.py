@@ -543,7 +543,7 @@ def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "ingest")
     landing, tx_path, log_path, ckpt = f"{root}/landing", f"{root}/transactions", f"{root}/ingest_log", f"{root}/_ckpt"
     for n, upload in enumerate(event_uploads(spark, sf_dir), start=1):
-        upload.write.json(f"{landing}/upload_id={n}")
+        upload.write.option("compression", "gzip").json(f"{landing}/upload_id={n}")
         run_ingest_stream(spark, landing, tx_path, log_path, ckpt)
     return present(read_transactions(spark, tx_path).select("user_id", *INSERT_COLUMNS))
 
@@ -554,8 +554,11 @@ def q_ingest_same_bytes_two_users(spark: SparkSession, sf_dir: str) -> DataFrame
     prepare(spark)
     root = scratch_path(spark, "two-users")
     docs = event_documents(read_table(spark, sf_dir, "events"), "month")
-    docs.write.json(f"{root}/landing/upload_id=1")
-    docs.withColumn("user_id", F.col("user_id") + 1_000_000).write.json(f"{root}/landing/upload_id=2")
+    docs.write.option("compression", "gzip").json(f"{root}/landing/upload_id=1")
+    # The very bytes that landed, not the documents made anew.
+    docs = spark.read.schema(docs.schema).json(f"{root}/landing/upload_id=1")
+    other = docs.withColumn("user_id", F.col("user_id") + 1_000_000)
+    other.write.option("compression", "gzip").json(f"{root}/landing/upload_id=2")
     run_ingest_stream(spark, f"{root}/landing", f"{root}/tx", f"{root}/log", f"{root}/ckpt")
     return present(read_transactions(spark, f"{root}/tx").select("user_id", *INSERT_COLUMNS))
 
