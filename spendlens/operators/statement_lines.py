@@ -149,13 +149,19 @@ def statement_ingest(docs: DataFrame, history: DataFrame, text_col: str = "text"
     above the stored ones in (document, position) order (K1) and ``is_subscription`` from the
     recurring merchants of the user's stored and new rows together (X9). Of the history only the
     rows of the new rows' users are aggregated, to one state row per merchant; a store that keeps
-    that state (``streaming.ingest``) does not read them at all."""
+    that state (``streaming.ingest``) does not read them at all.
+
+    The extracted rows are written once to the shared folder: the dedup sizes them and reads them
+    again, which would extract every statement twice."""
     from spendlens.operators.dedup import new_rows
     from spendlens.operators.recurring import batch_state, merged_state, with_recurring
     from spendlens.schema import TX_COLUMNS
+    from spendlens.session import scratch_path
     from spendlens.sources.tables import assign_ids, user_bucket, user_buckets
 
-    fresh = new_rows(statement_records(docs, text_col), history)
+    extracted, path = statement_records(docs, text_col), scratch_path(docs.sparkSession, "statement-rows")
+    extracted.write.parquet(path)
+    fresh = new_rows(docs.sparkSession.read.schema(extracted.schema).parquet(path), history)
     fresh = assign_ids(fresh, history, "transaction_id", order=["doc_id", "position"]).select(*TX_COLUMNS)
     buckets = user_buckets(docs.sparkSession)
 

@@ -145,3 +145,34 @@ def test_alias_inside_a_word_is_none(spark):
     df = spark.createDataFrame([("SCHUBERT HALL",), ("TUBERIA",), ("UBER* TRIP",), ("x*paypal",), ("APPLE.COM/BILL",), ("Netflix.com",), ("ÉUBER",)], "t string")
     got = [r[0] for r in df.select(normalise_merchant(F.col("t"))).collect()]
     assert got == ["SCHUBERT HALL", "TUBERIA", "UBER", "PAYPAL", "APPLE", "NETFLIX", "ÉUBER"]
+
+
+def test_the_state_is_merged_in_one_read(spark):
+    from spendlens.operators.recurring import STATE, merged_state
+
+    parts = [(1, "GYM", [24289, 24290], 2, 20, 10, 10, 3), (1, "GYM", [24290, 24291], 2, 20, 10, 10, 3), (2, "BAR", [], 1, 5, 5, 5, 4)]
+    names = STATE.fieldNames()
+    rows = spark.createDataFrame(parts, "user_id long, merchant string, months array<int>, n_transactions long, total int, least int, "
+                                 "greatest int, user_bucket int")
+    state = merged_state(rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in STATE.fields]))
+    got = {r.user_id: (sorted(r.months), r.n_transactions, float(r.total), r.is_recurring) for r in state.collect()}
+    assert got == {1: ([24289, 24290, 24291], 4, 40.0, True), 2: ([], 1, 5.0, False)} and names[2] == "months"
+    assert "Join" not in state._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statements_are_extracted_once_for_an_ingest(spark):
+    """The rows of the dedup come from the stored extraction, not from the texts a second time."""
+    from unittest import mock
+
+    from spendlens.operators import dedup
+    from spendlens.operators.statement_lines import statement_ingest
+    from spendlens.schema import TRANSACTIONS
+
+    text = "Card holder: Ada Doe\nCredit Limit: $1,000.00\nAvailable Credit: $500.00\nJan 05 Jan 06 TEA ROOM 12.50"
+    docs = spark.createDataFrame([("d1", 1, text, 2024, 1)],
+                                 "doc_id string, user_id long, text string, statement_year int, statement_month int")
+    with mock.patch.object(dedup, "new_rows", side_effect=dedup.new_rows) as called:
+        rows = statement_ingest(docs, spark.createDataFrame([], TRANSACTIONS)).collect()
+    plan = called.call_args[0][0]._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "regexp" not in plan
+    assert [(r.transaction_id, r.user_id, float(r.amount_spent), r.is_subscription) for r in rows] == [(1, 1, 12.5, False)]
