@@ -91,7 +91,7 @@ def candidate_history(incoming: DataFrame, digests: DataFrame, history: DataFram
 
     The digests are read in the incoming rows' bucket folders only; their join broadcasts the
     incoming digests where these are counted to be few."""
-    keys = with_keys(incoming).select(F.xxhash64(*KEY_COLUMNS).alias("digest"), "_k_user").distinct()
+    keys = with_keys(incoming).select(F.xxhash64(*KEY_COLUMNS).alias("digest"), "_k_user")
     bucket = user_bucket(F.col("_k_user"), user_buckets(incoming.sparkSession))
     n, buckets = keys.agg(F.count(F.lit(1)), F.collect_set(bucket)).first()
     near = digests.filter(F.col("user_bucket").isin(buckets) if buckets else F.lit(False))

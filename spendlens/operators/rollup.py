@@ -2,7 +2,7 @@
 
 One row per user, day, category, sub-category, merchant, subscription flag and sign: the sum of the
 amounts and the number of transactions. Sums and counts merge, so a batch writes the rollup of its
-own rows and a reader adds the batches up. The dashboard's functions (``operators.analytics``) take
+own rows and the reader's aggregates add the batches up. The dashboard's functions (``operators.analytics``) take
 rollup rows in place of transactions, as these keep day, sign and names apart and carry their
 number of transactions in ``n_rows``: same results, from far fewer rows. Single transactions (the
 ten largest) are not in it.
@@ -58,5 +58,7 @@ def merged_rollup(parts: DataFrame) -> DataFrame:
 
 
 def rollup_rows(parts: DataFrame) -> DataFrame:
-    """Rollup rows as the dashboard's functions take them, with the calendar columns."""
-    return add_calendar_features(merged_rollup(parts))
+    """Rollup rows as the dashboard's functions take them, with the calendar columns. A key that came
+    in several batches is as many rows: the functions add up amounts and ``n_rows``, so their own
+    aggregates merge it, and the rollup is not shuffled by its whole key first."""
+    return add_calendar_features(parts.select(*ROLLUP.fieldNames()))

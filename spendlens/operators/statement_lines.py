@@ -109,15 +109,17 @@ def statement_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
     statement value (X8, within the statement). ``is_subscription`` is false here: it needs the
     user's history, see ``statement_ingest``."""
     from spendlens.functions.dates import add_calendar_features
-    from spendlens.operators.enrich import customer_id, first_rule, normalise_merchant, padded_words
+    from spendlens.operators.enrich import customer_id, first_rule, normalise_merchant, padded_alias_words, padded_words
 
     keys = [c for c in docs.columns if c != text_col]
     # The holder is a document column, carried through the line explode (no join back).
     with_holder = docs.withColumn("_holder", utrim(F.regexp_extract(F.col(text_col), HOLDER_RE, 1)))
-    # The merchant and the words are columns, so the category rules reference them instead of
-    # repeating their expressions once per rule. The rules see the words of the whole description,
+    # The merchant and the words are columns, so the aliases and the category rules reference them
+    # instead of repeating their expressions once per alias or rule. The rules see the words of the whole description,
     # which an alias may cut, and behind a border that no phrase crosses those of the merchant.
-    rows = statement_rows(with_holder, text_col).withColumn("_merchant", normalise_merchant(F.col("raw_description")))
+    raw = F.col("raw_description")
+    rows = statement_rows(with_holder, text_col).withColumn("_alias_words", padded_alias_words(raw))
+    rows = rows.withColumn("_merchant", normalise_merchant(raw, padded=F.col("_alias_words")))
     rows = rows.withColumn("_padded", padded_words(F.concat_ws(" . ", "raw_description", "_merchant")))
     rows = rows.withColumn("_cat", first_rule(F.col("_padded")))
     cat = F.col("_cat")

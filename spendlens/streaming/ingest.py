@@ -42,14 +42,16 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions.clean import MONEY_COLUMNS, clean_transactions
-from spendlens.operators.dedup import KEY_DIGESTS, candidate_history, key_digests, new_rows_by_upload
+from spendlens.operators.dedup import DEFAULT_BROADCAST_LIMIT, KEY_DIGESTS, candidate_history, key_digests, new_rows_by_upload
 from spendlens.operators.quality import OUT_OF_RANGE, out_of_range, violation_names, with_violation
 from spendlens.operators.recurring import STATE, batch_state, merged_state, with_recurring
 from spendlens.operators.rollup import ROLLUP, daily_rollup, merged_rollup, rollup_rows
@@ -86,8 +88,8 @@ QUARANTINE_SCHEMA = "doc_id string, user_id long, text string, reason string, up
 PREFIX_DIGITS = 1
 # Bytes of landed files that a batch takes (one larger file is a batch by itself).
 BATCH_BYTES = 256 << 20
-# Documents of a batch up to which their keys (user, digest, ids: about 150 bytes each) and the
-# log entries reduced to them are broadcast.
+# Known documents of a batch up to which their keys (user, digest, ids: about 150 bytes each) are
+# broadcast.
 LOG_BROADCAST_LIMIT = 100_000
 
 
@@ -118,38 +120,57 @@ def _open_store(spark: SparkSession, tx_path: str, log_path: str) -> None:
             commits.create_small(spark, path, other)
 
 
-def _unseen_documents(docs: DataFrame, log: DataFrame) -> DataFrame:
+def _unseen_documents(docs: DataFrame, log: DataFrame, held: list[DataFrame] | None = None,
+                      broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """Documents still to ingest (I2). Skipped: the same bytes of the same user in an earlier
     upload (memoised extraction: its rows are stored, so every one would be skipped anyway) and
     the same document of the same upload (already ingested). Identical documents inside one
     upload both count, as two uploaded copies would.
 
     The log grows with every document ever ingested. Only the folders of the batch's digest
-    prefixes are read (at most 16 ** PREFIX_DIGITS values), and it is reduced to the batch's own keys:
-    per (user, digest) one row with the first upload, and the batch's documents found in it.
-    Both are aggregated map-side, so a digest with very many entries stays one row per task, and
-    neither is larger than the batch; when that is counted to be small they are broadcast.
-
-    What is looked up are keys without their texts; the texts are joined with the documents found
-    to be known only, and pass untouched where there are none.
+    prefixes are read (at most 16 ** PREFIX_DIGITS values), and it is reduced in the scan to the
+    entries whose 64-bit digest of (user, content) the batch holds: up to ``broadcast_limit``
+    documents these digests are broadcast, so that neither the log nor the batch's keys are
+    shuffled. Only what is left on both sides is compared exactly: per (user, content) one row with
+    the first upload, and the entries themselves, both aggregated map-side, so a digest with very
+    many entries stays one row per task.
+
+    The texts are joined with the documents found to be known only, and pass untouched where there
+    are none. Few known documents are broadcast; of more, a 64-bit digest of the whole key is, once
+    it is counted to hit no other document of the batch. ``held`` takes the frames cached for it,
+    for the caller to release.
     """
-    ident = ["user_id", "content_sha"]
-    keys = docs.select(*ident, "upload_id", "doc_id").distinct()
+    ident, key = ["user_id", "content_sha"], ["user_id", "content_sha", "upload_id", "doc_id"]
+    keys = docs.select(*key)
     n, prefixes = keys.agg(F.count(F.lit(1)), F.collect_set(_prefix(F.col("content_sha")))).first()
     log = log.filter(F.col("sha_prefix").isin(prefixes) if prefixes else F.lit(False))
-    sized = F.broadcast if n <= LOG_BROADCAST_LIMIT else (lambda df: df)
-    first = (
-        log.join(sized(keys.select(*ident).distinct()), ident, "left_semi")
-        .groupBy(*ident)
-        .agg(F.min("upload_id").alias("_first"))
-    )
-    same = log.join(sized(keys), [*ident, "upload_id", "doc_id"], "left_semi")
-    same = same.select(*ident, "upload_id", "doc_id").distinct()
-    resent = keys.join(sized(first), ident).filter(F.col("_first") < F.col("upload_id")).drop("_first")
-    known = resent.unionByName(same).withColumnsRenamed({c: f"_k_{c}" for c in keys.columns})
-    n_known = known.limit(LOG_BROADCAST_LIMIT + 1).count()
+
+    def of_digests(df: DataFrame, of: DataFrame, rows: int) -> DataFrame:
+        wanted = of.select(F.xxhash64(*ident).alias("_d"))
+        df = df.select(*key, F.xxhash64(*ident).alias("_d"))
+        return df.join(F.broadcast(wanted) if rows <= broadcast_limit else wanted, "_d", "left_semi").drop("_d")
+
+    cached = [] if held is None else held
+    near = of_digests(log, keys, n).persist()
+    cached.append(near)
+    n_near = near.count()
+    if n_near == 0:
+        return docs
+    first = near.groupBy(*ident).agg(F.min("upload_id").alias("_first"))
+    same = near.distinct().withColumn("_same", F.lit(True))
+    # One row per document of the batch: first and same are unique on what they are joined by.
+    known = of_digests(keys, near, n_near).join(first, ident, "left").join(same, key, "left")
+    known = known.filter((F.col("_first") < F.col("upload_id")) | F.col("_same"))
+    known = known.select(*[F.col(c).alias(f"_k_{c}") for c in key]).persist()
+    cached.append(known)
+    n_known = known.count()
     if n_known == 0:
         return docs
+    if LOG_BROADCAST_LIMIT < n_known <= broadcast_limit:
+        marks = F.broadcast(known.select(F.xxhash64(*known.columns).alias("_mark")))
+        marked = docs.withColumn("_mark", F.xxhash64(*key))
+        if marked.select("_mark").join(marks, "_mark", "left_semi").count() == n_known:
+            return marked.join(marks, "_mark", "left_anti").drop("_mark")
     if n_known <= LOG_BROADCAST_LIMIT:
         known = F.broadcast(known)
     of_user = [docs[c] == known[f"_k_{c}"] for c in (*ident, "upload_id")]
@@ -186,10 +207,11 @@ def _broken_lines(docs: DataFrame) -> DataFrame:
                                        F.lit("unparsed_line").alias("reason"), "upload_id")
 
 
-# What a kind of document means: (reason why it gives no rows, its rows, lines put aside).
-KINDS: dict[str, tuple[Callable, Callable, Callable]] = {
-    "answers": (_answers, _answer_rows, _no_lines),
-    "statements": (statement_reasons, statement_records, _broken_lines),
+# What a kind of document means: (reason why it gives no rows, its rows, lines put aside, whether
+# the reason is dear enough to cache the documents with it).
+KINDS: dict[str, tuple[Callable, Callable, Callable, bool]] = {
+    "answers": (_answers, _answer_rows, _no_lines, True),
+    "statements": (statement_reasons, statement_records, _broken_lines, False),
 }
 
 
@@ -205,7 +227,7 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     there, nothing is done.
     """
     spark = docs.sparkSession
-    reasons, to_rows, lines_aside = KINDS[kind]
+    reasons, to_rows, lines_aside, dear = KINDS[kind]
     batch = f"{run_id}-{batch_id:012d}"
     _open_store(spark, tx_path, log_path)
     markers = commits.committed(spark, tx_path)
@@ -218,12 +240,15 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     if CORRUPT not in hashed.columns:
         hashed = hashed.withColumn(CORRUPT, F.lit(None).cast("string"))
     hashed = hashed.withColumn("content_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).persist()
+    held = [hashed]
     log = commits.read_committed(spark, log_path, "log", LOG_SCHEMA, markers)
     broken = hashed.filter(F.col(CORRUPT).isNotNull())
     fresh = hashed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     if any("log" in m["parts"] for m in markers):
-        fresh = _unseen_documents(fresh, log)
-    checked = reasons(fresh).persist()
+        fresh = _unseen_documents(fresh, log, held)
+    checked = reasons(fresh)
+    if dear:
+        held.append(checked.persist())
     done, failed = checked.filter(F.col("reason").isNull()), checked.filter(F.col("reason").isNotNull())
     # Parsed once, reused by the dedup sizing pass and the write (bounded by the batch size:
     # maxBytesPerTrigger). The counts of violations come with the pass that fills the cache.
@@ -231,7 +256,7 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     of = F.col("violation")
     parsed = with_violation(to_rows(done.drop("content_sha", "reason")), users)
     parsed = parsed.observe(seen, *[F.count(F.when(of == v, 1)).alias(v) for v in violation_names()]).persist()
-    parts, max_id, counts = [], None, {}
+    parts, max_id, counts, writes = [], None, {}, []
     try:
         n_rows = parsed.count()
         if n_rows:
@@ -252,10 +277,12 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
             # The rows are checkpointed by assign_ids: their highest id is a scan of that column.
             max_id = out.agg(F.max("transaction_id")).first()[0]
             if max_id is not None:
-                _write(_laid_out(out), tx_path, attempt, ROW_FOLDERS)
-                _write(_in_folders(batch_state(out), STATE_FOLDERS), state_path(tx_path), attempt, STATE_FOLDERS)
-                _write(_in_folders(key_digests(out), STATE_FOLDERS), digest_path(tx_path), attempt, STATE_FOLDERS)
-                _write(_in_folders(daily_rollup(out), STATE_FOLDERS), rollup_path(tx_path), attempt, STATE_FOLDERS)
+                writes += [
+                    (_laid_out(out), tx_path, attempt, ROW_FOLDERS),
+                    (_in_folders(batch_state(out), STATE_FOLDERS), state_path(tx_path), attempt, STATE_FOLDERS),
+                    (_in_folders(key_digests(out), STATE_FOLDERS), digest_path(tx_path), attempt, STATE_FOLDERS),
+                    (_in_folders(daily_rollup(out), STATE_FOLDERS), rollup_path(tx_path), attempt, STATE_FOLDERS),
+                ]
                 parts += ["rows", "recurring", "digests", "rollup"]
         record = F.to_json(F.struct(*[c for c in INSERT_COLUMNS if c in parsed.columns]))
         aside = [
@@ -264,21 +291,31 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
             broken.select("doc_id", "user_id", F.col(CORRUPT).alias("text"), F.lit("broken_line").alias("reason"), "upload_id"),
             lines_aside(done),
         ]
-        _write(reduce(DataFrame.unionByName, [a for a in aside if a is not None]), quarantine_path(log_path), attempt)
+        writes.append((reduce(DataFrame.unionByName, [a for a in aside if a is not None]), quarantine_path(log_path), attempt))
         entries = done.select("doc_id", "user_id", "content_sha", "upload_id", F.lit(max_id).cast("long").alias("max_id"),
                               _prefix(F.col("content_sha")).alias("sha_prefix"))
-        _write(_in_folders(entries, LOG_FOLDERS), log_path, attempt, LOG_FOLDERS)
+        writes.append((_in_folders(entries, LOG_FOLDERS), log_path, attempt, LOG_FOLDERS))
+        _write_all(spark, writes)
         commits.commit(spark, tx_path, batch, attempt, [*parts, "quarantine", "log"], max_id, counts=counts)
     finally:
         parsed.unpersist()
-        checked.unpersist()
-        hashed.unpersist()
+        for frame in reversed(held):
+            frame.unpersist()
 
 
 def _write(df: DataFrame, path: str, attempt: str, folders: tuple[str, ...] = ()) -> None:
     df.write.partitionBy(*folders).parquet(commits.folder(path, attempt))
 
 
+def _write_all(spark: SparkSession, writes: list[tuple]) -> None:
+    """The tables of a batch, written side by side: none waits for another one's last task. Their
+    jobs belong to the caller's job group; the first failure is raised once all have ended."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(_write), *w) for w in writes]
+    for job in jobs:
+        job.result()
+
+
 def _in_folders(df: DataFrame, folders: tuple[str, ...]) -> DataFrame:
     """A folder's rows in one task, or in a few where there are many of them: one file or so per
     folder and batch, not one per folder and task."""

@@ -176,3 +176,24 @@ def test_statements_are_extracted_once_for_an_ingest(spark):
     plan = called.call_args[0][0]._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "regexp" not in plan
     assert [(r.transaction_id, r.user_id, float(r.amount_spent), r.is_subscription) for r in rows] == [(1, 1, 12.5, False)]
+
+
+def test_words_are_cut_at_every_character_but_letters_digits_ampersand_and_dot(spark):
+    from spendlens.operators.enrich import _phrase, padded_words
+
+    texts = ["A&W.CO-1/2", "x:@y[z]{~}", "caf\u00e9 \U0001f355pizza", "\x00\x1fB%'(+,", "..&", "", "\U0010ffffQ"]
+    want = [" " + " ".join("".join(c if c in "&." or (c.isascii() and c.isalnum()) else " " for c in t.upper()).split()) + " " for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[1] for r in sorted(df.select("i", padded_words(F.col("t"))).collect())] == want
+    assert [f" {_phrase(t)} " for t in texts] == want
+
+
+def test_the_words_of_a_statement_line_are_cut_once_for_all_aliases(spark):
+    from spendlens.operators.enrich import ALIAS_SPLIT_RE
+    from spendlens.operators.statement_lines import statement_records
+
+    docs = spark.createDataFrame([("d", 1, 2024, 3, "Mar 01 Mar 02 NETFLIX.COM 5.00")],
+                                 "doc_id string, user_id long, statement_year int, statement_month int, text string")
+    records = statement_records(docs)
+    assert records._jdf.queryExecution().optimizedPlan().toString().count(ALIAS_SPLIT_RE) == 1
+    assert records.first().activity_description == "NETFLIX"

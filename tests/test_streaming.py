@@ -451,3 +451,73 @@ def test_texts_and_rows_pass_unjoined_where_nothing_came_before(spark):
     rows = ingest._answer_rows(other.drop("content_sha"))
     new = new_rows_by_upload(rows, ingest.read_stored(spark, f"{root}/tx"), broadcast_limit=1)
     assert "Join" not in new._jdf.queryExecution().executedPlan().toString() and new.count() == 5
+
+
+def test_neither_log_nor_texts_are_shuffled_for_many_known_documents(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from spendlens.sources import commits
+    from spendlens.streaming import ingest
+
+    root = f"{checkpoint_root(spark)}/test-known-{uuid.uuid4().hex[:8]}"
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    docs = spark.createDataFrame([_doc(f"d{i}", i, (f"S{i}", "1.00", 1)) + (2,) for i in range(6)], schema)
+    ingest_batch(docs, f"{root}/tx", f"{root}/log", 0)
+    log = commits.read_committed(spark, f"{root}/log", "log", ingest.LOG_SCHEMA, commits.committed(spark, f"{root}/tx"))
+    hashed = docs.withColumn("content_sha", F.sha2("text", 256))
+    again = hashed.withColumn("upload_id", F.when(F.col("user_id") == 1, 1).otherwise(3).cast("long"))
+    again = again.withColumn("doc_id", F.when(F.col("user_id") != 4, F.concat(F.lit("again-"), "doc_id")))
+    mixed = again.unionByName(hashed.filter("user_id < 2")).unionByName(hashed.withColumn("user_id", F.col("user_id") + 100))
+    want = [(1, 1), *[(u, 2) for u in range(100, 106)]]
+    monkeypatch.setattr(ingest, "LOG_BROADCAST_LIMIT", 2)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = ingest._unseen_documents(mixed, log)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert [line for line in plan.splitlines() if "LeftAnti" in line and "SortMergeJoin" in line] == []
+        assert sorted((r.user_id, r.upload_id) for r in left.collect()) == want
+        # Beyond the bound of the broadcasts, and with a mark that hits too many, the join is the exact one.
+        exact = ingest._unseen_documents(mixed, log, broadcast_limit=3)
+        assert "SortMergeJoin" in exact._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.user_id, r.upload_id) for r in exact.collect()) == want
+        with monkeypatch.context() as m:
+            m.setattr(ingest.F, "xxhash64", lambda *cols: F.lit(7).cast("long"))
+            clash = ingest._unseen_documents(mixed, log)
+            assert sorted((r.user_id, r.upload_id) for r in clash.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_the_tables_of_a_batch_are_written_side_by_side(spark, monkeypatch):
+    import threading
+
+    from spendlens.streaming import ingest
+
+    root = f"{checkpoint_root(spark)}/test-side-{uuid.uuid4().hex[:8]}"
+    docs = spark.createDataFrame([_doc("a", 1, ("TEA", "2.00", 1))], "doc_id string, user_id long, text string")
+    all_at_once, write = threading.Barrier(6), ingest._write
+
+    def waiting(*args):
+        all_at_once.wait(60)
+        write(*args)
+
+    monkeypatch.setattr(ingest, "_write", waiting)
+    ingest_batch(docs, f"{root}/tx", f"{root}/log", 0)
+    assert read_transactions(spark, f"{root}/tx").count() == 1
+
+
+def test_the_rollup_is_read_without_a_shuffle(spark):
+    from spendlens.operators import analytics as A
+    from spendlens.streaming.ingest import read_rollup
+
+    root = f"{checkpoint_root(spark)}/test-rollup-plan-{uuid.uuid4().hex[:8]}"
+    schema = "doc_id string, user_id long, text string, upload_id long"
+    for n in (1, 2):  # the same key in two batches, with another amount
+        docs = spark.createDataFrame([_doc(f"d{n}", 1, ("TEA", f"{n}.50", 1), ("BACK", f"-{n}.00", 1)) + (n,)], schema)
+        ingest_batch(docs, f"{root}/tx", f"{root}/log", n)
+    rollup = read_rollup(spark, f"{root}/tx")
+    assert "Exchange" not in rollup._jdf.queryExecution().executedPlan().toString()
+    top = A.top_merchants(A.period_filter(rollup), 10, ["user_id"]).collect()
+    assert [r.transaction_count for r in top if "TEA" in tuple(r)] == [2]
+    assert A.overview(rollup, ["user_id"]).first().active_days == 1
