@@ -24,6 +24,12 @@ def utrim(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def has_text(c: Column) -> Column:
+    """Whether a text holds anything but blanks, tabs and line ends; the search ends at the first
+    character that is none of these. Null for a null text."""
+    return c.rlike("[^ \\t\\r\\n]")
+
+
 def strip_fences(c: Column) -> Column:
     """Remove code fences around a model response, by character sets (not prefixes):
     surrounding whitespace, then any leading run of the characters ` j s o n, then any

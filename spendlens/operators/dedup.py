@@ -216,12 +216,17 @@ def new_rows_by_upload(incoming: DataFrame, history: DataFrame, upload_col: str
 
     Only keys are shuffled to find those that came again: they are checkpointed (the join then has
     two plain shuffles, which AQE can split) and counted. Without any the rows pass untouched; few
-    are broadcast.
+    are broadcast. An incoming batch of one upload has nothing earlier of its own: where the stored keys
+    are reduced to its own by a broadcast, its keys are not shuffled at all.
     """
-    hk, _ = stored_keys(incoming, history, broadcast_limit, extra=[upload_col])
+    hk, small = stored_keys(incoming, history, broadcast_limit, extra=[upload_col])
     own = F.col(upload_col).cast("long")
     keys = hk.select(*KEY_COLUMNS, F.coalesce(own, F.lit(-1)).alias("_k_up"), F.lit(None).cast("long").alias("_k_own"))
-    keys = keys.unionByName(with_keys(incoming).select(*KEY_COLUMNS, own.alias("_k_up"), own.alias("_k_own")))
+    n_rows, n_own, lo, hi = incoming.agg(F.count(F.lit(1)), F.count(own), F.min(own), F.max(own)).first()
+    if small and n_own == n_rows and lo == hi:
+        keys = keys.withColumn("_k_own", F.lit(hi).cast("long"))
+    else:
+        keys = keys.unionByName(with_keys(incoming).select(*KEY_COLUMNS, own.alias("_k_up"), own.alias("_k_own")))
     first = keys.groupBy(*KEY_COLUMNS).agg(F.min("_k_up").alias("_k_first"), F.max("_k_own").alias("_k_last"))
     checkpoint_root(first.sparkSession)
     again = first.filter(F.col("_k_first") < F.col("_k_last")).drop("_k_last").checkpoint()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.functions.text import utrim
+from spendlens.functions.text import has_text, utrim
 from spendlens.schema import MONEY
 
 # Fixed patterns of the statement layout.
@@ -58,18 +58,25 @@ def unparsed_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return _dated_lines(docs, text_col).filter(F.col("_f").isNull()).drop("_f")
 
 
+# The text of a line that looks like a transaction but does not parse, where such rows are asked for.
+UNPARSED = "_unparsed"
+
+
 def statement_rows(docs: DataFrame, text_col: str = "text", year_col: str = "statement_year",
-                   month_col: str | None = "statement_month") -> DataFrame:
+                   month_col: str | None = "statement_month", unparsed: bool = False) -> DataFrame:
     """One row per transaction line, in statement order (``position``), with the raw
     line, typed dates, description, signed amount and the statement's credit figures.
-    Lines that look like transactions but do not parse are given by ``unparsed_lines``."""
+    Lines that look like transactions but do not parse are given by ``unparsed_lines``; with
+    ``unparsed`` they are rows too, without values and with their text as ``_unparsed``."""
     keep = [c for c in docs.columns if c != text_col]
     text = F.col(text_col)
     lines = _dated_lines(docs, text_col, {
         "credit_limit": _amount(F.regexp_extract(text, CREDIT_LIMIT_RE, 1)),
         "statement_available_credit": _amount(F.regexp_extract(text, AVAILABLE_RE, 1)),
-    }).filter(F.col("_f").isNotNull())
+    })
     f = F.col("_f")
+    if not unparsed:
+        lines = lines.filter(f.isNotNull())
     amount = _amount(f[3])
     is_credit = (f[4] != "") | (amount < 0)
     month = F.col(month_col) if month_col and month_col in docs.columns else None
@@ -82,6 +89,7 @@ def statement_rows(docs: DataFrame, text_col: str = "text", year_col: str = "sta
         # Debits positive, credits/returns negative.
         F.when(is_credit, -F.abs(amount)).otherwise(F.abs(amount)).alias("amount_spent"),
         "credit_limit", "statement_available_credit",
+        *([F.when(f.isNull(), F.col("line")).alias(UNPARSED)] if unparsed else []),
     )
 
 
@@ -97,17 +105,18 @@ HOLDER_NAMES_RE = r"^(\S+)(?:\s+(.*))?$"
 
 def statement_reasons(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``reason``: why a statement gives no rows, null for a usable one."""
-    blank = F.length(F.trim(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\r\n\t", ""))) == 0
+    blank = ~F.coalesce(has_text(F.col(text_col)), F.lit(False))
     reason = F.when(blank, F.lit("empty")).when(F.col("user_id").isNull(), F.lit("no_account"))
     return docs.withColumn("reason", reason.when(F.col("statement_year").isNull(), F.lit("no_period")))
 
 
-def statement_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def statement_records(docs: DataFrame, text_col: str = "text", unparsed: bool = False) -> DataFrame:
     """Statement lines as typed transaction rows with every table column: the holder from
     the header, split into names, and the customer id from them (X3), the merchant simplified
     (X4), category by rule (X5, X6), unknown text '' (X11), available credit running from the
     statement value (X8, within the statement). ``is_subscription`` is false here: it needs the
-    user's history, see ``statement_ingest``."""
+    user's history, see ``statement_ingest``. With ``unparsed`` the lines that do not parse are rows
+    as well, their text in ``_unparsed``: a text is then cut into lines once for both."""
     from spendlens.functions.dates import add_calendar_features
     from spendlens.operators.enrich import customer_id, first_rule, normalise_merchant, padded_alias_words, padded_words
 
@@ -118,16 +127,20 @@ def statement_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # instead of repeating their expressions once per alias or rule. The rules see the words of the whole description,
     # which an alias may cut, and behind a border that no phrase crosses those of the merchant.
     raw = F.col("raw_description")
-    rows = statement_rows(with_holder, text_col).withColumn("_alias_words", padded_alias_words(raw))
+    rows = statement_rows(with_holder, text_col, unparsed=unparsed).withColumn("_alias_words", padded_alias_words(raw))
     rows = rows.withColumn("_merchant", normalise_merchant(raw, padded=F.col("_alias_words")))
     rows = rows.withColumn("_padded", padded_words(F.concat_ws(" . ", "raw_description", "_merchant")))
     rows = rows.withColumn("_cat", first_rule(F.col("_padded")))
     cat = F.col("_cat")
     first, last = F.regexp_extract("_holder", HOLDER_NAMES_RE, 1), F.regexp_extract("_holder", HOLDER_NAMES_RE, 2)
     rows = rows.withColumns({"f_name": F.when(first != "", first), "l_name": F.when(last != "", last)})
-    stmt = Window.partitionBy(*keys).orderBy("position")  # one statement: a bounded group
+    # One statement: a bounded group. Numbers first: names of documents that begin alike sort slowly.
+    texts = {f.name for f in docs.schema.fields if f.dataType.simpleString() == "string"}
+    stmt = Window.partitionBy(*sorted(keys, key=lambda k: k in texts)).orderBy("position")
     upto = stmt.rowsBetween(Window.unboundedPreceding, 0)
+    # Lines that do not parse have no amount and are not the first of their statement.
     amount = F.coalesce("amount_spent", F.lit(0))
+    amount = F.when(F.col(UNPARSED).isNull(), amount) if unparsed else amount
     out = rows.select(
         *keys, "position",
         F.when(F.col("_holder") != "", customer_id(F.col("f_name"), F.col("l_name"))).alias("customer_id"),
@@ -138,9 +151,10 @@ def statement_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
         cat["category"].alias("category"),
         cat["sub_category"].alias("sub_category"),
         "amount_spent", "credit_limit",
-        (F.col("statement_available_credit") + F.sum(amount).over(upto) - F.first(amount).over(upto)).try_cast(MONEY)
-        .alias("available_credit"),
+        (F.col("statement_available_credit") + F.sum(amount).over(upto) - F.first(amount, ignorenulls=unparsed).over(upto))
+        .try_cast(MONEY).alias("available_credit"),
         F.lit(False).alias("is_subscription"),
+        *([UNPARSED] if unparsed else []),
     )
     out = fill_unknown_text(out, ["customer_id", "f_name", "l_name", "address"])
     return add_calendar_features(out)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.functions.text import has_text
+
 
 def assemble_documents(pages: DataFrame, extra: list[str] | None = None, page_end: str = "") -> DataFrame:
     """Concatenate each document's pages in page order, with no separator unless ``page_end`` is
@@ -46,7 +48,7 @@ def statement_documents(files: DataFrame) -> DataFrame:
     statement, numbered where form feeds separate several in a file, with the account number and
     the period of its header as columns (null where missing)."""
     pieces = files.select("file", "upload_id", F.posexplode(F.split("value", "\f")).alias("_n", "text"))
-    found = pieces.filter((F.col("_n") == 0) | (F.length(F.trim(F.translate("text", "\r\n\t", ""))) > 0))
+    found = pieces.filter((F.col("_n") == 0) | (has_text(F.col("text"))))
     return found.select(
         F.concat_ws("#", "file", F.col("_n").cast("string")).alias("doc_id"),
         F.regexp_extract("text", ACCOUNT_RE, 1).try_cast("long").alias("user_id"),

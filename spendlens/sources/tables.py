@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS, USERS
-from spendlens.session import checkpoint_root
+from spendlens.session import scratch_path
 from spendlens.sources import commits
 
 
@@ -131,18 +131,21 @@ def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str, base: int
                order: list[str] | None = None) -> DataFrame:
     """Surrogate keys (K1): dense above every existing id, in ``order`` when it is given.
 
-    The rows are range-partitioned and sorted by ``order`` and checkpointed, which fixes them to
-    their partitions; a row's id is the highest existing id, plus the rows of the partitions
-    before its own (one count per partition), plus its place in its partition. No global window,
+    The rows are range-partitioned and sorted by ``order`` and written once to the shared folder, each
+    with its partition and its place there, which fixes both; a row's id is the highest existing id,
+    plus the rows of the partitions before its own (one count per partition), plus its place in its
+    partition. What is written is columns: a reader of few of them does not read the rest. No global window,
     and no part of the id space is spent on gaps. The highest id is a scan of the ids, unless a
     writer that keeps its own high-water mark passes it as ``base``.
     """
     spark = new_rows.sparkSession
     if base is None:
         base = existing.select(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]
-    checkpoint_root(spark)
     rows = new_rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else new_rows
-    rows = rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).checkpoint()
+    rows = rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    path = scratch_path(spark, "ids")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     counts = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}  # one per partition
     starts, total = [], int(base)
     for part in range(max(counts, default=0) + 1):

@@ -55,7 +55,7 @@ from spendlens.operators.dedup import DEFAULT_BROADCAST_LIMIT, KEY_DIGESTS, cand
 from spendlens.operators.quality import OUT_OF_RANGE, out_of_range, violation_names, with_violation
 from spendlens.operators.recurring import STATE, batch_state, merged_state, with_recurring
 from spendlens.operators.rollup import ROLLUP, daily_rollup, merged_rollup, rollup_rows
-from spendlens.operators.statement_lines import statement_records, statement_reasons, unparsed_lines
+from spendlens.operators.statement_lines import UNPARSED, statement_reasons, statement_records
 from spendlens.schema import INSERT_COLUMNS, TRANSACTIONS, TX_COLUMNS
 from spendlens.sources import commits
 from spendlens.sources.extraction import extraction_reasons, extraction_rows
@@ -86,8 +86,12 @@ LOG_SCHEMA = ("doc_id string, user_id long, content_sha string, upload_id long,
 QUARANTINE_SCHEMA = "doc_id string, user_id long, text string, reason string, upload_id long, ingest_batch string"
 # Hexadecimal digits of a digest that name its log folder: 16 folders a batch at most.
 PREFIX_DIGITS = 1
+# Reason of a statement's lines that look like transactions but do not parse.
+UNPARSED_LINE = "unparsed_line"
 # Bytes of landed files that a batch takes (one larger file is a batch by itself).
 BATCH_BYTES = 256 << 20
+# A batch of that size is cut into no smaller tasks than this.
+TASK_BYTES = 4 << 20
 # Known documents of a batch up to which their keys (user, digest, ids: about 150 bytes each) are
 # broadcast.
 LOG_BROADCAST_LIMIT = 100_000
@@ -198,20 +202,16 @@ def _answer_rows(docs: DataFrame) -> DataFrame:
     return clean_transactions(extraction_rows(docs).withColumn(OUT_OF_RANGE, out_of_range(list(MONEY_COLUMNS))))
 
 
-def _no_lines(docs: DataFrame) -> DataFrame | None:
-    return None
+def _statement_rows(docs: DataFrame) -> DataFrame:
+    """Rows of statements, and of their lines that do not parse (``UNPARSED``), in one pass."""
+    return statement_records(docs, unparsed=True)
 
 
-def _broken_lines(docs: DataFrame) -> DataFrame:
-    return unparsed_lines(docs).select("doc_id", "user_id", F.col("line").alias("text"),
-                                       F.lit("unparsed_line").alias("reason"), "upload_id")
-
-
-# What a kind of document means: (reason why it gives no rows, its rows, lines put aside, whether
-# the reason is dear enough to cache the documents with it).
-KINDS: dict[str, tuple[Callable, Callable, Callable, bool]] = {
-    "answers": (_answers, _answer_rows, _no_lines, True),
-    "statements": (statement_reasons, statement_records, _broken_lines, False),
+# What a kind of document means: (reason why it gives no rows, its rows, whether the reason is too
+# dear to be found for documents that are skipped as known).
+KINDS: dict[str, tuple[Callable, Callable, bool]] = {
+    "answers": (_answers, _answer_rows, True),
+    "statements": (statement_reasons, _statement_rows, False),
 }
 
 
@@ -227,7 +227,7 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     there, nothing is done.
     """
     spark = docs.sparkSession
-    reasons, to_rows, lines_aside, dear = KINDS[kind]
+    reasons, to_rows, dear = KINDS[kind]
     batch = f"{run_id}-{batch_id:012d}"
     _open_store(spark, tx_path, log_path)
     markers = commits.committed(spark, tx_path)
@@ -239,14 +239,16 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     hashed = docs.withColumn("upload_id", upload)
     if CORRUPT not in hashed.columns:
         hashed = hashed.withColumn(CORRUPT, F.lit(None).cast("string"))
-    hashed = hashed.withColumn("content_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).persist()
+    hashed = hashed.withColumn("content_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    # A cheap reason is cached beside the text, so that the log and the quarantine do not read texts.
+    hashed = (hashed if dear else reasons(hashed)).persist()
     held = [hashed]
     log = commits.read_committed(spark, log_path, "log", LOG_SCHEMA, markers)
     broken = hashed.filter(F.col(CORRUPT).isNotNull())
     fresh = hashed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     if any("log" in m["parts"] for m in markers):
         fresh = _unseen_documents(fresh, log, held)
-    checked = reasons(fresh)
+    checked = reasons(fresh) if dear else fresh
     if dear:
         held.append(checked.persist())
     done, failed = checked.filter(F.col("reason").isNull()), checked.filter(F.col("reason").isNotNull())
@@ -255,13 +257,19 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
     seen = Observation()
     of = F.col("violation")
     parsed = with_violation(to_rows(done.drop("content_sha", "reason")), users)
-    parsed = parsed.observe(seen, *[F.count(F.when(of == v, 1)).alias(v) for v in violation_names()]).persist()
+    text_aside = F.to_json(F.struct(*[c for c in INSERT_COLUMNS if c in parsed.columns]))
+    if UNPARSED in parsed.columns:
+        line = F.col(UNPARSED)
+        parsed = parsed.withColumn("violation", F.when(line.isNull(), of).otherwise(UNPARSED_LINE))
+        text_aside = F.coalesce(line, text_aside)
+    parsed = parsed.observe(seen, *[F.count(F.when(of == v, 1)).alias(v) for v in (*violation_names(), UNPARSED_LINE)]).persist()
     parts, max_id, counts, writes = [], None, {}, []
     try:
         n_rows = parsed.count()
         if n_rows:
             counts = {k: v for k, v in seen.get.items() if v}
-        rows = parsed.filter(of.isNull()).drop("violation")
+        n_rows -= counts.pop(UNPARSED_LINE, 0)
+        rows = parsed.filter(of.isNull()).drop("violation", UNPARSED)
         if n_rows > sum(counts.values()):  # P13: nothing to dedup or write for an empty batch
             history = read_stored(spark, tx_path, markers)
             if markers:
@@ -274,24 +282,25 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
                              order=["upload_id", "doc_id", "position"])
             out = out.select(*TX_COLUMNS, "upload_id").withColumn(
                 "user_bucket", user_bucket(F.col("user_id"), user_buckets(spark)))
-            # The rows are checkpointed by assign_ids: their highest id is a scan of that column.
+            # The rows are written by assign_ids: their highest id is a scan of two columns.
             max_id = out.agg(F.max("transaction_id")).first()[0]
             if max_id is not None:
+                # The rows of a folder in one task, which groups them and writes them: a single shuffle.
+                # They are a part of one batch, however many belong to one user.
+                by_folder = out.repartition(*STATE_FOLDERS)
                 writes += [
                     (_laid_out(out), tx_path, attempt, ROW_FOLDERS),
-                    (_in_folders(batch_state(out), STATE_FOLDERS), state_path(tx_path), attempt, STATE_FOLDERS),
-                    (_in_folders(key_digests(out), STATE_FOLDERS), digest_path(tx_path), attempt, STATE_FOLDERS),
-                    (_in_folders(daily_rollup(out), STATE_FOLDERS), rollup_path(tx_path), attempt, STATE_FOLDERS),
+                    (batch_state(by_folder), state_path(tx_path), attempt, STATE_FOLDERS),
+                    (key_digests(by_folder), digest_path(tx_path), attempt, STATE_FOLDERS),
+                    (daily_rollup(by_folder), rollup_path(tx_path), attempt, STATE_FOLDERS),
                 ]
                 parts += ["rows", "recurring", "digests", "rollup"]
-        record = F.to_json(F.struct(*[c for c in INSERT_COLUMNS if c in parsed.columns]))
         aside = [
-            parsed.filter(of.isNotNull()).select("doc_id", "user_id", record.alias("text"), of.alias("reason"), "upload_id"),
+            parsed.filter(of.isNotNull()).select("doc_id", "user_id", text_aside.alias("text"), of.alias("reason"), "upload_id"),
             failed.select("doc_id", "user_id", "text", "reason", "upload_id"),
             broken.select("doc_id", "user_id", F.col(CORRUPT).alias("text"), F.lit("broken_line").alias("reason"), "upload_id"),
-            lines_aside(done),
         ]
-        writes.append((reduce(DataFrame.unionByName, [a for a in aside if a is not None]), quarantine_path(log_path), attempt))
+        writes.append((reduce(DataFrame.unionByName, aside), quarantine_path(log_path), attempt))
         entries = done.select("doc_id", "user_id", "content_sha", "upload_id", F.lit(max_id).cast("long").alias("max_id"),
                               _prefix(F.col("content_sha")).alias("sha_prefix"))
         writes.append((_in_folders(entries, LOG_FOLDERS), log_path, attempt, LOG_FOLDERS))
@@ -489,4 +498,9 @@ def run_statement_stream(spark: SparkSession, landing: str, tx_path: str, log_pa
         .load(landing)
         .select("value", "upload_id", F.col("_metadata.file_path").alias("file"))
     )
-    _run(spark, stream, statement_documents, tx_path, log_path, checkpoint, "statements", users)
+    # A file is one task, however many statements it holds: these are dealt out, so that they are cut
+    # into lines evenly, and a statement's running credit needs no shuffle of its lines. A cached frame
+    # keeps its number of tasks, so it is that of a batch of bounded bytes where the batch is one.
+    n = [min(2 * spark.sparkContext.defaultParallelism, BATCH_BYTES // TASK_BYTES)] if max_files_per_trigger is None else []
+    _run(spark, stream, lambda files: statement_documents(files).repartition(*n, "doc_id"), tx_path, log_path, checkpoint,
+         "statements", users)
