@@ -18,7 +18,7 @@ sort-merge or shuffled-hash anti-join, which AQE may still demote to a broadcast
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from spendlens.functions.keys import dedup_key, norm_desc
@@ -56,11 +56,14 @@ def _key_cond(left: DataFrame, right: DataFrame) -> Column:
     return cond
 
 
-def _profile(keys: DataFrame) -> tuple[int, int, list[int], bool, tuple[int | None, int | None], list[int]]:
+def key_profile(incoming: DataFrame, upload_col: str | None = None) -> Row:
     """One pass over the incoming keys: row count, bytes, distinct years (a handful), whether
-    undated rows exist, the range of user ids, and their buckets (at most as many as there are). Cache the incoming batch when it is
-    costly to recompute."""
-    r = keys.agg(
+    undated rows exist, the range of user ids, and their buckets (at most as many as there are); with
+    ``upload_col`` also how many rows have an upload, and the range of these. Cache the incoming batch
+    when it is costly to recompute. A caller of several functions that take it makes it once for all."""
+    own = F.col(upload_col).cast("long") if upload_col else F.lit(None).cast("long")
+    keys = with_keys(incoming).select(*KEY_COLUMNS, own.alias("_own"))
+    return keys.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.coalesce(F.octet_length("_k_desc"), F.lit(0)) + 40), F.lit(0)).alias("size"),
         F.collect_set(F.year("_k_date")).alias("years"),
@@ -68,8 +71,8 @@ def _profile(keys: DataFrame) -> tuple[int, int, list[int], bool, tuple[int | No
         F.min("_k_user").alias("lo"),
         F.max("_k_user").alias("hi"),
         F.collect_set(user_bucket(F.col("_k_user"), user_buckets(keys.sparkSession))).alias("buckets"),
+        F.count("_own").alias("n_own"), F.min("_own").alias("first_own"), F.max("_own").alias("last_own"),
     ).first()
-    return r["n"], r["size"], sorted(r["years"]), bool(r["undated"]), (r["lo"], r["hi"]), sorted(r["buckets"])
 
 
 KEY_DIGESTS = "digest long, user_id long, day date, user_bucket int"
@@ -84,19 +87,17 @@ def key_digests(rows: DataFrame) -> DataFrame:
 
 
 def candidate_history(incoming: DataFrame, digests: DataFrame, history: DataFrame,
-                      broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+                      broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, profile: Row | None = None) -> DataFrame:
     """The part of ``history`` (with its folder columns) that can hold a key of ``incoming``: rows of
     the users, user buckets and years of the digests found. An upload without a stored key reads
     no history at all, and the exact comparison is left to the join that follows.
 
     The digests are read in the incoming rows' bucket folders only; their join broadcasts the
     incoming digests where these are counted to be few."""
-    keys = with_keys(incoming).select(F.xxhash64(*KEY_COLUMNS).alias("digest"), "_k_user")
-    bucket = user_bucket(F.col("_k_user"), user_buckets(incoming.sparkSession))
-    n, buckets = keys.agg(F.count(F.lit(1)), F.collect_set(bucket)).first()
-    near = digests.filter(F.col("user_bucket").isin(buckets) if buckets else F.lit(False))
-    wanted = keys.select("digest")
-    hits = near.join(F.broadcast(wanted) if n <= broadcast_limit else wanted, "digest", "left_semi")
+    of = profile or key_profile(incoming)
+    near = digests.filter(F.col("user_bucket").isin(of["buckets"]) if of["buckets"] else F.lit(False))
+    wanted = with_keys(incoming).select(F.xxhash64(*KEY_COLUMNS).alias("digest"))
+    hits = near.join(F.broadcast(wanted) if of["n"] <= broadcast_limit else wanted, "digest", "left_semi")
     found = hits.agg(
         F.min("user_id").alias("lo"), F.max("user_id").alias("hi"), F.collect_set("user_bucket").alias("buckets"),
         F.collect_set(F.year("day")).alias("years"), F.max(F.col("day").isNull()).alias("undated"),
@@ -110,13 +111,14 @@ def candidate_history(incoming: DataFrame, digests: DataFrame, history: DataFram
 
 
 def stored_keys(incoming: DataFrame, history: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
-                extra: list[str] | None = None) -> tuple[DataFrame, bool]:
+                extra: list[str] | None = None, profile: Row | None = None) -> tuple[DataFrame, bool]:
     """Keys of ``history`` (prefixed ``_k_``, plus ``extra`` history columns) that may match
     ``incoming`` (not distinct), and whether the upload was proven small (at most
     ``broadcast_limit`` rows)."""
     inc_rows = with_keys(incoming).select(*KEY_COLUMNS)
-    n, size, years, undated, (lo, hi), buckets = _profile(inc_rows)
-    hist = history
+    of = profile or key_profile(incoming)
+    n, size, years, undated, buckets = of["n"], of["size"], sorted(of["years"]), bool(of["undated"]), sorted(of["buckets"])
+    lo, hi, hist = of["lo"], of["hi"], history
     if "user_bucket" in history.columns:
         # Folders of other users' buckets are not read (at most as many values as buckets).
         hist = hist.filter(F.col("user_bucket").isin(buckets) if buckets else F.lit(False))
@@ -206,7 +208,7 @@ def flag_duplicates(incoming: DataFrame, history: DataFrame, broadcast_limit: in
 
 
 def new_rows_by_upload(incoming: DataFrame, history: DataFrame, upload_col: str = "upload_id",
-                       broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+                       broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, profile: Row | None = None) -> DataFrame:
     """J1 with uploads as the unit, for inputs that may mix or split uploads.
 
     A row is a duplicate when its key's earliest upload - over the stored rows and the
@@ -219,12 +221,12 @@ def new_rows_by_upload(incoming: DataFrame, history: DataFrame, upload_col: str
     are broadcast. An incoming batch of one upload has nothing earlier of its own: where the stored keys
     are reduced to its own by a broadcast, its keys are not shuffled at all.
     """
-    hk, small = stored_keys(incoming, history, broadcast_limit, extra=[upload_col])
+    of = profile or key_profile(incoming, upload_col)
+    hk, small = stored_keys(incoming, history, broadcast_limit, extra=[upload_col], profile=of)
     own = F.col(upload_col).cast("long")
     keys = hk.select(*KEY_COLUMNS, F.coalesce(own, F.lit(-1)).alias("_k_up"), F.lit(None).cast("long").alias("_k_own"))
-    n_rows, n_own, lo, hi = incoming.agg(F.count(F.lit(1)), F.count(own), F.min(own), F.max(own)).first()
-    if small and n_own == n_rows and lo == hi:
-        keys = keys.withColumn("_k_own", F.lit(hi).cast("long"))
+    if small and of["n_own"] == of["n"] and of["first_own"] == of["last_own"]:
+        keys = keys.withColumn("_k_own", F.lit(of["last_own"]).cast("long"))
     else:
         keys = keys.unionByName(with_keys(incoming).select(*KEY_COLUMNS, own.alias("_k_up"), own.alias("_k_own")))
     first = keys.groupBy(*KEY_COLUMNS).agg(F.min("_k_up").alias("_k_first"), F.max("_k_own").alias("_k_last"))

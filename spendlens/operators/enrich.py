@@ -94,13 +94,19 @@ def alias_words(text: Column) -> Column:
     return F.filter(F.split(F.upper(text), ALIAS_SPLIT_RE), lambda w: w != "")
 
 
+def _spaced(text: Column, separators: str) -> Column:
+    """The upper-cased words of a text, joined by single spaces. ``split`` compiles its pattern anew for
+    every value, ``regexp_replace`` once."""
+    return F.trim(F.regexp_replace(F.upper(text), separators, " "))
+
+
 def alias_phrase(keyword: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in keyword.upper()).split())
 
 
 def padded_alias_words(desc: Column) -> Column:
     """The words of a descriptor with a blank around each: what ``normalise_merchant`` looks in."""
-    return F.concat(F.lit(" "), F.array_join(alias_words(desc), " "), F.lit(" "))
+    return F.concat(F.lit(" "), _spaced(desc, ALIAS_SPLIT_RE), F.lit(" "))
 
 
 def normalise_merchant(desc: Column, aliases: list[tuple[str, str]] | None = None, padded: Column | None = None) -> Column:
@@ -110,7 +116,7 @@ def normalise_merchant(desc: Column, aliases: list[tuple[str, str]] | None = Non
     ``padded`` are its ``padded_alias_words`` as a column: an expression is evaluated once per alias."""
     up = F.upper(utrim(desc))
     words = padded_alias_words(desc) if padded is None else padded
-    expr = utrim(F.split(up, MERCHANT_SPLIT_RE, 2).getItem(0))
+    expr = utrim(F.regexp_replace(up, f"(?s)(?:{MERCHANT_SPLIT_RE}).*", ""))
     for pattern, merchant in reversed(aliases if aliases is not None else MERCHANT_ALIASES):
         expr = F.when(words.contains(f" {alias_phrase(pattern)} "), F.lit(merchant)).otherwise(expr)
     return F.when(desc.isNull(), F.lit(None).cast("string")).otherwise(expr)
@@ -125,7 +131,7 @@ WORD_SPLIT_RE = "[\\x00-%'-\\-/:-@\\[-\U0010ffff]+"
 
 def _words(text: Column) -> Column:
     """The upper-cased words of a text, joined by single spaces."""
-    return F.array_join(F.array_remove(F.split(F.upper(text), WORD_SPLIT_RE), ""), " ")
+    return _spaced(text, WORD_SPLIT_RE)
 
 
 def _phrase(keyword: str) -> str:

@@ -27,12 +27,24 @@ def _amount(text: Column) -> Column:
     return F.regexp_replace(text, "[$,]", "").try_cast(MONEY)
 
 
+MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec "
+MONTH_DAY_RE = r"^[A-Z][a-z]{2} \d{1,2}$"
+
+
+def _plain_date(month_day: Column, year: Column) -> Column:
+    """``Jan 05`` and a year of four digits as a date, null for anything else: a cast of an ISO text takes
+    a fraction of the time that a date pattern does."""
+    month = F.instr(F.lit(MONTHS), F.substring(month_day, 1, 4)) + 3
+    iso = F.concat_ws("-", year.cast("string"), (month / 4).cast("int").cast("string"), F.substring(month_day, 5, 2))
+    return F.when((month > 3) & year.between(1000, 9999) & month_day.rlike(MONTH_DAY_RE), iso.try_cast("date"))
+
+
 def complete_date(month_day: Column, statement_year: Column, statement_month: Column | None) -> Column:
     """``Jan 05`` + statement year -> date (X2). With the statement month known, a date more
     than six months away belongs to the neighbouring year (December rows of a January
     statement fall in the previous year)."""
-    base = F.try_to_timestamp(F.concat(month_day, F.lit(" "), statement_year.cast("string")), F.lit("MMM d yyyy"))
-    d = F.to_date(base)
+    d = F.coalesce(_plain_date(month_day, statement_year), F.to_date(
+        F.try_to_timestamp(F.concat(month_day, F.lit(" "), statement_year.cast("string")), F.lit("MMM d yyyy"))))
     if statement_month is None:
         return d.cast("timestamp_ntz")
     gap = F.month(d) - statement_month
@@ -121,8 +133,13 @@ def statement_records(docs: DataFrame, text_col: str = "text", unparsed: bool =
     from spendlens.operators.enrich import customer_id, first_rule, normalise_merchant, padded_alias_words, padded_words
 
     keys = [c for c in docs.columns if c != text_col]
-    # The holder is a document column, carried through the line explode (no join back).
+    # The holder is a document column, carried through the line explode (no join back), and so are the
+    # names and the id made of it: once per statement, not per line.
     with_holder = docs.withColumn("_holder", utrim(F.regexp_extract(F.col(text_col), HOLDER_RE, 1)))
+    first, last = F.regexp_extract("_holder", HOLDER_NAMES_RE, 1), F.regexp_extract("_holder", HOLDER_NAMES_RE, 2)
+    with_holder = with_holder.withColumns({"f_name": F.when(first != "", first), "l_name": F.when(last != "", last)})
+    named = F.when(F.col("_holder") != "", customer_id(F.col("f_name"), F.col("l_name")))
+    with_holder = with_holder.withColumn("customer_id", named).drop("_holder")
     # The merchant and the words are columns, so the aliases and the category rules reference them
     # instead of repeating their expressions once per alias or rule. The rules see the words of the whole description,
     # which an alias may cut, and behind a border that no phrase crosses those of the merchant.
@@ -132,8 +149,6 @@ def statement_records(docs: DataFrame, text_col: str = "text", unparsed: bool =
     rows = rows.withColumn("_padded", padded_words(F.concat_ws(" . ", "raw_description", "_merchant")))
     rows = rows.withColumn("_cat", first_rule(F.col("_padded")))
     cat = F.col("_cat")
-    first, last = F.regexp_extract("_holder", HOLDER_NAMES_RE, 1), F.regexp_extract("_holder", HOLDER_NAMES_RE, 2)
-    rows = rows.withColumns({"f_name": F.when(first != "", first), "l_name": F.when(last != "", last)})
     # One statement: a bounded group. Numbers first: names of documents that begin alike sort slowly.
     texts = {f.name for f in docs.schema.fields if f.dataType.simpleString() == "string"}
     stmt = Window.partitionBy(*sorted(keys, key=lambda k: k in texts)).orderBy("position")
@@ -143,8 +158,7 @@ def statement_records(docs: DataFrame, text_col: str = "text", unparsed: bool =
     amount = F.when(F.col(UNPARSED).isNull(), amount) if unparsed else amount
     out = rows.select(
         *keys, "position",
-        F.when(F.col("_holder") != "", customer_id(F.col("f_name"), F.col("l_name"))).alias("customer_id"),
-        "f_name", "l_name",
+        "customer_id", "f_name", "l_name",
         F.lit(None).cast("string").alias("address"),
         "transaction_date", "posting_date",
         F.col("_merchant").alias("activity_description"),

@@ -51,7 +51,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions.clean import MONEY_COLUMNS, clean_transactions
-from spendlens.operators.dedup import DEFAULT_BROADCAST_LIMIT, KEY_DIGESTS, candidate_history, key_digests, new_rows_by_upload
+from spendlens.operators.dedup import (
+    DEFAULT_BROADCAST_LIMIT,
+    KEY_DIGESTS,
+    candidate_history,
+    key_digests,
+    key_profile,
+    new_rows_by_upload,
+)
 from spendlens.operators.quality import OUT_OF_RANGE, out_of_range, violation_names, with_violation
 from spendlens.operators.recurring import STATE, batch_state, merged_state, with_recurring
 from spendlens.operators.rollup import ROLLUP, daily_rollup, merged_rollup, rollup_rows
@@ -272,10 +279,11 @@ def ingest_batch(docs: DataFrame, tx_path: str, log_path: str, batch_id: int = 0
         rows = parsed.filter(of.isNull()).drop("violation", UNPARSED)
         if n_rows > sum(counts.values()):  # P13: nothing to dedup or write for an empty batch
             history = read_stored(spark, tx_path, markers)
+            profile = key_profile(rows, "upload_id")
             if markers:
                 digests = commits.read_committed(spark, digest_path(tx_path), "digests", KEY_DIGESTS, markers)
-                history = candidate_history(rows, digests, history)
-            new = new_rows_by_upload(rows, history)
+                history = candidate_history(rows, digests, history, profile=profile)
+            new = new_rows_by_upload(rows, history, profile=profile)
             # Ids follow the statement order (K1, X8, L1): upload, document, position in it.
             out = assign_ids(new.select("user_id", *INSERT_COLUMNS, "upload_id", "doc_id", "position"), history,
                              "transaction_id", base=_id_base(spark, tx_path, markers),

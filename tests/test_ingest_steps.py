@@ -5,6 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 HEAD = "Card holder: Ann Lee\nCredit Limit: $1,000.00\nAvailable Credit: $100.00\n"
 
@@ -87,3 +88,53 @@ def test_the_state_tables_of_a_batch_take_one_shuffle(spark, monkeypatch):
     assert {t: plans[t].count("Exchange") for t in ("tx_recurring", "tx_digests", "tx_rollup")} == {
         "tx_recurring": 1, "tx_digests": 1, "tx_rollup": 1}
     assert ingest.read_rollup(spark, f"{root}/tx").count() == 1
+
+
+def test_a_named_month_is_dated_as_by_the_date_pattern(spark):
+    from spendlens.operators.statement_lines import complete_date
+
+    days = [f"{m} {d}" for m in ("Jan", "Feb", "Apr", "Sep", "Dec", "Abc", "JAN", "anF") for d in ("1", "01", "29", "30", "31", "0", "32", " 5", "5 ", "5x", "", "100")]
+    rows = [(md, y) for md in [*days, "", None, "Jan", "Janu 5"] for y in (2023, 2024, 1999, 999, 10000, 0, None)]
+    df = spark.createDataFrame(rows, "md string, y int")
+    pattern = F.to_date(F.try_to_timestamp(F.concat("md", F.lit(" "), F.col("y").cast("string")), F.lit("MMM d yyyy")))
+    got = df.select("md", "y", F.to_date(complete_date(F.col("md"), F.col("y"), None)).alias("d"), pattern.alias("want")).collect()
+    assert [r for r in got if r.d != r.want] == []
+    assert sum(r.d is not None for r in got) > 50
+
+
+def test_no_pattern_is_compiled_per_statement_line(spark):
+    """``split`` by more than a character compiles its pattern for every value; the holder's names are
+    found once per statement, before its lines."""
+    from spendlens.operators.enrich import alias_words, padded_alias_words
+    from spendlens.operators.statement_lines import HOLDER_NAMES_RE, statement_records
+
+    docs = spark.createDataFrame([("d", 1, 2024, 3, "Card holder: Ada B Doe\nMar 01 Mar 02 GYM  #3 5.00\nMar 02 Mar 03 A*B 6.00")],
+                                 "doc_id string, user_id long, statement_year int, statement_month int, text string")
+    records = statement_records(docs)
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(upper" not in plan and "split(trim" not in plan
+    assert plan.rindex("Generate") < plan.index(HOLDER_NAMES_RE)  # a plan reads from the last step to the first
+    got = [(r.activity_description, r.f_name, r.l_name, r.customer_id) for r in records.orderBy("position").collect()]
+    assert got == [("GYM", "Ada", "B Doe", "ada_b doe"), ("A", "Ada", "B Doe", "ada_b doe")]
+    texts = ["", "  ", "a", " .a--b ", "É1 x", "#", None, "a b\nc"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    joined = F.concat(F.lit(" "), F.array_join(alias_words(F.col("t")), " "), F.lit(" "))
+    assert [r for r in df.select(padded_alias_words(F.col("t")).alias("a"), joined.alias("b")).collect() if r.a != r.b] == []
+
+
+def test_the_keys_of_a_batch_are_profiled_in_one_pass(spark, tmp_path):
+    from unittest import mock
+
+    from spendlens.operators import dedup
+    from spendlens.streaming import ingest
+
+    def docs(n, text):
+        return spark.createDataFrame([(f"d{n}", 1, f'[{{"activity_description": "{text}", "amount_spent": "1.00", "transaction_date": "01-05-2024"}}]', n)],
+                                     "doc_id string, user_id long, text string, upload_id long")
+    passes = mock.Mock(side_effect=dedup.key_profile)
+    with mock.patch.object(ingest, "key_profile", passes), mock.patch.object(dedup, "key_profile", passes):
+        for n, text in enumerate(("TEA", "TEA ", "GYM")):
+            ingest.ingest_batch(docs(n, text), f"{tmp_path}/tx", f"{tmp_path}/log", n)
+    assert passes.call_count == 3
+    rows = ingest.read_stored(spark, f"{tmp_path}/tx").collect()
+    assert sorted((r.activity_description, r.upload_id) for r in rows) == [("GYM", 2), ("TEA", 0)]
